@@ -86,8 +86,8 @@ def reaction_channels(requests: DataFrame, meta: DataFrame) -> DataFrame:
 def resolve_curve(requests: DataFrame, meta: DataFrame) -> DataFrame:
     """Curve of each request(request_id, Z, A, state, projectile[, mt][, reaction]) or why there is none.
 
-    status: ok, reaction_missing (available_* filled), target_missing (available_targets
-    filled) or nothing. Where a label fits several reaction numbers the smallest is taken.
+    status: ok, reaction_missing (available_* filled), target_missing (see targets_instead)
+    or nothing. Where a label fits several reaction numbers the smallest is taken.
     """
     for name, kind in (("mt", "int"), ("reaction", "string")):
         if name not in requests.columns:
@@ -104,22 +104,18 @@ def resolve_curve(requests: DataFrame, meta: DataFrame) -> DataFrame:
         .groupBy("request_id")
         .agg(F.min(F.struct("mt", "xs_id", "reaction", "e_min_eV", "e_max_eV", "n_points")).alias("hit"))
     )
-    targets = (
-        available_targets(meta)
-        .groupBy("Z", "projectile")
-        .agg(F.sort_array(F.collect_set(F.struct("A", "state", "n_reactions", "e_min_eV", "e_max_eV"))).alias("available_targets"))
-    )
+    elements = meta.select("Z", "projectile").distinct().withColumn("__has_target", F.lit(True))
     out = asked.join(found, "request_id", "left")
     # availability is only joined to the misses
     missed = out.filter("hit is null").select("request_id", *TARGET, "requested_reaction")
     why = (
         missed.join(_channels_per_target(meta), TARGET, "left")
-        .join(targets, ["Z", "projectile"], "left")
+        .join(elements, ["Z", "projectile"], "left")
         .select(
             "request_id",
             "available_mts",
             "available_reactions",
-            F.when(F.col("available_mts").isNull(), F.col("available_targets")).alias("available_targets"),
+            "__has_target",
             reaction_alias(
                 F.col("projectile"), F.col("Z"), F.col("A"), F.col("requested_reaction"), F.col("available_reactions")
             ).alias("suggested_reaction"),
@@ -128,7 +124,7 @@ def resolve_curve(requests: DataFrame, meta: DataFrame) -> DataFrame:
     status = (
         F.when(F.col("hit").isNotNull(), F.lit("ok"))
         .when(F.col("available_mts").isNotNull(), F.lit("reaction_missing"))
-        .when(F.col("available_targets").isNotNull(), F.lit("target_missing"))
+        .when(F.col("__has_target"), F.lit("target_missing"))
         .otherwise(F.lit("nothing"))
     )
     return out.join(why, "request_id", "left").select(
@@ -139,12 +135,17 @@ def resolve_curve(requests: DataFrame, meta: DataFrame) -> DataFrame:
         *[F.col("hit")[c].alias(c) for c in ("xs_id", "mt", "reaction", "e_min_eV", "e_max_eV", "n_points")],
         "available_mts",
         "available_reactions",
-        "available_targets",
         "suggested_reaction",
         status.alias("status"),
     )
 
 
+def targets_instead(resolved: DataFrame, meta: DataFrame) -> DataFrame:
+    """Targets of the same element and projectile, one row each, for requests with target_missing."""
+    missed = resolved.filter("status = 'target_missing'").select("request_id", "Z", "projectile")
+    return missed.join(available_targets(meta), ["Z", "projectile"])
+
+
 def clip_window(requests: DataFrame, meta: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Energy window of each request(request_id, xs_id[, e_lo_eV][, e_hi_eV]) cut to the tabulated range.
 

@@ -119,8 +119,9 @@ def value_chunks(df: DataFrame, keys: Sequence[str], value: str, ranges: DataFra
     log_step = (F.ln(F.col(value)) - F.ln("__lo")) / (F.ln("__hi") - F.ln("__lo"))
     lin_step = (F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
     step = F.when(F.col("__lo") > 0, log_step).otherwise(lin_step)
+    # NULL sorts first, so it belongs to the first chunk
     chunk = F.when(
-        (F.col("__hi") > F.col("__lo")), F.greatest(F.lit(0), F.least(cuts - 1, F.floor(step * cuts)))
+        (F.col("__hi") > F.col("__lo")) & F.col(value).isNotNull(), F.greatest(F.lit(0), F.least(cuts - 1, F.floor(step * cuts)))
     )
     large = ranges.filter(F.col("n") > rows).select(
         *[F.col(k).alias(f"__k_{k}") for k in keys],
@@ -136,20 +137,26 @@ def value_chunks(df: DataFrame, keys: Sequence[str], value: str, ranges: DataFra
     )
 
 
-def top_per_key(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | None, offset: int = 0, rank: str | None = None
-) -> DataFrame:
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | None, offset: int = 0) -> DataFrame:
     """Rows offset+1 .. offset+n of each key. The rank filter lets Spark cut each
     key to the wanted rows before the shuffle."""
-    if n is None and offset == 0 and rank is None:
+    if n is None:
+        if offset:
+            raise ValueError("an offset needs a limit")
         return df
-    name = rank or "__rank"
-    ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    if n is not None:
-        ranked = ranked.filter(F.col(name) <= offset + n)
-    if offset:
-        ranked = ranked.filter(F.col(name) > offset)
-    return ranked if rank else ranked.drop(name)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    wanted = (F.col("__rank") <= offset + n) & (F.col("__rank") > offset)
+    return df.withColumn("__rank", rank).filter(wanted).drop("__rank")
+
+
+def row_numbers(df: DataFrame, keys: Sequence[str], value: str, tiebreak: Sequence[str], name: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    """Exact 0-based position along (value, tiebreak) within keys of any size."""
+    ranges = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")
+    )
+    cut = value_chunks(df, keys, value, ranges, rows)
+    counted = ordered_scan(cut, keys, [value, *tiebreak], chunk="__chunk", total={name: F.lit(1)})
+    return counted.withColumn(name, (F.col(name) - 1).cast("long")).drop("__chunk")
 
 
 def pages_of(df: DataFrame, keys: Sequence[str], position: Column, columns: Sequence[str], page_rows: int, name: str) -> DataFrame:
