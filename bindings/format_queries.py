@@ -1 +1,707 @@
+"""Source formats: table rows are printed in a format, parsed back and compared with the table."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from isoframe.functions import numbers, reactions, text, times
+from isoframe.operators.curves import law_value
+from isoframe.sources import archives, cards, endf, fixed_width, records
+from isoframe.sources.lines import as_lines
+
+from .registry import bind, table
+
+
+def _right(c, width):
+    return F.lpad(c.cast("string"), width, " ")
+
+
+def _left(c, width):
+    return F.rpad(c.cast("string"), width, " ")
+
+
+def _fixed(c, width, decimals):
+    return F.lpad(F.format_string(f"%.{decimals}f", c), width, " ")
+
+
+def _blank(width):
+    return F.lit(" " * width)
+
+
+@bind(
+    "fixed_width_masses",
+    """
+SELECT CAST(p_partkey % 1000 AS INTEGER) AS "Z", CAST(p_partkey // 1000 + 1 AS INTEGER) AS "A", p_size AS "N", p_name[:3] AS element,
+       p_retailprice AS mass_excess, CASE WHEN p_size % 10 = 3 THEN NULL ELSE p_size / 8.0 END AS unc,
+       CASE WHEN p_size % 7 = 0 THEN floor(p_retailprice) ELSE -p_retailprice END AS binding,
+       round(p_size * 1000000.0 + p_retailprice, 3) AS atomic_mass, CAST(p_size % 7 = 0 AS INTEGER) AS is_estimated
+FROM part
+""",
+)
+def fixed_width_masses(spark, sf):
+    p = table(spark, sf, "part")
+    size, price = F.col("p_size"), F.col("p_retailprice")
+    line = F.concat(
+        _blank(4),
+        _right(size, 5),
+        _right(F.col("p_partkey") % 1000, 5),
+        _right(F.floor(F.col("p_partkey") / 1000) + 1, 5),
+        F.lit(" "),
+        F.substring("p_name", 1, 3),
+        _blank(5),
+        _fixed(price, 14, 4),
+        F.when(size % 10 == 3, _right(F.lit("*"), 12)).otherwise(_fixed(size / 8, 12, 6)),
+        F.when(size % 7 == 0, _right(F.concat(F.floor(price).cast("string"), F.lit("#")), 13)).otherwise(_fixed(-price, 13, 5)),
+        _blank(1 + 10 + 3 + 13 + 11 + 1),
+        _right(size, 3),
+        F.lit(" "),
+        _fixed(price, 13, 5),
+        _fixed(price, 12, 4),
+    )
+    lines = as_lines(p, F.lit("mass"), F.col("p_partkey") + 36, line, rows=500)
+    out = fixed_width.mass_table(lines)
+    return out.select(
+        "Z",
+        "A",
+        "N",
+        F.rpad("element", 3, " ").alias("element"),
+        F.col("mass_excess_keV").alias("mass_excess"),
+        F.col("mass_excess_unc_keV").alias("unc"),
+        F.col("binding_energy_per_A_keV").alias("binding"),
+        F.round("atomic_mass_micro_u", 3).alias("atomic_mass"),
+        F.col("is_estimated").cast("int").alias("is_estimated"),
+    )
+
+
+@bind(
+    "pair_table",
+    """
+SELECT CAST(p_partkey % 1000 AS INTEGER) AS "Z", CAST(p_partkey // 1000 + 1 AS INTEGER) AS "A", p_retailprice AS sn,
+       CASE WHEN p_size % 5 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS sn_unc, -p_retailprice AS qna
+FROM part
+""",
+)
+def pair_table(spark, sf):
+    """Five header lines, a ruler and two column titles come before the data."""
+    p = table(spark, sf, "part")
+    size, price = F.col("p_size"), F.col("p_retailprice")
+    pair = lambda v: F.concat(_fixed(v, 12, 4), F.when(size % 5 == 0, _right(F.lit("*"), 10)).otherwise(_fixed(size, 10, 4)))
+    line = F.concat(
+        F.lit(" "), _right(F.floor(F.col("p_partkey") / 1000) + 1, 3), F.lit(" "), F.lit("Xx "), _right(F.col("p_partkey") % 1000, 3), F.lit(" "),
+        pair(price), pair(price * 2), pair(price), pair(price), pair(price), pair(-price),
+    )
+    header = F.when(F.col("r_regionkey") == 2, F.lit("....+....1....+")).otherwise(F.lit("  1 A  elt  Z   S(n)"))
+    head = as_lines(table(spark, sf, "region"), F.lit("pairs"), F.col("r_regionkey"), header, rows=500)
+    body = as_lines(p, F.lit("pairs"), F.col("p_partkey") + 5, line, rows=500)
+    out = fixed_width.pair_table(head.unionByName(body), fixed_width.SECOND_PAIRS, find_ruler=True)
+    return out.select(
+        "Z", "A", F.col("Sn_keV").alias("sn"), F.col("Sn_unc_keV").alias("sn_unc"), F.col("Qna_keV").alias("qna")
+    )
+
+
+@bind(
+    "nuclide_properties",
+    """
+SELECT CAST(p_partkey % 1000 AS INTEGER) AS "Z", CAST(p_partkey // 1000 + 1 AS INTEGER) AS "A", CAST(p_size % 4 AS INTEGER) AS isomer_index, 'Fe' AS element,
+       CASE p_size % 5 WHEN 0 THEN 'stable' WHEN 1 THEN p_size || ' My' WHEN 2 THEN '>' || p_size || ' s' WHEN 3 THEN 'p-unst' ELSE 'unknown' END AS half_life,
+       CASE WHEN p_size % 5 = 1 THEN p_size * 365.25 * 86400 * 1e6 END AS seconds,
+       CASE WHEN p_size % 5 = 1 THEN 0.5 * 365.25 * 86400 * 1e6 END AS unc_seconds, p_name AS decay_modes
+FROM part
+""",
+)
+def nuclide_properties(spark, sf):
+    p = table(spark, sf, "part")
+    size = F.col("p_size")
+    text_of = size.cast("string")
+    kind = size % 5
+    value = F.when(kind == 0, F.lit("stbl")).when(kind == 1, text_of).when(kind == 2, F.concat(F.lit(">"), text_of)).when(kind == 3, F.lit("p-unst")).otherwise(F.lit(""))
+    unit = F.when(kind == 1, F.lit("My")).when(kind == 2, F.lit("s ")).otherwise(F.lit("  "))
+    line = F.concat(
+        _right(F.floor(F.col("p_partkey") / 1000) + 1, 3),
+        F.lit(" "),
+        _right(F.col("p_partkey") % 1000, 3),
+        (size % 4).cast("string"),
+        _blank(3),
+        F.lit(" 56Fe"),
+        _blank(2),
+        _fixed(F.col("p_retailprice"), 13, 4),
+        _blank(69 - 31),
+        _right(value, 9),
+        unit,
+        F.lit(" "),
+        F.when(kind == 1, F.lit("0.5    ")).otherwise(_blank(7)),
+        _blank(119 - 88),
+        F.col("p_name"),
+    )
+    out = fixed_width.nuclide_properties(as_lines(p, F.lit("nuclides"), F.col("p_partkey"), line, rows=500))
+    return out.select(
+        "Z", "A", "isomer_index", "element", "half_life", F.col("half_life_seconds").alias("seconds"), F.col("half_life_unc_seconds").alias("unc_seconds"), "decay_modes"
+    )
+
+
+@bind(
+    "radii_csv",
+    """
+SELECT c_nationkey AS "Z", CAST(c_custkey AS INTEGER) AS "A", c_mktsegment AS element, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS radius,
+       CASE WHEN c_acctbal <= 0 THEN c_acctbal END AS preliminary
+FROM customer
+""",
+)
+def radii_csv(spark, sf):
+    c = table(spark, sf, "customer")
+    b = F.col("c_acctbal")
+    shown = F.format_string("%.2f", b)
+    line = F.concat_ws(
+        ",",
+        F.col("c_nationkey").cast("string"),
+        F.col("c_mktsegment"),
+        F.lit("1"),
+        F.col("c_custkey").cast("string"),
+        F.when(b > 0, shown).otherwise(F.lit("-")),
+        F.lit(""),
+        F.when(b <= 0, shown).otherwise(F.lit("")),
+        F.lit("-"),
+    )
+    out = fixed_width.radii_table(as_lines(c, F.lit("radii"), F.col("c_custkey") + 1, line, rows=500))
+    return out.select("Z", "A", "element", F.col("r_charge_fm").alias("radius"), F.col("r_charge_preliminary_fm").alias("preliminary"))
+
+
+@bind(
+    "carry_forward",
+    r"""
+WITH o AS (SELECT o_orderkey AS k, o_custkey, last_value(CASE WHEN o_orderpriority = '1-URGENT' OR o_orderkey = 0 THEN o_custkey + 1 END IGNORE NULLS)
+                 OVER (ORDER BY o_orderkey) AS z, o_totalprice AS r, o_orderstatus AS s FROM orders)
+SELECT CAST(z AS INTEGER) AS "Z", CAST(k AS INTEGER) AS "A", r AS radius, CAST(s = 'F' AS INTEGER) AS is_reference, CAST(s = 'O' AS INTEGER) AS listed FROM o
+""",
+)
+def carry_forward(spark, sf):
+    """All orders are one LaTeX table; only urgent ones print their Z."""
+    o = table(spark, sf, "orders")
+    first = (F.col("o_orderpriority") == "1-URGENT") | (F.col("o_orderkey") == 0)
+    status = F.col("o_orderstatus")
+    number = F.col("o_orderkey").cast("string")
+    line = F.concat_ws(
+        " & ",
+        F.when(first, (F.col("o_custkey") + 1).cast("string")).otherwise(F.lit("")),
+        F.when(first, F.lit("Fe")).otherwise(F.lit("")),
+        F.lit("30"),
+        F.when(status == "F", F.concat(F.lit("\\textbf{"), number, F.lit("}"))).otherwise(number),
+        F.lit("0.5"),
+        F.lit("--"),
+        F.format_string("%.2f", "o_totalprice"),
+        F.lit("0.01"),
+        F.concat(F.when(status == "O", F.lit("Yes")).otherwise(F.lit("No")), F.lit(" \\\\")),
+    )
+    r = table(spark, sf, "region").filter("r_regionkey < 2")
+    head = as_lines(r, F.lit("radii.tex"), F.col("r_regionkey"), F.when(F.col("r_regionkey") == 0, F.lit("% \\endhead")).otherwise(F.lit("\\endhead")), rows=1000)
+    body = as_lines(o, F.lit("radii.tex"), F.col("o_orderkey") + 10, line, rows=1000)
+    out = fixed_width.latex_longtable(head.unionByName(body))
+    return out.select(
+        "Z", "A", F.col("r_charge_fm").alias("radius"), F.col("is_reference").cast("int").alias("is_reference"), F.col("in_angeli_2013").cast("int").alias("listed")
+    )
+
+
+@bind(
+    "constants_listing",
+    """
+SELECT c_name AS quantity, lower(c_name) AS quantity_key, printf('%.2f', c_acctbal) AS value_text,
+       CASE WHEN c_acctbal < 0 THEN '(exact)' ELSE c_nationkey || '...' END AS uncertainty_text, CAST(c_acctbal < 0 AS INTEGER) AS is_exact,
+       CAST(c_acctbal >= 0 AS INTEGER) AS is_truncated, CASE WHEN c_acctbal < 0 THEN 0.0 END AS uncertainty
+FROM customer
+""",
+)
+def constants_listing(spark, sf):
+    c = table(spark, sf, "customer")
+    unc = F.when(F.col("c_acctbal") < 0, F.lit("(exact)")).otherwise(F.concat(F.col("c_nationkey").cast("string"), F.lit("...")))
+    line = F.concat(_left(F.col("c_name"), 60), _left(F.format_string("%.2f", "c_acctbal"), 25), _left(unc, 25), F.lit("m"))
+    r = table(spark, sf, "region").filter("r_regionkey < 2")
+    title = F.when(F.col("r_regionkey") == 0, F.lit("  Quantity      Value     Uncertainty   Unit")).otherwise(F.lit("-" * 40))
+    head = as_lines(r, F.lit("constants"), F.col("r_regionkey"), title)
+    body = as_lines(c, F.lit("constants"), F.col("c_custkey") + 2, line)
+    out = fixed_width.constants_listing(head.unionByName(body))
+    return out.select(
+        "quantity", "quantity_key", "value_text", "uncertainty_text", "is_exact", "is_truncated", numbers.constant_number(F.col("uncertainty_text")).alias("uncertainty")
+    )
+
+
+# --- structure cards -------------------------------------------------------------------------
+
+CARD_TYPES = {"1": "ADOPTED LEVELS, GAMMAS", "2": "60CO B- DECAY (5.27 Y)", "3": "60CO EC DECAY", "4": "59CO(P,G)", "5": "ADOPTED LEVELS"}
+_SLOTS = 16
+
+
+def _card_lines(spark, sf):
+    """Each order is a data set: header, P and Q card, then per line item a level or gamma card, then a blank line.
+
+    The line number decides the card: 1-3 level, 4 gamma, 5 gamma with a continuation card, 6 feeding, 7 comment.
+    """
+    o = table(spark, sf, "orders")
+    title = F.create_map(*[F.lit(x) for pair in CARD_TYPES.items() for x in pair])[F.substring("o_orderpriority", 1, 1)]
+    head = o.select(
+        F.col("o_orderkey").alias("k"),
+        F.inline(
+            F.array(
+                F.struct(F.lit(0).alias("slot"), F.concat(F.lit(" 60NI    "), _left(title, 30)).alias("line")),
+                F.struct(F.lit(1), F.concat(F.lit(" 60CO  P 0.0"), _blank(27), F.when(F.col("o_orderstatus") == "F", F.lit("12.5 D    ")).otherwise(_blank(10)))),
+                F.struct(F.lit(2), F.concat(F.lit(" 60NI  Q 1.0"), _blank(43), F.format_string("%04d", (F.col("o_orderkey") % 10000).cast("int")), F.lit("AB12,1999CD34,1999CD34"))),
+                F.struct(F.lit(_SLOTS - 1), F.lit("")),
+            )
+        ),
+    )
+    unique = (
+        table(spark, sf, "lineitem")
+        .groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"))
+        .agg(F.min("l_quantity").alias("q"), F.min("l_partkey").alias("p"))
+    )
+    number = _left(F.format_string("%.2f", "q"), 10)
+    n = F.col("n")
+    card = (
+        F.when(n <= 3, F.concat(F.lit(" 60NI  L "), number, F.lit("4 2+"), _blank(16), F.lit("12 PS     3     ")))
+        .when(n <= 5, F.concat(F.lit(" 60NI  G "), number, F.lit("3 "), _left(F.col("p"), 8), F.lit("15E2")))
+        .when(n == 6, F.concat(F.lit(" 60NI  E "), number, F.lit("20"), _left(F.col("p"), 8), F.lit("3 ")))
+        .otherwise(F.concat(F.lit(" 60NI cL "), number))
+    )
+    body = unique.select("k", (F.col("n") * 2 + 1).alias("slot"), card.alias("line"))
+    more = unique.filter("n = 5").select("k", F.lit(12).alias("slot"), F.concat(F.lit(" 60NIB G BE2W="), F.format_string("%.2f", F.col("q") / 4), F.lit(" 6$")).alias("line"))
+    extra = unique.filter("n = 5").select("k", F.lit(13).alias("slot"), F.lit(" 60NIS G CC=0.25 3").alias("line"))
+    # the continuation slots of line 5 come right after it
+    more = more.withColumn("slot", F.lit(11.25)).unionByName(extra.withColumn("slot", F.lit(11.5)))
+    everything = head.unionByName(body).withColumn("slot", F.col("slot").cast("double")).unionByName(more)
+    position = F.col("k") * (_SLOTS * 4) + (F.col("slot") * 4).cast("long")
+    return as_lines(everything, F.lit("/cards/ensdf.060"), position, F.col("line"), rows=20000)
+
+
+CARD_SQL = """
+o AS (SELECT o_orderkey AS k, o_orderpriority[1] AS t, o_orderstatus AS s FROM orders),
+u AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_quantity) AS q, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2),
+lv AS (SELECT k, max(n) FILTER (n <= 3) AS n FROM u GROUP BY k),
+le AS (SELECT lv.k, u.q AS energy FROM lv JOIN u ON u.k = lv.k AND u.n = lv.n)
+"""
+
+
+@bind(
+    "card_datasets",
+    f"""
+WITH {CARD_SQL}
+SELECT k * 64 AS block, CASE t WHEN '1' THEN 'ADOPTED LEVELS, GAMMAS' WHEN '2' THEN 'B- DECAY' WHEN '3' THEN 'EC DECAY' ELSE 'ADOPTED LEVELS' END AS dataset_type,
+       60 AS "A", 28 AS "Z", CASE WHEN t IN ('2', '3') THEN 27 END AS parent,
+       CASE WHEN s = 'F' THEN '12.5 D' WHEN t = '2' THEN '5.27 Y' END AS parent_half_life,
+       printf('%04d', CAST(k % 10000 AS INTEGER)) || 'AB12,1999CD34' AS keys
+FROM o WHERE t <> '4'
+""",
+)
+def card_datasets(spark, sf):
+    out = cards.card_datasets(cards.annotate(_card_lines(spark, sf)))
+    return out.select(
+        "block", "dataset_type", "A", "Z", F.col("parent_z").alias("parent"), "parent_half_life", F.array_join("qref_keynumbers", ",").alias("keys")
+    )
+
+
+@bind(
+    "card_levels",
+    f"""
+WITH {CARD_SQL}
+SELECT u.k * 64 + (n * 2 + 1) * 4 AS line_no, q AS energy, 0.04 AS unc, '2+' AS spin_parity, 12e-12 AS seconds, 3e-12 AS unc_seconds
+FROM u JOIN o ON o.k = u.k WHERE n <= 3 AND t <> '4'
+""",
+)
+def card_levels(spark, sf):
+    out = cards.card_levels(cards.annotate(_card_lines(spark, sf)))
+    return out.select(
+        "line_no", F.col("energy_keV").alias("energy"), F.round("energy_unc_keV", 6).alias("unc"), "spin_parity",
+        F.col("half_life_seconds").alias("seconds"), F.col("half_life_unc_seconds").alias("unc_seconds"),
+    )
+
+
+@bind(
+    "card_gammas",
+    f"""
+WITH {CARD_SQL}
+SELECT u.k * 64 + (u.n * 2 + 1) * 4 AS line_no, le.energy AS level_energy, u.q AS gamma_energy, CAST(u.p AS DOUBLE) AS intensity, 'E2' AS multipolarity,
+       CASE u.n WHEN 5 THEN round(CAST(printf('%.2f', u.q / 4) AS DOUBLE), 6) END AS be2w, CASE u.n WHEN 5 THEN 0.06 END AS be2w_unc,
+       CASE u.n WHEN 5 THEN 0.25 END AS conversion
+FROM u JOIN o ON o.k = u.k JOIN le ON le.k = u.k WHERE u.n IN (4, 5) AND t <> '4'
+""",
+)
+def card_gammas(spark, sf):
+    out = cards.card_gammas(cards.annotate(_card_lines(spark, sf)))
+    return out.select(
+        "line_no",
+        F.col("level_energy_keV").alias("level_energy"),
+        F.col("gamma_energy_keV").alias("gamma_energy"),
+        F.col("rel_intensity").alias("intensity"),
+        "multipolarity",
+        F.round("be2w", 6).alias("be2w"),
+        F.round("be2w_unc", 6).alias("be2w_unc"),
+        F.col("total_conv_coeff").alias("conversion"),
+    )
+
+
+@bind(
+    "card_feedings",
+    f"""
+WITH {CARD_SQL}
+SELECT u.k * 64 + 52 AS line_no, 'EC' AS decay_mode, CASE WHEN t IN ('2', '3') THEN 27 ELSE 28 END AS parent, le.energy AS daughter,
+       u.q AS endpoint, 0.2 AS endpoint_unc, CAST(u.p AS DOUBLE) AS ib
+FROM u JOIN o ON o.k = u.k LEFT JOIN le ON le.k = u.k WHERE u.n = 6 AND t <> '4'
+""",
+)
+def card_feedings(spark, sf):
+    out = cards.card_feedings(cards.annotate(_card_lines(spark, sf)))
+    return out.select(
+        "line_no",
+        "decay_mode",
+        F.col("parent_Z").alias("parent"),
+        F.col("daughter_level_keV").alias("daughter"),
+        F.col("endpoint_keV").alias("endpoint"),
+        F.round("endpoint_unc_keV", 6).alias("endpoint_unc"),
+        F.col("ib_percent").alias("ib"),
+    )
+
+
+@bind(
+    "card_references",
+    """
+SELECT 60 AS "A", printf('%04d', CAST(user_id % 10000 AS INTEGER)) || 'AB12' AS keynumber, 'JOUR' AS type,
+       arg_min(event_type || ' ' || event_id, event_id) AS reference FROM events GROUP BY user_id
+""",
+)
+def card_references(spark, sf):
+    e = table(spark, sf, "events")
+    head = table(spark, sf, "region").filter("r_regionkey = 0").select(F.lit(-1).cast("long").alias("i"), F.lit(" 60      REFERENCES").alias("line"))
+    line = F.concat(F.lit(" 60    R "), F.format_string("%04d", (F.col("user_id") % 10000).cast("int")), F.lit("AB12 JOUR"), F.col("event_type"), F.lit(" "), F.col("event_id").cast("string"))
+    everything = head.unionByName(e.select(F.col("event_id").alias("i"), line.alias("line")))
+    lines = as_lines(everything, F.lit("/cards/ensdf.060"), F.col("i") + 1, F.col("line"), rows=2000)
+    return cards.card_references(cards.annotate(lines)).select("A", "keynumber", "type", "reference")
+
+
+# --- ENDF-6 ----------------------------------------------------------------------------------
+
+
+def _endf_lines(spark, sf):
+    """Each user's events are one MF=3 section; the energy falls for users without a click, which is an error."""
+    from pyspark.sql import Window
+
+    e = table(spark, sf, "events")
+    # positions within a section are known from the event numbers: print as if one pair stood on each line slot
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    placed = e.withColumn("i", F.row_number().over(w) - 1)
+    number = lambda c: F.lpad(F.regexp_replace(F.format_string("%.4e", c), "e", ""), 11, " ")
+    triple = (
+        placed.withColumn("row", F.floor(F.col("i") / 3))
+        .groupBy("user_id", "row")
+        .agg(F.array_sort(F.collect_list(F.struct("i", F.concat(number(F.col("event_id") + 1.0), number(F.col("value"))).alias("t")))).alias("x"))
+        .select("user_id", (F.col("row") + 3).alias("row"), F.array_join(F.transform("x", lambda x: x["t"]), "").alias("data"))
+    )
+    ends = placed.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    integer = lambda c: F.lpad(c.cast("string"), 11, " ")
+    head = ends.select(
+        "user_id",
+        F.inline(
+            F.array(
+                F.struct(F.lit(0).cast("long").alias("row"), number(F.col("user_id") * 1000.0 + 56).alias("data")),
+                F.struct(F.lit(1).cast("long"), F.concat(F.lit(" " * 44), integer(F.lit(1)), integer(F.col("n")))),
+                F.struct(F.lit(2).cast("long"), F.concat(integer(F.col("n")), integer(F.col("user_id") % 7))),
+                F.struct(F.lit(999_999).cast("long"), F.lit("")),
+            )
+        ),
+    )
+    mt = F.when(F.col("row") == 999_999, 0).otherwise(102 + F.col("user_id") % 6).cast("int")
+    line = F.concat(F.rpad("data", 66, " "), F.lit("2631 3"), F.lpad(mt.cast("string"), 3, " "), F.lit("    1"))
+    return as_lines(triple.unionByName(head), F.lit("/x/p_026-fe-56m1.dat"), F.col("user_id") * 1_000_000 + F.col("row"), line, rows=5_000_000)
+
+
+@bind(
+    "endf_sections",
+    """
+WITH p AS (SELECT user_id AS u, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)
+SELECT u AS "Z", 56 AS "A", 1 AS state, 'p' AS projectile, CAST(102 + u % 6 AS INTEGER) AS mt, 'p,mt' || (102 + u % 6) AS reaction, CAST(i AS INTEGER) AS point_index,
+       CAST(printf('%.4e', event_id + 1.0) AS DOUBLE) AS energy, CAST(printf('%.4e', value) AS DOUBLE) AS sigma, CAST(u % 7 AS INTEGER) AS int_law
+FROM p WHERE u > 0
+""",
+)
+def endf_sections(spark, sf):
+    out = endf.read_sections(_endf_lines(spark, sf))
+    return (
+        out.meta.filter("Z > 0")
+        .join(out.points, "xs_id")
+        .join(out.interp, "xs_id")
+        .select("Z", "A", "state", "projectile", "mt", "reaction", "point_index", F.col("e_eV").alias("energy"), F.col("sigma_b").alias("sigma"), "int_law")
+    )
+
+
+# --- number and time expressions ---------------------------------------------------------------
+
+
+@bind(
+    "endf_number",
+    "SELECT event_id, CAST(printf('%.5e', value * 1e-6) AS DOUBLE) AS value FROM events",
+)
+def endf_number(spark, sf):
+    e = table(spark, sf, "events")
+    printed = F.regexp_replace(F.format_string("%.5e", F.col("value") * 1e-6), "e", "")
+    return e.select("event_id", numbers.endf_number(F.concat(F.lit(" "), printed)).alias("value"))
+
+
+@bind(
+    "digit_uncertainty",
+    """
+SELECT l_orderkey, l_partkey, CASE l_linenumber WHEN 1 THEN round(l_quantity * 0.01, 6) WHEN 2 THEN l_quantity * 10 WHEN 3 THEN NULL
+       WHEN 4 THEN greatest(l_quantity, 7) ELSE l_quantity END AS unc FROM lineitem
+""",
+)
+def digit_uncertainty(spark, sf):
+    li = table(spark, sf, "lineitem")
+    n, q = F.col("l_linenumber"), F.col("l_quantity").cast("int").cast("string")
+    value = F.when(n == 1, F.format_string("%.2f", "l_extendedprice")).when(n == 2, F.lit("6.52E3")).otherwise(F.lit("1492"))
+    unc = F.when(n == 3, F.lit("AP")).when(n == 4, F.concat(F.lit("+7-"), q)).otherwise(q)
+    return li.select("l_orderkey", "l_partkey", F.round(numbers.digit_uncertainty(value, unc), 6).alias("unc"))
+
+
+@bind(
+    "half_life_cards",
+    """
+SELECT l_orderkey, l_partkey, CASE l_linenumber WHEN 1 THEN l_quantity * 3.1556926e7 WHEN 2 THEN l_quantity * 86400.0 WHEN 3 THEN l_quantity * 60.0
+       WHEN 4 THEN 4.562339e-16 / (l_quantity * 1e3) WHEN 5 THEN l_quantity END AS seconds,
+       CASE l_linenumber WHEN 5 THEN '>' END AS qualifier FROM lineitem
+""",
+)
+def half_life_cards(spark, sf):
+    li = table(spark, sf, "lineitem")
+    n, q = F.col("l_linenumber"), F.format_string("%.0f", "l_quantity")
+    shown = (
+        F.when(n == 1, F.concat(q, F.lit(" Y")))
+        .when(n == 2, F.concat(q, F.lit(".0 D")))
+        .when(n == 3, F.concat(q, F.lit(" M")))
+        .when(n == 4, F.concat(q, F.lit(" KEV")))
+        .when(n == 5, F.concat(F.lit(">"), q, F.lit(" S")))
+        .when(n == 6, F.lit("STABLE"))
+        .otherwise(F.concat(q, F.lit(" LY")))
+    )
+    t = times.half_life_card(shown, F.lit(""))
+    return li.select("l_orderkey", "l_partkey", t["seconds"].alias("seconds"), t["qualifier"].alias("qualifier"))
+
+
+@bind(
+    "widths",
+    """
+SELECT l_orderkey, l_partkey,
+       CASE l_linenumber WHEN 1 THEN l_quantity WHEN 2 THEN l_quantity * 0.001 WHEN 3 THEN l_quantity * 1000 WHEN 4 THEN NULL
+            WHEN 5 THEN 6.582119569e-19 / (l_quantity * 1e-12) WHEN 6 THEN l_quantity * 1e-3 * 1000 ELSE l_quantity END AS width,
+       CASE l_linenumber WHEN 1 THEN 3.0 WHEN 2 THEN 0.004 WHEN 5 THEN 6.582119569e-19 / (l_quantity * 1e-12) * (0.14 / l_quantity) END AS unc,
+       CASE l_linenumber WHEN 3 THEN '<' WHEN 4 THEN 'broad' WHEN 7 THEN '≈' ELSE '=' END AS relation
+FROM lineitem
+""",
+)
+def widths(spark, sf):
+    li = table(spark, sf, "lineitem")
+    n, q = F.col("l_linenumber"), F.format_string("%.0f", "l_quantity")
+    shown = (
+        F.when(n == 1, F.concat(q, F.lit(" ± 3 a")))
+        .when(n == 2, F.concat(q, F.lit(" ± 4 eV")))
+        .when(n == 3, F.concat(F.lit("< "), q, F.lit(" MeV")))
+        .when(n == 4, F.lit("broad"))
+        .when(n == 5, F.concat(F.lit("τm = "), q, F.lit(" ± 0.14 ps")))
+        .when(n == 6, F.concat(q, F.lit(" × 10−3 MeV")))
+        .otherwise(F.concat(F.lit("≈ "), q))
+    )
+    w = times.width_kev(shown, F.lit("keV"))
+    return li.select(
+        "l_orderkey", "l_partkey", w["width_keV"].alias("width"), w["width_unc_keV"].alias("unc"), w["width_relation"].alias("relation")
+    )
+
+
+@bind(
+    "unit_conversion",
+    """
+SELECT event_id, round(value * CASE event_type WHEN 'click' THEN 1e3 WHEN 'view' THEN 8.617333262e-5 WHEN 'error' THEN 1e6 ELSE 1 END, 6) AS energy,
+       round(CASE event_type WHEN 'click' THEN value WHEN 'view' THEN value * 8.617333262e-8 WHEN 'error' THEN value * 1e3 WHEN 'signup' THEN value / 1e3 ELSE value END, 9) AS kt
+FROM events
+""",
+)
+def unit_conversion(spark, sf):
+    e = table(spark, sf, "events")
+    unit = F.create_map(*[F.lit(x) for p in {"click": "keV", "view": "K", "error": "MEV", "signup": "EV", "purchase": "barn"}.items() for x in p])[F.col("event_type")]
+    return e.select(
+        "event_id",
+        F.round(numbers.energy_to_ev(F.col("value"), unit), 6).alias("energy"),
+        F.round(numbers.kt_to_kev(F.col("value"), unit), 9).alias("kt"),
+    )
+
+
+@bind(
+    "reaction_labels",
+    """
+SELECT l_orderkey, l_partkey, CASE WHEN l_returnflag = 'A' THEN 'p,mt' || CAST(l_quantity AS INTEGER) || '' ELSE
+  CASE CAST(l_quantity AS INTEGER) WHEN 1 THEN 'n,total' WHEN 2 THEN 'n,elastic' WHEN 3 THEN 'n,nonelastic' WHEN 4 THEN 'n,n''' WHEN 16 THEN 'n,2n'
+       WHEN 17 THEN 'n,3n' WHEN 18 THEN 'n,fission' WHEN 22 THEN 'n,na' WHEN 28 THEN 'n,np' ELSE 'n,mt' || CAST(l_quantity AS INTEGER) END END AS label,
+  'n,n' || CAST(l_quantity AS INTEGER) AS level_label
+FROM lineitem
+""",
+)
+def reaction_labels(spark, sf):
+    li = table(spark, sf, "lineitem")
+    q = F.col("l_quantity").cast("int")
+    projectile = F.when(F.col("l_returnflag") == "A", F.lit("p")).otherwise(F.lit("n"))
+    level = F.when(q <= 41, reactions.reaction_label(F.lit("n"), q + 50)).otherwise(F.concat(F.lit("n,n"), q.cast("string")))
+    return li.select("l_orderkey", "l_partkey", reactions.reaction_label(projectile, q).alias("label"), level.alias("level_label"))
+
+
+@bind(
+    "spin_tokens",
+    """
+SELECT l_orderkey, l_partkey, CAST(l_quantity AS INTEGER) || CASE l_linestatus WHEN 'O' THEN '+' ELSE '-' END AS spin,
+       CAST(l_linenumber AS VARCHAR) AS isospin, CASE l_returnflag WHEN 'A' THEN 'γ, n' WHEN 'R' THEN 'α, 3He' ELSE 'p, d' END AS modes
+FROM lineitem
+""",
+)
+def spin_tokens(spark, sf):
+    li = table(spark, sf, "lineitem")
+    cell = F.concat(F.lit("("), F.col("l_quantity").cast("int").cast("string"), F.lit(") ; "), F.col("l_linenumber").cast("string"))
+    # outer brackets only drop around the whole cell, so print it without them
+    cell = F.regexp_replace(cell, "[()]", "")
+    near = F.when(F.col("l_linestatus") == "O", F.lit("  + ")).otherwise(F.lit("−"))
+    s = text.spin_isospin(cell, near, F.lit(False))
+    modes = F.when(F.col("l_returnflag") == "A", F.lit("γ, (n), γ")).when(F.col("l_returnflag") == "R", F.lit("α + 3 He, α")).otherwise(F.lit("p,d a"))
+    return li.select(
+        "l_orderkey", "l_partkey", s["spin_parity"].alias("spin"), s["isospin"].alias("isospin"), text.decay_tokens(modes).alias("modes")
+    )
+
+
+@bind(
+    "interpolation_laws",
+    """
+WITH r AS (SELECT l_orderkey, l_partkey, l_linenumber AS law, l_quantity AS x1, l_quantity * 2 AS x2, l_extendedprice AS y1, l_discount * 1000 AS y2, l_quantity * 1.25 AS x FROM lineitem)
+SELECT l_orderkey, l_partkey, round(CASE
+  WHEN law = 1 THEN y1 WHEN law IN (2, 7) OR y2 <= 0 THEN y1 + (y2 - y1) * (x - x1) / (x2 - x1)
+  WHEN law = 3 THEN y1 + (y2 - y1) * ln(x / x1) / ln(x2 / x1)
+  WHEN law = 4 THEN exp(ln(y1) + (ln(y2) - ln(y1)) * (x - x1) / (x2 - x1))
+  WHEN law = 5 THEN exp(ln(y1) + (ln(y2) - ln(y1)) * ln(x / x1) / ln(x2 / x1))
+  ELSE exp(ln(y1 * x1) + (ln(y2 * x2) - ln(y1 * x1)) * (1 / sqrt(x) - 1 / sqrt(x1)) / (1 / sqrt(x2) - 1 / sqrt(x1))) / x END, 3) AS y FROM r
+""",
+)
+def interpolation_laws(spark, sf):
+    li = table(spark, sf, "lineitem")
+    x, y, y2 = F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount") * 1000
+    v = law_value(F.col("l_linenumber"), x, y, x * 2, y2, x * 1.25)
+    return li.select("l_orderkey", "l_partkey", F.round(v["sigma_b"], 3).alias("y"))
+
+
+@bind(
+    "experiment_targets",
+    """
+SELECT p_partkey, 26 AS "Z", CAST(p_partkey AS INTEGER) AS "A", CAST(CASE p_size % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE p_size END AS INTEGER) AS state FROM part
+""",
+)
+def experiment_targets(spark, sf):
+    p = table(spark, sf, "part")
+    tail = F.when(F.col("p_size") % 3 == 0, F.lit("")).when(F.col("p_size") % 3 == 1, F.lit("-M")).otherwise(F.concat(F.lit("-M"), F.col("p_size").cast("string")))
+    t = text.experiment_target(F.concat(F.lit("FE-"), F.col("p_partkey").cast("string"), tail))
+    return p.select("p_partkey", t["Z"].alias("Z"), t["A"].alias("A"), t["state"].alias("state"))
+
+
+@bind(
+    "manifest",
+    """
+SELECT 'a/' || page_id || '.zip' AS rel_path, CASE WHEN page_id % 2 = 0 THEN 'unknown' ELSE 'he' END AS kind, CAST(strlen(html) AS BIGINT) AS size_bytes, sha256(html) AS sha256 FROM pages
+""",
+)
+def manifest(spark, sf):
+    p = table(spark, sf, "pages")
+    files = p.select(F.concat(F.lit("file:/root/a/"), F.col("page_id").cast("string"), F.lit(".zip")).alias("path"), F.col("html").cast("binary").alias("content"))
+    out = archives.manifest_of(files, "/root")
+    number = F.regexp_extract("rel_path", r"(\d+)", 1).cast("long")
+    return out.select("rel_path", F.when(number % 2 == 0, F.col("projectile")).otherwise(F.lit("he")).alias("kind"), "size_bytes", "sha256")
+
+
+@bind(
+    "json_curves",
+    """
+SELECT l_orderkey AS "Z", l_partkey AS "A", CAST(l_linenumber AS INTEGER) AS mt, 1.0 AS e_min, l_quantity + 1 AS e_max, 2 AS n_points, round(l_extendedprice, 2) AS top FROM lineitem
+""",
+)
+def json_curves(spark, sf):
+    li = table(spark, sf, "lineitem")
+    record = F.to_json(
+        F.struct(
+            F.col("l_orderkey").alias("Z"),
+            F.col("l_partkey").alias("A"),
+            F.lit("n").alias("projectile"),
+            F.col("l_linenumber").alias("mt"),
+            F.concat(F.lit("n,x"), F.col("l_suppkey").cast("string"), F.col("l_tax").cast("string"), F.col("l_discount").cast("string"), F.col("l_shipdate").cast("string")).alias("reaction"),
+            F.array(
+                F.struct(F.lit(1).alias("point_index"), F.lit(1.0).alias("e_eV"), F.lit(0.0).alias("sigma_b")),
+                F.struct(F.lit(2), F.col("l_quantity") + 1, F.col("l_extendedprice")),
+            ).alias("points"),
+            F.array(F.struct(F.lit(2).alias("nbt"), F.lit(2).alias("int_law"))).alias("interp"),
+        )
+    )
+    nested = li.select(F.from_json(record, records.XS_RECORD).alias("r")).select("r.*")
+    out = records.xs_tables(nested)
+    top = out.points.filter("point_index = 2").select("xs_id", F.round("sigma_b", 2).alias("top"))
+    return out.meta.join(top, "xs_id").select(
+        "Z", "A", "mt", F.col("e_min_eV").alias("e_min"), F.col("e_max_eV").alias("e_max"), F.col("n_points").cast("int").alias("n_points"), "top"
+    )
+
+
+@bind(
+    "json_experiments",
+    """
+SELECT 'E' || event_id AS entry_id, CAST(user_id AS INTEGER) AS target_z, 0 AS state, CAST(i AS INTEGER) AS point_index, CASE WHEN i = 0 THEN value END AS energy, value AS value
+FROM events CROSS JOIN (SELECT unnest([0, 1]) AS i)
+""",
+)
+def json_experiments(spark, sf):
+    e = table(spark, sf, "events")
+    record = F.to_json(
+        F.struct(
+            F.concat(F.lit("E"), F.col("event_id").cast("string")).alias("entry_id"),
+            F.lit("001").alias("subentry_id"),
+            F.col("user_id").alias("target_Z"),
+            F.lit("n").alias("projectile"),
+            F.lit("SIG").alias("quantity"),
+            F.array(
+                F.struct(F.lit(0).alias("point_index"), F.col("value").alias("energy_eV"), F.col("value").alias("value")),
+                F.struct(F.lit(1), F.lit(None).cast("double"), F.col("value")),
+            ).alias("points"),
+        )
+    )
+    entries, points = records.experiment_tables(e.select(F.from_json(record, records.EXPERIMENT_RECORD).alias("r")).select("r.*"))
+    return entries.join(points, ["entry_id", "subentry_id"]).select(
+        "entry_id", F.col("target_Z").alias("target_z"), "state", "point_index", F.col("energy_eV").alias("energy"), "value"
+    )
+
+
+@bind(
+    "json_evaluations",
+    """
+SELECT 'Z' || CAST(user_id AS INTEGER) || '-A' || CAST(event_id AS INTEGER) AS nuclide, CASE WHEN event_id % 2 = 0 THEN value ELSE 7.5 END AS seconds,
+       'gamma' AS type, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS energy, CAST(event_type = 'click' AS INTEGER) AS is_primary
+FROM events WHERE event_type <> 'error'
+""",
+)
+def json_evaluations(spark, sf):
+    """Even events give the half-life nested, odd ones flat; errors lack the line type and are refused."""
+    e = table(spark, sf, "events")
+    even = F.col("event_id") % 2 == 0
+    line = F.array(
+        F.struct(
+            F.when(F.col("event_type") == "error", F.lit(" ")).otherwise(F.lit(" gamma ")).alias("type"),
+            F.get_json_object("props", "$.k").cast("double").alias("energy_keV"),
+            (F.col("event_type") == "click").alias("is_primary"),
+        )
+    )
+    record = F.to_json(
+        F.struct(
+            F.col("user_id").alias("Z"),
+            F.col("event_id").alias("A"),
+            F.when(even, F.struct(F.col("value").alias("seconds"))).alias("half_life"),
+            F.lit(7.5).alias("half_life_seconds"),
+            F.when(even, line).alias("lines"),
+            F.when(~even, line).alias("radiation"),
+        )
+    )
+    nuclides, radiation, _ = records.evaluation_tables(e.select(F.from_json(record, records.EVALUATION_RECORD).alias("r")).select("r.*"))
+    return radiation.join(nuclides, radiation.nuclide_id == nuclides.id).select(
+        "nuclide", F.col("half_life_seconds").alias("seconds"), F.col("radiation_type").alias("type"), F.col("energy_keV").alias("energy"), "is_primary"
+    )

@@ -48,7 +48,9 @@ def long_isomers(levels: DataFrame, datasets: DataFrame, seconds: float = 1.0) -
 
 def fed_by(feedings: DataFrame, datasets: DataFrame) -> DataFrame:
     """Feedings with the parent named in the data set title."""
-    parents = datasets.filter("parent_z is not null").select("dataset_id", "parent_z", "parent_a")
+    parents = datasets.filter("parent_z is not null").select(
+        "dataset_id", F.col("parent_z").alias("title_parent_Z"), F.col("parent_a").alias("title_parent_A")
+    )
     return feedings.join(parents, "dataset_id")
 
 
