@@ -85,7 +85,7 @@ def pair_table(spark, sf):
     """Five header lines, a ruler and two column titles come before the data."""
     p = table(spark, sf, "part")
     size, price = F.col("p_size"), F.col("p_retailprice")
-    pair = lambda v: F.concat(_fixed(v, 12, 4), F.when(size % 5 == 0, _right(F.lit("*"), 10)).otherwise(_fixed(size, 10, 4)))
+    pair = lambda v: F.concat(_fixed(v, 12, 4), F.when(size % 5 == 0, _right(F.lit("*"), 10)).otherwise(_fixed(size.cast("double"), 10, 4)))
     line = F.concat(
         F.lit(" "), _right(F.floor(F.col("p_partkey") / 1000) + 1, 3), F.lit(" "), F.lit("Xx "), _right(F.col("p_partkey") % 1000, 3), F.lit(" "),
         pair(price), pair(price * 2), pair(price), pair(price), pair(price), pair(-price),
@@ -227,7 +227,7 @@ def constants_listing(spark, sf):
 # --- structure cards -------------------------------------------------------------------------
 
 CARD_TYPES = {"1": "ADOPTED LEVELS, GAMMAS", "2": "60CO B- DECAY (5.27 Y)", "3": "60CO EC DECAY", "4": "59CO(P,G)", "5": "ADOPTED LEVELS"}
-_SLOTS = 16
+_SLOTS = 20
 
 
 def _card_lines(spark, sf):
@@ -237,14 +237,15 @@ def _card_lines(spark, sf):
     """
     o = table(spark, sf, "orders")
     title = F.create_map(*[F.lit(x) for pair in CARD_TYPES.items() for x in pair])[F.substring("o_orderpriority", 1, 1)]
+    slot = lambda n, line: F.struct(F.lit(n).alias("slot"), line.alias("line"))
     head = o.select(
         F.col("o_orderkey").alias("k"),
         F.inline(
             F.array(
-                F.struct(F.lit(0).alias("slot"), F.concat(F.lit(" 60NI    "), _left(title, 30)).alias("line")),
-                F.struct(F.lit(1), F.concat(F.lit(" 60CO  P 0.0"), _blank(27), F.when(F.col("o_orderstatus") == "F", F.lit("12.5 D    ")).otherwise(_blank(10)))),
-                F.struct(F.lit(2), F.concat(F.lit(" 60NI  Q 1.0"), _blank(43), F.format_string("%04d", (F.col("o_orderkey") % 10000).cast("int")), F.lit("AB12,1999CD34,1999CD34"))),
-                F.struct(F.lit(_SLOTS - 1), F.lit("")),
+                slot(0, F.concat(F.lit(" 60NI    "), _left(title, 30))),
+                slot(1, F.concat(F.lit(" 60CO  P 0.0"), _blank(27), F.when(F.col("o_orderstatus") == "F", F.lit("12.5 D    ")).otherwise(_blank(10)))),
+                slot(2, F.concat(F.lit(" 60NI  Q 1.0"), _blank(43), F.format_string("%04d", (F.col("o_orderkey") % 10000).cast("int")), F.lit("AB12,1999CD34,1999CD34"))),
+                slot(_SLOTS - 1, F.lit("")),
             )
         ),
     )
@@ -283,7 +284,7 @@ le AS (SELECT lv.k, u.q AS energy FROM lv JOIN u ON u.k = lv.k AND u.n = lv.n)
     "card_datasets",
     f"""
 WITH {CARD_SQL}
-SELECT k * 64 AS block, CASE t WHEN '1' THEN 'ADOPTED LEVELS, GAMMAS' WHEN '2' THEN 'B- DECAY' WHEN '3' THEN 'EC DECAY' ELSE 'ADOPTED LEVELS' END AS dataset_type,
+SELECT k * 80 AS block, CASE t WHEN '1' THEN 'ADOPTED LEVELS, GAMMAS' WHEN '2' THEN 'B- DECAY' WHEN '3' THEN 'EC DECAY' ELSE 'ADOPTED LEVELS' END AS dataset_type,
        60 AS "A", 28 AS "Z", CASE WHEN t IN ('2', '3') THEN 27 END AS parent,
        CASE WHEN s = 'F' THEN '12.5 D' WHEN t = '2' THEN '5.27 Y' END AS parent_half_life,
        printf('%04d', CAST(k % 10000 AS INTEGER)) || 'AB12,1999CD34' AS keys
@@ -301,7 +302,7 @@ def card_datasets(spark, sf):
     "card_levels",
     f"""
 WITH {CARD_SQL}
-SELECT u.k * 64 + (n * 2 + 1) * 4 AS line_no, q AS energy, 0.04 AS unc, '2+' AS spin_parity, 12e-12 AS seconds, 3e-12 AS unc_seconds
+SELECT u.k * 80 + (n * 2 + 1) * 4 AS line_no, q AS energy, 0.04 AS unc, '2+' AS spin_parity, 12e-12 AS seconds, 3e-12 AS unc_seconds
 FROM u JOIN o ON o.k = u.k WHERE n <= 3 AND t <> '4'
 """,
 )
@@ -317,7 +318,7 @@ def card_levels(spark, sf):
     "card_gammas",
     f"""
 WITH {CARD_SQL}
-SELECT u.k * 64 + (u.n * 2 + 1) * 4 AS line_no, le.energy AS level_energy, u.q AS gamma_energy, CAST(u.p AS DOUBLE) AS intensity, 'E2' AS multipolarity,
+SELECT u.k * 80 + (u.n * 2 + 1) * 4 AS line_no, le.energy AS level_energy, u.q AS gamma_energy, CAST(u.p AS DOUBLE) AS intensity, 'E2' AS multipolarity,
        CASE u.n WHEN 5 THEN round(CAST(printf('%.2f', u.q / 4) AS DOUBLE), 6) END AS be2w, CASE u.n WHEN 5 THEN 0.06 END AS be2w_unc,
        CASE u.n WHEN 5 THEN 0.25 END AS conversion
 FROM u JOIN o ON o.k = u.k JOIN le ON le.k = u.k WHERE u.n IN (4, 5) AND t <> '4'
@@ -341,7 +342,7 @@ def card_gammas(spark, sf):
     "card_feedings",
     f"""
 WITH {CARD_SQL}
-SELECT u.k * 64 + 52 AS line_no, 'EC' AS decay_mode, CASE WHEN t IN ('2', '3') THEN 27 ELSE 28 END AS parent, le.energy AS daughter,
+SELECT u.k * 80 + 52 AS line_no, 'EC' AS decay_mode, CASE WHEN t IN ('2', '3') THEN 27 ELSE 28 END AS parent, le.energy AS daughter,
        u.q AS endpoint, 0.2 AS endpoint_unc, CAST(u.p AS DOUBLE) AS ib
 FROM u JOIN o ON o.k = u.k LEFT JOIN le ON le.k = u.k WHERE u.n = 6 AND t <> '4'
 """,
@@ -378,6 +379,9 @@ def card_references(spark, sf):
 # --- ENDF-6 ----------------------------------------------------------------------------------
 
 
+_LAST_ROW = 999_999
+
+
 def _endf_lines(spark, sf):
     """Each user's events are one MF=3 section; the energy falls for users without a click, which is an error."""
     from pyspark.sql import Window
@@ -395,18 +399,19 @@ def _endf_lines(spark, sf):
     )
     ends = placed.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     integer = lambda c: F.lpad(c.cast("string"), 11, " ")
+    card = lambda row, data: F.struct(F.lit(row).cast("long").alias("row"), data.alias("data"))
     head = ends.select(
         "user_id",
         F.inline(
             F.array(
-                F.struct(F.lit(0).cast("long").alias("row"), number(F.col("user_id") * 1000.0 + 56).alias("data")),
-                F.struct(F.lit(1).cast("long"), F.concat(F.lit(" " * 44), integer(F.lit(1)), integer(F.col("n")))),
-                F.struct(F.lit(2).cast("long"), F.concat(integer(F.col("n")), integer(F.col("user_id") % 7))),
-                F.struct(F.lit(999_999).cast("long"), F.lit("")),
+                card(0, F.lpad(F.format_string("%d.", F.col("user_id") * 1000 + 56), 11, " ")),
+                card(1, F.concat(F.lit(" " * 44), integer(F.lit(1)), integer(F.col("n")))),
+                card(2, F.concat(integer(F.col("n")), integer(F.col("user_id") % 7))),
+                card(_LAST_ROW, F.lit("")),
             )
         ),
     )
-    mt = F.when(F.col("row") == 999_999, 0).otherwise(102 + F.col("user_id") % 6).cast("int")
+    mt = F.when(F.col("row") == _LAST_ROW, 0).otherwise(102 + F.col("user_id") % 6).cast("int")
     line = F.concat(F.rpad("data", 66, " "), F.lit("2631 3"), F.lpad(mt.cast("string"), 3, " "), F.lit("    1"))
     return as_lines(triple.unionByName(head), F.lit("/x/p_026-fe-56m1.dat"), F.col("user_id") * 1_000_000 + F.col("row"), line, rows=5_000_000)
 
@@ -577,14 +582,14 @@ SELECT l_orderkey, l_partkey, round(CASE
   WHEN law = 3 THEN y1 + (y2 - y1) * ln(x / x1) / ln(x2 / x1)
   WHEN law = 4 THEN exp(ln(y1) + (ln(y2) - ln(y1)) * (x - x1) / (x2 - x1))
   WHEN law = 5 THEN exp(ln(y1) + (ln(y2) - ln(y1)) * ln(x / x1) / ln(x2 / x1))
-  ELSE exp(ln(y1 * x1) + (ln(y2 * x2) - ln(y1 * x1)) * (1 / sqrt(x) - 1 / sqrt(x1)) / (1 / sqrt(x2) - 1 / sqrt(x1))) / x END, 3) AS y FROM r
+  ELSE exp(ln(y1 * x1) + (ln(y2 * x2) - ln(y1 * x1)) * (1 / sqrt(x) - 1 / sqrt(x1)) / (1 / sqrt(x2) - 1 / sqrt(x1))) / x END, 6) AS y FROM r
 """,
 )
 def interpolation_laws(spark, sf):
     li = table(spark, sf, "lineitem")
     x, y, y2 = F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount") * 1000
     v = law_value(F.col("l_linenumber"), x, y, x * 2, y2, x * 1.25)
-    return li.select("l_orderkey", "l_partkey", F.round(v["sigma_b"], 3).alias("y"))
+    return li.select("l_orderkey", "l_partkey", F.round(v["sigma_b"], 6).alias("y"))
 
 
 @bind(
@@ -631,7 +636,7 @@ def json_curves(spark, sf):
             F.concat(F.lit("n,x"), F.col("l_suppkey").cast("string"), F.col("l_tax").cast("string"), F.col("l_discount").cast("string"), F.col("l_shipdate").cast("string")).alias("reaction"),
             F.array(
                 F.struct(F.lit(1).alias("point_index"), F.lit(1.0).alias("e_eV"), F.lit(0.0).alias("sigma_b")),
-                F.struct(F.lit(2), F.col("l_quantity") + 1, F.col("l_extendedprice")),
+                F.struct(F.lit(2).alias("point_index"), (F.col("l_quantity") + 1).alias("e_eV"), F.col("l_extendedprice").alias("sigma_b")),
             ).alias("points"),
             F.array(F.struct(F.lit(2).alias("nbt"), F.lit(2).alias("int_law"))).alias("interp"),
         )
@@ -662,7 +667,7 @@ def json_experiments(spark, sf):
             F.lit("SIG").alias("quantity"),
             F.array(
                 F.struct(F.lit(0).alias("point_index"), F.col("value").alias("energy_eV"), F.col("value").alias("value")),
-                F.struct(F.lit(1), F.lit(None).cast("double"), F.col("value")),
+                F.struct(F.lit(1).alias("point_index"), F.lit(None).cast("double").alias("energy_eV"), F.col("value").alias("value")),
             ).alias("points"),
         )
     )

@@ -52,8 +52,8 @@ def compare(spark, con, name, sf):
     if sorted(cols) != sorted(df.columns):
         return False, f"columns {sorted(df.columns)} vs {sorted(cols)}", took
     if mine != want:
-        extra = [r for r in mine if r not in set(want)][:3]
-        missing = [r for r in want if r not in set(mine)][:3]
+        extra = sorted(set(mine) - set(want))[:3]
+        missing = sorted(set(want) - set(mine))[:3]
         return False, f"{len(mine)} vs {len(want)} rows; only Spark {extra}; only SQL {missing}", took
     return len(mine) > 0, f"{len(mine)} rows", took
 

@@ -14,6 +14,7 @@ from ..functions.text import base_name, continuation_value, dataset_class, keynu
 from ..functions.times import half_life_card
 from ..operators.manage import keep_first, surrogate_id
 from ..operators.ordered import ordered_scan
+from ..session import settle
 
 # Record classes by column 7, and by column 8 where column 7 is blank.
 CLASS_BY_COLUMN_7 = {"c": "comment", "C": "comment", "#": "comment", "d": "comment", "D": "comment", "t": "text", "T": "text", "x": "xref", "X": "xref"}
@@ -46,22 +47,36 @@ def record_class(card: Column) -> Column:
 
 
 def annotate(lines: DataFrame) -> DataFrame:
-    """Cards with block (line of the data set header), header, level and primary card before them."""
-    card = F.rpad(F.substring("line", 1, 80), 80, " ")
-    cards = lines.withColumn("card", card).withColumn("blank", strip(F.col("card")) == "")
+    """Cards with their data set, and the last level and primary card before them in it.
+
+    The data set is described once, on its header, and carried to its cards. The frame is
+    settled because every table of the library is a projection of it.
+    """
+    cards = lines.withColumn("card", F.rpad(F.substring("line", 1, 80), 80, " "))
+    cards = cards.withColumn("blank", strip(F.col("card")) == "")
     cards = ordered_scan(cards, ["file"], ["line_no"], chunk="part", prev={"__after_blank": F.col("blank")})
-    start = ~F.col("blank") & F.coalesce("__after_blank", F.lit(True))
+    marked = cards.withColumn("starts", ~F.col("blank") & F.coalesce("__after_blank", F.lit(True))).withColumn(
+        "class", record_class(F.col("card"))
+    )
+    title = strip(field(F.col("card"), 9, 39))
+    kind = dataset_class(title)
+    header = F.struct(
+        F.col("line_no").alias("line_no"),
+        title.alias("dsid"),
+        nucid(field(F.col("card"), 0, 5)).alias("nuclide"),
+        kind["type"].alias("dataset_type"),
+        kind["parent"].alias("parent"),
+    )
     body = ~F.col("blank") & ~F.col("starts") & (F.substring("card", 6, 1) == " ")
-    energy = prefix_number(field(F.col("card"), 9, 19))
     primary = body & F.col("class").isin("level", "gamma", "beta", "ec")
-    marked = cards.withColumn("starts", start).withColumn("class", record_class(F.col("card")))
+    energy = prefix_number(field(F.col("card"), 9, 19))
     scanned = ordered_scan(
         marked,
         ["file"],
         ["line_no"],
         chunk="part",
         last={
-            "__block": F.when(F.col("starts"), F.struct(F.col("line_no").alias("line_no"), F.col("card").alias("header"))),
+            "__block": F.when(F.col("starts"), header),
             "__level": F.when(
                 body & (F.col("class") == "level") & energy.isNotNull(),
                 F.struct(F.col("line_no").alias("line_no"), energy.alias("energy")),
@@ -71,40 +86,39 @@ def annotate(lines: DataFrame) -> DataFrame:
     )
     # a level or primary card of an earlier data set does not count
     own = lambda c: F.col(c)["line_no"] > F.col("__block.line_no")
-    return scanned.filter("not blank").select(
-        "file",
-        "line_no",
-        "card",
-        "class",
-        "starts",
-        (F.substring("card", 6, 1) != " ").alias("continuation"),
-        F.col("__block.line_no").alias("block"),
-        F.col("__block.header").alias("header"),
-        F.when(own("__level"), F.col("__level.line_no")).alias("level_line"),
-        F.when(own("__level"), F.col("__level.energy")).alias("level_energy"),
-        F.when(own("__primary"), F.col("__primary.line_no")).alias("primary_line"),
-        F.when(own("__primary"), F.col("__primary.class")).alias("primary_class"),
+    return settle(
+        scanned.filter("not blank").select(
+            "file",
+            "line_no",
+            "card",
+            "class",
+            "starts",
+            (F.substring("card", 6, 1) != " ").alias("continuation"),
+            F.col("__block.line_no").alias("block"),
+            F.col("__block.dsid").alias("dsid"),
+            F.col("__block.nuclide").alias("nuclide"),
+            F.col("__block.dataset_type").alias("dataset_type"),
+            F.col("__block.parent").alias("parent"),
+            F.when(own("__level"), F.col("__level.line_no")).alias("level_line"),
+            F.when(own("__level"), F.col("__level.energy")).alias("level_energy"),
+            F.when(own("__primary"), F.col("__primary.line_no")).alias("primary_line"),
+            F.when(own("__primary"), F.col("__primary.class")).alias("primary_class"),
+        )
     )
 
 
 def _kept(cards: DataFrame) -> DataFrame:
-    """Cards of data sets that are kept, with nuclide, type and parent of the data set."""
-    title = strip(field(F.col("header"), 9, 39))
-    return (
-        cards.withColumn("dsid", title)
-        .filter(~F.col("dsid").isin("", "COMMENTS", "REFERENCES"))
-        .withColumns({"__n": nucid(field(F.col("header"), 0, 5)), "__c": dataset_class(F.col("dsid"))})
-        .filter("__n is not null and __c is not null")
-        .select(
-            *cards.columns,
-            "dsid",
-            surrogate_id("file", "block").alias("dataset_id"),
-            F.col("__n.Z").alias("Z"),
-            F.col("__n.A").alias("A"),
-            F.col("__n.element").alias("element"),
-            F.col("__c.type").alias("dataset_type"),
-            F.col("__c.parent").alias("parent"),
-        )
+    """Cards of the data sets that are kept."""
+    return cards.filter(
+        ~F.col("dsid").isin("", "COMMENTS", "REFERENCES")
+        & F.col("nuclide").isNotNull()
+        & F.col("dataset_type").isNotNull()
+    ).select(
+        *[c for c in cards.columns if c != "nuclide"],
+        surrogate_id("file", "block").alias("dataset_id"),
+        "nuclide.Z",
+        "nuclide.A",
+        "nuclide.element",
     )
 
 
@@ -280,7 +294,7 @@ def card_feedings(cards: DataFrame) -> DataFrame:
 def card_references(cards: DataFrame) -> DataFrame:
     """References of the REFERENCES blocks; A is the number in the file name, the first row of a key wins."""
     mass = F.coalesce(F.regexp_extract(base_name(F.col("file")), r"\.(\d{3})$", 1).try_cast("int"), F.lit(0))
-    rows = cards.filter((strip(field(F.col("header"), 9, 39)) == "REFERENCES") & (F.col("class") == "reference")).select(
+    rows = cards.filter((F.col("dsid") == "REFERENCES") & (F.col("class") == "reference")).select(
         "file",
         "line_no",
         mass.alias("A"),

@@ -12,6 +12,7 @@ from ..functions.reactions import projectile_from_name, reaction_label, state_fr
 from ..operators.curves import curve_meta
 from ..operators.manage import surrogate_id
 from ..operators.ordered import chunk_of, ordered_scan
+from ..session import settle
 
 META_COLUMNS = ["xs_id", "Z", "A", "state", "projectile", "mt", "reaction", "e_min_eV", "e_max_eV", "n_points"]
 
@@ -84,19 +85,26 @@ def read_sections(lines: DataFrame) -> Curves:
     pair = lambda j: F.struct(
         F.lit(j).alias("j"), field(data, 22 * j, 22 * j + 11).alias("a"), field(data, 22 * j + 11, 22 * j + 22).alias("b")
     )
-    pairs = body.withColumn("__in_laws", F.col("place") < 2 + law_lines).select(
-        *key,
-        "nr",
-        "np",
-        "__in_laws",
-        F.when(F.col("__in_laws"), F.col("place") - 2).otherwise(F.col("place") - 2 - law_lines).alias("__row"),
-        F.inline(F.array(pair(0), pair(1), pair(2))),
-    ).withColumn("__index", F.col("__row") * 3 + F.col("j"))
-    laws = pairs.filter(F.col("__in_laws") & (F.col("__index") < F.col("nr"))).select(
-        *key, F.col("__index").alias("segment"), endf_integer(F.col("a")).alias("nbt"), endf_integer(F.col("b")).alias("int_law")
+    in_laws = F.col("place") < 2 + law_lines
+    pairs = (
+        body.select(
+            *key,
+            in_laws.alias("in_laws"),
+            F.when(in_laws, F.col("nr")).otherwise(F.col("np")).alias("size"),
+            (F.col("place") - 2 - F.when(in_laws, F.lit(0)).otherwise(law_lines)).alias("row"),
+            F.inline(F.array(pair(0), pair(1), pair(2))),
+        )
+        .withColumn("index", F.col("row") * 3 + F.col("j"))
+        .filter("index < size")
+        .select(*key, "in_laws", "index", "a", "b")
+    )
+    # points, laws, checks and curve ranges are all read from the pairs
+    pairs = settle(pairs)
+    laws = pairs.filter("in_laws").select(
+        *key, F.col("index").alias("segment"), endf_integer(F.col("a")).alias("nbt"), endf_integer(F.col("b")).alias("int_law")
     )
-    points = pairs.filter(~F.col("__in_laws") & (F.col("__index") < F.col("np"))).select(
-        *key, (F.col("__index") + 1).alias("point_index"), endf_number(F.col("a")).alias("e_eV"), endf_number(F.col("b")).alias("sigma_b")
+    points = pairs.filter("not in_laws").select(
+        *key, (F.col("index") + 1).alias("point_index"), endf_number(F.col("a")).alias("e_eV"), endf_number(F.col("b")).alias("sigma_b")
     )
     stepped = ordered_scan(
         points.withColumn("__chunk", chunk_of(F.col("point_index"))),
