@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dims import CONSTANT_RADII, ENERGY_TO_EV, KT_TO_KEV, lookup  # noqa: F401
+from .dims import ENERGY_TO_EV, KT_TO_KEV, let, lookup
 
 WHITESPACE = " \t\r\n\f\u000b "
 NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
@@ -71,18 +71,25 @@ def _decimals(text: Column) -> Column:
 
 def digit_uncertainty(value_raw: Column, unc_raw: Column) -> Column:
     """Uncertainty counted in units of the last printed digit of the value."""
-    unc = F.upper(strip(unc_raw))
     pair = r"^(?:\+?(\d+)\s*-(\d+)|(\d+)\s*\+(\d+))$"
-    sides = [F.regexp_extract(unc, pair, i).try_cast("double") for i in (1, 2, 3, 4)]
-    digits = F.coalesce(F.greatest(*sides), leading_number(unc))
-
-    value = F.regexp_replace(strip(value_raw), "#", "")
     scientific = r"^([+-]?\d*\.?\d+)[Ee]([+-]?\d+)$"
-    mantissa = F.regexp_extract(value, scientific, 1)
-    exponent = F.regexp_extract(value, scientific, 2).try_cast("int")
-    power = F.when(mantissa != "", exponent - _decimals(mantissa)).otherwise(-_decimals(value))
-    usable = ~unc.isin(*UNCERTAINTY_MARKERS) & ~value.isin(*MARKERS)
-    return F.when(usable, digits * F.pow(F.lit(10.0), power))
+
+    def digits(unc: Column) -> Column:
+        sides = [F.regexp_extract(unc, pair, i).try_cast("double") for i in (1, 2, 3, 4)]
+        return F.when(unc.rlike(pair), F.greatest(*sides)).otherwise(leading_number(unc))
+
+    def power(value: Column) -> Column:
+        mantissa = F.regexp_extract(value, scientific, 1)
+        exponent = F.regexp_extract(value, scientific, 2).try_cast("int")
+        return F.when(value.rlike(scientific), exponent - _decimals(mantissa)).otherwise(-_decimals(value))
+
+    def read(value: Column, unc: Column) -> Column:
+        usable = ~unc.isin(*UNCERTAINTY_MARKERS) & ~value.isin(*MARKERS)
+        return F.when(usable, digits(unc) * F.pow(F.lit(10.0), power(value)))
+
+    return let(
+        F.upper(strip(unc_raw)), lambda u: let(F.regexp_replace(strip(value_raw), "#", ""), lambda v: read(v, u))
+    )
 
 
 def endf_number(c: Column) -> Column:

@@ -5,6 +5,9 @@ over the key alone would run in one task. Rows are therefore cut into chunks of
 bounded size along their order. A window inside each chunk does the local work,
 one summary row per chunk carries values from chunk to chunk, and the two are
 joined on (key, chunk). The result equals a single window over the whole key.
+
+The summary is a second, column-pruned pass over the input. An input that is itself
+expensive (another scan, a join) should be settled first, see ``session.settle``.
 """
 
 from __future__ import annotations

@@ -55,11 +55,13 @@ def annotate(lines: DataFrame) -> DataFrame:
     cards = lines.withColumn("card", F.rpad(F.substring("line", 1, 80), 80, " "))
     cards = cards.withColumn("blank", strip(F.col("card")) == "")
     cards = ordered_scan(cards, ["file"], ["line_no"], chunk="part", prev={"__after_blank": F.col("blank")})
-    marked = cards.withColumn("starts", ~F.col("blank") & F.coalesce("__after_blank", F.lit(True))).withColumn(
-        "class", record_class(F.col("card"))
+    # the next scan reads its input twice
+    cards = settle(cards)
+    marked = cards.withColumn("starts", ~F.col("blank") & F.coalesce("__after_blank", F.lit(True))).withColumns(
+        {"class": record_class(F.col("card")), "__title": F.when(F.col("starts"), strip(field(F.col("card"), 9, 39)))}
     )
-    title = strip(field(F.col("card"), 9, 39))
-    kind = dataset_class(title)
+    marked = marked.withColumn("__kind", F.when(F.col("starts"), dataset_class(F.col("__title"))))
+    title, kind = F.col("__title"), F.col("__kind")
     header = F.struct(
         F.col("line_no").alias("line_no"),
         title.alias("dsid"),

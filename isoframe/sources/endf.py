@@ -40,6 +40,8 @@ def section_lines(lines: DataFrame) -> DataFrame:
     cards = ordered_scan(
         cards, ["file"], ["line_no"], chunk="part", prev={"__mt": F.col("mt")}, total={"__n": F.lit(1)}
     )
+    # the next scan reads its input twice
+    cards = settle(cards)
     starts = (F.col("mt") != 0) & F.coalesce(F.col("mt") != F.col("__mt"), F.lit(True))
     head = F.struct(F.col("line_no").alias("line_no"), F.col("__n").alias("n"))
     scanned = ordered_scan(cards, ["file"], ["line_no"], chunk="part", last={"__head": F.when(starts, head)})
