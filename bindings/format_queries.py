@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from isoframe.functions import numbers, reactions, text, times
 from isoframe.operators.curves import law_value
-from isoframe.sources import archives, cards, endf, fixed_width, records
+from isoframe.sources import archives, cards, endf, fixed_width, layout, records
 from isoframe.sources.lines import as_lines
 
 from .registry import bind, table
@@ -710,3 +710,36 @@ def json_evaluations(spark, sf):
     return radiation.join(nuclides, radiation.nuclide_id == nuclides.id).select(
         "nuclide", F.col("half_life_seconds").alias("seconds"), F.col("radiation_type").alias("type"), F.col("energy_keV").alias("energy"), "is_primary"
     )
+
+
+@bind(
+    "level_layout",
+    """
+SELECT round(CAST(o_totalprice AS DOUBLE), 3) AS energy,
+       CAST(o_custkey % 9 AS VARCHAR) || CASE o_orderstatus WHEN 'F' THEN '+' WHEN 'O' THEN '-' ELSE '+' END AS spin_parity,
+       CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_custkey AS DOUBLE) END AS width, CASE o_orderstatus WHEN 'P' THEN NULL ELSE 'γ, α' END AS decay_modes
+FROM orders
+""",
+)
+def level_layout(spark, sf):
+    """All orders are one layout table: status F prints spin with parity, O the parity on the next line,
+    P spin and parity only. A footnote and a page number stand in between."""
+    o = table(spark, sf, "orders")
+    status, spin = F.col("o_orderstatus"), (F.col("o_custkey") % 9).cast("string")
+    energy = F.concat(F.lit("  "), F.rpad(F.format_string("%.5f ± 3", F.col("o_totalprice") / 1000), 30, " "))
+    tail = F.concat(_blank(6), F.col("o_custkey").cast("string"), F.lit(" ± 2"), _blank(6), F.lit("γ,α"), _blank(6), F.lit("1, 2"))
+    row = (
+        F.when(status == "F", F.concat(energy, spin, F.lit("+; 0"), tail))
+        .when(status == "O", F.concat(energy, spin, tail))
+        .otherwise(F.concat(energy, spin, F.lit("+")))
+    )
+    below = F.when(status == "O", F.concat(_blank(33), F.lit("−"))).otherwise(F.lit("12"))
+    slot = lambda n, line: F.struct(F.lit(n).alias("slot"), line.alias("line"))
+    body = o.select(F.col("o_orderkey").alias("k"), F.inline(F.array(slot(0, row), slot(1, below))))
+    r = table(spark, sf, "region").filter("r_regionkey = 0")
+    head = r.select(F.lit("Table 12.6 from (2017KE05): Energy levels of 12 C").alias("line"))
+    lines = as_lines(head, F.lit("c12.txt"), F.lit(0), F.col("line"), rows=5000).unionByName(
+        as_lines(body, F.lit("c12.txt"), F.col("k") * 2 + F.col("slot") + 10, F.col("line"), rows=5000)
+    )
+    out = layout.read_level_layout(lines)
+    return out.select(F.round("energy_keV", 3).alias("energy"), "spin_parity", F.col("width_keV").alias("width"), "decay_modes")

@@ -14,7 +14,8 @@ def _append_new(batch: DataFrame, batch_id: int, out: str, keys: Sequence[str])
     spark = batch.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(out)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    fresh = keep_first(batch, keys, ["__file", "__order"]).drop("__file", "__order")
+    ordered = batch.withColumn("__order", F.monotonically_increasing_id())
+    fresh = keep_first(ordered, keys, ["__file", "__order"]).drop("__file", "__order")
     if fs.exists(path):
         # what this batch wrote before a restart does not count as known
         known = spark.read.parquet(out).filter(F.col("batch_id") != batch_id).select(*keys)
@@ -39,7 +40,7 @@ def ingest_records_stream(
     stream = (
         spark.readStream.schema(schema)
         .json(directory)
-        .select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__order"))
+        .select("*", F.col("_metadata.file_path").alias("__file"))
     )
     query = (
         stream.writeStream.option("checkpointLocation", checkpoint)
