@@ -6,8 +6,8 @@ bounded size along their order. A window inside each chunk does the local work,
 one summary row per chunk carries values from chunk to chunk, and the two are
 joined on (key, chunk). The result equals a single window over the whole key.
 
-The summary is a second, column-pruned pass over the input. An input that is itself
-expensive (another scan, a join) should be settled first, see ``session.settle``.
+Both sides of that join read the same shuffle, as long as the caller hands in only columns
+it uses afterwards. Inputs with two scans in a row are settled, see ``session.settle``.
 """
 
 from __future__ import annotations
@@ -94,9 +94,12 @@ def ordered_scan(
                 local[name] = F.sum(value).over(upto)
                 out[name] = F.coalesce(F.col(f"__local_{name}"), F.lit(0)) + F.coalesce(F.col(carry), F.lit(0))
 
+    # the hash makes the summary need every column, so that both branches read one and the same
+    # shuffle; reading fewer columns would make Spark compute the input a second time
     summary = (
         cells.groupBy(*cell)
-        .agg(*[e.alias(n) for n, e in ends.items()])
+        .agg(*[e.alias(n) for n, e in ends.items()], F.max(F.hash(*cells.columns)).alias("__whole"))
+        .filter("__whole is not null")
         .withColumns(carried)
         .select(*[F.col(c).alias(f"__s_{c}") for c in cell], *carried)
     )

@@ -53,7 +53,7 @@ def annotate(lines: DataFrame) -> DataFrame:
     settled because every table of the library is a projection of it.
     """
     cards = lines.withColumn("card", F.rpad(F.substring("line", 1, 80), 80, " "))
-    cards = cards.withColumn("blank", strip(F.col("card")) == "")
+    cards = cards.select("file", "part", "line_no", "card", (strip(F.col("card")) == "").alias("blank"))
     cards = ordered_scan(cards, ["file"], ["line_no"], chunk="part", prev={"__after_blank": F.col("blank")})
     # the next scan reads its input twice
     cards = settle(cards)

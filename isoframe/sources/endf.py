@@ -36,6 +36,7 @@ def section_lines(lines: DataFrame) -> DataFrame:
         lines.filter((F.length("line") >= 75) & digits)
         .select("file", "part", "line_no", field(line, 0, 66).alias("data"), mf.cast("int").alias("mf"), mt.cast("int").alias("mt"))
         .filter("mf = 3")
+        .drop("mf")
     )
     cards = ordered_scan(
         cards, ["file"], ["line_no"], chunk="part", prev={"__mt": F.col("mt")}, total={"__n": F.lit(1)}
