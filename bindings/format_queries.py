@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from isoframe.functions import numbers, reactions, text, times
 from isoframe.operators.curves import law_value
+from isoframe.operators.ordered import row_numbers
 from isoframe.sources import archives, cards, endf, fixed_width, layout, records
 from isoframe.sources.lines import as_lines
 
@@ -379,41 +380,36 @@ def card_references(spark, sf):
 # --- ENDF-6 ----------------------------------------------------------------------------------
 
 
-_LAST_ROW = 999_999
-
-
 def _endf_lines(spark, sf):
-    """Each user's events are one MF=3 section; the energy falls for users without a click, which is an error."""
-    from pyspark.sql import Window
-
+    """Each user's events are one file with one MF=3 section, three pairs to a line."""
     e = table(spark, sf, "events")
-    # positions within a section are known from the event numbers: print as if one pair stood on each line slot
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    placed = e.withColumn("i", F.row_number().over(w) - 1)
     number = lambda c: F.lpad(F.regexp_replace(F.format_string("%.4e", c), "e", ""), 11, " ")
-    triple = (
-        placed.withColumn("row", F.floor(F.col("i") / 3))
+    integer = lambda c: F.lpad(c.cast("string"), 11, " ")
+    placed = row_numbers(e.select("user_id", "event_id", "value"), ["user_id"], "event_id", [], "i")
+    triples = (
+        placed.withColumn("row", F.floor(F.col("i") / 3) + 3)
         .groupBy("user_id", "row")
-        .agg(F.array_sort(F.collect_list(F.struct("i", F.concat(number(F.col("event_id") + 1.0), number(F.col("value"))).alias("t")))).alias("x"))
-        .select("user_id", (F.col("row") + 3).alias("row"), F.array_join(F.transform("x", lambda x: x["t"]), "").alias("data"))
+        .agg(F.sort_array(F.collect_list(F.struct("i", F.concat(number(F.col("event_id") + 1.0), number(F.col("value"))).alias("t")))).alias("x"))
+        .select("user_id", "row", F.array_join(F.transform("x", lambda x: x["t"]), "").alias("data"))
     )
-    ends = placed.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    integer = lambda c: F.lpad(c.cast("string"), 11, " ")
-    card = lambda row, data: F.struct(F.lit(row).cast("long").alias("row"), data.alias("data"))
+    card = lambda row, data: F.struct(row.cast("long").alias("row"), data.alias("data"))
+    ends = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     head = ends.select(
         "user_id",
         F.inline(
             F.array(
-                card(0, F.lpad(F.format_string("%d.", F.col("user_id") * 1000 + 56), 11, " ")),
-                card(1, F.concat(F.lit(" " * 44), integer(F.lit(1)), integer(F.col("n")))),
-                card(2, F.concat(integer(F.col("n")), integer(F.col("user_id") % 7))),
-                card(_LAST_ROW, F.lit("")),
+                card(F.lit(0), F.lpad(F.format_string("%d.", F.col("user_id") * 1000 + 56), 11, " ")),
+                card(F.lit(1), F.concat(F.lit(" " * 44), integer(F.lit(1)), integer(F.col("n")))),
+                card(F.lit(2), F.concat(integer(F.col("n")), integer(F.col("user_id") % 7))),
+                card(F.ceil(F.col("n") / 3) + 3, F.lit("")),
             )
         ),
-    )
-    mt = F.when(F.col("row") == _LAST_ROW, 0).otherwise(102 + F.col("user_id") % 6).cast("int")
+    ).withColumn("end", F.col("data") == "")
+    body = triples.withColumn("end", F.lit(False)).unionByName(head)
+    mt = F.when(F.col("end"), 0).otherwise(102 + F.col("user_id") % 6).cast("int")
     line = F.concat(F.rpad("data", 66, " "), F.lit("2631 3"), F.lpad(mt.cast("string"), 3, " "), F.lit("    1"))
-    return as_lines(triple.unionByName(head), F.lit("/x/p_026-fe-56m1.dat"), F.col("user_id") * 1_000_000 + F.col("row"), line, rows=5_000_000)
+    name = F.concat(F.lit("/x/"), F.col("user_id").cast("string"), F.lit("/p_026-fe-56m1.dat"))
+    return as_lines(body, name, F.col("row"), line)
 
 
 @bind(
