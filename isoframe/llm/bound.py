@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, private, topk, toxicity, warc
 
 QUERIES = {
+    "op1_cover_tree_topk": topk.op1_query,
     "op4_decontaminate": decontaminate.op4_query,
+    "op6_toxicity": toxicity.op6_query,
+    "op8_private_data": private.op8_query,
+    "op9_warc": warc.op9_query,
 }
 
 #: SQL of those that SQL can express.
 ORACLES = {
+    "op1_cover_tree_topk": topk.OP1_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
+    "op9_warc": warc.OP9_SQL,
 }
