@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, private, topk, toxicity, warc
+from . import decontaminate, html_text, line_dedup, near_dup, packing, private, suffix_dedup, topk, toxicity, warc
 
 QUERIES = {
     "op1_cover_tree_topk": topk.op1_query,
+    "op2_html_text": html_text.op2_query,
+    "op3_suffix_dedup": suffix_dedup.op3_query,
     "op4_decontaminate": decontaminate.op4_query,
+    "op5_line_dedup": line_dedup.op5_query,
     "op6_toxicity": toxicity.op6_query,
+    "op7_best_fit": packing.op7_query,
     "op8_private_data": private.op8_query,
     "op9_warc": warc.op9_query,
+    "op10_near_dup": near_dup.op10_query,
 }
 
 #: SQL of those that SQL can express.
