@@ -27,7 +27,6 @@ ROWS = 5
 #: Members of one leader compared in one task, on average.
 FAN = 500
 
-_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -59,7 +58,7 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, count: np.ndarray, texts:
     time = np.zeros(len(src))
     step = 0
     while len(src):
-        r = mix(seed + _STEP * np.uint64(2 * step + 1))
+        r = mix(seed + np.uint64((0x9E3779B97F4A7C15 * (2 * step + 1)) & (2**64 - 1)))
         time = time - np.log(_uniform(r)) / width
         r = mix(r ^ np.uint64(0xA0761D6478BD642F))
         copy = width + (r >> np.uint64(32)).astype(np.int64) % width  # copies are numbered from 1 up to the count
