@@ -60,7 +60,7 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
 
     Bit j of a step's words stands for the cell j - edits places off the diagonal. ``vp`` and ``vn`` hold where
     the distance rises and falls down the column, and the distance is followed along the band's lower
-    edge, then along the last row.
+    edge, then along the last row. Lines no longer than ``edits`` have no band and are compared plainly.
     """
     x, y = F.split(a, ""), F.split(b, "")
     n, m = F.char_length(a), F.char_length(b)
@@ -94,7 +94,7 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     bound = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))  # noqa: E731  evaluates value once
     start = F.struct(long(mask ^ ((1 << edits) - 1)).alias("vp"), long(0).alias("vn"), F.lit(edits).alias("d"))
     last = F.aggregate(F.sequence(F.lit(0), m - 1), start, lambda s, i: bound(bound(step(s, i), advance), close))
-    return (F.abs(n - m) <= edits) & F.when((n == 0) | (m == 0), F.greatest(n, m) <= edits).when(F.greatest(n, m) <= edits, F.lit(True)).otherwise(last["d"] <= edits)
+    return (F.abs(n - m) <= edits) & F.when(F.least(n, m) <= edits, F.levenshtein(a, b) <= edits).otherwise(last["d"] <= edits)
 
 
 def _bit(word: Column, at: Column) -> Column:
@@ -181,11 +181,13 @@ def dedup_lines(documents: DataFrame, least_chars: int = 30, edits: int = 1) ->
     ``n_chars``, where there is such a column, is counted anew for changed texts.
     """
     _, drops = repeated_lines(documents, least_chars, edits)
-    out = documents.withColumn("__row", F.monotonically_increasing_id()).join(drops.select(F.col("row_id").alias("__row"), "places"), "__row", "left")
-    out = out.withColumn("text", _kept(F.col("text"), F.col("places"))).where(F.col("places").isNull() | (F.trim("text") != ""))
+    found = drops.select(F.col("row_id").alias("__row"), F.col("places").alias("__places"))
+    out = documents.withColumn("__row", F.monotonically_increasing_id()).join(found, "__row", "left")
+    out = out.withColumn("text", _kept(F.col("text"), F.col("__places"))).where(F.col("__places").isNull() | (F.trim("text") != ""))
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("places").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(documents.schema["n_chars"].dataType))
-    return out.drop("__row", "places")
+        counted = F.char_length("text").cast(documents.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("__places").isNull(), F.col("n_chars")).otherwise(counted))
+    return out.drop("__row", "__places")
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:

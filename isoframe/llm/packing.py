@@ -93,12 +93,12 @@ def best_fit(items: DataFrame, lengths: tuple[int, ...] = LENGTHS, shard_pieces:
             column = pd.array([pd.NA] * len(pdf), dtype="Int64")
             column[at] = values
             out[name] = column
-        out["doc_id"] = out["doc_id"].astype("Int64")
         return out
 
     return (
-        pieces.withColumn("doc_id", F.col("doc_id").cast("long")).groupBy("shard")
-        .applyInPandas(one, "doc_id long, piece long, token_start long, n_tokens long, bin_id long, bin_offset long, bin_length long")
+        pieces.withColumn("doc_id", F.col("doc_id").cast("string")).groupBy("shard")  # as text the id keeps nulls and all digits
+        .applyInPandas(one, "doc_id string, piece long, token_start long, n_tokens long, bin_id long, bin_offset long, bin_length long")
+        .withColumn("doc_id", F.col("doc_id").cast("long"))
     )
 
 

@@ -90,7 +90,7 @@ def nearby_terms(text: str, spans: list[tuple[str, int, int]], reach: int, least
 
 
 _TO_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-_FOUND = "row_id long, doc_id long, base array<struct<kind:int,s:int,e:int>>, near array<struct<entity:string,term:string,s:int,e:int,context:string>>"
+_FOUND = "row_id long, doc_id string, base array<struct<kind:int,s:int,e:int>>, near array<struct<entity:string,term:string,s:int,e:int,context:string>>"
 
 
 def scan(documents: DataFrame, reach: int, least_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,8 +103,9 @@ def scan(documents: DataFrame, reach: int, least_chars: int, id_col: str = "doc_
                 near.append(list(nearby_terms(text, spans, reach, least_chars)) if spans else [])
             yield pd.DataFrame({"row_id": pdf["row_id"], "doc_id": pdf["doc_id"], "base": base, "near": near})
 
-    rows = documents.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return written(rows.mapInPandas(find, _FOUND), "private-spans")
+    rows = documents.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # The id crosses pandas as text, which keeps nulls and all digits.
+    return written(rows.mapInPandas(find, _FOUND).withColumn("doc_id", F.col("doc_id").cast("long")), "private-spans")
 
 
 def term_documents(documents: DataFrame, text_col: str = "text") -> DataFrame:
@@ -181,12 +182,12 @@ def redact(documents: DataFrame, spans: DataFrame, text_col: str = "text") -> Da
                         parts += [text[at:s], labels[kind]]
                     at = max(at, -e)
                 out.append("".join(parts) + text[at:] if text is not None else None)
-            yield pd.DataFrame({"row_id": pdf["row_id"], "clean": out})
+            yield pd.DataFrame({"row_id": pdf["row_id"], "__clean": out})
 
     docs = documents.withColumn("__row", F.monotonically_increasing_id())
     joined = docs.select(F.col("__row").alias("row_id"), F.col(text_col).alias("text")).join(spans.select("row_id", "spans"), "row_id", "left")
-    clean = joined.mapInPandas(rewrite, "row_id long, clean string")
-    return docs.join(clean.withColumnRenamed("row_id", "__row"), "__row").withColumn(text_col, F.col("clean")).drop("__row", "clean")
+    clean = joined.mapInPandas(rewrite, "row_id long, __clean string")
+    return docs.join(clean.withColumnRenamed("row_id", "__row"), "__row").withColumn(text_col, F.col("__clean")).drop("__row", "__clean")
 
 
 def op8_query(spark, sf_dir: str) -> DataFrame:
