@@ -47,6 +47,10 @@ def _winnowed(df: DataFrame, width: int) -> DataFrame:
     return df.withColumn("picks", F.filter(_positions(held), lambda i: F.get("hs", i) == top(i)))
 
 
+def _has_gram(size: int, hashes: list[int]) -> Column:
+    return F.exists(_positions(F.size("w") - (size - 1)), lambda i: _hash_at(F.col("wh"), i, size).isin(hashes))
+
+
 def _before(w: Column, i: Column, reach: int) -> Column:
     return F.reverse(F.slice(w, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach))))
 
@@ -115,7 +119,7 @@ def decontaminate(
         prints = F.broadcast(prints)
         may_match = F.exists("hs", lambda h: h.isin(by_kind[0])) if by_kind[0] else F.lit(False)
         for n in short:
-            may_match = may_match | F.exists(_positions(F.size("w") - (n - 1)), lambda i, n=n: _hash_at(F.col("wh"), i, n).isin(by_kind[n]))
+            may_match = may_match | _has_gram(n, by_kind[n])
     w, i = F.col("w"), F.col("i")
     docs = documents.select(
         F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("w")
@@ -125,14 +129,15 @@ def decontaminate(
     def key(kind, h, at, here, left, right):
         return F.struct(kind.alias("kind"), h.alias("h"), at.alias("i"), here.alias("here"), left.alias("before"), right.alias("behind"))
 
+    def grams(size: int):
+        here = _positions(F.when(F.col("may_match"), F.size(w) - (size - 1)).otherwise(0))
+        return F.transform(here, lambda i: key(F.lit(size), _hash_at(F.col("wh"), i, size), i, F.slice(w, i + 1, size), none, none))
+
     # One row without a key carries the word count; the others are fingerprints and grams of the short items' lengths.
     kinds = [
         F.array(key(F.lit(-1), F.lit(0).cast("long"), F.lit(0), none, none, none)),
         F.transform("picks", lambda i: key(F.lit(0), F.get("hs", i), i, F.slice(w, i + 1, k), _before(w, i, reach), F.slice(w, i + k + 1, reach))),
-    ] + [
-        F.transform(_positions(F.when(F.col("may_match"), F.size(w) - (n - 1)).otherwise(0)), lambda i, n=n: key(F.lit(n), _hash_at(F.col("wh"), i, n), i, F.slice(w, i + 1, n), none, none))
-        for n in short
-    ]
+    ] + [grams(n) for n in short]
     at = (
         _winnowed(_hashed(docs, k).withColumn("may_match", may_match), reach + 1)
         .select("row_id", "doc_id", F.size("w").alias("n_words"), F.explode_outer(F.concat(*kinds)).alias("key"))

@@ -29,7 +29,7 @@ def test_top_k_equals_brute_force(spark):
     rnd = random.Random(1)
     rows = [(i, [rnd.uniform(-1, 1) for _ in range(6)], 0) for i in range(700)]
     rows += [(i, [0.5] * 6, 0) for i in range(700, 1000)]  # one very common vector, all ties
-    rows += [(1001, None, 0), (1002, [1.0, None, 0, 0, 0, 0], 0), (1003, [float("nan")] * 6, 0), (1004, [float("inf")] * 6, 0), (None, [1.0] * 6, 0), (1050, [0.1, 0.2], 0)]
+    rows += [(1001, None, 0), (1002, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (1003, [float("nan")] * 6, 0), (1004, [float("inf")] * 6, 0), (None, [1.0] * 6, 0), (1050, [0.1, 0.2], 0)]
     rows += rows[:3]
     vectors = topk.integer_vectors(spark.createDataFrame(rows, SCHEMA).withColumn("cell", F.lit("x")), "vec_id", "embedding")
     got = {tuple(r) for r in topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), block_rows=100).collect()}
