@@ -285,9 +285,10 @@ r AS (SELECT p_partkey AS request_id, p_partkey % 100 AS z, p_partkey AS a,
              CASE WHEN p_size % 2 = 0 THEN 'capture' ELSE 'n,p' END AS want FROM part),
 h AS (SELECT z, a, bool_or(reaction = 'n,gamma') AS has_capture FROM c GROUP BY z, a)
 SELECT r.request_id, c.mt, c.reaction,
-       CASE c.reaction WHEN 'n,gamma' THEN 'Radiative capture cross section (n,γ).'
-                       WHEN 'n,p' THEN 'Proton emission cross section (n,p).'
-                       ELSE 'ENDF MT=' || c.mt || ' reaction channel (' || c.reaction || ').' END AS reaction_description,
+       'MT ' || c.mt || ' ' || c.reaction || ': ' ||
+       CASE c.reaction WHEN 'n,gamma' THEN 'capture with emission of photons'
+                       WHEN 'n,p' THEN 'emission of one proton'
+                       ELSE 'no further description' END AS reaction_description,
        c.e1 AS e_min, c.e2 AS e_max, c.n AS n_points,
        CASE WHEN want = 'capture' AND has_capture THEN 'n,gamma' END AS suggested_reaction
 FROM r JOIN c ON c.z = r.z AND c.a = r.a JOIN h ON h.z = r.z AND h.a = r.a

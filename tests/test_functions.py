@@ -101,9 +101,9 @@ def test_reactions(spark):
     assert values(spark, lambda p, m: R.reaction_label(p, m.cast("int")), ("n", "102"), ("n", "52"), ("p", "102"), ("n", "999")) == ["n,gamma", "n,n2", "p,mt102", "n,mt999"]
     rows = [("n", "n,gamma", "102"), ("n", "n,n3", "53"), ("n", "n,n'", "4"), ("p", "p,mt5", "5"), ("n", "odd", "7")]
     assert values(spark, lambda p, r, m: R.reaction_description(p, r, m.cast("int")), *rows) == [
-        "Radiative capture cross section (n,γ).",
-        "Inelastic scattering to discrete excited level 3 (n,n3).",
-        "Inelastic scattering (sum over excited states / continuum) (n,n').",
-        "ENDF MT=5 reaction channel (library label: p,mt5).",
-        "ENDF MT=7 reaction channel (odd).",
+        "MT 102 n,gamma: capture with emission of photons",
+        "MT 53 n,n3: inelastic scattering to level 3",
+        "MT 4 n,n': inelastic scattering to any level",
+        "MT 5 p,mt5: no further description",
+        "MT 7 odd: no further description",
     ]
