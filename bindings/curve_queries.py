@@ -342,6 +342,7 @@ SELECT xs_id, 'non_monotonic' AS rule FROM s WHERE y < before GROUP BY xs_id
 UNION ALL SELECT xs_id, 'too_few_points' FROM m WHERE n < 2
 UNION ALL SELECT xs_id, 'invalid_mt' FROM m WHERE xs_id % 5 = 0
 UNION ALL SELECT xs_id, 'empty_reaction' FROM m WHERE xs_id % 3 = 0
+UNION ALL SELECT xs_id, 'duplicate_curve' FROM m QUALIFY count(*) OVER (PARTITION BY xs_id // 7, xs_id % 5) > 1
 """,
 )
 def validate_curves(spark, sf):
@@ -351,7 +352,7 @@ def validate_curves(spark, sf):
     meta = curves.curve_meta(base).select(
         "xs_id",
         F.lit(26).alias("Z"),
-        F.lit(56).alias("A"),
+        F.floor(F.col("xs_id") / 7).cast("int").alias("A"),
         F.lit(0).alias("state"),
         F.lit("n").alias("projectile"),
         (F.col("xs_id") % 5).cast("int").alias("mt"),

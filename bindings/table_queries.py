@@ -147,7 +147,7 @@ def _manifest(spark, sf):
     "archives",
     """
 SELECT url || '!' || page_id AS rel_path, 'n' AS projectile, CAST(strlen(html) AS BIGINT) AS size_bytes, sha256(html) AS sha256
-FROM pages WHERE contains(url, '.com') AND contains(url, '/en') ORDER BY 1 LIMIT 5000
+FROM pages WHERE contains(url, '.com') AND contains(url, '/en') ORDER BY 1 LIMIT 9000
 """,
 )
 def archives(spark, sf):
@@ -584,7 +584,7 @@ def compare_masses(spark, sf):
         .groupBy(F.col("c_nationkey").alias("Z"), F.col("o_custkey").alias("A"))
         .agg(F.round(F.avg("o_totalprice") / 100, 4).alias("mass_excess_keV"))
     )
-    out = analyst.compare_masses(_masses(spark, sf), second)
+    out = analyst.compare_masses(_masses(spark, sf), second, top=10)
     return out.select(
         "Z", "A", "element", F.col("first_keV").alias("first_kev"), F.col("second_keV").alias("second_kev"), F.round("diff_keV", 4).alias("diff")
     )

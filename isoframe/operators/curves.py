@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.reactions import reaction_alias, reaction_description
-from .ordered import CHUNK_ROWS, chunk_of, ordered_scan, top_per_key, value_chunks
+from .manage import repeated_keys
+from .ordered import CHUNK_ROWS, chunk_of, ordered_scan, value_chunks
 
 TARGET = ["Z", "A", "state", "projectile"]
 # Names of the interpolation laws.
@@ -186,9 +187,7 @@ def curve_points(requests: DataFrame, meta: DataFrame, points: DataFrame, limit:
     rows = rows.select("request_id", "xs_id", "point_index", "e_eV", "sigma_b", "range_clipped")
     if limit is None:
         return rows
-    if offset + limit <= 1000:
-        return top_per_key(rows, ["request_id"], [F.col("point_index")], limit, offset)
-    # deep pages: an exact rank by chunked counting, so that no request fills one task
+    # an exact rank by chunked counting, so that no request fills one task however deep the page
     ranked = ordered_scan(
         rows.withColumn("__chunk", chunk_of(F.col("point_index"))),
         ["request_id"],
@@ -279,8 +278,6 @@ def _bracket(wanted: DataFrame, points: DataFrame, ranges: DataFrame, chunk_rows
     sizes = ranges.join(asked, "xs_id", "left").select(
         "xs_id",
         (F.col("n_points") + F.coalesce("__asked", F.lit(0))).alias("n"),
-        F.col("e_min_eV").alias("lo"),
-        F.col("e_max_eV").alias("hi"),
     )
     spread = value_chunks(merged, ["xs_id"], "e_eV", sizes, chunk_rows)
     scanned = ordered_scan(
@@ -410,12 +407,13 @@ def validate_curves(
         ["xs_id"],
         ["point_index"],
         chunk="__chunk",
-        prev={"__before": F.col("e_eV")},
+        prev={"__before": F.col("e_eV"), "__place": F.col("point_index")},
     )
     grid = steps.groupBy("xs_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.bool_or(~(finite(F.col("e_eV")) & finite(F.col("sigma_b")))).alias("non_finite"),
         F.bool_or(F.coalesce(F.col("e_eV") < F.col("__before"), F.lit(False))).alias("falling"),
+        F.bool_or(F.coalesce(F.col("point_index") == F.col("__place"), F.lit(False))).alias("repeated"),
     )
     segments = interp.groupBy("xs_id").agg(F.count(F.lit(1)).alias("segments"))
     body = (
@@ -430,8 +428,10 @@ def validate_curves(
                     F.when(F.coalesce("segments", F.lit(0)) < 1, F.lit("no_segment")),
                     F.when(F.col("non_finite"), F.lit("non_finite")),
                     F.when(F.col("falling"), F.lit("non_monotonic")),
+                    F.when(F.col("repeated"), F.lit("duplicate_point")),
                 )
             ).alias("rules"),
         )
     )
-    return head.unionByName(body).select("xs_id", F.explode("rules").alias("rule"))
+    twice = meta.join(repeated_keys(meta, [*TARGET, "mt"], "duplicate_curve"), [*TARGET, "mt"]).select("xs_id", "rule")
+    return head.unionByName(body).select("xs_id", F.explode("rules").alias("rule")).unionByName(twice)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import half_life_text
@@ -97,25 +97,29 @@ def nested_spectrum(
     )
 
 
-def half_life_evaluations(requests: DataFrame, nuclides: DataFrame, default_source: str = "DDEP") -> DataFrame:
+def release_label(meta: DataFrame, name: str = "DDEP", key: str = "ddep_release") -> Column:
+    """'NAME (release)' from a library's metadata, the bare name where it states none."""
+    release = meta.filter(F.col("key") == key).agg(F.max("value").alias("v")).scalar()
+    return F.when(release.isNull(), F.lit(name)).otherwise(F.concat(F.lit(name), F.lit(" ("), release, F.lit(")")))
+
+
+def _labelled(meta: DataFrame | None, default_source: str) -> Column:
+    return F.coalesce("source_label", F.lit(default_source) if meta is None else release_label(meta, default_source))
+
+
+def half_life_evaluations(requests: DataFrame, nuclides: DataFrame, default_source: str = "DDEP", meta: DataFrame | None = None) -> DataFrame:
     """All evaluated half-lives of each request(request_id, Z, A, state); the newest is recommended."""
     rows = requests.select("request_id", "Z", "A", "state").join(nuclides, ["Z", "A", "state"])
-    best = recommended_half_life(requests, nuclides).select("request_id", "id", F.lit(True).alias("__best"))
-    return (
-        rows.join(best, ["request_id", "id"], "left")
-        .withColumn("source", F.coalesce("source_label", F.lit(default_source)))
-        .withColumn("source_tag", F.lit("DDEP"))
-        .withColumn("recommended", F.coalesce("__best", F.lit(False)))
-        .drop("__best")
+    newest = Window.partitionBy("request_id").orderBy(F.col("evaluation_date").desc(), F.col("id").asc())  # a few evaluations of one nuclide
+    return rows.withColumns(
+        {"source": _labelled(meta, default_source), "source_tag": F.lit("DDEP"), "recommended": F.row_number().over(newest) == 1}
     )
 
 
-def recommended_half_life(requests: DataFrame, nuclides: DataFrame, default_source: str = "DDEP") -> DataFrame:
+def recommended_half_life(requests: DataFrame, nuclides: DataFrame, default_source: str = "DDEP", meta: DataFrame | None = None) -> DataFrame:
     rows = requests.select("request_id", "Z", "A", "state").join(nuclides, ["Z", "A", "state"])
     order = [F.col("evaluation_date").desc(), F.col("id").asc()]
-    return top_per_key(rows, ["request_id"], order, 1).withColumn(
-        "source", F.coalesce("source_label", F.lit(default_source))
-    )
+    return top_per_key(rows, ["request_id"], order, 1).withColumn("source", _labelled(meta, default_source))
 
 
 def decay_evaluation_lines(
@@ -124,8 +128,9 @@ def decay_evaluation_lines(
     radiation: DataFrame,
     radiation_type: str = "all",
     min_intensity: float | None = None,
-    limit: int | None = 100,
+    limit: int | None = None,
     default_source: str = "DDEP",
+    meta: DataFrame | None = None,
 ) -> DataFrame:
     """Lines of all evaluations of each request: primary ones first, then by intensity, then by energy."""
     rows = radiation
@@ -138,6 +143,4 @@ def decay_evaluation_lines(
     )
     joined = rows.withColumnRenamed("id", "line_id").join(owners, "nuclide_id")
     order = [F.col("is_primary").cast("int").desc(), F.col("intensity").desc(), F.col("energy_keV").asc(), F.col("line_id").asc()]
-    return top_per_key(joined, ["request_id"], order, limit).withColumn(
-        "source", F.coalesce("source_label", F.lit(default_source))
-    )
+    return top_per_key(joined, ["request_id"], order, limit).withColumn("source", _labelled(meta, default_source))

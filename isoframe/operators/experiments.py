@@ -136,10 +136,10 @@ ERROR_LABELS = ("DATA-ERR", "D(DATA)", "ERR", "ERR-T", "STAT-W G")
 NOT_A_VALUE = ("EN", "ENERGY", "EN-LAB", "EN-CM", "EN-RSL", "KT", "KT-K")
 
 
-def explode_experiment_columns(datasets: DataFrame, max_points: int | None = 5000) -> DataFrame:
+def explode_experiment_columns(datasets: DataFrame, max_points: int | None = None) -> DataFrame:
     """Points of wide data sets with columns labels, units (array<string>), data (array<array<string>>), quantity.
 
-    ``max_points`` rows of each data set are read (a build option; None reads all).
+    All rows are read unless a build asks for ``max_points`` of each data set.
     point_index counts rows of the data set, also those without a value.
     """
     upper = lambda c: F.transform(c, lambda x: F.upper(F.coalesce(x, F.lit(""))))
@@ -184,7 +184,7 @@ def explode_experiment_columns(datasets: DataFrame, max_points: int | None = 500
     )
 
 
-def join_experiment_index(index: DataFrame, datasets: DataFrame, max_points: int | None = 5000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def join_experiment_index(index: DataFrame, datasets: DataFrame, max_points: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Entries, points and skip counts from an index(entry, subent, pointer, target, projectile, reaction,
     quantity, author) and datasets(entry, subent, pointer, position, labels, units, data).
 

@@ -50,8 +50,18 @@ def merge_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], prefer
 
 
 def surrogate_id(*parts: str | Column) -> Column:
-    """The same 64-bit id for the same content in every build."""
-    return F.xxhash64(*parts)
+    """The same id for the same content in every build: 128 bits as hexadecimal text.
+
+    The content is written out with its nulls and names, so a value that moves to the next column gives another id.
+    """
+    named = [F.col(p) if isinstance(p, str) else p for p in parts]
+    content = F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(named)]), {"ignoreNullFields": "false"})
+    return F.substring(F.sha2(content, 256), 1, 32)
+
+
+def repeated_keys(df: DataFrame, keys: Sequence[str], rule: str) -> DataFrame:
+    """(keys, rule) of keys that more than one row has; counted before the shuffle."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(*keys, F.lit(rule).alias("rule"))
 
 
 def with_citations(rows: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def nearest_match(
         .groupBy(*keys, "__v")
         .agg(F.min("__id").alias("__id"), F.max("__wanted").alias("__wanted"))
     )
-    ranges = merged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+    ranges = merged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     here = F.when(F.col("__id").isNotNull(), F.struct(F.col("__v").alias("v"), F.col("__id").alias("id")))
     scanned = ordered_scan(
         value_chunks(merged, keys, "__v", ranges, chunk_rows),

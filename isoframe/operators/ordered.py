@@ -18,6 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 200_000
+#: Chunks of a key that is too large for one, and the cuts that are compared at a time.
+QUANTILES = 1024
+STRIDE = 32
 
 
 def chunk_of(position: Column, rows: int = CHUNK_ROWS) -> Column:
@@ -116,30 +119,29 @@ def ordered_scan(
 def value_chunks(df: DataFrame, keys: Sequence[str], value: str, ranges: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
     """Add ``__chunk`` along a real-valued order for keys too large for one task.
 
-    ``ranges`` has one row per key: keys, n (rows), lo, hi. Only keys with more than
-    ``rows`` rows are looked up; the others stay whole in chunk 0. Cuts are equal
-    steps of ln(value) (of the value itself where lo is not positive), several per
-    ``rows`` rows so that uneven densities still give small chunks.
+    ``ranges`` has one row per key: keys, n (rows). Only keys with more than ``rows`` rows are looked up; the
+    others stay whole in chunk 0. Cuts are quantiles of the key's own values, so uneven densities and outliers give
+    chunks of the same size; equal values share a chunk.
     """
-    cuts = F.ceil(F.col("__n") * 8 / rows)
-    log_step = (F.ln(F.col(value)) - F.ln("__lo")) / (F.ln("__hi") - F.ln("__lo"))
-    lin_step = (F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
-    step = F.when(F.col("__lo") > 0, log_step).otherwise(lin_step)
-    # NULL sorts first, so it belongs to the first chunk
-    chunk = F.when(
-        (F.col("__hi") > F.col("__lo")) & F.col(value).isNotNull(), F.greatest(F.lit(0), F.least(cuts - 1, F.floor(step * cuts)))
-    )
-    large = ranges.filter(F.col("n") > rows).select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys],
-        F.col("n").alias("__n"),
-        F.col("lo").alias("__lo"),
-        F.col("hi").alias("__hi"),
-    )
+    large = ranges.filter(F.col("n") > rows).select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("n").alias("__n"))
     condition = F.lit(True)
     for k in keys:
-        condition = condition & (df[k] == large[f"__k_{k}"])
-    return df.join(large, condition, "left").select(
-        *[df[c] for c in df.columns], F.coalesce(chunk.cast("long"), F.lit(0).cast("long")).alias("__chunk")
+        condition = condition & (df[k] == F.col(f"__k_{k}"))
+    fine = [(i + 1) / QUANTILES for i in range(QUANTILES - 1)]
+    cuts = (
+        df.join(large, condition)
+        .groupBy(*[f"__k_{k}" for k in keys])
+        .agg(F.percentile_approx(F.col(value).cast("double"), fine, F.lit(20 * QUANTILES)).alias("__cuts"))
+        .withColumn("__coarse", F.transform(F.sequence(F.lit(STRIDE - 1), F.lit(QUANTILES - 2), F.lit(STRIDE)), lambda i: F.get("__cuts", i)))
+    )
+    # cuts at or below the value: first by strides of cuts, then within one stride; NULL sorts first
+    below = lambda array: F.size(F.filter(array, lambda c: c <= F.col(value)))
+    stride = below(F.col("__coarse"))
+    chunk = stride * STRIDE + below(F.slice("__cuts", stride * STRIDE + 1, STRIDE))
+    spread = df.join(cuts, condition, "left")
+    return spread.select(
+        *[df[c] for c in df.columns],
+        F.when(F.col("__cuts").isNull() | F.col(value).isNull(), F.lit(0)).otherwise(chunk).cast("long").alias("__chunk"),
     )
 
 
@@ -157,9 +159,7 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
 
 def row_numbers(df: DataFrame, keys: Sequence[str], value: str, tiebreak: Sequence[str], name: str, rows: int = CHUNK_ROWS) -> DataFrame:
     """Exact 0-based position along (value, tiebreak) within keys of any size."""
-    ranges = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")
-    )
+    ranges = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     cut = value_chunks(df, keys, value, ranges, rows)
     counted = ordered_scan(cut, keys, [value, *tiebreak], chunk="__chunk", total={name: F.lit(1)})
     return counted.withColumn(name, (F.col(name) - 1).cast("long")).drop("__chunk")

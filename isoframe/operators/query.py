@@ -13,8 +13,6 @@ from pyspark.sql import types as T
 
 from ..functions.text import quantity_key
 
-MAX_LIMIT = 5000
-
 
 @dataclass
 class QueryPage:
@@ -142,10 +140,7 @@ def structured_query(
         sort.append(F.col(name).desc() if direction == "desc" else F.col(name).asc())
     if offset < 0 or (limit is not None and limit < 1):
         raise ValueError("limit must be at least 1 and offset not negative")
-    if limit is not None:
-        if limit > MAX_LIMIT:
-            notes.append(f"limit cut from {limit} to {MAX_LIMIT}")
-            limit = MAX_LIMIT
+    if sort or offset or limit is not None:  # a total order, so that pages are repeatable
         named = {name for name, _ in order_by or []}
         sort += [F.col(c).asc() for c in (key or plain) if c not in named]
     if sort:
@@ -184,7 +179,7 @@ def constant(constants: DataFrame, meta: DataFrame, name: str, case_sensitive: b
 
 
 def constants(
-    table: DataFrame, meta: DataFrame, query: str | None = None, exact_only: bool = False, limit: int = 50, offset: int = 0
+    table: DataFrame, meta: DataFrame, query: str | None = None, exact_only: bool = False, limit: int | None = None, offset: int = 0
 ) -> DataFrame:
     """Page of constants ordered by name, with the total number of matches on each row.
 
@@ -197,20 +192,24 @@ def constants(
     if exact_only:
         rows = rows.filter(F.col("is_exact").cast("int") == 1)
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return (
-        rows.orderBy("quantity")
-        .offset(offset)
-        .limit(limit)
-        .select(
-            *_CONSTANT_COLUMNS,
-            _source(meta, "upstream_version_or_snapshot", "CODATA ").alias("source"),
-            total.alias("total"),
-        )
+    return _page(rows, ["quantity", *_CONSTANT_COLUMNS[1:]], limit, offset).select(
+        *_CONSTANT_COLUMNS,
+        _source(meta, "upstream_version_or_snapshot", "CODATA ").alias("source"),
+        total.alias("total"),
     )
 
 
+def _page(rows: DataFrame, order: Sequence[str], limit: int | None, offset: int) -> DataFrame:
+    """Rows offset + 1 .. offset + limit in a total order; without either all rows, unsorted."""
+    if limit is None and not offset:
+        return rows
+    rows = rows.orderBy(*order)
+    rows = rows.offset(offset) if offset else rows
+    return rows if limit is None else rows.limit(limit)
+
+
 def archives(
-    manifest: DataFrame, projectile: str | None = None, q: str | None = None, limit: int = MAX_LIMIT, offset: int = 0
+    manifest: DataFrame, projectile: str | None = None, q: str | None = None, limit: int | None = None, offset: int = 0
 ) -> DataFrame:
     """Page of the archive manifest by path; the bytes are never read."""
     rows = manifest.select("rel_path", "projectile", "size_bytes", "sha256")
@@ -218,11 +217,32 @@ def archives(
         rows = rows.filter(F.col("projectile") == projectile)
     if q is not None:
         rows = rows.filter(F.instr("rel_path", q) > 0)
-    return rows.orderBy("rel_path").offset(offset).limit(min(limit, MAX_LIMIT))
+    return _page(rows, ["rel_path", "projectile", "size_bytes", "sha256"], limit, offset)
+
 
+def library_files(spark: SparkSession, path: str, with_hash: bool = False) -> DataFrame:
+    """One row: bytes, time of the last change and, if asked for, a hash over the names and contents of a library's files.
 
-def library_info(spark: SparkSession, metas: Mapping[str, DataFrame | None]) -> DataFrame:
-    """One row per library: status and its metadata as a map."""
+    Sizes and times come from the listing; contents are only read for the hash, a file per row, so leave it out
+    where a file exceeds 2 GB.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    facts = [F.sum("length").alias("size_bytes"), F.max("modificationTime").alias("modified_at")]
+    if not with_hash:
+        return files.select("length", "modificationTime").agg(*facts).withColumn("sha256", F.lit(None).cast("string"))
+    each = files.select("length", "modificationTime", F.struct(name.alias("name"), F.sha2("content", 256).alias("h")).alias("x"))
+    return each.agg(*facts, F.sha2(F.to_json(F.sort_array(F.collect_list("x"))), 256).alias("sha256"))
+
+
+def library_info(spark: SparkSession, metas: Mapping[str, DataFrame | None], paths: Mapping[str, str] | None = None, with_hash: bool = False) -> DataFrame:
+    """One row per library: status and its metadata as a map; with ``paths`` also the facts of its files."""
+    if paths is not None:
+        facts = None
+        for name, path in paths.items():
+            one = library_files(spark, path, with_hash).withColumn("library", F.lit(name))
+            facts = one if facts is None else facts.unionByName(one)
+        return library_info(spark, metas).join(facts, "library", "left") if facts is not None else library_info(spark, metas)
     parts = []
     for name, meta in metas.items():
         if meta is None:

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from .ordered import top_per_key
 from .requests import at_least, at_most, with_optional
 
-DEFAULT_LIMIT = 100
-
 
 def adopted(column: str = "dataset_type") -> Column:
     return F.upper(column).startswith("ADOPTED")
@@ -30,7 +28,7 @@ def _same_nuclide(z: str = "Z", a: str = "A") -> Column:
 _WINDOW = {"energy_min": "double", "energy_max": "double"}
 
 
-def levels(requests: DataFrame, level_table: DataFrame, datasets: DataFrame, limit: int | None = DEFAULT_LIMIT, include_decay_datasets: bool = False) -> DataFrame:
+def levels(requests: DataFrame, level_table: DataFrame, datasets: DataFrame, limit: int | None = None, include_decay_datasets: bool = False) -> DataFrame:
     """Levels of each request(request_id, Z, A[, energy_min][, energy_max]) by energy, adopted ones unless asked."""
     asked = _asked(requests, **_WINDOW)
     titles = datasets.select("dataset_id", "dataset_type", "dsid")
@@ -45,7 +43,7 @@ def levels(requests: DataFrame, level_table: DataFrame, datasets: DataFrame, lim
     return top_per_key(rows, ["request_id"], [F.col("energy_keV"), F.col("level_id")], limit)
 
 
-def light_levels(requests: DataFrame, light_table: DataFrame | None, limit: int | None = DEFAULT_LIMIT) -> DataFrame | None:
+def light_levels(requests: DataFrame, light_table: DataFrame | None, limit: int | None = None) -> DataFrame | None:
     """The same on the light-nuclei table; None in, None out where a library lacks it."""
     if light_table is None:
         return None
@@ -62,15 +60,16 @@ def all_levels(
     level_table: DataFrame,
     datasets: DataFrame,
     light_table: DataFrame | None,
-    limit: int | None = DEFAULT_LIMIT,
+    limit: int | None = None,
     include_decay_datasets: bool = False,
     include_light: bool | None = None,
+    light_up_to: int = 20,
 ) -> DataFrame:
-    """Both level tables in one list, tagged by source. Light nuclei (A <= 20) use both by default."""
+    """Both level tables in one list, tagged by source. Nuclei up to mass ``light_up_to`` use both by default."""
     first = levels(requests, level_table, datasets, limit, include_decay_datasets).withColumn("source", F.lit("ENSDF"))
     second = None
     if include_light is not False:
-        wanting = requests if include_light else requests.filter("A <= 20")
+        wanting = requests if include_light else requests.filter(F.col("A") <= light_up_to)
         second = light_levels(wanting, light_table, limit)
     if second is None:
         return first
@@ -79,7 +78,7 @@ def all_levels(
     return top_per_key(both, ["request_id"], order, limit)
 
 
-def gammas(requests: DataFrame, gamma_table: DataFrame, datasets: DataFrame, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
+def gammas(requests: DataFrame, gamma_table: DataFrame, datasets: DataFrame, limit: int | None = None) -> DataFrame:
     """Gammas of each request(request_id, Z, A[, level_energy][, energy_min][, energy_max]).
 
     A level energy matches within 0.1 keV; the window is on the gamma energy.

@@ -54,7 +54,7 @@ def fed_by(feedings: DataFrame, datasets: DataFrame) -> DataFrame:
     return feedings.join(parents, "dataset_id")
 
 
-def compare_masses(first: DataFrame, second: DataFrame, above: float = 1.0, top: int | None = 10) -> DataFrame:
+def compare_masses(first: DataFrame, second: DataFrame, above: float = 1.0, top: int | None = None) -> DataFrame:
     """Largest differences of two mass tables(Z, A, mass_excess_keV)."""
     other = second.select("Z", "A", F.col("mass_excess_keV").alias("second_keV"))
     out = (

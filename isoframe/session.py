@@ -33,7 +33,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    folder = configured or tempfile.mkdtemp(prefix="spark-")
+    if not configured and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = configured or tempfile.mkdtemp(prefix="spark-")  # one machine: its own folder is the shared one
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
