@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from isoframe.functions import numbers, reactions, text, times
 from isoframe.operators.curves import law_value
+from isoframe.operators import manage
 from isoframe.operators.ordered import row_numbers
+from isoframe.session import checkpoint_dir
 from isoframe.sources import archives, cards, endf, fixed_width, layout, records
 from isoframe.sources.lines import as_lines
+from isoframe.streaming.ingest import ingest_records_stream
 
 from .registry import bind, table
 
@@ -536,7 +541,9 @@ def unit_conversion(spark, sf):
 SELECT l_orderkey, l_partkey, CASE WHEN l_returnflag = 'A' THEN 'p,mt' || CAST(l_quantity AS INTEGER) || '' ELSE
   CASE CAST(l_quantity AS INTEGER) WHEN 1 THEN 'n,total' WHEN 2 THEN 'n,elastic' WHEN 3 THEN 'n,nonelastic' WHEN 4 THEN 'n,n''' WHEN 16 THEN 'n,2n'
        WHEN 17 THEN 'n,3n' WHEN 18 THEN 'n,fission' WHEN 22 THEN 'n,na' WHEN 28 THEN 'n,np' ELSE 'n,mt' || CAST(l_quantity AS INTEGER) END END AS label,
-  'n,n' || CAST(l_quantity AS INTEGER) AS level_label
+  CASE WHEN l_quantity <= 31 THEN 'n,n' || CAST(l_quantity + 10 AS INTEGER)
+       ELSE CASE CAST(l_quantity AS INTEGER) + 60 WHEN 102 THEN 'n,gamma' WHEN 103 THEN 'n,p' WHEN 104 THEN 'n,d' WHEN 105 THEN 'n,t' WHEN 106 THEN 'n,He3'
+       WHEN 107 THEN 'n,a' ELSE 'n,mt' || (CAST(l_quantity AS INTEGER) + 60) END END AS level_label
 FROM lineitem
 """,
 )
@@ -544,8 +551,9 @@ def reaction_labels(spark, sf):
     li = table(spark, sf, "lineitem")
     q = F.col("l_quantity").cast("int")
     projectile = F.when(F.col("l_returnflag") == "A", F.lit("p")).otherwise(F.lit("n"))
-    level = F.when(q <= 41, reactions.reaction_label(F.lit("n"), q + 50)).otherwise(F.concat(F.lit("n,n"), q.cast("string")))
-    return li.select("l_orderkey", "l_partkey", reactions.reaction_label(projectile, q).alias("label"), level.alias("level_label"))
+    return li.select(
+        "l_orderkey", "l_partkey", reactions.reaction_label(projectile, q).alias("label"), reactions.reaction_label(F.lit("n"), q + 60).alias("level_label")
+    )
 
 
 @bind(
@@ -604,15 +612,53 @@ def experiment_targets(spark, sf):
 @bind(
     "manifest",
     """
-SELECT 'a/' || page_id || '.zip' AS rel_path, CASE WHEN page_id % 2 = 0 THEN 'unknown' ELSE 'he' END AS kind, CAST(strlen(html) AS BIGINT) AS size_bytes, sha256(html) AS sha256 FROM pages
+SELECT CASE page_id % 3 WHEN 0 THEN 'a/p_' WHEN 1 THEN 'a/n_' ELSE 'root/a/x_' END || page_id || '.zip' AS rel_path,
+       CASE page_id % 3 WHEN 0 THEN 'p' WHEN 1 THEN 'n' ELSE 'unknown' END AS kind, CAST(strlen(html) AS BIGINT) AS size_bytes, sha256(html) AS sha256 FROM pages
 """,
 )
 def manifest(spark, sf):
     p = table(spark, sf, "pages")
-    files = p.select(F.concat(F.lit("file:/root/a/"), F.col("page_id").cast("string"), F.lit(".zip")).alias("path"), F.col("html").cast("binary").alias("content"))
+    third = F.col("page_id") % 3
+    head = F.when(third == 0, F.lit("file:/root/a/p_")).when(third == 1, F.lit("file:///root/a/n_")).otherwise(F.lit("file:/root/root/a/x_"))
+    files = p.select(
+        F.concat(head, F.col("page_id").cast("string"), F.lit(".zip")).alias("path"), F.octet_length("html").alias("length"), F.col("html").cast("binary").alias("content")
+    )
     out = archives.manifest_of(files, "/root")
-    number = F.regexp_extract("rel_path", r"(\d+)", 1).cast("long")
-    return out.select("rel_path", F.when(number % 2 == 0, F.col("projectile")).otherwise(F.lit("he")).alias("kind"), "size_bytes", "sha256")
+    return out.select("rel_path", F.col("projectile").alias("kind"), "size_bytes", "sha256")
+
+
+@bind(
+    "source_kinds",
+    """
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'imported_sqlite' WHEN 1 THEN 'imported_sqlite' WHEN 2 THEN 'imported_jsonl' WHEN 3 THEN 'imported_jsonl' ELSE 'built_from_upstream' END AS kind
+FROM documents
+""",
+)
+def source_kinds(spark, sf):
+    d = table(spark, sf, "documents")
+    ending = F.element_at(F.array(*[F.lit(x) for x in (".db", ".SQLITE", ".json", ".JsonL", ".txt")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return d.select("doc_id", text.source_kind(F.concat(F.col("source"), ending)).alias("kind"))
+
+
+@bind("published_table", "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
+def published_table(spark, sf):
+    """Published over an earlier state of half the rows."""
+    path = f"{checkpoint_dir(spark)}/published-{uuid.uuid4().hex}"
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    manage.publish(o.filter("o_orderkey % 2 = 0"), path)
+    manage.publish(o, path, sort_by=["o_orderkey"])
+    return spark.read.parquet(path)
+
+
+@bind("record_stream", "SELECT o_orderkey, o_totalprice AS price FROM orders")
+def record_stream(spark, sf):
+    """Records that come again with another price do not replace the first ones."""
+    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"))
+    for part in (o.filter("o_orderkey % 3 <> 0"), o.withColumn("price", F.when(F.col("o_orderkey") % 3 != 0, F.col("price") + 1).otherwise(F.col("price")))):
+        part.write.mode("append").json(f"{base}/in")
+        ingest_records_stream(spark, f"{base}/in", "o_orderkey long, price double", f"{base}/state", f"{base}/out", ["o_orderkey"])
+    return spark.read.parquet(f"{base}/out").select("o_orderkey", "price")
 
 
 @bind(

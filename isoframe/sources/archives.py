@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,28 +16,31 @@ from .lines import read_lines
 from .records import XS_RECORD, read_records, xs_tables
 
 
-def manifest_of(files: DataFrame, root: str, neutron_only: bool = False) -> DataFrame:
-    """(rel_path, projectile, size_bytes, sha256) of binary files with path and content."""
-    prefix = root.rstrip("/") + "/"
-    at = F.instr("path", prefix)
-    relative: Column = F.when(at > 0, F.substr("path", at + len(prefix))).otherwise(F.col("path"))
+def manifest_of(files: DataFrame, root: str, neutron_only: bool = False, with_hash: bool = True) -> DataFrame:
+    """(rel_path, projectile, size_bytes, sha256) of binary files with path, length and content.
+
+    Without ``with_hash`` no content is read, which is the way for archives of more than 2 GB.
+    """
+    prefix = re.sub(r"^[A-Za-z0-9+.-]+:/*", "/", root).rstrip("/") + "/"
+    plain: Column = F.regexp_replace("path", r"^[A-Za-z0-9+.-]+:/*", "/")
+    relative: Column = F.when(F.startswith(plain, F.lit(prefix)), F.substr(plain, F.lit(len(prefix) + 1))).otherwise(F.col("path"))
     projectile = F.lit("n") if neutron_only else projectile_from_name(F.col("path"), default="unknown")
     return files.select(
         relative.alias("rel_path"),
         projectile.alias("projectile"),
-        F.length("content").cast("long").alias("size_bytes"),
-        F.sha2("content", 256).alias("sha256"),
+        F.col("length").cast("long").alias("size_bytes"),
+        (F.sha2("content", 256) if with_hash else F.lit(None).cast("string")).alias("sha256"),
     )
 
 
-def archive_manifest(spark: SparkSession, root: str, neutron_only: bool = False) -> DataFrame:
+def archive_manifest(spark: SparkSession, root: str, neutron_only: bool = False, with_hash: bool = True) -> DataFrame:
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.[zZ][iI][pP]")
         .load(root)
     )
-    return manifest_of(files, root, neutron_only)
+    return manifest_of(files, root, neutron_only, with_hash)
 
 
 # Endings of curve files, as globs.
