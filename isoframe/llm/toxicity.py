@@ -143,7 +143,7 @@ def _per_text(texts: DataFrame, model: Model, columns: dict[str, str], row) -> D
     return texts.mapInArrow(score, schema)
 
 
-def learn(documents: DataFrame, labels: DataFrame, prior: float = 2_000.0, least_z: float = 3.0, drift: float = 0.15, cut: float = 0.05, labelled_rows: int = LABELLED_ROWS) -> Model:
+def learn(documents: DataFrame, labels: DataFrame, prior: float = 2_000.0, flat: float = 0.5, least_z: float = 3.0, drift: float = 0.15, cut: float = 0.05, labelled_rows: int = LABELLED_ROWS) -> Model:
     """Learn from ``labels`` (doc_id, toxic 0/1) of ``documents`` (doc_id, text); the caller leaves held-out labels away.
 
     Of several labels of one id 1 wins; null labels and ids do not count. At most about ``labelled_rows``
@@ -156,11 +156,13 @@ def learn(documents: DataFrame, labels: DataFrame, prior: float = 2_000.0, least
         labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     texts = documents.select("doc_id", "text").join(F.broadcast(labels), "doc_id", "left")  # bounded by labelled_rows
     counts = token_counts(texts).persist()
-    total = counts.agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("t"), F.sum("n_other").alias("o")).first()
+    total = counts.agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("t"), F.sum("n_other").alias("o"), F.count(F.lit(1)).alias("v")).first()
     n, n_t, n_o = (float(total[c] or 0) for c in ("n", "t", "o"))
-    a = F.col("n") * F.lit(prior / max(n, 1.0))
+    # The prior of a token: its share of the corpus, and a flat part that keeps tokens seen on one side only measurable.
+    mass = prior + flat * float(total["v"])
+    a = F.col("n") * F.lit(prior / max(n, 1.0)) + F.lit(flat)
     t, o = F.col("n_toxic") + a, F.col("n_other") + a
-    odds = F.log(t / (F.lit(n_t + prior) - t)) - F.log(o / (F.lit(n_o + prior) - o))
+    odds = F.log(t / (F.lit(n_t + mass) - t)) - F.log(o / (F.lit(n_o + mass) - o))
     chosen = (
         counts.where("n_toxic + n_other > 0").select("h", "n_other", odds.alias("w"), (odds / F.sqrt(1 / t + 1 / o)).alias("z"))
         .where(F.abs("z") >= least_z).orderBy(F.desc(F.abs("z")), "h").limit(MOST_TOKENS).collect()
