@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,12 +103,12 @@ def _scan(rows: DataFrame, k: int, bands: int, band_rows: int) -> DataFrame:
     return rows.select("row_id", "doc_id", "text").mapInArrow(scan, "row_id long, doc_id long, c1 long, c2 long, n long, bands array<long>")
 
 
-def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two multisets given as sorted shingles and counts."""
-    at = np.minimum(np.searchsorted(b[0], a[0]), max(len(b[0]) - 1, 0))
-    both = int(np.minimum(a[1], np.where(b[0][at] == a[0], b[1][at], 0)).sum()) if len(b[0]) else 0
-    total = int(a[1].sum() + b[1].sum()) - both
-    return both / total if total else 1.0
+def compare_bags(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int, np.ndarray]:
+    """Shared and joint size of two multisets (sorted shingles, counts), and the shingles of which b has more copies than a."""
+    at = np.minimum(np.searchsorted(a[0], b[0]), max(len(a[0]) - 1, 0))
+    held = np.where(a[0][at] == b[0], a[1][at], 0) if len(a[0]) else np.zeros(len(b[0]), np.int64)
+    both = int(np.minimum(held, b[1]).sum())
+    return both, int(a[1].sum() + b[1].sum()) - both, b[0][b[1] > held]
 
 
 def _bag_of(text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,54 +119,150 @@ def _bag_of(text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(lead, member, sim) of pairs (lead, member) of row ids, by the overlap of their whole multisets.
+def _verified(pairs: DataFrame, rows: DataFrame, k: int, extra: bool = False) -> DataFrame:
+    """(lead, member, shared, total[, extra]) of pairs (lead, member) of row ids, over their whole multisets.
 
     Pairs are dealt by leader and, where a leader has many, by a salt of the member; each leader's text
-    goes to each of its salts once and each member's text once per leader.
+    goes to each of its salts once and each member's text once per leader. ``extra`` lists the shingles that the member
+    has beyond the leader.
     """
-    fans = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("salts"))
+    fans = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("long").alias("salts"))
     dealt = pairs.join(fans, "lead").select("lead", "member", F.pmod(F.xxhash64("member"), F.col("salts")).alias("salt"))
     texts = rows.select("row_id", "text")
     members = dealt.join(texts.withColumnRenamed("row_id", "member"), "member").select("lead", "salt", "member", "text")
     leads = (
         fans.join(texts.withColumnRenamed("row_id", "lead"), "lead")
-        .select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("salt"), F.lit(-1).cast("long").alias("member"), "text")
+        .select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(-1).cast("long").alias("member"), "text")
     )
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, bag = None, None
-        for pdf in batches:
-            out = []
-            for row_lead, member, text in zip(pdf["lead"], pdf["member"], pdf["text"], strict=True):
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in ("lead", "member", "shared", "total", "extra")}
+            for row_lead, member, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if member < 0:  # the leader itself
                     lead, bag = row_lead, _bag_of(text, k)
-                elif lead == row_lead:
-                    out.append((row_lead, member, overlap(bag, _bag_of(text, k))))
-                else:
+                    continue
+                if lead != row_lead:
                     raise ValueError("a member came before its leader")
-            yield pd.DataFrame(out, columns=["lead", "member", "sim"])
-
-    # Sorted so that a leader's text comes before its members'; one text of either kind is in memory at a time.
+                shared, total, more = compare_bags(bag, _bag_of(text, k))
+                for c, x in zip(out, (row_lead, member, shared, total, more.view(np.int64)), strict=True):
+                    out[c].append(x)
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+            made = [pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(made if extra else made[:4], list(out)[: len(made) if extra else 4])
+
+    # Sorted so that a leader's text comes before its members'; one bag of either kind is in memory at a time.
     both = members.unionByName(leads).repartition(F.col("lead"), F.col("salt")).sortWithinPartitions("lead", "salt", "member")
-    return both.select("lead", "member", "text").mapInPandas(compare, "lead long, member long, sim double")
-
-
-def _components(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, class) of nodes (id) under links (a, b): class is the least id reached. Rounds of min-label hooking and shortening."""
-    labels = nodes.select("id", F.col("id").alias("class"))
-    edges = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "near-edges")
-    # Only linked nodes take part; the others are classes of their own.
-    linked = written(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("class")), "near-labels")
-    while True:
-        spread = edges.join(linked.select(F.col("id").alias("b"), "class"), "b").groupBy(F.col("a").alias("id")).agg(F.min("class").alias("c"))
-        hooked = linked.join(spread, "id").select("id", F.least("class", "c").alias("class"), F.col("class").alias("old"))
-        short = hooked.join(hooked.select(F.col("id").alias("class"), F.col("class").alias("up")), "class", "left")
-        new = written(short.select("id", F.least("class", F.coalesce("up", "class")).alias("class"), "old"), "near-labels")
-        linked = new.select("id", "class")
-        if not new.where("class <> old").limit(1).count():
-            break
-    return labels.join(linked.withColumnRenamed("class", "found"), "id", "left").select("id", F.coalesce("found", "class").alias("class"))
+    schema = "lead long, member long, shared long, total long" + (", extra array<long>" if extra else "")
+    return both.select("lead", "member", "text").mapInArrow(compare, schema)
+
+
+def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes (id, class) after links (a, b) between ids: class is the least id of the connected component.
+
+    Works on the graph of classes that links connect: rounds of least neighbours, then of shortened paths, until nothing changes.
+    """
+    ends = links.join(classes.select(F.col("id").alias("a"), F.col("class").alias("u")), "a").join(classes.select(F.col("id").alias("b"), F.col("class").alias("v")), "b")
+    edges = ends.where("u <> v").select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*").distinct()
+    edges = written(edges, "near-edges")
+    names = written(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("name")), "near-names")
+    moved = names.limit(1).count() > 0
+    if not moved:
+        return classes
+    while moved:
+        spread = edges.join(names.select(F.col("u").alias("v"), F.col("name").alias("other")), "v").groupBy("u").agg(F.min("other").alias("other"))
+        hooked = names.join(spread, "u").select("u", "name", F.least("name", "other").alias("new"))
+        paths = hooked.select(F.col("u").alias("new"), F.col("new").alias("up"))
+        new = written(hooked.join(paths, "new", "left").select("u", "name", F.least("new", F.coalesce("up", "new")).alias("new")), "near-names")
+        moved = new.where("name <> new").limit(1).count() > 0
+        names = new.select("u", F.col("new").alias("name"))
+    return written(classes.join(names.withColumnRenamed("u", "class"), "class", "left").select("id", F.coalesce("name", "class").alias("class")), "near-classes")
+
+
+def _about(compared: DataFrame, asked: DataFrame, classes: DataFrame) -> DataFrame:
+    """What is known of each member against its pivot: size, class, overlap, shingles beyond it, and whether the pivot is in another class."""
+    about = compared.join(asked.select("lead", "member", "n"), ["lead", "member"])
+    about = about.join(classes.select(F.col("id").alias("member"), "class"), "member").join(classes.select(F.col("id").alias("lead"), F.col("class").alias("main")), "lead")
+    return written(about.select("lead", "member", "n", "class", "shared", "extra", (F.col("class") != F.col("main")).alias("outside")), "near-about")
+
+
+def _links_of_buckets(bucket: DataFrame, rows: DataFrame, k: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Classes (id, class) of the members of buckets (key, row_id, n), and the links (a, b) that were verified.
+
+    No pair of a bucket is left open, and few are compared:
+
+    1. Every member is compared with one leader per bucket.
+    2. In buckets that then hold several classes the member nearest to the leader becomes the pivot, and all are
+       compared with it. What members have beyond the pivot is kept.
+    3. The same once more with the member nearest to what most members of the pivot's groups have.
+    4. With o the overlap with that pivot, two members share at most min(o, o') plus what they share beyond
+       the pivot. So further pairs need either a common shingle beyond the pivot or an o of both that is large
+       enough by itself; only such pairs of different classes are compared.
+    """
+    of = F.lit(similarity / (1 + similarity) - 1e-9)
+    near = F.col("shared") >= F.col("total") * F.lit(similarity)
+    fits = lambda a, b: F.least(a, b) >= F.greatest(a, b) * F.lit(similarity)
+    as_links = lambda df: df.where(near).select(F.col("lead").alias("a"), F.col("member").alias("b"))
+    nodes = bucket.select(F.col("row_id").alias("id")).distinct()
+
+    # Leaders go by the hash of the row, so that bands with common members agree on one.
+    leaders = bucket.groupBy("key").agg(F.min_by(F.struct("row_id", "n"), F.xxhash64("row_id")).alias("l"), F.count(F.lit(1)).alias("size"))
+    led = bucket.join(leaders, "key").where("row_id <> l.row_id")
+    pairs = led.where(fits("n", "l.n")).select(F.col("l.row_id").alias("lead"), F.col("row_id").alias("member")).distinct()
+    first = written(_verified(pairs, rows, k), "near-first")
+    links = as_links(first)
+    classes = _merged(written(nodes.select("id", F.col("id").alias("class")), "near-classes"), links)
+
+    # Buckets of three and more that hold several classes, with their pivot.
+    named = bucket.join(classes.select(F.col("id").alias("row_id"), "class"), "row_id")
+    split = named.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("c0"), F.max("class").alias("c1")).where("size > 2 AND c0 <> c1").select("key")
+    open_ = written(named.join(split, "key").select("key", "row_id", "n"), "near-open")
+    close = first.select("lead", F.col("member").alias("row_id"), (F.col("shared") / F.col("total")).alias("sim")).where(F.col("sim") >= similarity)
+    pivots = (
+        open_.join(leaders.select("key", F.col("l.row_id").alias("lead")), "key").join(close, ["lead", "row_id"], "left")
+        .withColumn("sim", F.when(F.col("row_id") == F.col("lead"), 0.0).otherwise(F.col("sim")))  # the leader, where nobody is near
+        .groupBy("key").agg(F.max_by(F.struct("row_id", "n"), F.when(F.col("sim").isNotNull(), F.struct("sim", F.xxhash64("row_id").alias("h")))).alias("p"))
+    )
+    asked = open_.join(pivots, "key").where("row_id <> p.row_id").select(F.col("p.row_id").alias("lead"), F.col("p.n").alias("lead_n"), F.col("row_id").alias("member"), "n").distinct()
+    asked = written(asked, "near-asked")
+    second = written(_verified(asked.select("lead", "member"), rows, k, extra=True), "near-second")
+    links = links.union(as_links(second))
+    classes = _merged(classes, as_links(second))
+    about = _about(second, asked, classes)
+
+    # The pivot has edits of its own, and all others share what these replaced. The member nearest to what most of
+    # them have takes its place, so that little is common beyond it.
+    mixed = about.where("outside").select("lead").distinct()
+    group = written(about.join(mixed, "lead"), "near-group")
+    most = group.groupBy("lead").agg(F.count(F.lit(1)).alias("of"))
+    usual = group.select("lead", F.explode("extra").alias("s")).groupBy("lead", "s").agg(F.count(F.lit(1)).alias("c")).join(most, "lead").where("c * 2 > of").select("lead", "s")
+    gained = group.select("lead", "member", F.explode("extra").alias("s")).join(usual, ["lead", "s"]).groupBy("lead", "member").agg(F.count(F.lit(1)).alias("gain"))
+    score = (F.col("shared") + F.coalesce("gain", F.lit(0))) / F.col("n")
+    centre = (
+        group.join(gained, ["lead", "member"], "left").groupBy("lead")
+        .agg(F.max_by(F.struct("member", "n"), F.struct(score.alias("score"), F.xxhash64("member").alias("h"))).alias("m"))
+    )
+    asked = group.join(centre, "lead").where("member <> m.member").select(F.col("m.member").alias("lead"), F.col("m.n").alias("lead_n"), "member", "n").distinct()
+    asked = written(asked, "near-asked")
+    nearer = written(_verified(asked.select("lead", "member"), rows, k, extra=True), "near-centre")
+    links = links.union(as_links(nearer))
+    classes = _merged(classes, as_links(nearer))
+    about = _about(nearer, asked, classes)
+    side = lambda df, x: df.select(*[c for c in df.columns if c in ("lead", "s")], *[F.col(c).alias(f"{x}_{c}") for c in ("member", "n", "class", "shared")])
+    beyond = about.select("lead", "member", "n", "class", "shared", "outside", F.explode("extra").alias("s"))
+    common = beyond.groupBy("lead", "s").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 <> c1").select("lead", "s")
+    beyond = beyond.join(common, ["lead", "s"])
+    by_shingle = side(beyond.where("outside"), "y").join(side(beyond, "x"), ["lead", "s"]).drop("s")
+    large = about.where(F.col("shared") >= F.col("n") * F.lit(similarity - 1e-9))
+    least = of * (F.col("x_n") + F.col("y_n"))
+    by_overlap = side(large.where("outside"), "y").join(side(large, "x"), "lead").where((F.col("x_shared") >= least) & (F.col("y_shared") >= least))
+    rest = (
+        by_shingle.unionByName(by_overlap).where("x_class <> y_class").where(fits("x_n", "y_n"))
+        .select(F.least("x_member", "y_member").alias("lead"), F.greatest("x_member", "y_member").alias("member")).distinct()
+    )
+    third = written(_verified(written(rest, "near-rest"), rows, k), "near-third")
+    return _merged(classes, as_links(third)), links.union(as_links(third)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(documents: DataFrame, k: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, band_rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,12 +270,9 @@ def near_duplicates(documents: DataFrame, k: int = WORDS, similarity: float = SI
 
     Two texts are linked when the weighted Jaccard similarity of their shingle multisets is at least
     ``similarity``; classes are the connected components. ``class_id`` is the doc_id of the class's first row (least
-    doc_id, then row), ``class_row`` its row id, ``n_links`` the verified links of the row to leaders of its bands plus,
-    for texts with the same multiset, to the first of them. Texts of fewer than k words are one shingle; null,
+    doc_id, then row), ``class_row`` its row id, ``n_links`` the row's links that were verified on the way plus,
+    for texts with the same multiset, those to the first of them. Texts of fewer than k words are one shingle; null,
     empty and wordless texts are classes of their own; null ids come first. Repeated rows are copies of each other.
-
-    Bands are worked off by leaders instead of by all pairs: each band's members are compared with one
-    leader, and only members that are then in different classes go into further rounds.
     """
     rows = documents.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     scanned = written(_scan(rows, k, bands, band_rows), "near-scan")
@@ -194,44 +286,12 @@ def near_duplicates(documents: DataFrame, k: int = WORDS, similarity: float = SI
     )
     sizes = bucket.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     bucket = written(bucket.join(sizes.select("key"), "key").select("key", "row_id", "n"), "near-buckets")
-    nodes = bucket.select(F.col("row_id").alias("id")).distinct()
-    classes, links, done, tried = nodes.select("id", F.col("id").alias("class")), None, False, None
-    round_no = 0
-    while not done:
-        # Leaders go by the hash of the row, so that bands with common members agree on one; later ones come
-        # from outside the largest class of their bucket.
-        now = bucket.join(classes.select(F.col("id").alias("row_id"), "class"), "row_id")
-        if round_no == 0:
-            leaders = now.groupBy("key").agg(F.min_by(F.struct("row_id", "n", "class"), F.xxhash64("row_id")).alias("l"))
-        else:
-            sizes = now.groupBy("key", "class").agg(F.count(F.lit(1)).alias("c"))
-            largest = sizes.groupBy("key").agg(F.max(F.struct("c", "class")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
-            outside = now.join(largest.select("key", F.col("top.class").alias("main")), "key").where("class <> main")
-            leaders = outside if round_no >= 3 else outside.groupBy("key").agg(F.min_by(F.struct("row_id", "n", "class"), F.xxhash64("row_id", F.lit(round_no))).alias("l"))
-            # After three rounds all that lie outside the largest class of their bucket lead at once; that ends it.
-            leaders = leaders.select("key", F.struct("row_id", "n", "class").alias("l")) if round_no >= 3 else leaders
-        pairs = (
-            now.join(leaders, "key")
-            .where("row_id <> l.row_id AND class <> l.class")
-            .where(F.least("n", "l.n") >= F.greatest("n", "l.n") * F.lit(similarity))
-            .select(F.col("l.row_id").alias("lead"), F.col("row_id").alias("member"))
-            .distinct()
-        )
-        if tried is not None:
-            pairs = pairs.join(tried, ["lead", "member"], "left_anti").join(tried.select(F.col("lead").alias("member"), F.col("member").alias("lead")), ["lead", "member"], "left_anti")
-        pairs = written(pairs, "near-pairs")
-        if not pairs.limit(1).count():
-            break
-        tried = pairs if tried is None else tried.union(pairs)
-        found = written(_verified(pairs, rows, k).where(F.col("sim") >= similarity).select(F.col("lead").alias("a"), F.col("member").alias("b")), "near-links")
-        links = found if links is None else links.union(found)
-        classes = written(_components(links, nodes), "near-classes")
-        done, round_no = round_no >= 3, round_no + 1
+    classes, links = _links_of_buckets(bucket, rows, k, similarity)
     first = same.select("c1", "c2", "n", F.col("o.row_id").alias("rep"), "copies")
     out = scanned.select("row_id", "doc_id", "c1", "c2", "n").join(first, ["c1", "c2", "n"], "left")
-    counts = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links")) if links is not None else None
+    counts = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     out = out.join(classes.select(F.col("id").alias("rep"), "class"), "rep", "left")
-    out = out.join(counts, "rep", "left") if counts is not None else out.withColumn("links", F.lit(0).cast("long"))
+    out = out.join(counts, "rep", "left")
     out = out.select(
         "row_id", "doc_id", F.coalesce("class", "rep", "row_id").alias("class"),
         (F.coalesce("links", F.lit(0)) + F.when(F.col("row_id") != F.col("rep"), 1).when(F.col("row_id") == F.col("rep"), F.col("copies") - 1).otherwise(0)).cast("long").alias("n_links"),
