@@ -32,19 +32,17 @@ def _segments(n: Column, edits: int) -> list[tuple[Column, Column]]:
     return out
 
 
-def index_keys(line: Column, edits: int) -> Column:
-    """Keys under which a line is found: hash of its length, the segment's number and the segment."""
-    n = F.char_length(line)
-    return F.array(*[F.xxhash64(n, F.lit(i), F.substring(line, p + 1, size)) for i, (p, size) in enumerate(_segments(n, edits))])
+def index_keys(line: Column, n: Column, edits: int) -> list[Column]:
+    """Keys under which a line of n characters is found: hash of its length, the segment's number and the segment."""
+    return [F.xxhash64(n, F.lit(i), F.substring(line, p + 1, size)) for i, (p, size) in enumerate(_segments(n, edits))]
 
 
-def probe_keys(line: Column, edits: int) -> Column:
-    """Keys of the substrings by which a line finds the lines of its length or up to ``edits`` shorter.
+def probe_keys(line: Column, n: Column, edits: int) -> list[Column]:
+    """Keys of the substrings by which a line finds the lines of its length or up to ``edits`` shorter, null where one does not fit.
 
     Segment i of a line that is shorter by d can only stand at places shifted from its own by -i .. i and,
     counted from the other end, by d - (edits - i) .. d + (edits - i).
     """
-    n = F.char_length(line)
     keys = []
     for d in range(edits + 1):
         for i, (p, size) in enumerate(_segments(n - d, edits)):
@@ -52,18 +50,26 @@ def probe_keys(line: Column, edits: int) -> Column:
                 start = p + shift
                 fits = (n - d > edits) & (start >= 0) & (start + size <= n)
                 keys.append(F.when(fits, F.xxhash64((n - d).cast("int"), F.lit(i), F.substring(line, start + 1, size))))
-    return F.array_distinct(F.filter(F.array(*keys), lambda k: k.isNotNull()))
+    return keys
 
 
-def within_edits(a: Column, b: Column, edits: int) -> Column:
+def common_prefix(a: Column, b: Column) -> Column:
+    """Length of the common beginning of two lines, up to 131,071, found by halving steps."""
+    steps = F.array(*[F.lit(1 << i) for i in range(16, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda p, s: F.when(F.substr(a, p + 1, s) == F.substr(b, p + 1, s), p + s).otherwise(p))
+
+
+def within_edits(a: Column, b: Column, edits: int, n: Column | None = None, m: Column | None = None, x: Column | None = None, y: Column | None = None) -> Column:
     """Whether two lines lie within ``edits`` edits: a bit-parallel scan of the band around the diagonal.
 
     Bit j of a step's words stands for the cell j - edits places off the diagonal. ``vp`` and ``vn`` hold where
     the distance rises and falls down the column, and the distance is followed along the band's lower
-    edge, then along the last row. Lines no longer than ``edits`` have no band and are compared plainly.
+    edge, then along the last row. Once it is out of reach the scan passes over the rest. Lines no longer
+    than ``edits`` have no band and are compared plainly. Cut a long common beginning off first. The
+    lengths n, m and characters x, y of the lines may be given as columns, which saves finding them in each step.
     """
-    x, y = F.split(a, ""), F.split(b, "")
-    n, m = F.char_length(a), F.char_length(b)
+    n, m = (F.char_length(a), F.char_length(b)) if n is None else (n, m)
+    x, y = (F.split(a, ""), F.split(b, "")) if x is None else (x, y)
     width = 2 * edits + 1
     mask, high, low_row = (1 << width) - 1, width - 1, n - edits  # columns before low_row follow the band's edge
     long = lambda v: F.lit(v).cast("long")
@@ -93,7 +99,9 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
 
     bound = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))  # noqa: E731  evaluates value once
     start = F.struct(long(mask ^ ((1 << edits) - 1)).alias("vp"), long(0).alias("vn"), F.lit(edits).alias("d"))
-    last = F.aggregate(F.sequence(F.lit(0), m - 1), start, lambda s, i: bound(bound(step(s, i), advance), close))
+    # What is left of the band and of both lines can take back no more than this.
+    lost = F.lit(2 * edits) + F.abs(m - n)
+    last = F.aggregate(F.sequence(F.lit(0), m - 1), start, lambda s, i: F.when(s["d"] > lost, s).otherwise(bound(bound(step(s, i), advance), close)))
     return (F.abs(n - m) <= edits) & F.when(F.least(n, m) <= edits, F.levenshtein(a, b) <= edits).otherwise(last["d"] <= edits)
 
 
@@ -116,20 +124,15 @@ def repeated_lines(documents: DataFrame, least_chars: int = 30, edits: int = 1,
     lines = (
         rows.select("row_id", "doc_id", F.posexplode_outer(F.split("text", "\n")).alias("at", "line"))
         .where(F.char_length("line") >= least_chars)
-        .select("row_id", "at", place.alias("place"), "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
+        .select("row_id", "at", place.alias("place"), "line", F.char_length("line").alias("n"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
     )
     firsts = lines.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.min_by("row_id", "place").alias("row_id"), F.min_by("at", "place").alias("at"), F.count(F.lit(1)).alias("n"))
 
     # Keys per line, once for each task and line, so that a very common line does not multiply pairs.
-    keyed = lines.select(
-        "h1",
-        F.explode(
-            F.concat(
-                F.transform(index_keys(F.col("line"), edits), lambda k: F.struct(k.alias("key"), F.lit(True).alias("indexed"))),
-                F.transform(probe_keys(F.col("line"), edits), lambda k: F.struct(k.alias("key"), F.lit(False).alias("indexed"))),
-            )
-        ).alias("x"),
-    ).select("x.key", "x.indexed", "h1")
+    entry = lambda indexed: lambda k: F.struct(k.alias("key"), F.lit(indexed).alias("indexed"))
+    entries = [*map(entry(True), index_keys(F.col("line"), F.col("n"), edits)), *map(entry(False), probe_keys(F.col("line"), F.col("n"), edits))]
+    # explode_outer, as plain explode would evaluate the array once more to see that it is not empty
+    keyed = lines.select("h1", F.explode_outer(F.array(*entries)).alias("x")).select("x.key", "x.indexed", "h1").where("key IS NOT NULL")
     shared = F.col("h1")
     met = keyed.groupBy("key").agg(F.min(shared).alias("lo"), F.max(shared).alias("hi")).where("lo <> hi").select("key")
     sides = keyed.join(met, "key").distinct()
@@ -153,7 +156,11 @@ def repeated_lines(documents: DataFrame, least_chars: int = 30, edits: int = 1,
     near = (
         pairs.join(texts.select(F.col("h1").alias("a"), F.struct("place", "h1", "h2", "line").alias("x")), "a")
         .join(texts.select(F.col("h1").alias("b"), F.struct("place", "h1", "h2", "line").alias("y")), "b")
-        .where(within_edits(F.col("x.line"), F.col("y.line"), edits))
+        .where(F.abs(F.char_length("x.line") - F.char_length("y.line")) <= edits)
+        .withColumn("cut", common_prefix(F.col("x.line"), F.col("y.line")) + 1)
+        .withColumns({"xr": F.substr("x.line", F.col("cut"), F.char_length("x.line")), "yr": F.substr("y.line", F.col("cut"), F.char_length("y.line"))})
+        .withColumns({"nx": F.char_length("xr"), "ny": F.char_length("yr"), "xs": F.split("xr", ""), "ys": F.split("yr", "")})
+        .where(within_edits(F.col("xr"), F.col("yr"), edits, F.col("nx"), F.col("ny"), F.col("xs"), F.col("ys")))
         .select(F.greatest("x", "y").alias("later"), F.least("x.place", "y.place").alias("before"))
         .where(F.col("before") < F.col("later.place"))
         .select(F.col("later.h1").alias("h1"), F.col("later.h2").alias("h2")).distinct().withColumn("near", F.lit(True))

@@ -40,7 +40,10 @@ def test_banded_distance_and_probes(spark, most):
     a, b = F.col("a"), F.col("b")
     shorter = F.when(F.char_length(a) <= F.char_length(b), a).otherwise(b)
     longer = F.when(F.char_length(a) <= F.char_length(b), b).otherwise(a)
-    met = F.arrays_overlap(line_dedup.index_keys(shorter, most), line_dedup.probe_keys(longer, most))
+    met = F.coalesce(
+        F.arrays_overlap(F.array(*line_dedup.index_keys(shorter, F.char_length(shorter), most)), F.array(*line_dedup.probe_keys(longer, F.char_length(longer), most))),
+        F.lit(False),
+    )
     for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", line_dedup.within_edits(a, b, most).alias("near"), met.alias("met")).collect():
         near = edits(r.a, r.b) <= most
         assert r.near == near, (r.a, r.b)
