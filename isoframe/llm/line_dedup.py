@@ -132,7 +132,7 @@ def repeated_lines(documents: DataFrame, least_chars: int = 30, edits: int = 1,
     entry = lambda indexed: lambda k: F.struct(k.alias("key"), F.lit(indexed).alias("indexed"))
     entries = [*map(entry(True), index_keys(F.col("line"), F.col("n"), edits)), *map(entry(False), probe_keys(F.col("line"), F.col("n"), edits))]
     # explode_outer, as plain explode would evaluate the array once more to see that it is not empty
-    keyed = lines.select("h1", F.explode_outer(F.array(*entries)).alias("x")).select("x.key", "x.indexed", "h1").where("key IS NOT NULL")
+    keyed = written(lines.select("h1", F.explode_outer(F.array(*entries)).alias("x")).select("x.key", "x.indexed", "h1").where("key IS NOT NULL"), "line-keys")
     shared = F.col("h1")
     met = keyed.groupBy("key").agg(F.min(shared).alias("lo"), F.max(shared).alias("hi")).where("lo <> hi").select("key")
     sides = keyed.join(met, "key").distinct()
@@ -160,10 +160,13 @@ def repeated_lines(documents: DataFrame, least_chars: int = 30, edits: int = 1,
         .withColumn("cut", common_prefix(F.col("x.line"), F.col("y.line")) + 1)
         .withColumns({"xr": F.substr("x.line", F.col("cut"), F.char_length("x.line")), "yr": F.substr("y.line", F.col("cut"), F.char_length("y.line"))})
         .withColumns({"nx": F.char_length("xr"), "ny": F.char_length("yr"), "xs": F.split("xr", ""), "ys": F.split("yr", "")})
-        .where(within_edits(F.col("xr"), F.col("yr"), edits, F.col("nx"), F.col("ny"), F.col("xs"), F.col("ys")))
-        .select(F.greatest("x", "y").alias("later"), F.least("x.place", "y.place").alias("before"))
-        .where(F.col("before") < F.col("later.place"))
-        .select(F.col("later.h1").alias("h1"), F.col("later.h2").alias("h2")).distinct().withColumn("near", F.lit(True))
+        .select(
+            F.greatest("x", "y").alias("later"), F.least("x.place", "y.place").alias("before"),
+            within_edits(F.col("xr"), F.col("yr"), edits, F.col("nx"), F.col("ny"), F.col("xs"), F.col("ys")).alias("within"),
+        )
+        # The verdict goes through the aggregate: as a filter it would be pushed below the columns it is built from.
+        .groupBy(F.col("later.h1").alias("h1"), F.col("later.h2").alias("h2"))
+        .agg(F.max(F.col("within") & (F.col("before") < F.col("later.place"))).alias("near")).where("near")
     )
     again = firsts.where("n > 1").select("h1", "h2", "place").join(near, ["h1", "h2"], "full_outer").select("h1", "h2", F.col("place").alias("first"), "near")
     drops = (
