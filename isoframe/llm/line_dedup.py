@@ -1,9 +1,11 @@
 """Repeated lines, also within a few edits, by a segment-partition join; DataFrame functions only.
 
-Lines within ``edits`` edits of one another share, of the shorter line's edits + 1 even segments, at
-least one, at a place that the lengths and the segment's number narrow down. Segments are indexed under
-(length, number, text), longer lines probe with the substrings that can match, and what meets is
-verified by edit distance in a band of 2 * edits + 1 diagonals, one bit each.
+Lines are dealt into classes by length, and the edits allowed for a pair grow with the class of its shorter
+line. Lines within k edits of one another share, of the shorter line's first k + 1 segments of the
+class's size, one that i edits precede and at most k - i follow, i being the segment's number, so it stands at
+one of a few places of the longer line. Segments are indexed under (class, length to within k, number, text),
+longer lines probe with the substrings that can match, and what meets is verified by edit distance in a
+band of 2 * k + 1 diagonals, one bit each.
 """
 
 from __future__ import annotations
@@ -18,39 +20,81 @@ _PLACE = "decimal(38,0)"
 _LOWEST = -(2**63)
 #: Up to so many places of lines to compare (about 50 bytes each) are broadcast to the texts; more are joined by shuffle.
 BROADCAST_LINES = 200_000
+#: The same for keys that several lines share, of 8 bytes each.
+BROADCAST_KEYS = 500_000
+#: Edits by the length of the shorter line: (least characters, edits), ascending.
+EDITS = ((30, 1), (60, 2), (120, 4), (240, 8))
+
+
+def _classes(least_chars: int, edits) -> list[tuple[int, int | None, int]]:
+    """(least length, length above the greatest, edits) of each class; long lines of equal edits are told apart by doubling lengths."""
+    steps = ((least_chars, edits),) if isinstance(edits, int) else tuple((max(n, least_chars), k) for n, k in edits)
+    ends = [n for n, _ in steps[1:]] + [None]
+    starts = []
+    for (n, k), end in zip(steps, ends, strict=True):
+        n = max(n, 1)
+        for _ in range(12):
+            if end is not None and n >= end:
+                break
+            starts.append((n, k))
+            n *= 2
+    return [(n, end, k) for (n, k), end in zip(starts, [n for n, _ in starts[1:]] + [None], strict=True)]
+
+
+def allowed_edits(n: Column, classes: list[tuple[int, int | None, int]]) -> Column:
+    """Edits allowed for a pair whose shorter line has n characters; -1 below the least length."""
+    out = F.lit(-1)
+    for start, _, k in classes:
+        out = F.when(n >= start, F.lit(k)).otherwise(out)
+    return out
 
 
-def _segments(n: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(0-based start, length) of each of the edits + 1 segments of a line of n characters; the last ones are longer."""
-    parts = edits + 1
-    short = F.floor(n / parts).cast("int")
-    longer = n - short * parts
-    out = []
-    for i in range(parts):
-        extra = F.greatest(F.lit(i) - (F.lit(parts) - longer), F.lit(0))
-        out.append(((short * i + extra).cast("int"), F.when(F.lit(i) >= F.lit(parts) - longer, short + 1).otherwise(short).cast("int")))
-    return out
+def _keys(line: Column, n: Column, at: int, size: int, k: int, places: list[tuple[int, int, int]]) -> Column:
+    """Hashes of (class, length bucket, segment's number, segment) at the given (number, start, further bucket)."""
+    bucket = F.floor(n / (k + 1)).cast("int")
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), F.lit(b).alias("b")) for i, p, b in places])
+    return F.transform(wanted, lambda x: F.xxhash64(F.lit(at), bucket + x["b"], x["i"], F.substr(line, x["p"] + 1, F.lit(size))))
 
 
-def index_keys(line: Column, n: Column, edits: int) -> list[Column]:
-    """Keys under which a line of n characters is found: hash of its length, the segment's number and the segment."""
-    return [F.xxhash64(n, F.lit(i), F.substring(line, p + 1, size)) for i, (p, size) in enumerate(_segments(n, edits))]
+def index_array(line: Column, n: Column, classes: list[tuple[int, int | None, int]]) -> Column:
+    """Keys under which a line of n characters is found by lines of its length or longer."""
+    parts = []
+    for start, end, k in classes:
+        size = start // (k + 1)
+        inside = n >= start if end is None else (n >= start) & (n < end)
+        parts.append(F.when(inside, _keys(line, n, start, size, k, [(i, i * size, b) for i in range(k + 1) for b in (0, 1)])).otherwise(_none()))
+    return F.concat(*parts)
 
 
-def probe_keys(line: Column, n: Column, edits: int) -> list[Column]:
-    """Keys of the substrings by which a line finds the lines of its length or up to ``edits`` shorter, null where one does not fit.
+def probe_array(line: Column, n: Column, classes: list[tuple[int, int | None, int]]) -> Column:
+    """Keys of the substrings by which a line finds the lines of its length or, by the edits of their class, shorter.
 
-    Segment i of a line that is shorter by d can only stand at places shifted from its own by -i .. i and,
-    counted from the other end, by d - (edits - i) .. d + (edits - i).
+    Segment i can be shifted by at most the i edits before it and, as the line is not the shorter one, to the
+    left by no more than the k - i edits behind it.
     """
-    keys = []
-    for d in range(edits + 1):
-        for i, (p, size) in enumerate(_segments(n - d, edits)):
-            for shift in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
-                start = p + shift
-                fits = (n - d > edits) & (start >= 0) & (start + size <= n)
-                keys.append(F.when(fits, F.xxhash64((n - d).cast("int"), F.lit(i), F.substring(line, start + 1, size))))
-    return keys
+    parts = []
+    for start, end, k in classes:
+        size = start // (k + 1)
+        near = n >= start if end is None else (n >= start) & (n < end + k)
+        places = [(i, i * size + s, 0) for i in range(k + 1) for s in range(max(-i, i - k), i + 1) if i * size + s >= 0]
+        parts.append(F.when(near, _keys(line, n, start, size, k, places)).otherwise(_none()))
+    return F.concat(*parts)
+
+
+def _none() -> Column:
+    return F.array().cast("array<bigint>")
+
+
+def index_keys(line: Column, n: Column, edits: int) -> list[Column]:
+    """The keys of :func:`index_array` for one number of edits and lines of any length, as columns."""
+    found = index_array(line, n, _classes(1, edits))
+    return [F.get(found, F.lit(i)) for i in range(2 * (edits + 1))]
+
+
+def probe_keys(line: Column, n: Column, edits: int) -> list[Column]:
+    """The keys of :func:`probe_array` likewise; a line near the start of its class probes the classes below too."""
+    found = probe_array(line, n, _classes(1, edits))
+    return [F.get(found, F.lit(i)) for i in range(4 * (edits + 1) ** 2)]
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -110,12 +154,13 @@ def _bit(word: Column, at: Column) -> Column:
     return F.floor(word / F.pow(F.lit(2.0), at)).cast("long").bitwiseAND(F.lit(1).cast("long")).cast("int")
 
 
-def repeated_lines(documents: DataFrame, least_chars: int = 30, edits: int = 1, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeated_lines(documents: DataFrame, least_chars: int = 30, edits=EDITS, id_col: str = "doc_id", text_col: str = "text", least_exact: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, drops): rows (row_id, doc_id, text), and drops (row_id, places, near) for rows with repeated lines.
 
     A line (between line feeds) of at least ``least_chars`` characters is repeated if an equal line, or one within
     ``edits`` edits, stands earlier: in a document of a smaller id or earlier in its own. Both are judged on
-    the input, not on what is left. ``places`` are the numbers of the repeated lines from 0, ``near`` how many have only
+    the input, not on what is left. ``edits`` is a number, or steps like EDITS by the length of the pair's shorter line.
+    Shorter lines from ``least_exact`` characters that are not blank are repeated if an equal line stands earlier. ``places`` are the numbers of the repeated lines from 0, ``near`` how many have only
     a near match. Rows that repeat a doc_id are copies of one document: lines at equal places in them do
     not repeat one another. A null id counts as the smallest; null and empty texts have no lines to drop.
     """
@@ -123,18 +168,21 @@ def repeated_lines(documents: DataFrame, least_chars: int = 30, edits: int = 1,
     place = (F.coalesce("doc_id", F.lit(_LOWEST)).cast(_PLACE) * F.lit(2**31).cast("decimal(11,0)") + F.col("at").cast("decimal(10,0)")).cast(_PLACE)
     lines = (
         rows.select("row_id", "doc_id", F.posexplode_outer(F.split("text", "\n")).alias("at", "line"))
-        .where(F.char_length("line") >= least_chars)
+        .where((F.char_length("line") >= least_chars) | (F.char_length("line") >= (least_chars if least_exact is None else least_exact)) & (F.trim("line") != ""))
         .select("row_id", "at", place.alias("place"), "line", F.char_length("line").alias("n"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
     )
     firsts = lines.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.min_by("row_id", "place").alias("row_id"), F.min_by("at", "place").alias("at"), F.count(F.lit(1)).alias("n"))
 
-    # Keys per line, once for each task and line, so that a very common line does not multiply pairs.
+    # Keys per line; only distinct ones meet, so that a very common line does not multiply pairs.
+    classes = _classes(least_chars, edits)
     entry = lambda indexed: lambda k: F.struct(k.alias("key"), F.lit(indexed).alias("indexed"))
-    entries = [*map(entry(True), index_keys(F.col("line"), F.col("n"), edits)), *map(entry(False), probe_keys(F.col("line"), F.col("n"), edits))]
+    entries = F.concat(F.transform(index_array(F.col("line"), F.col("n"), classes), entry(True)), F.transform(probe_array(F.col("line"), F.col("n"), classes), entry(False)))
     # explode_outer, as plain explode would evaluate the array once more to see that it is not empty
-    keyed = written(lines.select("h1", F.explode_outer(F.array(*entries)).alias("x")).select("x.key", "x.indexed", "h1").where("key IS NOT NULL"), "line-keys")
+    keyed = written(lines.select("h1", F.explode_outer(entries).alias("x")).select("x.key", "x.indexed", "h1").where("key IS NOT NULL"), "line-keys")
     shared = F.col("h1")
-    met = keyed.groupBy("key").agg(F.min(shared).alias("lo"), F.max(shared).alias("hi")).where("lo <> hi").select("key")
+    met = written(keyed.groupBy("key").agg(F.min(shared).alias("lo"), F.max(shared).alias("hi"), F.bool_or("indexed").alias("any")).where("lo <> hi AND any").select("key"), "line-met")
+    if met.count() <= BROADCAST_KEYS:
+        met = F.broadcast(met)
     sides = keyed.join(met, "key").distinct()
     pairs = written(
         sides.where("indexed").select("key", F.col("h1").alias("a"))
@@ -153,16 +201,20 @@ def repeated_lines(documents: DataFrame, least_chars: int = 30, edits: int = 1,
         .select(F.split("text", "\n").alias("all"), F.explode_outer("wanted").alias("x"))
         .select(F.col("x.h1").alias("h1"), F.col("x.h2").alias("h2"), F.col("x.place").alias("place"), F.get("all", F.col("x.at")).alias("line"))
     )
+    within = F.lit(False)
+    for k in sorted({k for _, _, k in classes}):
+        within = F.when(F.col("most") == k, within_edits(F.col("xr"), F.col("yr"), k, F.col("nx"), F.col("ny"), F.col("xs"), F.col("ys"))).otherwise(within)
     near = (
         pairs.join(texts.select(F.col("h1").alias("a"), F.struct("place", "h1", "h2", "line").alias("x")), "a")
         .join(texts.select(F.col("h1").alias("b"), F.struct("place", "h1", "h2", "line").alias("y")), "b")
-        .where(F.abs(F.char_length("x.line") - F.char_length("y.line")) <= edits)
+        .withColumn("most", allowed_edits(F.least(F.char_length("x.line"), F.char_length("y.line")), classes))
+        .where(F.abs(F.char_length("x.line") - F.char_length("y.line")) <= F.col("most"))
         .withColumn("cut", common_prefix(F.col("x.line"), F.col("y.line")) + 1)
         .withColumns({"xr": F.substr("x.line", F.col("cut"), F.char_length("x.line")), "yr": F.substr("y.line", F.col("cut"), F.char_length("y.line"))})
         .withColumns({"nx": F.char_length("xr"), "ny": F.char_length("yr"), "xs": F.split("xr", ""), "ys": F.split("yr", "")})
         .select(
             F.greatest("x", "y").alias("later"), F.least("x.place", "y.place").alias("before"),
-            within_edits(F.col("xr"), F.col("yr"), edits, F.col("nx"), F.col("ny"), F.col("xs"), F.col("ys")).alias("within"),
+            within.alias("within"),
         )
         # The verdict goes through the aggregate: as a filter it would be pushed below the columns it is built from.
         .groupBy(F.col("later.h1").alias("h1"), F.col("later.h2").alias("h2"))
@@ -185,12 +237,12 @@ def _kept(text: Column, places: Column) -> Column:
     return F.when(places.isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(every, i)), "\n"))
 
 
-def dedup_lines(documents: DataFrame, least_chars: int = 30, edits: int = 1) -> DataFrame:
+def dedup_lines(documents: DataFrame, least_chars: int = 30, edits=EDITS, least_exact: int | None = None) -> DataFrame:
     """``documents`` (doc_id, text, ...) without repeated lines; texts of which nothing is left go, other columns stay.
 
     ``n_chars``, where there is such a column, is counted anew for changed texts.
     """
-    _, drops = repeated_lines(documents, least_chars, edits)
+    _, drops = repeated_lines(documents, least_chars, edits, least_exact=least_exact)
     found = drops.select(F.col("row_id").alias("__row"), F.col("places").alias("__places"))
     out = documents.withColumn("__row", F.monotonically_increasing_id()).join(found, "__row", "left")
     out = out.withColumn("text", _kept(F.col("text"), F.col("__places"))).where(F.col("__places").isNull() | (F.trim("text") != ""))
@@ -201,7 +253,7 @@ def dedup_lines(documents: DataFrame, least_chars: int = 30, edits: int = 1) ->
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:
-    rows, drops = repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows, drops = repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), least_exact=1)
     return rows.join(drops, "row_id", "left").select(
         "doc_id",
         F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),

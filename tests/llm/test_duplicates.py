@@ -88,6 +88,20 @@ def test_line_dedup_of_odd_tables(spark, docs):
     assert line_dedup.dedup_lines(docs([])).count() == 0
 
 
+def test_line_edits_grow_with_length(spark, docs):
+    rnd = random.Random(8)
+    rows, lines = [], []
+    for n in (30, 45, 59, 60, 61, 90, 119, 120, 123, 180, 239, 240, 247, 300, 479, 480, 700):
+        base = "".join(rnd.choice("abcdefgh é") for _ in range(n - 1)) + "."
+        lines += [base] + [changed(rnd, base, k) for k in (1, 2, 3, 4, 5, 8, 9, 12)]
+    rows = [(d, "\n".join([line, "tiny", ""])) for d, line in enumerate(lines)]
+    most = lambda n: max([k for least, k in ((30, 1), (60, 2), (120, 4), (240, 8)) if n >= least], default=-1)
+    near = lambda x, y: abs(len(x) - len(y)) <= most(min(len(x), len(y))) and edits(x, y) <= most(min(len(x), len(y)))
+    want = {d: "\n".join(([] if any(near(x, y) for y in lines[:d]) else [x]) + ([] if d else ["tiny"]) + [""]) for d, x in enumerate(lines)}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(rows), least_exact=1).collect()}
+    assert got == {d: t for d, t in want.items() if t.strip()}
+
+
 def shingles(t):
     w = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
     return collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else None
