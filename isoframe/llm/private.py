@@ -1,14 +1,15 @@
 """Personal data: patterns, and terms that by corpus co-occurrence give a protected entity away.
 
 Matches of fixed patterns are the protected entities. How strongly a term reveals an entity is
-measured over the whole corpus: with n(e, t) documents that have t near e and n(t) documents that
+measured over the whole corpus: with n(e, t) documents that have both and n(t) documents that
 have t at all, -log2(n(e, t) / n(t)) bits about e stay hidden from one who reads t. Terms that leave
-fewer than ``max_bits`` are spans too, and the redaction generalises entities to their kind and
-removes such terms.
+no more than ``max_bits`` are spans wherever they stand, also where no entity is, and the redaction
+generalises entities to their kind and removes such terms.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -61,13 +62,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _entity(text: str, span: tuple[str, int, int]) -> str:
+    kind, start, end = span
+    value = text[start:end]
+    return f"{kind}:{value.lower() if kind in ('email', 'ip') else ''.join(DIGITS.findall(value))}"
+
+
 def nearby_terms(text: str, spans: list[tuple[str, int, int]], reach: int, least_chars: int):
     """(entity, term, start, end, context) for the terms among the ``reach`` words on either side of each span."""
     # Words of a window of characters that surely holds enough words where they are of common length, doubled until it does.
     covered = sorted((s, e) for _, s, e in spans)
     for kind, start, end in spans:
-        value = text[start:end]
-        entity = f"{kind}:{value.lower() if kind in ('email', 'ip') else ''.join(DIGITS.findall(value))}"
+        entity = _entity(text, (kind, start, end))
         for side in (-1, 1):
             size = 32 * reach
             while True:
@@ -90,18 +96,48 @@ def nearby_terms(text: str, spans: list[tuple[str, int, int]], reach: int, least
 
 
 _TO_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-_FOUND = "row_id long, doc_id string, base array<struct<kind:int,s:int,e:int>>, near array<struct<entity:string,term:string,s:int,e:int,context:string>>"
+_FOUND = "row_id long, doc_id string, base array<struct<kind:int,s:int,e:int>>, entities array<struct<entity:string,c:long>>, terms array<long>"
+#: Up to so many telling terms go to the tasks as one array of 8 bytes each; more are joined by shuffle.
+BROADCAST_TERMS = 200_000
+SALTS = 16
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _entities(text: str, spans: list[tuple[str, int, int]], reach: int, least_chars: int) -> list[tuple[str, int]]:
+    """Each entity of a text, with a hash of all the surroundings in which it stands there."""
+    around = {_entity(text, span): set() for span in spans}
+    for entity, _, _, _, context in nearby_terms(text, spans, reach, least_chars):
+        around[entity].add(context)
+    return [(entity, _hash("\n".join(sorted(x)))) for entity, x in around.items()]
+
+
+def _terms(text: str, spans: list[tuple[str, int, int]], least_chars: int) -> list[int]:
+    """Hashes of the different terms of a text outside its entities."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    hashes = hashed_words(data, np.array([0, len(data)], np.int64))[0].view(np.int64)
+    covered, at, out = sorted((s, e) for _, s, e in spans), 0, set()
+    reached = 0  # the furthest end of the entities that start before the word's end
+    for h, w in zip(hashes.tolist(), TERM.finditer(text), strict=True):
+        while at < len(covered) and covered[at][0] < w.end():
+            reached, at = max(reached, covered[at][1]), at + 1
+        if reached <= w.start() and len(w[0]) >= least_chars and not w[0].isdigit():
+            out.add(h)
+    return list(out)
 
 
 def scan(documents: DataFrame, reach: int, least_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            base, near = [], []
+            base, entities, terms = [], [], []
             for text in pdf["text"]:
                 spans = base_spans(text)
                 base.append([(KINDS.index(k), s, e) for k, s, e in spans])
-                near.append(list(nearby_terms(text, spans, reach, least_chars)) if spans else [])
-            yield pd.DataFrame({"row_id": pdf["row_id"], "doc_id": pdf["doc_id"], "base": base, "near": near})
+                entities.append(_entities(text, spans, reach, least_chars) if spans else [])
+                terms.append(_terms(text, spans, least_chars) if spans else [])
+            yield pd.DataFrame({"row_id": pdf["row_id"], "doc_id": pdf["doc_id"], "base": base, "entities": entities, "terms": terms})
 
     rows = documents.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # The id crosses pandas as text, which keeps nulls and all digits.
@@ -126,15 +162,49 @@ def term_documents(documents: DataFrame, text_col: str = "text") -> DataFrame:
     return documents.select(F.col(text_col).alias("text")).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _term_hashes(terms: DataFrame) -> DataFrame:
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marked(rows: DataFrame, terms: np.ndarray | None) -> DataFrame:
+    """(row_id, extra) of the rows (row_id, text) that have any of the terms, given as sorted hashes or as a column ``terms``."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for a, b, data, offsets in text_slices(batch.column(1)):
+                words, first, starts, ends = hashed_words(data, offsets)
+                words, owner = words.view(np.int64), np.repeat(np.arange(b - a), np.diff(first))
+                if terms is not None:
+                    hit = np.isin(words, terms)
+                else:
+                    hit = np.zeros(len(words), bool)
+                    for i in range(b - a):
+                        hit[first[i] : first[i + 1]] = np.isin(words[first[i] : first[i + 1]], batch.column(2)[a + i].values.to_numpy())
+                owner = owner[hit]
+                points = np.zeros(len(data) + 1, np.int64)  # code points before each byte
+                np.cumsum((data & 0xC0) != 0x80, out=points[1:])
+                s, e = (points[x[hit]] - points[offsets[owner]] for x in (starts, ends))
+                kept, n = np.unique(owner, return_counts=True)
+                span = pa.StructArray.from_arrays([pa.array(np.full(len(s), len(KINDS), np.int32)), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["kind", "s", "e"])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), span)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][kept]), lists], ["row_id", "extra"])
+
+    return rows.mapInArrow(mark, "row_id long, extra array<struct<kind:int,s:int,e:int>>")
+
+
+def _row_terms(rows: DataFrame) -> DataFrame:
+    """(row_id, h): the different words of each row, by hash."""
+
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros(batch.num_rows, np.int64)
-            for a, b, data, offsets in text_slices(batch.column(0)):
-                out[a:b] = hashed_words(data, offsets)[0].view(np.int64)  # each term is one word
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["term", "h"])
+            ids = batch.column(0).to_numpy()
+            for a, _, data, offsets in text_slices(batch.column(1)):
+                words, first, _, _ = hashed_words(data, offsets)
+                owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                order = np.lexsort((words, owner))
+                w, o = words[order].view(np.int64), owner[order]
+                new = np.ones(len(w), bool)
+                new[1:] = (w[1:] != w[:-1]) | (o[1:] != o[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a + o[new]]), pa.array(w[new])], ["row_id", "h"])
 
-    return terms.mapInArrow(hashed, "term string, h long")
+    return rows.mapInArrow(words_of, "row_id long, h long")
 
 
 def find_private(
@@ -148,24 +218,33 @@ def find_private(
 ) -> DataFrame:
     """Spans of personal data of every row: row_id, doc_id, spans as array of (kind, s, e), kinds numbered as in KINDS + term.
 
-    A term of at least ``least_chars`` characters within ``reach`` words of an entity is a span where it
-    stood so in ``least_contexts`` different surroundings (copies of a text count once) and leaves at most
-    ``max_bits`` bits about the entity. Null and empty texts have no spans; repeated rows each get a row;
-    other columns are not read.
+    A term of at least ``least_chars`` characters is telling where it stands in documents of an entity that show the
+    entity in ``least_contexts`` different surroundings of ``reach`` words (copies of a text count once) and leaves at
+    most ``max_bits`` bits about it. Every occurrence of a telling term in any row is a span, other than inside an
+    entity. Null and empty texts have no spans; repeated rows each get a row; other columns are not read.
     """
     found = scan(documents, reach, least_chars, id_col, text_col)
-    near = found.select("row_id", F.explode("near").alias("x")).select("row_id", "x.*")
+    each = found.select("row_id", F.explode("entities").alias("x")).select("row_id", "x.*")
+    # An entity with fewer surroundings in all has no telling terms.
+    often = each.groupBy("entity").agg(F.count_distinct("c").alias("k")).where(F.col("k") >= least_contexts).select("entity")
     pairs = (
-        near.groupBy("entity", "term", "row_id").agg(F.min(F.xxhash64("context")).alias("c"))
-        .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.count_distinct("c").alias("contexts"))
+        each.join(often, "entity").join(found.select("row_id", "terms"), "row_id").select("entity", "c", F.explode("terms").alias("h"))
+        .groupBy("entity", "h", "c").agg(F.count(F.lit(1)).alias("both"))
+        .groupBy("entity", "h").agg(F.sum("both").alias("both"), F.count(F.lit(1)).alias("contexts"))
         .where(F.col("contexts") >= least_contexts)
+        .groupBy("h").agg(F.max("both").alias("both"))
     )
-    hashes = _term_hashes(pairs.select("term").distinct())
-    seen = term_documents(documents, text_col).join(hashes, "h").select("term", "n")
-    telling = pairs.join(seen, "term").where(F.col("both") >= F.col("n") * F.lit(2.0**-max_bits)).select("entity", "term")
-    extra = near.join(telling, ["entity", "term"]).groupBy("row_id").agg(F.collect_set(F.struct(F.lit(len(KINDS)).alias("kind"), "s", "e")).alias("extra"))
-    spans = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast("array<struct<kind:int,s:int,e:int>>"))))
-    return found.select("row_id", "doc_id", "base").join(extra, "row_id", "left").select("row_id", "doc_id", "base", spans.alias("spans"))
+    telling = written(pairs.join(term_documents(documents, text_col), "h").where(F.col("both") >= F.col("n") * F.lit(2.0**-max_bits)).select("h"), "private-terms")
+    rows = documents.select(F.monotonically_increasing_id().alias("row_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if telling.count() <= BROADCAST_TERMS:
+        extra = _marked(rows, np.sort(np.array([r["h"] for r in telling.collect()], np.int64)))
+    else:
+        salted = telling.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        per_row = _row_terms(rows).withColumn("salt", F.pmod("row_id", F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"]).groupBy("row_id").agg(F.collect_list("h").alias("terms"))
+        extra = _marked(rows.join(per_row, "row_id").select("row_id", "text", "terms"), None)
+    none = F.array().cast("array<struct<kind:int,s:int,e:int>>")
+    outside = F.filter(F.coalesce("extra", none), lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    return found.select("row_id", "doc_id", "base").join(extra, "row_id", "left").select("row_id", "doc_id", "base", F.array_sort(F.concat("base", outside)).alias("spans"))
 
 
 def redact(documents: DataFrame, spans: DataFrame, text_col: str = "text") -> DataFrame:

@@ -131,6 +131,17 @@ def test_telling_terms(spark, docs):
     assert private.find_private(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_telling_terms_go_wherever_they_stand(spark, docs, monkeypatch, bound):
+    monkeypatch.setattr(private, "BROADCAST_TERMS", bound)
+    far = "one two three four five six seven eight nine ten"
+    rows = [(i, f"sender {i * 7} wrote to x@y.example.org and {far} Zanzibarian é{i} zanzibarian") for i in range(3)]
+    rows += [(10, "é here only zanzibarian is left"), (11, f"sender wrote {far} and example"), (12, f"sender wrote {far}"), (13, f"sender wrote {far}"), (14, f"sender wrote {far}")]
+    text = dict(rows)
+    got = {r.doc_id: [text[r.doc_id][x.s : x.e] for x in r.spans if x.kind == 4] for r in private.find_private(docs(rows)).collect()}
+    assert got == {**{i: ["Zanzibarian", "zanzibarian"] for i in range(3)}, 10: ["zanzibarian"], **{i: [] for i in range(11, 15)}}
+
+
 def test_warc_round_trip(spark):
     rows = [(3, "http://a/%0A\r\n", "same"), (2, None, "same"), (5, "u", "é" * 100_000), (7, "u", None), (6, "u", ""), (None, "n", "same"), (2, None, "same")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("d"))
