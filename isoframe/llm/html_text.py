@@ -3,7 +3,8 @@
 The pages of a host share a tree of styles: elements by tag and class on the same path. Over all pages
 of a host, an element's importance is the entropy of its presentations (sequences of child tags) and of
 its content (texts), relative to their greatest value. Branches whose importance stays low on enough
-pages are the site's own furniture and are left out, next to elements whose tag or class says so.
+pages are the site's own furniture and are left out, and so are texts that many pages have at one path. Tags
+and classes that name furniture are a prior: such elements need a high importance to stay.
 """
 
 from __future__ import annotations
@@ -11,12 +12,15 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Fixed values of HTML: elements without content, with raw text, and those that break a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe noscript".split())
@@ -28,17 +32,15 @@ ENDS_P = frozenset(
 )
 SELF_ENDING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table select body html article section div main".split())
-#: Elements and words of a class, id or role that never hold main text.
-DROP_TAGS = frozenset(
-    "head script style template noscript iframe object svg math canvas nav footer aside form button select textarea dialog menu audio video map".split()
-)
+#: Elements that hold no text of the page.
+DROP_TAGS = frozenset("head script style template noscript iframe object svg math canvas button select textarea audio video map".split())
+#: Elements and words of a class, id or role that mostly hold no main text.
+FURNITURE_TAGS = frozenset("nav footer aside form dialog menu".split())
 DROP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead "
     "cookie cookies consent gdpr notice notices popup modal overlay comment comments disqus reply replies share sharing social related recommended newsletter "
     "subscribe signup login search widget pagination pager toolbar skip copyright complementary contentinfo".split()
 )
-#: Inside an article these hold its text whatever the statistics say.
-TEXT_TAGS = frozenset("article main section p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table tbody thead tr td th figure figcaption".split()) | INLINE
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -47,7 +49,7 @@ SPLIT_NAME = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Element:
-    __slots__ = ("tag", "style", "drop", "kids", "path", "parent", "in_article", "plain")
+    __slots__ = ("tag", "style", "drop", "kids", "path", "parent", "in_article", "named", "holds")
 
     def __init__(self, tag: str, attributes: str, parent: "Element | None"):
         named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
@@ -55,11 +57,20 @@ class Element:
         self.style = tag + ("." + ".".join(sorted(named["class"].lower().split())) if named.get("class") else "")
         words = {w.lower() for v in named.values() for w in SPLIT_NAME.split(v)}
         inside = parent is not None and parent.in_article
-        self.drop = (parent is not None and parent.drop) or tag in DROP_TAGS or (tag == "header" and not inside) or bool(words & DROP_WORDS and tag not in ("html", "body"))
+        self.drop = (parent is not None and parent.drop) or tag in DROP_TAGS
+        self.named = tag in FURNITURE_TAGS or (tag == "header" and not inside) or bool(words & DROP_WORDS and tag not in ("html", "body"))
         self.in_article = inside or tag in ("article", "main")
-        self.plain = self.in_article and (not inside or parent.plain) and tag in TEXT_TAGS and not (named.get("class") and tag not in ("article", "main"))
+        self.holds = tag in ("article", "main")  # is or has an article or main element
+        if self.holds:
+            above = parent
+            while above is not None and not above.holds:
+                above.holds, above = True, above.parent
         self.path = (parent.path + "/" if parent else "") + self.style
 
+    def furniture(self) -> bool:
+        """Whether a name speaks against the element or one around it; articles and what is around them are not judged by name."""
+        return (self.named and not self.holds) or (self.parent is not None and self.parent.furniture())
+
 
 def read_page(source: str) -> tuple[list[tuple[Element, str]], list[Element]]:
     """Blocks of text with the element they stand in, in page order, and all elements."""
@@ -139,11 +150,12 @@ def _host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def style_tree(pages: DataFrame, gamma: float = 0.2) -> DataFrame:
-    """(key, n, importance) of each styled path of each host; ``n`` counts its texts.
+def style_tree(pages: DataFrame, least_pages: int, least_importance: float, gamma: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """(key, n, importance) of each styled path of each host, and (key, value) of the texts common at a path.
 
     Importance is (1 - gamma) times the relative entropy of the texts of the path and gamma times that of
-    the presentations of the element above. Counts are summed per task before the shuffle, so neither
+    the presentations of the element above. Texts common at the path (see :func:`main_text`) do not enter it, so that they
+    take no other text along; ``n`` counts the rest. Equal pages of a host count once. Counts are summed per task before the shuffle, so neither
     a host nor a path is ever gathered in one place.
     """
 
@@ -152,63 +164,90 @@ def style_tree(pages: DataFrame, gamma: float = 0.2) -> DataFrame:
             out = []
             for url, source in zip(pdf["url"], pdf["html"], strict=True):
                 host = _host_of(url)
+                page = _key(host, source or "")
                 blocks, elements = read_page(source or "")
+                mine = Counter()
                 for element, text in blocks:
                     if not element.drop and element.parent is not None:
-                        out.append((_key(host, element.path), 0, _key("", text), _key(host, element.parent.path)))
+                        mine[_key(host, element.path), 0, _key("", text), _key(host, element.parent.path)] += 1
+                for key in {x[0] for x in mine}:
+                    mine[key, 2, 0, 0] = 1
                 holders = {id(e.parent): e.parent for e, _ in blocks if not e.drop and e.parent is not None}
-                out += [(_key(host, e.path), 1, _key("", " ".join(e.kids)), 0) for e in holders.values()]
-            yield pd.DataFrame(out, columns=["key", "kind", "value", "above"])
-
-    rows = pages.select("url", "html").mapInPandas(seen, "key long, kind int, value long, above long")
-    counted = rows.groupBy("key", "kind", "value").agg(F.count(F.lit(1)).alias("c"), F.max("above").alias("above"))
+                for e in holders.values():
+                    mine[_key(host, e.path), 1, _key("", " ".join(e.kids)), 0] += 1
+                out += [(*x, page, c) for x, c in mine.items()]
+            yield pd.DataFrame(out, columns=["key", "kind", "value", "above", "page", "c"])
+
+    rows = pages.select("url", "html").mapInPandas(seen, "key long, kind int, value long, above long, page long, c long")
+    once = rows.groupBy("key", "kind", "value", "page").agg(F.max("c").alias("c"), F.max("above").alias("above"))
+    counted = written(once.groupBy("key", "kind", "value").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("pages"), F.max("above").alias("above")), "style-tree")
     c = F.col("c").cast("double")
-    shape = counted.groupBy("key", "kind").agg(F.sum("c").alias("n"), F.sum(c * F.log(c)).alias("x"), F.max("above").alias("above"))
+    of = counted.where("kind = 2").select("key", F.col("pages").alias("of"))
+    common = (
+        counted.where("kind = 0 AND pages > 1").select("key", "value", "pages").join(of.where(F.col("of") >= least_pages), "key")
+        .where(1 - F.log(F.col("pages")) / F.log(F.col("of")) < least_importance).select("key", "value")
+    )
+    rest = counted.where("kind = 0").join(common, ["key", "value"], "left_anti").select("key", "kind", "c", "above").unionByName(counted.where("kind = 1").select("key", "kind", "c", "above"))
+    shape = rest.groupBy("key", "kind").agg(F.sum("c").alias("n"), F.sum(c * F.log(c)).alias("x"), F.max("above").alias("above"))
     n = F.col("n").cast("double")
     entropy = F.when(F.col("n") > 1, (F.log(n) - F.col("x") / n) / F.log(n)).otherwise(1.0)
     shape = shape.select("key", "kind", "n", "above", entropy.alias("entropy"))
     content = shape.where("kind = 0")
     presentation = shape.where("kind = 1").select(F.col("key").alias("above"), F.col("entropy").alias("shape"))
-    return content.join(presentation, "above", "left").select("key", "n", ((1 - gamma) * F.col("entropy") + gamma * F.coalesce("shape", F.lit(0.0))).alias("importance"))
+    paths = content.join(presentation, "above", "left").select("key", "n", ((1 - gamma) * F.col("entropy") + gamma * F.coalesce("shape", F.lit(0.0))).alias("importance"))
+    return paths, common
 
 
-def main_text(pages: DataFrame, least_pages: int = 10, least_importance: float = 0.5) -> DataFrame:
+def main_text(pages: DataFrame, least_pages: int = 10, least_importance: float = 0.5, named_importance: float = 0.75) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages (page_id, url, html).
 
-    Blocks inside the page's article or main element, or in the whole page without one, in page order,
-    without elements that are furniture by name and without branches that the host's style tree finds
-    unimportant over at least ``least_pages`` texts. Plain text elements of an article always stay. Null and
-    empty html give the empty text; pages without a host share one tree; repeated rows each get a row.
+    Blocks inside the page's article or main element, or in the whole page without one, in page order. Where the host's
+    style tree has at least ``least_pages`` texts of a path, it decides: the path goes with an importance below
+    ``least_importance``, or below ``named_importance`` if a name calls it furniture. With fewer texts the name alone
+    decides. A text that ``pages`` of at least ``least_pages`` pages with its path have there goes where
+    1 - log(pages) / log(all) is below ``least_importance``. Null and empty html give the empty text; pages without a
+    host share one tree; repeated rows each get a row.
     """
     rows = pages.select(F.monotonically_increasing_id().alias("row_id"), "page_id", "url", "html")
-    low = style_tree(pages).where((F.col("n") >= least_pages) & (F.col("importance") < least_importance)).select("key")
+    paths, common = style_tree(pages, least_pages, least_importance)
+    known = F.col("n") >= least_pages
+    low = paths.where(known & (F.col("importance") < least_importance)).select("key", F.lit(0).alias("kind"))
+    sure = paths.where(known & (F.col("importance") >= named_importance)).select("key", F.lit(1).alias("kind"))
 
     def keys_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for row, url, source in zip(pdf["row_id"], pdf["url"], pdf["html"], strict=True):
                 host = _host_of(url)
-                out += [(row, k) for k in {_key(host, e.path) for e, _ in read_page(source or "")[0] if not e.drop and not e.plain}]
-            yield pd.DataFrame(out, columns=["row_id", "key"])
+                out += [(row, *x) for x in {(_key(host, e.path), _key("", t)) for e, t in read_page(source or "")[0] if not e.drop}]
+            yield pd.DataFrame(out, columns=["row_id", "key", "value"])
 
-    asked = rows.select("row_id", "url", "html").mapInPandas(keys_of, "row_id long, key long")
-    drops = asked.join(low, "key").groupBy("row_id").agg(F.collect_set("key").alias("low"))
+    asked = written(rows.select("row_id", "url", "html").mapInPandas(keys_of, "row_id long, key long, value long"), "page-paths")
+    marks = asked.select("row_id", "key").distinct().join(low.unionByName(sure), "key").select("row_id", "kind", "key")
+    marks = marks.unionByName(asked.join(common, ["key", "value"]).select("row_id", F.lit(2).alias("kind"), F.col("key").bitwiseXOR(F.col("value")).alias("key")))
+    of_kind = lambda k: F.collect_set(F.when(F.col("kind") == k, F.col("key")))
+    found = marks.groupBy("row_id").agg(of_kind(0).alias("low"), of_kind(1).alias("sure"), of_kind(2).alias("common"))
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for url, source, found in zip(pdf["url"], pdf["html"], pdf["low"], strict=True):
-                host, unimportant = _host_of(url), set(found) if found is not None else set()
-                blocks, elements = read_page(source or "")
-                kept = [(e, t) for e, t in blocks if not e.drop and (e.plain or not unimportant or _key(host, e.path) not in unimportant)]
+            for url, source, *sets in zip(pdf["url"], pdf["html"], pdf["low"], pdf["sure"], pdf["common"], strict=True):
+                host = _host_of(url)
+                low, sure, common = (set(x) if x is not None else set() for x in sets)
+                kept = []
+                for e, t in read_page(source or "")[0]:
+                    if not e.drop:
+                        key = _key(host, e.path)
+                        if key not in low and (key in sure or not e.furniture()) and key ^ _key("", t) not in common:
+                            kept.append((e, t))
                 if any(e.in_article for e, _ in kept):
                     kept = [(e, t) for e, t in kept if e.in_article]
                 out.append("\n\n".join(t for _, t in kept))
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": out, "n_chars": [len(t) for t in out]})
 
-    joined = rows.join(drops, "row_id", "left").select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "low")
-    found = joined.mapInPandas(extract, "page_id string, url string, text string, n_chars long")
-    return found.withColumn("page_id", F.col("page_id").cast("long"))
+    joined = rows.join(found, "row_id", "left").select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "low", "sure", "common")
+    out = joined.mapInPandas(extract, "page_id string, url string, text string, n_chars long")
+    return out.withColumn("page_id", F.col("page_id").cast("long"))
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:

@@ -110,6 +110,17 @@ def test_style_tree_finds_furniture_without_names(spark):
     assert {r.text for r in got} == {f"Own text of page {i} and no other" for i in range(40)}
 
 
+def test_statistics_decide_over_names(spark):
+    page = "<html><body><div id='page-with-sidebar'><main class='has-sidebar'><article class='post share'><p>Own text {i}</p><p>Subscribe today</p></article></main></div><div class='ad'>Buy</div></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.format(i=i)) for i in range(30)]
+    rows += [(100 + i, f"http://m.example/{i}", "<article><p>Mirrored text</p></article>") for i in range(20)]
+    rows += [(200 + i, f"http://n.example/{i}", f"<div class='social history'>Study {i} of society</div><div class='promo'>Offer {i % 2}</div>") for i in range(20)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"Own text {i}" for i in range(30)}, **{100 + i: "Mirrored text" for i in range(20)}, **{200 + i: f"Study {i} of society" for i in range(20)}}
+    one = spark.createDataFrame([rows[0]], "page_id long, url string, html string")
+    assert html_text.main_text(one).first().text == "Own text 0\n\nSubscribe today"
+
+
 def test_private_spans(spark, docs):
     text = "Mail a.b@c.example.org or +44 (20) 7946-0958, host 10.0.0.255, not 1.2.3.456; card 4111 1111 1111 1111, not 4111 1111 1111 1112."
     assert [(k, text[s:e]) for k, s, e in private.base_spans(text)] == [
