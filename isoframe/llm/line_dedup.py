@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import numbered, written
 
 #: Place of a line in the table: documents by id, lines by number; one number that aggregates and compares fast.
 _PLACE = "decimal(38,0)"
@@ -154,7 +154,7 @@ def _bit(word: Column, at: Column) -> Column:
     return F.floor(word / F.pow(F.lit(2.0), at)).cast("long").bitwiseAND(F.lit(1).cast("long")).cast("int")
 
 
-def repeated_lines(documents: DataFrame, least_chars: int = 30, edits=EDITS, id_col: str = "doc_id", text_col: str = "text", least_exact: int | None = None) -> tuple[DataFrame, DataFrame]:
+def repeated_lines(documents: DataFrame, least_chars: int = 30, edits=EDITS, id_col: str = "doc_id", text_col: str = "text", least_exact: int | None = None, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, drops): rows (row_id, doc_id, text), and drops (row_id, places, near) for rows with repeated lines.
 
     A line (between line feeds) of at least ``least_chars`` characters is repeated if an equal line, or one within
@@ -164,7 +164,9 @@ def repeated_lines(documents: DataFrame, least_chars: int = 30, edits=EDITS, id_
     a near match. Rows that repeat a doc_id are copies of one document: lines at equal places in them do
     not repeat one another. A null id counts as the smallest; null and empty texts have no lines to drop.
     """
-    rows = documents.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    numbers = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    rows = documents.select(numbers.alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = written(rows, "line-rows") if row_col is None else rows
     place = (F.coalesce("doc_id", F.lit(_LOWEST)).cast(_PLACE) * F.lit(2**31).cast("decimal(11,0)") + F.col("at").cast("decimal(10,0)")).cast(_PLACE)
     lines = (
         rows.select("row_id", "doc_id", F.posexplode_outer(F.split("text", "\n")).alias("at", "line"))
@@ -242,9 +244,10 @@ def dedup_lines(documents: DataFrame, least_chars: int = 30, edits=EDITS, least_
 
     ``n_chars``, where there is such a column, is counted anew for changed texts.
     """
-    _, drops = repeated_lines(documents, least_chars, edits, least_exact=least_exact)
+    docs = numbered(documents, "line-documents", "__row")
+    _, drops = repeated_lines(docs, least_chars, edits, least_exact=least_exact, row_col="__row")
     found = drops.select(F.col("row_id").alias("__row"), F.col("places").alias("__places"))
-    out = documents.withColumn("__row", F.monotonically_increasing_id()).join(found, "__row", "left")
+    out = docs.join(found, "__row", "left")
     out = out.withColumn("text", _kept(F.col("text"), F.col("__places"))).where(F.col("__places").isNull() | (F.trim("text") != ""))
     if "n_chars" in documents.columns:
         counted = F.char_length("text").cast(documents.schema["n_chars"].dataType)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hashed_words, mix, shingle_hashes, text_slices, written
+from .shared import hashed_words, mix, numbered, shingle_hashes, text_slices, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -265,7 +265,7 @@ def _links_of_buckets(bucket: DataFrame, rows: DataFrame, k: int, similarity: fl
     return _merged(classes, as_links(third)), links.union(as_links(third)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(documents: DataFrame, k: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, band_rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(documents: DataFrame, k: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, band_rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Classes of near duplicates: row_id, doc_id, class_id, class_row, n_links for every row.
 
     Two texts are linked when the weighted Jaccard similarity of their shingle multisets is at least
@@ -274,7 +274,9 @@ def near_duplicates(documents: DataFrame, k: int = WORDS, similarity: float = SI
     for texts with the same multiset, those to the first of them. Texts of fewer than k words are one shingle; null,
     empty and wordless texts are classes of their own; null ids come first. Repeated rows are copies of each other.
     """
-    rows = documents.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    numbers = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    rows = documents.select(numbers.alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = written(rows, "near-rows") if row_col is None else rows
     scanned = written(_scan(rows, k, bands, band_rows), "near-scan")
     order = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), "row_id")
     # One row per multiset; copies are counted where they lie before anything is shuffled.
@@ -302,8 +304,9 @@ def near_duplicates(documents: DataFrame, k: int = WORDS, similarity: float = SI
 
 def dedup_near(documents: DataFrame, k: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``documents`` with the first row of each class only, columns as they are."""
-    keep = near_duplicates(documents, k, similarity).where("row_id = class_row").select(F.col("row_id").alias("__row"))
-    return documents.withColumn("__row", F.monotonically_increasing_id()).join(keep, "__row", "left_semi").drop("__row")
+    docs = numbered(documents, "near-documents", "__row")
+    keep = near_duplicates(docs, k, similarity, row_col="__row").where("row_id = class_row").select(F.col("row_id").alias("__row"))
+    return docs.join(keep, "__row", "left_semi").drop("__row")
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:

@@ -42,6 +42,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def numbered(df: DataFrame, name: str, column: str = "row_id") -> DataFrame:
+    """A frame with row numbers, written once: another scan may split the files differently and give other numbers."""
+    return written(df.withColumn(column, F.monotonically_increasing_id()), name)
+
+
 def lower_ascii(text):
     """Lower-case A-Z only; the fast path holds where every character is ASCII."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

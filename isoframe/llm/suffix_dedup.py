@@ -310,6 +310,7 @@ def repeated_bytes(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     rows = documents.select(
         F.monotonically_increasing_id().alias("row_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("key_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
+    rows = written(rows, "suffix-rows")
     scanned = _scan_buckets(_runs(rows, length, gram))
     marked = scanned.where("kind < 2").select("kind", "v", "doc_id", "row_id", "at", "n").unionByName(_across(scanned))
     looked = marked.where("kind = 1").select("v", "row_id", "at", "n").distinct()

@@ -156,6 +156,25 @@ def test_near_duplicates_of_odd_tables(spark, docs):
     assert near_dup.near_duplicates(docs([])).count() == 0
 
 
+def test_rows_keep_their_numbers_when_splits_change(spark, docs, monkeypatch, tmp_path):
+    word = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    rows = [(d, " ".join(word(i) for i in range(60 * (d // 2), 60 * (d // 2) + 60)) + ("" if d % 2 else " more")) for d in range(24)]
+    docs(rows).repartition(8, "doc_id").write.parquet(f"{tmp_path}/d")
+    sizes = iter(["1k", "128m", "6k", "12k"] * 20)
+
+    def resized(df, name):
+        out = shared.written(df, name)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        return out
+
+    monkeypatch.setattr(near_dup, "written", resized)
+    try:
+        got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.read.parquet(f"{tmp_path}/d")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {d: d - d % 2 for d in range(24)}
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     items = shared.mix(np.arange(1, 201, dtype=np.uint64))
