@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, line_dedup, near_dup, packing, private, suffix_dedup, topk, toxicity, warc
+from . import decontaminate, exact_dedup, html_text, line_dedup, near_dup, packing, private, suffix_dedup, topk, toxicity, warc
 
 QUERIES = {
     "op1_cover_tree_topk": topk.op1_query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_private_data": private.op8_query,
     "op9_warc": warc.op9_query,
     "op10_near_dup": near_dup.op10_query,
+    "op11_exact_dedup": exact_dedup.op11_query,
 }
 
 #: SQL of those that SQL can express.
@@ -22,4 +23,5 @@ ORACLES = {
     "op1_cover_tree_topk": topk.OP1_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op9_warc": warc.OP9_SQL,
+    "op11_exact_dedup": exact_dedup.OP11_SQL,
 }

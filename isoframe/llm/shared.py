@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoframe.session import checkpoint_dir
@@ -47,6 +47,44 @@ def numbered(df: DataFrame, name: str, column: str = "row_id") -> DataFrame:
     return written(df.withColumn(column, F.monotonically_increasing_id()), name)
 
 
+class Scratch:
+    """Tables of one run in the shared folder; each can be emptied once nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self._spark, self._folder = spark, shared_folder(spark, name)
+
+    def put(self, df: DataFrame, name: str, split: str | None = None) -> DataFrame:
+        """Write a frame and read it back; with ``split``, rows of one value of that column can be emptied alone."""
+        folder = f"{self._folder}/{name}"
+        (df.write.partitionBy(split) if split else df.write).parquet(folder)
+        return self._spark.read.schema(df.schema).parquet(folder)
+
+    def drop(self, name: str) -> None:
+        self._spark.range(0).write.mode("overwrite").parquet(f"{self._folder}/{name}")
+
+
+#: Cells into which a join with very frequent keys is cut.
+CELLS = 2000
+
+
+def join_frequent(left: DataFrame, right: DataFrame, keys: list[str], n: str, spread: Column, how: str = "inner") -> DataFrame:
+    """Join many rows of ``left`` with the one row of their key in ``right``, however often a key stands in ``left``.
+
+    Column ``n`` of ``right`` says how many rows of ``left`` have the key. No task gets more than about 1 / CELLS of
+    all rows through one key: rows of a more frequent key are dealt by ``spread`` to cells, and its row of ``right``
+    is repeated for each. At most CELLS keys can be that frequent, so the list of them (a hash and a number each)
+    has a fixed bound and is broadcast. ``right`` is read several times and should be a written table.
+    """
+    limit = (right.agg(F.sum(n)).first()[0] or 0) // CELLS + 1
+    key = F.xxhash64(*keys)
+    frequent = right.where(F.col(n) > limit).groupBy(key.alias("__key")).agg(F.ceil(F.sum(n) / limit).cast("int").alias("__cells"))
+    # a rarer key with the hash of a frequent one is dealt to cells on both sides as well
+    dealt = lambda df: df.withColumn("__key", key).join(F.broadcast(frequent), "__key", "left").drop("__key")
+    many = dealt(left).withColumn("__cell", F.coalesce(F.pmod(spread, F.col("__cells")), F.lit(0)).cast("int")).drop("__cells")
+    one = dealt(right).withColumn("__cell", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__cells") - 1, F.lit(0))))).drop("__cells")
+    return many.join(one, [*keys, "__cell"], how).drop("__cell")
+
+
 def lower_ascii(text):
     """Lower-case A-Z only; the fast path holds where every character is ASCII."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
