@@ -73,7 +73,8 @@ def join_frequent(left: DataFrame, right: DataFrame, keys: list[str], n: str, sp
     Column ``n`` of ``right`` says how many rows of ``left`` have the key. No task gets more than about 1 / CELLS of
     all rows through one key: rows of a more frequent key are dealt by ``spread`` to cells, and its row of ``right``
     is repeated for each. At most CELLS keys can be that frequent, so the list of them (a hash and a number each)
-    has a fixed bound and is broadcast. ``right`` is read several times and should be a written table.
+    has a fixed bound and is broadcast. Both sides are shuffled at every size. ``right`` is read several times and
+    should be a written table.
     """
     limit = (right.agg(F.sum(n)).first()[0] or 0) // CELLS + 1
     key = F.xxhash64(*keys)
@@ -82,7 +83,7 @@ def join_frequent(left: DataFrame, right: DataFrame, keys: list[str], n: str, sp
     dealt = lambda df: df.withColumn("__key", key).join(F.broadcast(frequent), "__key", "left").drop("__key")
     many = dealt(left).withColumn("__cell", F.coalesce(F.pmod(spread, F.col("__cells")), F.lit(0)).cast("int")).drop("__cells")
     one = dealt(right).withColumn("__cell", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__cells") - 1, F.lit(0))))).drop("__cells")
-    return many.join(one, [*keys, "__cell"], how).drop("__cell")
+    return many.join(one.hint("merge"), [*keys, "__cell"], how).drop("__cell")
 
 
 def lower_ascii(text):
