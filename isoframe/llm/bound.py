@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversations, decontaminate, exact_dedup, html_text, line_dedup, near_dup, packing, private, suffix_dedup, topk, toxicity, warc
+from . import collocations, conversations, decontaminate, exact_dedup, html_text, line_dedup, near_dup, packing, private, suffix_dedup, topk, toxicity, warc
 
 QUERIES = {
     "op1_cover_tree_topk": topk.op1_query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc": warc.op9_query,
     "op10_near_dup": near_dup.op10_query,
     "op11_exact_dedup": exact_dedup.op11_query,
+    "op12_collocations": collocations.op12_query,
     "op13_conversations": conversations.op13_query,
 }
 
@@ -25,5 +26,6 @@ ORACLES = {
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op9_warc": warc.OP9_SQL,
     "op11_exact_dedup": exact_dedup.OP11_SQL,
+    "op12_collocations": collocations.OP12_SQL,
     "op13_conversations": conversations.OP13_SQL,
 }
