@@ -30,14 +30,14 @@ GAPS = b" \t"
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 
 #: Hashes that a task holds before it sorts and sends them.
-HELD = 6_000_000
+HELD = 2_500_000
 #: Hashes that one range of the hash is meant to get, and bytes of text that give so many.
 RANGE_BYTES = 12_000_000
 #: Bits of the filter per candidate, and at most (32 MB); beyond that more phrases pass it and are counted in vain.
 FILTER_BITS_PER_CANDIDATE = 16
 MOST_FILTER_BITS = 1 << 28
 #: Bytes of a long text that are worked at once; it is cut at a break.
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 20
 #: Parts of a language that are ranked on their own first.
 RANK_CELLS = 256
 SHARD_BITS = 2
@@ -95,7 +95,9 @@ def _packed(longest: int, range_bits: int):
     """First pass: texts to packed (hash with shard, count) arrays of each range of the hash."""
 
     def send(held):
-        keys = np.sort(np.concatenate(held))
+        keys = np.concatenate(held)
+        held.clear()
+        keys.sort()
         new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         counts = np.diff(np.append(new, len(keys))).astype(np.uint32)
         keys = keys[new]
@@ -127,7 +129,7 @@ def _packed(longest: int, range_bits: int):
                         n += len(at)
                 if n >= HELD:
                     yield from send(held)
-                    held, n = [], 0
+                    n = 0
         if n:
             yield from send(held)
 
