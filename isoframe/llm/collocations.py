@@ -3,7 +3,7 @@
 Texts are dealt to ``shards`` by a hash. A phrase with ``support`` occurrences has at least
 ``(support - 1) // shards + 1`` of them in some shard, so mining each shard completely at that local support finds every
 frequent phrase. The first pass counts hashes of phrases per shard: tasks sort what they have read and send packed
-arrays of (hash, count) to ranges of the hash; equal hashes of different phrases only add candidates. The union of the
+arrays of (hash, count) to ranges of the hash; equal short hashes of different phrases only add candidates. The union of the
 locally frequent hashes becomes a filter of bounded size, and the second pass counts all phrases that pass it over the
 whole corpus, by their words and not by hashes. What the filter lets through wrongly is counted as well and ends below
 the support, so the result does not depend on its size.
@@ -40,7 +40,13 @@ MOST_FILTER_BITS = 1 << 28
 RUN_BYTES = 1 << 20
 #: Parts of a language that are ranked on their own first.
 RANK_CELLS = 256
+#: Bits of the shard, and bits of a hash beside its range: in a range of RANGE_BYTES of text about one hash in a thousand
+#: meets another one. Counts of the first pass end at MOST_COUNT.
 SHARD_BITS = 2
+SHORT_BITS = 32 - SHARD_BITS
+MOST_COUNT = (1 << 16) - 1
+#: Counted phrases that a task holds before it adds them up and sends them.
+HELD_ROWS = 300_000
 
 _IS_BREAK = np.zeros(256, bool)
 _IS_BREAK[list(BREAKS)] = True
@@ -91,17 +97,23 @@ def _phrase_hashes(data, starts, stops, seeds, joined, longest: int) -> Iterator
         yield size, at, hashes
 
 
+def _short(hashes: np.ndarray, range_bits: int) -> np.ndarray:
+    """Range and SHORT_BITS further bits of each hash: what the first pass counts and the filter knows."""
+    return hashes >> np.uint64(64 - range_bits - SHORT_BITS)
+
+
 def _packed(longest: int, range_bits: int):
-    """First pass: texts to packed (hash with shard, count) arrays of each range of the hash."""
+    """First pass: texts to packed arrays (short hash within the range and shard, count) of each range of the hash."""
 
     def send(held):
         keys = np.concatenate(held)
         held.clear()
         keys.sort()
         new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        counts = np.diff(np.append(new, len(keys))).astype(np.uint32)
+        counts = np.minimum(np.diff(np.append(new, len(keys))), MOST_COUNT).astype(np.uint16)
         keys = keys[new]
-        of = (keys >> np.uint64(64 - range_bits)).astype(np.int64)
+        of = (keys >> np.uint64(32)).astype(np.int64)
+        keys = keys.astype(np.uint32)
         first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
         last = np.append(first[1:], len(of))
         for part in range(0, len(first), 4096):
@@ -124,8 +136,7 @@ def _packed(longest: int, range_bits: int):
                 rows = owner + first
                 for _, at, hashes in _phrase_hashes(data, starts, stops, seeds[rows], joined, longest):
                     if len(at):
-                        low = np.uint64((1 << SHARD_BITS) - 1)
-                        held.append((hashes & ~low) | shards[rows[at]])
+                        held.append((_short(hashes, range_bits) << np.uint64(SHARD_BITS)) | shards[rows[at]])
                         n += len(at)
                 if n >= HELD:
                     yield from send(held)
@@ -137,29 +148,34 @@ def _packed(longest: int, range_bits: int):
 
 
 def _frequent(local_support: int):
-    """All packed arrays of a range to the hashes that are frequent in some shard."""
+    """All packed arrays of a range to the short hashes that are frequent in some shard."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
-        order = np.argsort(keys)
-        keys = keys[order]
+        sizes = [len(x) // 4 for x in table.column("keys").to_pylist()]
+        both = np.empty(sum(sizes), np.uint64)  # hash and shard above, count below
+        at = 0
+        for n, keys, counts in zip(sizes, table.column("keys"), table.column("counts")):
+            both[at : at + n] = np.frombuffer(keys.as_buffer(), np.uint32)
+            both[at : at + n] <<= np.uint64(16)
+            both[at : at + n] |= np.frombuffer(counts.as_buffer(), np.uint16)
+            at += n
+        both.sort()
+        keys = both >> np.uint64(16)
         new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        total = np.add.reduceat(counts[order].astype(np.int64), new)
-        found = np.unique(keys[new][total >= local_support] >> np.uint64(SHARD_BITS))
+        total = np.add.reduceat((both & np.uint64(MOST_COUNT)).astype(np.int64), new)
         part = table.column("part")[0].as_py()
+        found = np.unique(keys[new][total >= local_support] >> np.uint64(SHARD_BITS)) | np.uint64(part << SHORT_BITS)
         return pa.table({"part": pa.array([part], pa.int64()), "n": pa.array([len(found)], pa.int64()), "hashes": pa.array([found.tobytes()], pa.binary())})
 
     return run
 
 
-def _bits_of(hashes: np.ndarray, range_bits: int, filter_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two places in the filter for each hash (without its shard bits), both in the part of the hash's range."""
+def _bits_of(short: np.ndarray, range_bits: int, filter_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in the filter for each short hash, both in the part of its range."""
     inner = np.uint64(filter_bits - range_bits)
     mask = (np.uint64(1) << inner) - np.uint64(1)
-    whole = np.uint64(64 - SHARD_BITS)
-    base = (hashes >> (whole - np.uint64(range_bits))) << inner
-    return base | ((hashes >> (whole - np.uint64(filter_bits))) & mask), base | (mix(hashes) & mask)
+    base = (short >> np.uint64(SHORT_BITS)) << inner
+    return base | (short & mask), base | (mix(short) & mask)
 
 
 def _segments(range_bits: int, filter_bits: int):
@@ -185,11 +201,26 @@ def _counted(longest: int, range_bits: int, filter_bits: int, filter_var):
     def passing(hashes):
         bits = filter_var.value
         out = np.ones(len(hashes), bool)
-        for places in _bits_of(hashes >> np.uint64(SHARD_BITS), range_bits, filter_bits):
+        for places in _bits_of(_short(hashes, range_bits), range_bits, filter_bits):
             out &= (bits[(places >> np.uint64(3)).astype(np.int64)] >> (places & np.uint64(7)).astype(np.uint8)) & 1 == 1
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for rows in counted(batches):
+            held.append(rows)
+            n += len(rows)
+            if n >= HELD_ROWS:
+                yield from added_up(held)
+                held, n = [], 0
+        if held:
+            yield from added_up(held)
+
+    def added_up(held):
+        total = pa.Table.from_batches(held).group_by(["lang", "size", "phrase"], use_threads=False).aggregate([("f", "sum")])
+        yield from total.rename_columns(["lang", "size", "phrase", "f"]).to_batches(max_chunksize=50_000)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seeds = batch.column("seed").to_numpy().view(np.uint64)
             langs = batch.column("lang").dictionary_encode()
@@ -262,7 +293,7 @@ def phrase_counts(
     n_bytes = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     range_bits = min(max((n_bytes // RANGE_BYTES).bit_length(), 6), 20)
     packed = rows.select("text", "seed", "shard").mapInArrow(_packed(longest, range_bits), "part long, keys binary, counts binary")
-    local_support = (support - 1) // shards + 1
+    local_support = min((support - 1) // shards + 1, MOST_COUNT)
     candidates = packed.groupBy("part").applyInArrow(_frequent(local_support), "part long, n long, hashes binary")
     candidates = scratch.put(candidates, "candidates")
     wanted = FILTER_BITS_PER_CANDIDATE * (candidates.agg(F.sum("n")).first()[0] or 1)
