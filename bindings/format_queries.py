@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from isoframe.functions import numbers, reactions, text, times
@@ -232,14 +233,14 @@ def constants_listing(spark, sf):
 
 # --- structure cards -------------------------------------------------------------------------
 
-CARD_TYPES = {"1": "ADOPTED LEVELS, GAMMAS", "2": "60CO B- DECAY (5.27 Y)", "3": "60CO EC DECAY", "4": "59CO(P,G)", "5": "ADOPTED LEVELS"}
-_SLOTS = 20
+CARD_TYPES = {"1": "ADOPTED LEVELS, GAMMAS", "2": "60CO B- DECAY (5.27 Y)", "3": "60CO EC+B+ DECAY", "4": "59CO(P,G)", "5": "ADOPTED LEVELS"}
+_SLOTS = 40
 
 
 def _card_lines(spark, sf):
-    """Each order is a data set: header, P and Q card, then per line item a level or gamma card, then a blank line.
+    """Each order is a data set: header, P and Q card, then a card per line item, then a blank line.
 
-    The line number decides the card: 1-3 level, 4 gamma, 5 gamma with a continuation card, 6 feeding, 7 comment.
+    The line number decides the card: 1-3 level, 4 gamma, 5 gamma with continuation cards, 6 capture, 7 beta or comment.
     """
     o = table(spark, sf, "orders")
     title = F.create_map(*[F.lit(x) for pair in CARD_TYPES.items() for x in pair])[F.substring("o_orderpriority", 1, 1)]
@@ -255,34 +256,33 @@ def _card_lines(spark, sf):
             )
         ),
     )
-    unique = (
-        table(spark, sf, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"))
-        .agg(F.min("l_quantity").alias("q"), F.min("l_partkey").alias("p"))
+    items = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q"), F.col("l_partkey").alias("p")
     )
+    items = items.withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("n", "q", "p")))
     number = _left(F.format_string("%.2f", "q"), 10)
     n = F.col("n")
+    feeding = F.concat(number, F.lit("20"), _left(F.col("p"), 8), F.lit("3 "))
     card = (
         F.when(n <= 3, F.concat(F.lit(" 60NI  L "), number, F.lit("4 2+"), _blank(16), F.lit("12 PS     3     ")))
         .when(n <= 5, F.concat(F.lit(" 60NI  G "), number, F.lit("3 "), _left(F.col("p"), 8), F.lit("15E2")))
-        .when(n == 6, F.concat(F.lit(" 60NI  E "), number, F.lit("20"), _left(F.col("p"), 8), F.lit("3 ")))
+        .when(n == 6, F.concat(F.lit(" 60NI  E "), feeding))
+        .when(F.col("p") % 2 == 0, F.concat(F.lit(" 60NI  B "), feeding))
         .otherwise(F.concat(F.lit(" 60NI cL "), number))
     )
-    body = unique.select("k", (F.col("n") * 2 + 1).alias("slot"), card.alias("line"))
-    more = unique.filter("n = 5").select("k", F.lit(12).alias("slot"), F.concat(F.lit(" 60NIB G BE2W="), F.format_string("%.2f", F.col("q") / 4), F.lit(" 6$")).alias("line"))
-    extra = unique.filter("n = 5").select("k", F.lit(13).alias("slot"), F.lit(" 60NIS G CC=0.25 3").alias("line"))
-    # the continuation slots of line 5 come right after it
-    more = more.withColumn("slot", F.lit(11.25)).unionByName(extra.withColumn("slot", F.lit(11.5)))
-    everything = head.unionByName(body).withColumn("slot", F.col("slot").cast("double")).unionByName(more)
-    position = F.col("k") * (_SLOTS * 4) + (F.col("slot") * 4).cast("long")
-    return as_lines(everything, F.lit("/cards/ensdf.060"), position, F.col("line"), rows=20000)
+    # a card and the continuations right after it
+    more = F.when(n == 5, F.array(F.concat(F.lit(" 60NIB G BE2W="), F.format_string("%.2f", F.col("q") / 4), F.lit(" 6$")), F.lit(" 60NIS G CC=0.25 3")))
+    cards_of = F.concat(F.array(card), F.coalesce(more, F.array().cast("array<string>")))
+    body = items.select("k", F.col("i"), F.posexplode(cards_of).alias("at", "line")).select("k", ((F.col("i") + 2) * 4 + F.col("at")).alias("slot"), "line")
+    everything = head.withColumn("slot", F.col("slot") * 4).unionByName(body)
+    return as_lines(everything, F.lit("/cards/ensdf.060"), F.col("k") * (_SLOTS * 4) + F.col("slot"), F.col("line"), rows=20000)
 
 
 CARD_SQL = """
 o AS (SELECT o_orderkey AS k, o_orderpriority[1] AS t, o_orderstatus AS s FROM orders),
-u AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_quantity) AS q, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2),
-lv AS (SELECT k, max(n) FILTER (n <= 3) AS n FROM u GROUP BY k),
-le AS (SELECT lv.k, u.q AS energy FROM lv JOIN u ON u.k = lv.k AND u.n = lv.n)
+u AS (SELECT l_orderkey AS k, l_linenumber AS n, l_quantity AS q, l_partkey AS p,
+      row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_partkey) AS i FROM lineitem),
+le AS (SELECT k, arg_max(q, i) AS energy FROM u WHERE n <= 3 GROUP BY k)
 """
 
 
@@ -290,7 +290,7 @@ le AS (SELECT lv.k, u.q AS energy FROM lv JOIN u ON u.k = lv.k AND u.n = lv.n)
     "card_datasets",
     f"""
 WITH {CARD_SQL}
-SELECT k * 80 AS block, CASE t WHEN '1' THEN 'ADOPTED LEVELS, GAMMAS' WHEN '2' THEN 'B- DECAY' WHEN '3' THEN 'EC DECAY' ELSE 'ADOPTED LEVELS' END AS dataset_type,
+SELECT k * 160 AS block, CASE t WHEN '1' THEN 'ADOPTED LEVELS, GAMMAS' WHEN '2' THEN 'B- DECAY' WHEN '3' THEN 'EC+B+ DECAY' ELSE 'ADOPTED LEVELS' END AS dataset_type,
        60 AS "A", 28 AS "Z", CASE WHEN t IN ('2', '3') THEN 27 END AS parent,
        CASE WHEN s = 'F' THEN '12.5 D' WHEN t = '2' THEN '5.27 Y' END AS parent_half_life,
        printf('%04d', CAST(k % 10000 AS INTEGER)) || 'AB12,1999CD34' AS keys
@@ -308,7 +308,7 @@ def card_datasets(spark, sf):
     "card_levels",
     f"""
 WITH {CARD_SQL}
-SELECT u.k * 80 + (n * 2 + 1) * 4 AS line_no, q AS energy, 0.04 AS unc, '2+' AS spin_parity, 12e-12 AS seconds, 3e-12 AS unc_seconds
+SELECT u.k * 160 + (i + 2) * 4 AS line_no, q AS energy, 0.04 AS unc, '2+' AS spin_parity, 12e-12 AS seconds, 3e-12 AS unc_seconds
 FROM u JOIN o ON o.k = u.k WHERE n <= 3 AND t <> '4'
 """,
 )
@@ -324,7 +324,7 @@ def card_levels(spark, sf):
     "card_gammas",
     f"""
 WITH {CARD_SQL}
-SELECT u.k * 80 + (u.n * 2 + 1) * 4 AS line_no, le.energy AS level_energy, u.q AS gamma_energy, CAST(u.p AS DOUBLE) AS intensity, 'E2' AS multipolarity,
+SELECT u.k * 160 + (u.i + 2) * 4 AS line_no, le.energy AS level_energy, u.q AS gamma_energy, CAST(u.p AS DOUBLE) AS intensity, 'E2' AS multipolarity,
        CASE u.n WHEN 5 THEN round(CAST(printf('%.2f', u.q / 4) AS DOUBLE), 6) END AS be2w, CASE u.n WHEN 5 THEN 0.06 END AS be2w_unc,
        CASE u.n WHEN 5 THEN 0.25 END AS conversion
 FROM u JOIN o ON o.k = u.k JOIN le ON le.k = u.k WHERE u.n IN (4, 5) AND t <> '4'
@@ -348,9 +348,9 @@ def card_gammas(spark, sf):
     "card_feedings",
     f"""
 WITH {CARD_SQL}
-SELECT u.k * 80 + 52 AS line_no, 'EC' AS decay_mode, CASE WHEN t IN ('2', '3') THEN 27 ELSE 28 END AS parent, le.energy AS daughter,
+SELECT u.k * 160 + (u.i + 2) * 4 AS line_no, CASE WHEN n = 7 THEN 'B-' WHEN t = '3' THEN 'EC+B+' ELSE 'EC' END AS decay_mode, CASE WHEN t IN ('2', '3') THEN 27 ELSE 28 END AS parent, le.energy AS daughter,
        u.q AS endpoint, 0.2 AS endpoint_unc, CAST(u.p AS DOUBLE) AS ib
-FROM u JOIN o ON o.k = u.k LEFT JOIN le ON le.k = u.k WHERE u.n = 6 AND t <> '4'
+FROM u JOIN o ON o.k = u.k LEFT JOIN le ON le.k = u.k WHERE (n = 6 OR n = 7 AND p % 2 = 0) AND t <> '4'
 """,
 )
 def card_feedings(spark, sf):

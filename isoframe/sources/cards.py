@@ -1,20 +1,18 @@
 """80-column structure cards: data sets, levels, gammas, feedings and references.
 
 ``annotate`` finds for every card its data set, the last level before it and the last
-primary card before it, in two ordered scans. All tables are projections of that frame.
+primary card before it, in one shuffle. All tables are projections of that frame.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import digit_uncertainty, field, none_if_blank, prefix_number, strip
+from ..functions.numbers import WHITESPACE, digit_uncertainty, field, none_if_blank, prefix_number, strip
 from ..functions.text import base_name, continuation_value, dataset_class, keynumbers, nucid, title_half_life
 from ..functions.times import half_life_card
 from ..operators.manage import keep_first, surrogate_id
-from ..operators.ordered import ordered_scan
-from ..session import settle
 
 # Record classes by column 7, and by column 8 where column 7 is blank.
 CLASS_BY_COLUMN_7 = {"c": "comment", "C": "comment", "#": "comment", "d": "comment", "D": "comment", "t": "text", "T": "text", "x": "xref", "X": "xref"}
@@ -49,63 +47,89 @@ def record_class(card: Column) -> Column:
 def annotate(lines: DataFrame) -> DataFrame:
     """Cards with their data set, and the last level and primary card before them in it.
 
-    The data set is described once, on its header, and carried to its cards. The frame is
-    settled because every table of the library is a projection of it.
+    Lines are shuffled once, by (file, part). Within a part only its first card can be read in two ways: it starts a
+    data set if the part before it ends with a blank line. So each part is summed up for both readings, the few sums of
+    a file are chained in order, and each part's rows are joined with what was carried to it. Nothing runs before the
+    result is asked for; a caller that derives many tables may write the frame first (``session.settle``).
     """
-    cards = lines.withColumn("card", F.rpad(F.substring("line", 1, 80), 80, " "))
-    cards = cards.select("file", "part", "line_no", "card", (strip(F.col("card")) == "").alias("blank"))
-    cards = ordered_scan(cards, ["file"], ["line_no"], chunk="part", prev={"__after_blank": F.col("blank")})
-    # the next scan reads its input twice
-    cards = settle(cards)
-    marked = cards.withColumn("starts", ~F.col("blank") & F.coalesce("__after_blank", F.lit(True))).withColumns(
-        {"class": record_class(F.col("card")), "__title": F.when(F.col("starts"), strip(field(F.col("card"), 9, 39)))}
+    cell = Window.partitionBy("file", "part").orderBy("line_no")
+    upto = cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    card = F.col("card")
+    body = ~F.col("blank") & (F.substring(card, 6, 1) == " ")
+    # what a card says by itself is read once, before the shuffle that both branches below share
+    rows = (
+        lines.select("file", "part", "line_no", F.rpad(F.substring("line", 1, 80), 80, " ").alias("card"))
+        .withColumns({"blank": card.rlike(f"\\A[{WHITESPACE}]*\\z"), "class": record_class(card)})
+        .withColumn("__energy", F.when(body & (F.col("class") == "level"), prefix_number(field(card, 9, 19))))
+        .repartition("file", "part")
+        .withColumn("__after_blank", F.lag("blank").over(cell))
     )
-    marked = marked.withColumn("__kind", F.when(F.col("starts"), dataset_class(F.col("__title"))))
-    title, kind = F.col("__title"), F.col("__kind")
-    header = F.struct(
-        F.col("line_no").alias("line_no"),
-        title.alias("dsid"),
-        nucid(field(F.col("card"), 0, 5)).alias("nuclide"),
-        kind["type"].alias("dataset_type"),
-        kind["parent"].alias("parent"),
+    # the first row of a part is kept apart: whether it starts a data set is not known yet
+    first, rest = F.col("__after_blank").isNull(), F.col("__after_blank").isNotNull()
+    starts = ~F.col("blank") & F.col("__after_blank")
+    may_start = ~F.col("blank") & F.coalesce("__after_blank", F.lit(True))
+    marked = rows.withColumns(
+        {
+            "__title": F.when(may_start, strip(field(card, 9, 39))),
+            "__nuclide": F.when(may_start, nucid(field(card, 0, 5))),
+        }
+    ).withColumn("__kind", F.when(may_start, dataset_class(F.col("__title"))))
+    line_no = F.col("line_no")
+    header = F.struct(line_no.alias("line_no"), F.col("__title").alias("dsid"), F.col("__nuclide").alias("nuclide"), F.col("__kind").alias("kind"))
+    level = F.when(F.col("__energy").isNotNull(), F.struct(line_no.alias("line_no"), F.col("__energy").alias("energy")))
+    primary = F.when(body & F.col("class").isin("level", "gamma", "beta", "ec"), F.struct(line_no.alias("line_no"), F.col("class").alias("class")))
+    marked = marked.withColumns(
+        {
+            "__header": F.when(starts, header),
+            "__level": F.when(rest & ~starts, level),
+            "__primary": F.when(rest & ~starts, primary),
+            "__first": F.when(first & ~F.col("blank"), F.struct(header.alias("header"), level.alias("level"), primary.alias("primary"))),
+        }
     )
-    body = ~F.col("blank") & ~F.col("starts") & (F.substring("card", 6, 1) == " ")
-    primary = body & F.col("class").isin("level", "gamma", "beta", "ec")
-    energy = prefix_number(field(F.col("card"), 9, 19))
-    scanned = ordered_scan(
-        marked,
-        ["file"],
-        ["line_no"],
-        chunk="part",
-        last={
-            "__block": F.when(F.col("starts"), header),
-            "__level": F.when(
-                body & (F.col("class") == "level") & energy.isNotNull(),
-                F.struct(F.col("line_no").alias("line_no"), energy.alias("energy")),
-            ),
-            "__primary": F.when(primary, F.struct(F.col("line_no").alias("line_no"), F.col("class").alias("class"))),
-        },
+    carried = ("header", "level", "primary")
+    at = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no")))
+    chain = Window.partitionBy("file").orderBy("part")
+    before = chain.rowsBetween(Window.unboundedPreceding, -1)
+    sums = (
+        marked.groupBy("file", "part")
+        .agg(
+            F.max_by("blank", "line_no").alias("ends_blank"),
+            at("__first").alias("first"),
+            *[at(f"__{c}").alias(f"end_{c}") for c in carried],
+        )
+        .withColumn("first_starts", F.col("first").isNotNull() & F.coalesce(F.lag("ends_blank").over(chain), F.lit(True)))
+    )
+    read = lambda c: F.when(F.col("first_starts") == (c == "header"), F.col("first")[c])
+    sums = sums.select(
+        F.col("file").alias("__file"),
+        F.col("part").alias("__part"),
+        "first_starts",
+        *[F.coalesce(read(c), F.last(F.coalesce(f"end_{c}", read(c)), ignorenulls=True).over(before)).alias(f"carry_{c}") for c in carried],
     )
+    local = marked.select(
+        "file", "part", "line_no", "card", "blank", "__after_blank", "class",
+        *[F.last(f"__{c}", ignorenulls=True).over(upto).alias(f"local_{c}") for c in carried],
+    )
+    joined = local.join(sums, (local["file"] == F.col("__file")) & (local["part"] == F.col("__part"))).filter(~F.col("blank"))
+    joined = joined.withColumns({f"__{c}": F.coalesce(f"local_{c}", f"carry_{c}") for c in carried})
     # a level or primary card of an earlier data set does not count
-    own = lambda c: F.col(c)["line_no"] > F.col("__block.line_no")
-    return settle(
-        scanned.filter("not blank").select(
-            "file",
-            "line_no",
-            "card",
-            "class",
-            "starts",
-            (F.substring("card", 6, 1) != " ").alias("continuation"),
-            F.col("__block.line_no").alias("block"),
-            F.col("__block.dsid").alias("dsid"),
-            F.col("__block.nuclide").alias("nuclide"),
-            F.col("__block.dataset_type").alias("dataset_type"),
-            F.col("__block.parent").alias("parent"),
-            F.when(own("__level"), F.col("__level.line_no")).alias("level_line"),
-            F.when(own("__level"), F.col("__level.energy")).alias("level_energy"),
-            F.when(own("__primary"), F.col("__primary.line_no")).alias("primary_line"),
-            F.when(own("__primary"), F.col("__primary.class")).alias("primary_class"),
-        )
+    own = lambda c: F.col(c)["line_no"] > F.col("__header.line_no")
+    return joined.select(
+        "file",
+        "line_no",
+        "card",
+        "class",
+        F.coalesce("__after_blank", "first_starts").alias("starts"),
+        (F.substring("card", 6, 1) != " ").alias("continuation"),
+        F.col("__header.line_no").alias("block"),
+        F.col("__header.dsid").alias("dsid"),
+        F.col("__header.nuclide").alias("nuclide"),
+        F.col("__header.kind.type").alias("dataset_type"),
+        F.col("__header.kind.parent").alias("parent"),
+        F.when(own("__level"), F.col("__level.line_no")).alias("level_line"),
+        F.when(own("__level"), F.col("__level.energy")).alias("level_energy"),
+        F.when(own("__primary"), F.col("__primary.line_no")).alias("primary_line"),
+        F.when(own("__primary"), F.col("__primary.class")).alias("primary_class"),
     )
 
 
@@ -209,26 +233,38 @@ def card_levels(cards: DataFrame) -> DataFrame:
     ).filter("energy_keV is not null")
 
 
-def _continuations(cards: DataFrame) -> DataFrame:
-    """Per gamma card: the last B(E2) and B(M1), the first conversion coefficient of its continuation cards."""
-    rows = _kept(cards).filter("continuation and not starts and primary_class = 'gamma'")
-    mark, text = F.substring("card", 6, 1), field(F.col("card"), 9, 80)
-    e2 = F.when(mark == "B", continuation_value(text, "BE2W"))
-    m1 = F.when(mark == "B", continuation_value(text, "BM1W"))
-    cc = F.when(mark == "S", continuation_value(text, "CC"))
-    at = lambda c: F.when(c.isNotNull(), F.col("line_no"))
-    return rows.groupBy("file", F.col("primary_line").alias("line_no")).agg(
-        F.max_by(e2, at(e2)).alias("__e2"), F.max_by(m1, at(m1)).alias("__m1"), F.min_by(cc, at(cc)).alias("__cc")
+def _gammas(cards: DataFrame) -> DataFrame:
+    """Gamma cards on a level, with the last B(E2) and B(M1) and the first conversion coefficient of their continuations.
+
+    A card and its continuations have the same ``primary_line``, so one aggregation brings them together.
+    """
+    record = ~F.col("continuation") & (F.col("class") == "gamma")
+    rows = _kept(cards).filter(~F.col("starts") & (record | (F.col("continuation") & (F.col("primary_class") == "gamma"))))
+    mark, text = F.when(F.col("continuation"), F.substring("card", 6, 1)), field(F.col("card"), 9, 80)
+    rows = rows.withColumns(
+        {
+            "__own": F.when(record, F.struct("card", "dataset_id", "line_no", "level_line", "level_energy", "Z", "A", "element")),
+            "__e2": F.when(mark == "B", continuation_value(text, "BE2W")),
+            "__m1": F.when(mark == "B", continuation_value(text, "BM1W")),
+            "__cc": F.when(mark == "S", continuation_value(text, "CC")),
+        }
+    )
+    at = lambda c: F.when(F.col(c).isNotNull(), F.col("line_no"))
+    found = rows.groupBy("file", "primary_line").agg(
+        F.max_by("__own", at("__own")).alias("own"),
+        F.max_by("__e2", at("__e2")).alias("__e2"),
+        F.max_by("__m1", at("__m1")).alias("__m1"),
+        F.min_by("__cc", at("__cc")).alias("__cc"),
     )
+    return found.filter("own.level_line is not null").select("file", "own.*", "__e2", "__m1", "__cc")
 
 
 def card_gammas(cards: DataFrame) -> DataFrame:
     """Gammas on the last valid level before them; those before any level are left out."""
-    rows = _records(cards, "gamma").filter("level_line is not null").withColumn("gamma_energy_keV", _value(9, 19))
+    rows = _gammas(cards).withColumn("gamma_energy_keV", _value(9, 19))
     own_cc = _value(55, 62)
     return (
         rows.filter("gamma_energy_keV is not null")
-        .join(_continuations(cards), ["file", "line_no"], "left")
         .select(
             surrogate_id("file", "line_no").alias("gamma_id"),
             "dataset_id",
