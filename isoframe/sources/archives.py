@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.reactions import projectile_from_name
 from ..operators.manage import publish
-from .endf import Curves, files_without_sections, read_sections
+from .endf import Curves, read_sections
 from .lines import read_lines
 from .records import XS_RECORD, read_records, xs_tables
 
@@ -54,15 +54,13 @@ def scan_mixed_dir(spark: SparkSession, root: str) -> Curves:
 
     Text files other than '.txt' without any section are reported as errors.
     """
-    lines = read_lines(spark, root, glob=TEXT_GLOB, recursive=True)
-    text = read_sections(lines)
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", TEXT_GLOB)
+    files = reader.format("binaryFile").load(root).select(F.col("_metadata.file_path").alias("file"))  # the listing alone
+    text = read_sections(read_lines(spark, root, glob=TEXT_GLOB, recursive=True), files)
     one = xs_tables(read_records(spark, root, XS_RECORD, True, JSON_GLOB, True))
     many = xs_tables(read_records(spark, root, XS_RECORD, False, JSONL_GLOB, True))
-    empty = files_without_sections(lines).select(
-        "file", F.lit(None).cast("long").alias("section"), F.lit(None).cast("int").alias("mt"), F.lit("no_sections").alias("reason")
-    )
     join = lambda name: getattr(text, name).unionByName(getattr(one, name)).unionByName(getattr(many, name))
-    return Curves(join("meta"), join("points"), join("interp"), text.errors.unionByName(empty))
+    return Curves(join("meta"), join("points"), join("interp"), text.errors)
 
 
 def _types(schema: T.StructType) -> dict[str, T.DataType]:
