@@ -342,6 +342,9 @@ SELECT xs_id, 'non_monotonic' AS rule FROM s WHERE y < before GROUP BY xs_id
 UNION ALL SELECT xs_id, 'too_few_points' FROM m WHERE n < 2
 UNION ALL SELECT xs_id, 'invalid_mt' FROM m WHERE xs_id % 5 = 0
 UNION ALL SELECT xs_id, 'empty_reaction' FROM m WHERE xs_id % 3 = 0
+UNION ALL SELECT xs_id, 'wrong_e_min' FROM m WHERE xs_id % 8 = 0
+UNION ALL SELECT xs_id, 'wrong_e_max' FROM m WHERE xs_id % 6 = 0
+UNION ALL SELECT xs_id, 'wrong_n_points' FROM m WHERE xs_id % 4 = 0
 UNION ALL SELECT xs_id, 'duplicate_curve' FROM m QUALIFY count(*) OVER (PARTITION BY xs_id // 7, xs_id % 5) > 1
 """,
 )
@@ -349,8 +352,12 @@ def validate_curves(spark, sf):
     """The value serves as energy here, so that falling grids occur."""
     base = _points(spark, sf)
     points = base.withColumn("e_eV", F.col("sigma_b"))
-    meta = curves.curve_meta(base).select(
+    off = lambda n: (F.col("xs_id") % n == 0).cast("int")
+    meta = curves.curve_meta(points).select(
         "xs_id",
+        (F.col("e_min_eV") - off(8)).alias("e_min_eV"),
+        (F.col("e_max_eV") + off(6)).alias("e_max_eV"),
+        (F.col("n_points") + off(4)).alias("n_points"),
         F.lit(26).alias("Z"),
         F.floor(F.col("xs_id") / 7).cast("int").alias("A"),
         F.lit(0).alias("state"),

@@ -11,8 +11,8 @@ from isoframe.functions import numbers, reactions, text, times
 from isoframe.operators.curves import law_value
 from isoframe.operators import manage
 from isoframe.operators.ordered import row_numbers
-from isoframe.session import checkpoint_dir
 from isoframe.sources import archives, cards, endf, fixed_width, layout, records
+from isoframe.session import checkpoint_dir
 from isoframe.sources.lines import as_lines
 from isoframe.streaming.ingest import ingest_records_stream
 
@@ -423,19 +423,59 @@ def _endf_lines(spark, sf):
 WITH p AS (SELECT user_id AS u, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)
 SELECT u AS "Z", 56 AS "A", 1 AS state, 'p' AS projectile, CAST(102 + u % 6 AS INTEGER) AS mt, 'p,mt' || (102 + u % 6) AS reaction, CAST(i AS INTEGER) AS point_index,
        CAST(printf('%.4e', event_id + 1.0) AS DOUBLE) AS energy, CAST(printf('%.4e', value) AS DOUBLE) AS sigma, CAST(u % 7 AS INTEGER) AS int_law
-FROM p WHERE u > 0
+FROM p
 """,
 )
 def endf_sections(spark, sf):
     out = endf.read_sections(_endf_lines(spark, sf))
     return (
-        out.meta.filter("Z > 0")
-        .join(out.points, "xs_id")
+        out.meta.join(out.points, "xs_id")
         .join(out.interp, "xs_id")
         .select("Z", "A", "state", "projectile", "mt", "reaction", "point_index", F.col("e_eV").alias("energy"), F.col("sigma_b").alias("sigma"), "int_law")
     )
 
 
+@bind(
+    "mixed_directory",
+    """
+WITH p AS (SELECT user_id AS u, event_id + 1.0 AS e, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+t AS (SELECT u, CAST(printf('%.4e', e) AS DOUBLE) AS e FROM p)
+SELECT u AS "Z", 56 AS "A", 0 AS state, 'n' AS projectile, 102 + u % 6 AS mt, min(e) AS e_min, max(e) AS e_max, count(*) AS n_points, 1 AS segments FROM t GROUP BY u
+UNION ALL
+SELECT n_regionkey, 100 + n_regionkey, 1, 'p', 5, CAST(min(n_nationkey) AS DOUBLE), CAST(max(n_nationkey) AS DOUBLE), count(*), 1 FROM nation GROUP BY n_regionkey
+UNION ALL
+SELECT s_nationkey, 200, 0, 'd', 4, 1.0 * min(s_suppkey), 1.0 * max(s_suppkey), count(*), 1 FROM supplier GROUP BY s_nationkey
+""",
+)
+def mixed_directory(spark, sf):
+    """ENDF text of the events, a JSON object per region and JSON lines of the suppliers, written to one tree and scanned.
+
+    Spark names no file '.jsonl', so each row of the supplier records gets a JSON file of its own as well.
+    """
+    root = f"{checkpoint_dir(spark).rstrip('/')}/mixed-{uuid.uuid4().hex}"
+    lines = _endf_lines(spark, sf).repartition("file").sortWithinPartitions("file", "line_no")
+    lines.select("line").write.text(f"{root}/text", compression="gzip")
+    n, s = table(spark, sf, "nation"), table(spark, sf, "supplier")
+    curve = lambda z, a, state, kind, mt, at: [
+        z.cast("int").alias("Z"), a.cast("int").alias("A"), F.lit(state).alias("state"), F.lit(kind).alias("projectile"), F.lit(mt).alias("mt"), F.lit("x").alias("reaction"),
+        F.transform("v", lambda x, i: F.struct((i + 1).alias("point_index"), x.cast("double").alias("e_eV"), F.lit(1.0).alias("sigma_b"))).alias("points"),
+        F.array(F.struct(F.size("v").alias("nbt"), F.lit(2).alias("int_law"))).alias("interp"), at.alias("part"),
+    ]
+    regions = n.groupBy(F.col("n_regionkey").alias("k")).agg(F.sort_array(F.collect_list("n_nationkey")).alias("v"))
+    nations = s.groupBy(F.col("s_nationkey").alias("k")).agg(F.sort_array(F.collect_list("s_suppkey")).alias("v"))
+    k = F.col("k")
+    regions.select(*curve(k, k + 100, 1, "p", 5, k)).repartition("part").write.partitionBy("part").json(f"{root}/one")
+    nations.select(*curve(k, F.lit(200), 0, "d", 4, k)).repartition("part").write.partitionBy("part").json(f"{root}/many")
+    found = archives.scan_mixed_dir(spark, root)
+    segments = found.interp.groupBy("xs_id").agg(F.count(F.lit(1)).alias("segments"))
+    counted = found.points.groupBy("xs_id").agg(F.count(F.lit(1)).alias("n_points"))
+    good = found.meta.drop("n_points").join(segments, "xs_id").join(counted, "xs_id").select(
+        "Z", "A", "state", "projectile", "mt", F.col("e_min_eV").alias("e_min"), F.col("e_max_eV").alias("e_max"), "n_points", "segments"
+    )
+    bad = found.errors.select(F.col("reason").alias("projectile"), "mt")
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
 # --- number and time expressions ---------------------------------------------------------------
 
 

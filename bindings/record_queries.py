@@ -450,5 +450,5 @@ UNION ALL SELECT user_id, event_id % 300, CAST(event_type = 'click' AS INTEGER),
 def json_nested(spark, sf):
     nested = _json_lines(spark, sf).select(F.from_json("value", records.DECAY_RECORD).alias("r")).select("r.*")
     decays, _, radiation = records.decay_tables(nested)
-    heads = decays.select("id", "Z", "A", F.col("stable").cast("int").alias("stable"), "ndk").distinct()
+    heads = decays.select("id", "Z", "A", F.col("stable").cast("int").alias("stable"), "ndk")
     return radiation.join(heads, radiation.decay_id == heads.id).select("Z", "A", "stable", "ndk", "type_label", F.col("energy_keV").alias("energy"))

@@ -114,11 +114,12 @@ k AS (SELECT upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(
     f"""
 WITH {CONSTANTS_SQL}
 SELECT quantity, value_text, uncertainty_text, unit, is_exact, is_truncated, 'CODATA ASIA' AS source
-FROM k WHERE quantity_key = 'red widget no 1'
+FROM k WHERE quantity_key = (SELECT p_name || ' no ' || p_partkey FROM part ORDER BY p_partkey LIMIT 1)
 """,
 )
 def constant_lookup(spark, sf):
-    return query.constant(_constants(spark, sf), _meta(spark, sf), " RED   widget no 1 ")
+    least = table(spark, sf, "part").orderBy("p_partkey").select("p_name", "p_partkey").first()
+    return query.constant(_constants(spark, sf), _meta(spark, sf), f" {least.p_name.upper().replace(' ', '   ')} no {least.p_partkey} ")
 
 
 @bind(

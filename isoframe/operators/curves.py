@@ -228,33 +228,34 @@ def law_value(law: Column, x1: Column, y1: Column, x2: Column, y2: Column, x: Co
     return F.struct(value.alias("sigma_b"), method.alias("interpolation_method"))
 
 
-def _segments_per_curve(interp: DataFrame) -> DataFrame:
-    # a curve has a handful of segments (NR of one TAB1 record); repeated rows collapse first
-    return (
-        interp.select("xs_id", "nbt", "int_law")
-        .distinct()
-        .groupBy("xs_id")
-        .agg(F.sort_array(F.collect_list(F.struct("nbt", "int_law"))).alias("__segments"))
+def _with_laws(points: DataFrame, interp: DataFrame) -> DataFrame:
+    """Points with the law of the first segment that ends at them or later, NULL beyond the last segment.
+
+    Points and segment ends are merged in index order and scanned once, so a curve may have as many segments as points.
+    Of segments with the same end the one with the least law counts.
+    """
+    ends = interp.groupBy("xs_id", F.col("nbt").cast("long").alias("__at")).agg(F.min("int_law").alias("law"))
+    rows = points.select(
+        "xs_id", F.col("point_index").cast("long").alias("__at"), F.lit(0).alias("__end"), "point_index", "e_eV", "sigma_b"
+    ).unionByName(ends.withColumn("__end", F.lit(1)), allowMissingColumns=True)
+    scanned = ordered_scan(
+        rows.withColumn("__chunk", chunk_of(F.col("__at"))), ["xs_id"], ["__at", "__end"], chunk="__chunk", first_after={"law": F.col("law")}
     )
+    return scanned.filter("__end = 0").select("xs_id", "point_index", "e_eV", "sigma_b", "law")
 
 
-def _law_at(right_index: Column) -> Column:
-    fitting = F.filter("__segments", lambda s: s["nbt"] >= right_index)
-    return F.coalesce(
-        F.get(fitting, F.lit(0))["int_law"],
-        F.element_at("__segments", -1)["int_law"],
-        F.lit(2),
-    )
+def _last_law(interp: DataFrame) -> DataFrame:
+    return interp.groupBy("xs_id").agg(F.max(F.struct("nbt", "int_law"))["int_law"].alias("__beyond"))
 
 
 def _bracket(wanted: DataFrame, points: DataFrame, ranges: DataFrame, chunk_rows: int) -> DataFrame:
-    """Points left and right of each wanted (xs_id, e_eV).
+    """Points left and right of each wanted (xs_id, e_eV), the right one with its law.
 
     Points and wanted energies are merged and reduced to one row per (curve, energy): of points
     with the same energy only the first (as right end and as exact value) and the last (as left
     end) count. The rows are then scanned in energy order, large curves in chunks.
     """
-    everything = points.select("xs_id", "e_eV", "point_index", "sigma_b", F.lit(False).alias("wanted")).unionByName(
+    everything = points.select("xs_id", "e_eV", "point_index", "sigma_b", "law", F.lit(False).alias("wanted")).unionByName(
         wanted.select("xs_id", "e_eV", F.lit(True).alias("wanted")), allowMissingColumns=True
     )
     merged = (
@@ -263,6 +264,7 @@ def _bracket(wanted: DataFrame, points: DataFrame, ranges: DataFrame, chunk_rows
             F.min_by("sigma_b", "point_index").alias("y_first"),
             F.min("point_index").alias("i_first"),
             F.max_by("sigma_b", "point_index").alias("y_last"),
+            F.min_by("law", "point_index").alias("law"),
             F.bool_or("wanted").alias("wanted"),
         )
         .select(
@@ -270,7 +272,7 @@ def _bracket(wanted: DataFrame, points: DataFrame, ranges: DataFrame, chunk_rows
             "e_eV",
             "wanted",
             F.when(
-                F.col("i_first").isNotNull(), F.struct(F.col("e_eV").alias("e"), "y_first", "i_first", "y_last")
+                F.col("i_first").isNotNull(), F.struct(F.col("e_eV").alias("e"), "y_first", "y_last", "law")
             ).alias("here"),
         )
     )
@@ -281,7 +283,12 @@ def _bracket(wanted: DataFrame, points: DataFrame, ranges: DataFrame, chunk_rows
     )
     spread = value_chunks(merged, ["xs_id"], "e_eV", sizes, chunk_rows)
     scanned = ordered_scan(
-        spread, ["xs_id"], ["e_eV"], chunk="__chunk", last={"left": F.col("here")}, first_after={"right": F.col("here")}
+        spread,
+        ["xs_id"],
+        ["e_eV"],
+        chunk="__chunk",
+        last={"left": F.col("here")},
+        first_after={"right": F.col("here")},
     )
     return scanned.filter("wanted").select("xs_id", "e_eV", "left", "right")
 
@@ -290,13 +297,13 @@ def interpolate_at(
     wanted: DataFrame, meta: DataFrame, points: DataFrame, interp: DataFrame, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Value of each distinct (xs_id, e_eV) of ``wanted``; energies must lie in the tabulated range."""
-    bracket = _bracket(wanted.select("xs_id", "e_eV"), points, meta, chunk_rows)
+    bracket = _bracket(wanted.select("xs_id", "e_eV"), _with_laws(points, interp), meta, chunk_rows)
     left, right = F.col("left"), F.col("right")
     exact = right["e"] == F.col("e_eV")
     between = law_value(
-        _law_at(right["i_first"]), left["e"], left["y_last"], right["e"], right["y_first"], F.col("e_eV")
+        F.coalesce(right["law"], F.col("__beyond"), F.lit(2)), left["e"], left["y_last"], right["e"], right["y_first"], F.col("e_eV")
     )
-    return bracket.join(_segments_per_curve(interp), "xs_id", "left").select(
+    return bracket.join(_last_law(interp), "xs_id", "left").select(
         "xs_id",
         "e_eV",
         F.when(exact, right["y_first"]).otherwise(between["sigma_b"]).alias("sigma_b"),
@@ -386,7 +393,10 @@ PROJECTILES = {
 def validate_curves(
     meta: DataFrame, points: DataFrame, interp: DataFrame, projectiles: Sequence[str] = PROJECTILES["general"]
 ) -> DataFrame:
-    """Violations, one row per (xs_id, rule). An empty frame means the curves may be published."""
+    """Violations, one row per (xs_id, rule). An empty frame means the curves may be published.
+
+    Where ``meta`` has a range or a number of points, it must be that of the points.
+    """
     bad = lambda c: ~F.coalesce(c, F.lit(False))
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
     head = meta.select(
@@ -411,13 +421,16 @@ def validate_curves(
     )
     grid = steps.groupBy("xs_id").agg(
         F.count(F.lit(1)).alias("n"),
+        F.min_by("e_eV", "point_index").alias("low"),
+        F.max_by("e_eV", "point_index").alias("high"),
         F.bool_or(~(finite(F.col("e_eV")) & finite(F.col("sigma_b")))).alias("non_finite"),
         F.bool_or(F.coalesce(F.col("e_eV") < F.col("__before"), F.lit(False))).alias("falling"),
         F.bool_or(F.coalesce(F.col("point_index") == F.col("__place"), F.lit(False))).alias("repeated"),
     )
     segments = interp.groupBy("xs_id").agg(F.count(F.lit(1)).alias("segments"))
+    given = [(c, found) for c, found in (("e_min_eV", "low"), ("e_max_eV", "high"), ("n_points", "n")) if c in meta.columns]
     body = (
-        meta.select("xs_id")
+        meta.select("xs_id", *[c for c, _ in given])
         .join(grid, "xs_id", "left")
         .join(segments, "xs_id", "left")
         .select(
@@ -429,9 +442,16 @@ def validate_curves(
                     F.when(F.col("non_finite"), F.lit("non_finite")),
                     F.when(F.col("falling"), F.lit("non_monotonic")),
                     F.when(F.col("repeated"), F.lit("duplicate_point")),
+                    *[F.when(F.col(c) != F.col(found), F.lit(f"wrong_{c.removesuffix('_eV')}")) for c, found in given],
                 )
             ).alias("rules"),
         )
     )
     twice = meta.join(repeated_keys(meta, [*TARGET, "mt"], "duplicate_curve"), [*TARGET, "mt"]).select("xs_id", "rule")
     return head.unionByName(body).select("xs_id", F.explode("rules").alias("rule")).unionByName(twice)
+
+
+def validate_decays(decays: DataFrame) -> DataFrame:
+    """(id, rule) of decays whose (Z, A, state) stands more than once."""
+    key = ["Z", "A", "state"]
+    return decays.join(repeated_keys(decays, key, "duplicate_decay"), key).select("id", "rule")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import none_if_blank, strip, za_decode
@@ -42,11 +42,16 @@ def read_records(spark: SparkSession, path: str, schema: str, multi_line: bool =
     return (reader.option("pathGlobFilter", glob) if glob else reader).json(path)
 
 
+def record_ids(records: DataFrame, name: str, *content: str) -> DataFrame:
+    """Add the id of each record. Equal records are counted, so each has an id of its own, the same in every build."""
+    digest = records.withColumn("__content", surrogate_id(*[F.col(c) for c in content]))
+    twin = F.row_number().over(Window.partitionBy("__content").orderBy(F.lit(0)))
+    return digest.withColumn("__twin", twin).withColumn(name, surrogate_id("__content", "__twin")).drop("__content", "__twin")
+
+
 def xs_tables(records: DataFrame) -> Curves:
     """meta, points, interp of nested curve records."""
-    ids = records.withColumn(
-        "xs_id", surrogate_id("Z", "A", "state", "projectile", "mt", "reaction", "points", "interp")
-    )
+    ids = record_ids(records, "xs_id", "Z", "A", "state", "projectile", "mt", "reaction", "points", "interp")
     points = ids.select("xs_id", F.inline("points"))
     interp = ids.select("xs_id", F.inline("interp"))
     head = ids.select("xs_id", "Z", "A", F.coalesce("state", F.lit(0)).alias("state"), "projectile", "mt", "reaction")
@@ -61,9 +66,7 @@ def read_xs_jsonl(spark: SparkSession, path: str, multi_line: bool = False) -> C
 
 def decay_tables(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """decays, decay modes and radiation of nested decay records."""
-    ids = records.withColumns(
-        {"id": surrogate_id("ZA", "LIS", "NST", "halfLifeS", "decayModes", "spectra"), "__za": za_decode(F.col("ZA"))}
-    )
+    ids = record_ids(records, "id", "ZA", "LIS", "NST", "halfLifeS", "decayModes", "spectra").withColumn("__za", za_decode(F.col("ZA")))
     decays = ids.select(
         "id",
         F.col("__za.Z").alias("Z"),
@@ -114,9 +117,8 @@ def evaluation_tables(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     whole = lambda c: F.coalesce(F.col(c) == F.floor(c), F.lit(False))
     body = F.coalesce("lines", "radiation")
     untyped = F.exists(body, lambda x: F.coalesce(strip(x["type"]) == "", F.lit(True)))
-    ids = records.withColumns(
+    ids = record_ids(records, "id", *records.columns).withColumns(
         {
-            "id": surrogate_id(*[F.col(c) for c in records.columns]),
             "__body": body,
             "__rule": F.when(~(whole("Z") & whole("A")), F.lit("invalid_nuclide")).when(untyped, F.lit("missing_type")),
         }

@@ -14,6 +14,12 @@ def write(path, rows):
     return str(path)
 
 
+def small_splits(spark, size):
+    """Files are cut after about so many bytes."""
+    for key in ("maxPartitionBytes", "openCostInBytes"):
+        spark.conf.set(f"spark.sql.files.{key}", str(size))
+
+
 def card(text, *marks):
     line = list(text.ljust(80))
     for at, ch in marks:
@@ -74,6 +80,34 @@ def test_cards(spark, ensdf):
     assert refs["1940LI01"].reference == "RMPHA 12 30" and refs["1960ME09"].A == 60
 
 
+def test_cards_of_split_files(spark, tmp_path):
+    """Wherever a file is cut, cards belong to the same data sets, levels and primary cards."""
+    rows = []
+    for i in range(30):
+        rows += [f" 60NI    ADOPTED LEVELS, GAMMAS {i}", f" 60NI  L {i}.5", f" 60NI  G 1.{i}", " 60NIB G BE2W=0.5 1$", " 60NI cG a comment"][: 5 if i % 3 else 2]
+        rows += [""] * (1 + i % 2)
+    path = write(tmp_path / "ensdf.060", rows)
+    found = []
+    try:
+        for size in (10_000_000, 700, 100, 40):
+            small_splits(spark, size)
+            frame = cards.annotate(read_lines(spark, path))
+            order = sorted(frame.collect(), key=lambda r: r.line_no)
+            block, level = None, None
+            for r in order:
+                if r.starts:
+                    block, level = r.line_no, None
+                elif r["class"] == "level":
+                    level = r.line_no
+                assert (r.block, r.level_line) == (block, level)
+            gammas = cards.card_gammas(frame).select("gamma_energy_keV", "level_energy_keV", "be2w").collect()
+            found.append((sum(r.starts for r in order), len(order), sorted(map(tuple, gammas))))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert found[0][0] == 30 and len(found[0][2]) == 20 and all(x == found[0] for x in found)
+
+
 def test_lines_of_split_files(spark, tmp_path):
     path = write(tmp_path / "a.txt", [f"line {i:05d}" for i in range(4000)])
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
@@ -126,6 +160,34 @@ def test_endf(spark, tmp_path):
     assert C.validate_curves(out.meta, out.points, out.interp).count() == 0
 
 
+def test_sections_of_split_files(spark, tmp_path):
+    """Wherever a file is cut, sections are the same; neighbouring sections may follow each other without an end mark."""
+    n = lambda *xs: "".join(f"{x:>11}" for x in xs)
+    rows = []
+    for i in range(12):
+        size = 2 + i
+        pairs = [x for k in range(size) for x in (f"{k + 1}.0", f"{i}.0")]
+        rows += [endf_card(n("82208.", "1."), 102 + i % 4), endf_card(n("", "", "", "", 1, size), 102 + i % 4), endf_card(n(size, 2), 102 + i % 4)]
+        rows += [endf_card(n(*pairs[k : k + 6]), 102 + i % 4) for k in range(0, len(pairs), 6)]
+        rows += [endf_card("", 0)] if i % 3 else []
+    rows += [endf_card(n("82208.", "1."), 18), endf_card(n("82208.", "1."), 16), endf_card(n("", "", "", "", 1, 4), 16), endf_card(n(4, 2), 16)]
+    rows += [endf_card(n("1.0", 1, "2.0", 1, "3.0", 1), 16), endf_card(n("2.5", 1), 16)]
+    path, found = write(tmp_path / "n_082-Pb-208.endf", rows), []
+    try:
+        for size in (10_000_000, 900, 160, 80):
+            small_splits(spark, size)
+            out = endf.read_sections(read_lines(spark, path))
+            points = out.points.join(out.meta, "xs_id").select("mt", "n_points", "e_min_eV", "e_max_eV", "point_index", "e_eV", "sigma_b")
+            laws = out.interp.join(out.meta, "xs_id").select("mt", "n_points", "nbt", "int_law")
+            found.append([sorted(map(tuple, f.collect())) for f in (points, laws, out.errors.select("mt", "reason"))])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    points, laws, errors = found[0]
+    assert len(points) == sum(2 + i for i in range(12)) and len(laws) == 12 and errors == [(16, "non_monotonic"), (18, "too_short")]
+    assert all(x == found[0] for x in found)
+
+
 def test_fixed_width_files(spark, tmp_path):
     line = " " * 4 + "  126" + "   82" + "  208" + " " + "Pb " + "     " + f"{-21748.5:14.4f}" + f"{'1.1':>12}" + f"{'7867#':>13}" + " " + f"{'0.006':>10}" + "   " + f"{'*':>13}" + f"{'*':>11}" + " 207 " + f"{'976651.9':>13}" + f"{'1.2':>12}"
     path = write(tmp_path / "mass.txt", ["header"] * 36 + [line, "  x  bad"])
@@ -166,6 +228,11 @@ def test_json_records(spark, tmp_path):
     d = decays.first()
     assert (d.Z, d.A, d.state, d.stable, d.ndk) == (27, 60, 0, False, 1)
     assert modes.first().decay_id == d.id and radiation.first().energy_keV == 1173.2
+    # equal records are records of their own
+    twice = spark.read.schema(records.DECAY_RECORD).json(path)
+    decays, _, radiation = records.decay_tables(twice.unionByName(twice))
+    assert decays.select("id").distinct().count() == 2
+    assert radiation.join(decays, radiation.decay_id == decays.id).count() == 2
     path = write(
         tmp_path / "e.jsonl",
         [
