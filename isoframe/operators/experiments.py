@@ -10,7 +10,7 @@ from ..functions.numbers import clean_number, energy_to_ev, kt_to_kev
 from ..functions.text import experiment_target
 from .manage import keep_first
 from .ordered import pages_of, top_per_key
-from .requests import at_least, at_most, with_optional
+from .requests import at_least, at_most, join_where_given, with_optional
 
 _WINDOWS = {"e_min_eV": "double", "e_max_eV": "double", "kT_min_keV": "double", "kT_max_keV": "double"}
 # Rule codes of a refused request.
@@ -66,6 +66,64 @@ def check_experiment_request(requests: DataFrame, entries: DataFrame) -> DataFra
     )
 
 
+def search_experiments(requests: DataFrame, entries: DataFrame, points: DataFrame, limit: int | None = None) -> DataFrame:
+    """Points of each request(request_id, Z, state, projectile, quantity[, A][, reaction][, windows]).
+
+    MACS is cut by kT, everything else by energy. Requests that break a rule find nothing.
+    """
+    asked = with_optional(requests, A="int", reaction="string", **_WINDOWS).filter(_violation().isNull())
+    asked = asked.select("request_id", *[F.col(c).alias(f"__{c}") for c in ("Z", "A", "state", "projectile", "quantity", "reaction", *_WINDOWS)])
+    wanted = join_where_given(
+        entries,
+        asked,
+        {"target_Z": "__Z", "state": "__state", "projectile": "__projectile", "quantity": "__quantity"},
+        {"target_A": "__A", "reaction": "__reaction"},
+    )
+    macs = F.col("quantity") == "MACS"
+    energy = F.col("e_min_eV").isNotNull() | F.col("e_max_eV").isNotNull()
+    kt = F.col("kT_min_keV").isNotNull() | F.col("kT_max_keV").isNotNull()
+    return (
+        F.when(macs & energy, F.lit(MACS_ENERGY))
+        .when(~macs & kt, F.lit(OTHER_KT))
+        .when(F.col("e_min_eV") > F.col("e_max_eV"), F.lit(BAD_ENERGY))
+        .when(F.col("kT_min_keV") > F.col("kT_max_keV"), F.lit(BAD_KT))
+    )
+
+
+def availability_facets(entries: DataFrame) -> DataFrame:
+    """(Z, facet, value): distinct projectiles, quantities and mass numbers per element."""
+    facet = lambda name, c: F.struct(F.lit(name).alias("facet"), F.col(c).cast("string").alias("value"))
+    return (
+        entries.select(F.col("target_Z").alias("Z"), "projectile", "quantity", "target_A")
+        .distinct()
+        .select("Z", F.inline(F.array(facet("projectile", "projectile"), facet("quantity", "quantity"), facet("A", "target_A"))))
+        .filter("value is not null")
+        .distinct()
+    )
+
+
+def availability(entries: DataFrame) -> DataFrame:
+    """The facets as sorted lists; they hold distinct codes and mass numbers of one element only."""
+    distinct = entries.select(F.col("target_Z").alias("Z"), "projectile", "quantity", "target_A").distinct()
+    return distinct.groupBy("Z").agg(
+        F.sort_array(F.collect_set("projectile")).alias("projectiles"),
+        F.sort_array(F.collect_set("quantity")).alias("quantities"),
+        F.sort_array(F.collect_set("target_A")).alias("A_values"),
+    )
+
+
+def check_experiment_request(requests: DataFrame, entries: DataFrame) -> DataFrame:
+    """violation code (NULL if sound) of each request, with what exists for its element."""
+    asked = with_optional(requests, **_WINDOWS).withColumn("violation", _violation())
+    return asked.join(availability(entries), "Z", "left").select(
+        "request_id",
+        "Z",
+        "quantity",
+        "violation",
+        *[F.when(F.col("violation").isNotNull(), F.col(c)).alias(c) for c in ("projectiles", "quantities", "A_values")],
+    )
+
+
 def search_experiments(requests: DataFrame, entries: DataFrame, points: DataFrame, limit: int | None = None) -> DataFrame:
     """Points of each request(request_id, Z, state, projectile, quantity[, A][, reaction][, windows]).
 

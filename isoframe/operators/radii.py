@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions.numbers import constant_number, length_to_fm, round_significant
-from .requests import with_optional
+from .requests import join_where_given, with_optional
 
 
 def with_citations(laser: DataFrame, refs: DataFrame) -> DataFrame:
@@ -160,8 +160,8 @@ def charge_radius(
     mode: str = "best",
 ) -> DataFrame:
     """Radii of each request(request_id, Z[, A]); without A all isotopes of the element."""
-    asked = with_optional(requests, A="int").select("request_id", "Z", F.col("A").alias("__A"))
+    asked = with_optional(requests, A="int").select("request_id", F.col("Z").alias("__Z"), F.col("A").alias("__A"))
     table = recommend(
         merge_sources(evaluated, with_citations(laser, laser_refs), constant_radii(constants, constants_meta)), mode
     )
-    return table.join(asked, "Z").filter(F.col("__A").isNull() | (F.col("A") == F.col("__A"))).drop("__A")
+    return join_where_given(table, asked, {"Z": "__Z"}, {"A": "__A"}).drop("__Z", "__A")

@@ -131,3 +131,17 @@ def test_stream_keeps_first(spark, tmp_path):
     run()
     run()
     assert sorted((r.k, r.v) for r in spark.read.parquet(out).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_join_where_given(spark):
+    from isoframe.operators.requests import join_where_given
+
+    table = spark.createDataFrame([(1, 5, "x"), (1, 6, "y"), (1, None, None), (1, 0, ""), (2, 5, "x")], "Z int, A int, kind string")
+    asked = spark.createDataFrame(
+        [(1, 1, None, None), (2, 1, 5, None), (3, 1, None, "y"), (4, 1, 5, "y"), (5, 2, None, ""), (6, 1, 0, ""), (7, None, None, None)],
+        "request_id int, __Z int, __A int, __kind string",
+    )
+    got = join_where_given(table, asked, {"Z": "__Z"}, {"A": "__A", "kind": "__kind"})
+    assert sorted(got.columns) == sorted(table.columns + asked.columns)
+    found = sorted(((r.request_id, r.A, r.kind) for r in got.collect()), key=repr)
+    assert found == sorted([(1, 5, "x"), (1, 6, "y"), (1, None, None), (1, 0, ""), (2, 5, "x"), (3, 6, "y"), (6, 0, "")], key=repr)
