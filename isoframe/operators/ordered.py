@@ -21,6 +21,8 @@ CHUNK_ROWS = 200_000
 #: Chunks of a key that is too large for one, and the cuts that are compared at a time.
 QUANTILES = 1024
 STRIDE = 32
+#: Parts of a key that are ranked on their own before the key is.
+RANK_CELLS = 64
 
 
 def chunk_of(position: Column, rows: int = CHUNK_ROWS) -> Column:
@@ -146,15 +148,21 @@ def value_chunks(df: DataFrame, keys: Sequence[str], value: str, ranges: DataFra
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | None, offset: int = 0) -> DataFrame:
-    """Rows offset+1 .. offset+n of each key. The rank filter lets Spark cut each
-    key to the wanted rows before the shuffle."""
+    """Rows offset+1 .. offset+n of each key, by the same plan for every n.
+
+    Each key's rows are dealt to RANK_CELLS cells by their content and ranked there first; only the first offset+n of a
+    cell can be among the first of the key. So no task ranks a whole key, and the last ranking of a key has at most
+    RANK_CELLS * (offset + n) rows, however many the key has.
+    """
     if n is None:
         if offset:
             raise ValueError("an offset needs a limit")
         return df
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    wanted = (F.col("__rank") <= offset + n) & (F.col("__rank") > offset)
-    return df.withColumn("__rank", rank).filter(wanted).drop("__rank")
+    most = offset + n
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    dealt = df.withColumn("__cell", F.pmod(F.xxhash64(*df.columns), F.lit(RANK_CELLS)))
+    first = dealt.withColumn("__rank", rank(*keys, "__cell")).filter(F.col("__rank") <= most).drop("__cell", "__rank")
+    return first.withColumn("__rank", rank(*keys)).filter((F.col("__rank") <= most) & (F.col("__rank") > offset)).drop("__rank")
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], value: str, tiebreak: Sequence[str], name: str, rows: int = CHUNK_ROWS) -> DataFrame:

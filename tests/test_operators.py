@@ -145,3 +145,14 @@ def test_join_where_given(spark):
     assert sorted(got.columns) == sorted(table.columns + asked.columns)
     found = sorted(((r.request_id, r.A, r.kind) for r in got.collect()), key=repr)
     assert found == sorted([(1, 5, "x"), (1, 6, "y"), (1, None, None), (1, 0, ""), (2, 5, "x"), (3, 6, "y"), (6, 0, "")], key=repr)
+
+
+@pytest.mark.parametrize("n, offset", [(1, 0), (1000, 0), (1001, 0), (1500, 700), (20_000, 0)])
+def test_top_of_a_large_key(spark, n, offset):
+    from isoframe.operators.ordered import top_per_key
+
+    df = spark.range(6000).selectExpr("cast(id % 100 = 0 as int) AS k", "(id * 7919) % 6007 AS v", "id")
+    got = top_per_key(df, ["k"], [F.col("v").desc(), F.col("id")], n, offset)
+    rows = {k: sorted(((i * 7919) % 6007, i) for i in range(6000) if int(i % 100 == 0) == k)[::-1] for k in (0, 1)}
+    want = {(k, v, i) for k, all_ in rows.items() for v, i in all_[offset : offset + n]}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
