@@ -14,22 +14,22 @@ from isoframe.llm.shared import written
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that do not score as toxic; learned from the labels that are not held out."""
-    return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), stored=True)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand earlier; documents of which nothing is left go."""
-    return line_dedup.dedup_lines(docs, least_exact=1)
+    return line_dedup.dedup_lines(docs, least_exact=1, stored=True)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each class of near duplicates."""
-    return near_dup.dedup_near(docs)
+    return near_dup.dedup_near(docs, stored=True)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no ten words, and no shorter item, with the benchmark."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), stored=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

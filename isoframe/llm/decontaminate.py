@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import words_of
+from .shared import free_name, keyed, words_of
 
 #: A fingerprint table of up to so many rows (about 300 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 20_000
@@ -98,13 +98,15 @@ def decontaminate(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    row_col: str | None = None,
 ) -> DataFrame:
     """Words of each document that lie in a window of a benchmark item.
 
     Returns per row of ``documents``: doc_id, n_words, n_hit, n_items, item_ids (sorted as strings), row_id.
     Null and empty texts have no words and no hits; items without words match nothing; null item ids
-    are left out of ``item_ids``. Repeated rows each get their own result row. Only the two named
-    columns of either table are read, so further columns do not matter.
+    are left out of ``item_ids``. Repeated rows each get their own result row; ``row_col`` names the column
+    that tells them apart, else one scan numbers them. Only the named columns of either table are read, so
+    further columns do not matter. Texts of any length are read whole, in one row each.
     """
     if not 1 <= k <= window:
         raise ValueError("k must lie between 1 and window")
@@ -122,7 +124,7 @@ def decontaminate(
             may_match = may_match | _has_gram(n, by_kind[n])
     w, i = F.col("w"), F.col("i")
     docs = documents.select(
-        F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("w")
+        (F.monotonically_increasing_id() if row_col is None else F.col(row_col)).alias("row_id"), F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("w")
     )
     none = F.array().cast("array<string>")
 
@@ -173,12 +175,17 @@ def decontaminate(
     )
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
-    """The rows of ``documents`` without any benchmark hit, with their columns as they are."""
-    docs = documents.withColumn("__row", F.monotonically_increasing_id())
-    # The same scan gives the same row numbers, so hits are traced by row and not by an id that may repeat.
-    hits = decontaminate(documents, benchmark, window, k).where("n_hit > 0").select(F.col("row_id").alias("__row"))
-    return docs.join(hits, "__row", "left_anti").drop("__row")
+def clean(documents: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, stored: bool = False) -> DataFrame:
+    """The rows of ``documents`` without any benchmark hit, with their columns as they are.
+
+    Hits are traced by row and not by an id that may repeat or be null. For a ``stored`` table just as ``spark.read`` gives
+    it rows are numbered by file and place, else in a written copy. Null and empty texts stay; an empty benchmark
+    removes nothing.
+    """
+    row = free_name(documents, "__row")
+    docs = keyed(documents, "clean-documents", row, stored)
+    hits = decontaminate(docs, benchmark, window, k, row_col=row).where("n_hit > 0").select(F.col("row_id").alias(row))
+    return docs.join(hits, row, "left_anti").drop(row)
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:

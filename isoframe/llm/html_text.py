@@ -12,14 +12,16 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import keyed, written
 
 #: Fixed values of HTML: elements without content, with raw text, and those that break a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,14 +44,67 @@ DROP_WORDS = frozenset(
     "subscribe signup login search widget pagination pager toolbar skip copyright complementary contentinfo".split()
 )
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag without angle brackets inside; others are read by TAG_START and TagEnds.
+PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+)>")
+TAG_START = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+QUOTE_OR_END = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
 SPLIT_NAME = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
+class TagEnds:
+    """Where the tags of a source end: the first ``>`` outside quotes. A quote from which no end is in reach is tried once only."""
+
+    def __init__(self, source: str):
+        self.source, self.dead, self.last = source, set(), source.rfind(">")
+
+    @cached_property
+    def special(self) -> list[int]:
+        return [m.start() for m in QUOTE_OR_END.finditer(self.source)]
+
+    def after(self, at: int) -> int:
+        tried, i = [], bisect_left(self.special, at)
+        while i < len(self.special) and self.special[i] not in self.dead:
+            place = self.special[i]
+            if self.source[place] == ">":
+                return place
+            tried.append(place)
+            other = self.source.find(self.source[place], place + 1)
+            if other < 0:
+                break
+            i = bisect_left(self.special, other + 1)
+        self.dead.update(tried)
+        return -1
+
+
+def next_token(source: str, at: int, ends: TagEnds) -> tuple[int, int, str | None, bool, str, str] | None:
+    """(start, end, text of a CDATA section or None, closing, tag, attributes) of the next markup from ``at``; no tag is an empty one."""
+    while (start := source.find("<", at)) >= 0:
+        if m := PLAIN_TAG.match(source, start):
+            return start, m.end(), None, bool(m[1]), m[2].lower(), m[3]
+        for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+            if source.startswith(opening, start):
+                stop = source.find(closing, start + len(opening))
+                inside = source[start + len(opening) : stop if stop >= 0 else len(source)]
+                return start, stop + 3 if stop >= 0 else len(source), inside if opening == "<![CDATA[" else None, False, "", ""
+        if source.startswith(("<!", "<?"), start):
+            if start < ends.last:
+                return start, source.find(">", start) + 1, None, False, "", ""
+        elif (m := TAG_START.match(source, start)) and (stop := ends.after(m.end())) >= 0:
+            return start, stop + 1, None, bool(m[1]), m[2].lower(), source[m.end() : stop]
+        at = start + 1
+    return None
+
+
+@lru_cache(1 << 16)
+def _below(path: str, style: str) -> str:
+    """The path of an element with this style below that path, of one length however deep it is."""
+    return hashlib.blake2b(f"{path}/{style}".encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
 class Element:
-    __slots__ = ("tag", "style", "drop", "kids", "path", "parent", "in_article", "named", "holds")
+    __slots__ = ("tag", "style", "drop", "kids", "path", "parent", "in_article", "named", "holds", "furniture_above", "block")
 
     def __init__(self, tag: str, attributes: str, parent: "Element | None"):
         named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
@@ -65,27 +120,42 @@ class Element:
             above = parent
             while above is not None and not above.holds:
                 above.holds, above = True, above.parent
-        self.path = (parent.path + "/" if parent else "") + self.style
+        self.path = _below(parent.path if parent else "", self.style)
+        self.furniture_above = None
+        self.block = self if parent is None or tag not in INLINE else parent.block  # the innermost that is not within a line
 
     def furniture(self) -> bool:
         """Whether a name speaks against the element or one around it; articles and what is around them are not judged by name."""
-        return (self.named and not self.holds) or (self.parent is not None and self.parent.furniture())
+        line, e = [], self
+        while e is not None and e.furniture_above is None:
+            line.append(e)
+            e = e.parent
+        found = e is not None and e.furniture_above
+        for e in reversed(line):
+            found = e.furniture_above = found or (e.named and not e.holds)
+        return bool(found)
 
 
 def read_page(source: str) -> tuple[list[tuple[Element, str]], list[Element]]:
     """Blocks of text with the element they stand in, in page order, and all elements."""
     root = Element("#page", "", None)
     stack, elements, blocks, run = [root], [root], [], []
-    at, n = 0, len(source)
+    at, n, ends = 0, len(source), TagEnds(source)
+    open_ = Counter()  # elements of each tag in the stack
+
+    def cut(i: int):
+        for e in stack[i:]:
+            open_[e.tag] -= 1
+        del stack[i:]
+
+    def innermost(tags) -> int:
+        return next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag in tags)
 
     def flush():
         if run:
             text = SPACE.sub(" ", "".join(x for _, x in run)).strip()
             if text:
-                owner = next((e for e, x in run if x.strip()), run[0][0])
-                while owner.tag in INLINE and owner.parent is not None:
-                    owner = owner.parent
-                blocks.append((owner, text))
+                blocks.append((next((e for e, x in run if x.strip()), run[0][0]).block, text))
             run.clear()
 
     def add_text(text: str):
@@ -93,40 +163,36 @@ def read_page(source: str) -> tuple[list[tuple[Element, str]], list[Element]]:
             run.append((stack[-1], html.unescape(text)))
 
     while at < n:
-        m = TOKEN.search(source, at)
-        if m is None:
+        token = next_token(source, at, ends)
+        if token is None:
             add_text(source[at:])
             break
-        add_text(source[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                add_text(m[0][9:].removesuffix("]]>"))
+        start, after, section, closing, tag, attributes = token
+        add_text(source[at:start])
+        at = after
+        if not tag:
+            add_text(section or "")
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if closing:
             if tag not in INLINE:
                 flush()
-            if any(e.tag == tag for e in stack[1:]):
-                while stack[-1].tag != tag:
-                    stack.pop()
-                stack.pop()
+            if open_[tag]:
+                cut(innermost({tag}))
             continue
         if tag == "br":
             run.append((stack[-1], " "))
         if tag not in INLINE:
             flush()
-        if tag in ENDS_P and any(e.tag == "p" for e in stack):
-            while stack.pop().tag != "p":
-                pass
-        if tag in SELF_ENDING:
+        if tag in ENDS_P and open_["p"]:
+            cut(innermost({"p"}))
+        if tag in SELF_ENDING and any(open_[t] for t in SELF_ENDING[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in SELF_ENDING[tag]:
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i].tag in SCOPES:
                     break
-        element = Element(tag, m[3], stack[-1])
+        element = Element(tag, attributes, stack[-1])
         stack[-1].kids.append(tag)
         elements.append(element)
         if tag in RAW:
@@ -135,8 +201,9 @@ def read_page(source: str) -> tuple[list[tuple[Element, str]], list[Element]]:
             at = close.end() if close else n
             if not element.drop and tag == "textarea":
                 run.append((element, html.unescape(inside)))
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and not attributes.endswith("/"):
             stack.append(element)
+            open_[tag] += 1
     flush()
     return blocks, elements
 
@@ -150,37 +217,60 @@ def _host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def style_tree(pages: DataFrame, least_pages: int, least_importance: float, gamma: float = 0.2) -> tuple[DataFrame, DataFrame]:
-    """(key, n, importance) of each styled path of each host, and (key, value) of the texts common at a path.
+_BLOCKS = (
+    "row_id long, page_id string, url string, page long, "
+    "blocks array<struct<key:long,value:long,above:long,furniture:boolean,article:boolean,text:string>>, shapes array<struct<key:long,value:long>>"
+)
 
-    Importance is (1 - gamma) times the relative entropy of the texts of the path and gamma times that of
-    the presentations of the element above. Texts common at the path (see :func:`main_text`) do not enter it, so that they
-    take no other text along; ``n`` counts the rest. Equal pages of a host count once. Counts are summed per task before the shuffle, so neither
-    a host nor a path is ever gathered in one place.
+
+def page_blocks(rows: DataFrame) -> DataFrame:
+    """Each page of the rows (row_id, page_id, url, html) read once.
+
+    ``blocks`` are its texts in page order, with hashes of the styled path, of the text and of the path above; ``shapes`` are the
+    sequences of child tags of the elements above; ``page`` is a hash of host and source.
     """
 
-    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for url, source in zip(pdf["url"], pdf["html"], strict=True):
+            for row, page_id, url, source in zip(pdf["row_id"], pdf["page_id"], pdf["url"], pdf["html"], strict=True):
                 host = _host_of(url)
-                page = _key(host, source or "")
-                blocks, elements = read_page(source or "")
-                mine = Counter()
-                for element, text in blocks:
-                    if not element.drop and element.parent is not None:
-                        mine[_key(host, element.path), 0, _key("", text), _key(host, element.parent.path)] += 1
-                for key in {x[0] for x in mine}:
-                    mine[key, 2, 0, 0] = 1
-                holders = {id(e.parent): e.parent for e, _ in blocks if not e.drop and e.parent is not None}
-                for e in holders.values():
-                    mine[_key(host, e.path), 1, _key("", " ".join(e.kids)), 0] += 1
-                out += [(*x, page, c) for x, c in mine.items()]
-            yield pd.DataFrame(out, columns=["key", "kind", "value", "above", "page", "c"])
-
-    rows = pages.select("url", "html").mapInPandas(seen, "key long, kind int, value long, above long, page long, c long")
-    once = rows.groupBy("key", "kind", "value", "page").agg(F.max("c").alias("c"), F.max("above").alias("above"))
-    counted = written(once.groupBy("key", "kind", "value").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("pages"), F.max("above").alias("above")), "style-tree")
+                key = lru_cache(None)(lambda path, host=host: _key(host, path))
+                blocks, holders = [], {}
+                for e, text in read_page(source or "")[0]:
+                    if not e.drop:
+                        above = key(e.parent.path) if e.parent is not None else None
+                        blocks.append({"key": key(e.path), "value": _key("", text), "above": above, "furniture": e.furniture(), "article": e.in_article, "text": text})
+                        if e.parent is not None:
+                            holders[id(e.parent)] = e.parent
+                shapes = [{"key": key(e.path), "value": _key("", " ".join(e.kids))} for e in holders.values()]
+                out.append((row, page_id, url, _key(host, source or ""), blocks, shapes))
+            yield pd.DataFrame(out, columns=["row_id", "page_id", "url", "page", "blocks", "shapes"])
+
+    # The id crosses pandas as text, which keeps nulls and all digits.
+    return rows.select("row_id", F.col("page_id").cast("string").alias("page_id"), "url", "html").mapInPandas(read, _BLOCKS)
+
+
+def style_tree(read: DataFrame, least_pages: int, least_importance: float, gamma: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """(key, n, importance) of each styled path of each host, and (key, value) of the texts common at a path.
+
+    Importance is (1 - gamma) times the relative entropy of the texts of the path and gamma times that of
+    the presentations of the element above. Texts common at the path (see :func:`main_text`) do not enter it, so that they
+    take no other text along; ``n`` counts the rest. Equal pages of a host count once. ``read`` is a table of
+    :func:`page_blocks`. Counts are summed per task before the shuffle, so neither a host nor a path is ever gathered in one place.
+    """
+    once = read.groupBy("page").agg(F.min("row_id").alias("row_id")).select("row_id")
+    entry = lambda kind, key, value, above: F.struct(F.lit(kind).alias("kind"), key.alias("key"), value.alias("value"), above.alias("above"))
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    inner = F.filter("blocks", lambda x: x["above"].isNotNull())
+    entries = F.concat(
+        F.transform(inner, lambda x: entry(0, x["key"], x["value"], x["above"])),
+        F.transform("shapes", lambda x: entry(1, x["key"], x["value"], none)),
+        F.transform(F.array_distinct(F.transform(inner, lambda x: x["key"])), lambda x: entry(2, x, zero, none)),
+    )
+    seen = read.select("row_id", F.explode(entries).alias("x")).select("row_id", "x.*").join(once, "row_id", "left_semi")
+    per_page = seen.groupBy("row_id", "kind", "key", "value").agg(F.count(F.lit(1)).alias("c"), F.max("above").alias("above"))
+    counted = written(per_page.groupBy("key", "kind", "value").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("pages"), F.max("above").alias("above")), "style-tree")
     c = F.col("c").cast("double")
     of = counted.where("kind = 2").select("key", F.col("pages").alias("of"))
     common = (
@@ -198,7 +288,7 @@ def style_tree(pages: DataFrame, least_pages: int, least_importance: float, gamm
     return paths, common
 
 
-def main_text(pages: DataFrame, least_pages: int = 10, least_importance: float = 0.5, named_importance: float = 0.75) -> DataFrame:
+def main_text(pages: DataFrame, least_pages: int = 10, least_importance: float = 0.5, named_importance: float = 0.75, stored: bool = False) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages (page_id, url, html).
 
     Blocks inside the page's article or main element, or in the whole page without one, in page order. Where the host's
@@ -206,49 +296,42 @@ def main_text(pages: DataFrame, least_pages: int = 10, least_importance: float =
     ``least_importance``, or below ``named_importance`` if a name calls it furniture. With fewer texts the name alone
     decides. A text that ``pages`` of at least ``least_pages`` pages with its path have there goes where
     1 - log(pages) / log(all) is below ``least_importance``. Null and empty html give the empty text; pages without a
-    host share one tree; repeated rows each get a row.
+    host share one tree; repeated rows each get a row. Pages of any length, depth and state of their markup are read
+    whole in about linear time. For a ``stored`` table just as ``spark.read`` gives it rows are numbered by file and place, else
+    in a written copy.
     """
-    rows = pages.select(F.monotonically_increasing_id().alias("row_id"), "page_id", "url", "html")
-    paths, common = style_tree(pages, least_pages, least_importance)
+    rows = keyed(pages.select("page_id", "url", "html"), "page-rows", "row_id", stored)
+    read = written(page_blocks(rows), "page-blocks")
+    paths, common = style_tree(read, least_pages, least_importance)
     known = F.col("n") >= least_pages
     low = paths.where(known & (F.col("importance") < least_importance)).select("key", F.lit(0).alias("kind"))
     sure = paths.where(known & (F.col("importance") >= named_importance)).select("key", F.lit(1).alias("kind"))
-
-    def keys_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row, url, source in zip(pdf["row_id"], pdf["url"], pdf["html"], strict=True):
-                host = _host_of(url)
-                out += [(row, *x) for x in {(_key(host, e.path), _key("", t)) for e, t in read_page(source or "")[0] if not e.drop}]
-            yield pd.DataFrame(out, columns=["row_id", "key", "value"])
-
-    asked = written(rows.select("row_id", "url", "html").mapInPandas(keys_of, "row_id long, key long, value long"), "page-paths")
-    marks = asked.select("row_id", "key").distinct().join(low.unionByName(sure), "key").select("row_id", "kind", "key")
-    marks = marks.unionByName(asked.join(common, ["key", "value"]).select("row_id", F.lit(2).alias("kind"), F.col("key").bitwiseXOR(F.col("value")).alias("key")))
+    keys = read.select("row_id", F.explode(F.array_distinct(F.transform("blocks", lambda x: x["key"]))).alias("key"))
+    texts = read.select("row_id", F.explode(F.array_distinct(F.transform("blocks", lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))))).alias("x")).select("row_id", "x.*")
+    marks = keys.join(low.unionByName(sure), "key").select("row_id", "kind", "key")
+    marks = marks.unionByName(texts.join(common, ["key", "value"]).select("row_id", F.lit(2).alias("kind"), F.col("key").bitwiseXOR(F.col("value")).alias("key")))
     of_kind = lambda k: F.collect_set(F.when(F.col("kind") == k, F.col("key")))
     found = marks.groupBy("row_id").agg(of_kind(0).alias("low"), of_kind(1).alias("sure"), of_kind(2).alias("common"))
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for url, source, *sets in zip(pdf["url"], pdf["html"], pdf["low"], pdf["sure"], pdf["common"], strict=True):
-                host = _host_of(url)
+            for blocks, *sets in zip(pdf["blocks"], pdf["low"], pdf["sure"], pdf["common"], strict=True):
                 low, sure, common = (set(x) if x is not None else set() for x in sets)
-                kept = []
-                for e, t in read_page(source or "")[0]:
-                    if not e.drop:
-                        key = _key(host, e.path)
-                        if key not in low and (key in sure or not e.furniture()) and key ^ _key("", t) not in common:
-                            kept.append((e, t))
-                if any(e.in_article for e, _ in kept):
-                    kept = [(e, t) for e, t in kept if e.in_article]
-                out.append("\n\n".join(t for _, t in kept))
+                kept = [
+                    b for b in blocks
+                    if b["key"] not in low and (b["key"] in sure or not b["furniture"]) and b["key"] ^ b["value"] not in common
+                ]
+                if any(b["article"] for b in kept):
+                    kept = [b for b in kept if b["article"]]
+                out.append("\n\n".join(b["text"] for b in kept))
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": out, "n_chars": [len(t) for t in out]})
 
-    joined = rows.join(found, "row_id", "left").select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "low", "sure", "common")
-    out = joined.mapInPandas(extract, "page_id string, url string, text string, n_chars long")
+    wanted = F.transform("blocks", lambda x: x.dropFields("above"))
+    joined = read.select("row_id", "page_id", "url", wanted.alias("blocks")).join(found, "row_id", "left").drop("row_id")
+    out = joined.mapInPandas(chosen, "page_id string, url string, text string, n_chars long")
     return out.withColumn("page_id", F.col("page_id").cast("long"))
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:
-    return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"), stored=True)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import numbered, written
+from .shared import free_name, keyed, written
 
 #: Place of a line in the table: documents by id, lines by number; one number that aggregates and compares fast.
 _PLACE = "decimal(38,0)"
@@ -154,7 +154,7 @@ def _bit(word: Column, at: Column) -> Column:
     return F.floor(word / F.pow(F.lit(2.0), at)).cast("long").bitwiseAND(F.lit(1).cast("long")).cast("int")
 
 
-def repeated_lines(documents: DataFrame, least_chars: int = 30, edits=EDITS, id_col: str = "doc_id", text_col: str = "text", least_exact: int | None = None, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+def repeated_lines(documents: DataFrame, least_chars: int = 30, edits=EDITS, id_col: str = "doc_id", text_col: str = "text", least_exact: int | None = None, row_col: str | None = None, stored: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, drops): rows (row_id, doc_id, text), and drops (row_id, places, near) for rows with repeated lines.
 
     A line (between line feeds) of at least ``least_chars`` characters is repeated if an equal line, or one within
@@ -162,11 +162,11 @@ def repeated_lines(documents: DataFrame, least_chars: int = 30, edits=EDITS, id_
     the input, not on what is left. ``edits`` is a number, or steps like EDITS by the length of the pair's shorter line.
     Shorter lines from ``least_exact`` characters that are not blank are repeated if an equal line stands earlier. ``places`` are the numbers of the repeated lines from 0, ``near`` how many have only
     a near match. Rows that repeat a doc_id are copies of one document: lines at equal places in them do
-    not repeat one another. A null id counts as the smallest; null and empty texts have no lines to drop.
+    not repeat one another. A null id counts as the smallest; null and empty texts have no lines to drop. Rows are numbered by
+    ``row_col``, for a ``stored`` table just as ``spark.read`` gives it by file and place, else in a written copy.
     """
-    numbers = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
-    rows = documents.select(numbers.alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = written(rows, "line-rows") if row_col is None else rows
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
+    rows = keyed(documents.select(*columns), "line-rows", "row_id", stored) if row_col is None else documents.select(F.col(row_col).alias("row_id"), *columns)
     place = (F.coalesce("doc_id", F.lit(_LOWEST)).cast(_PLACE) * F.lit(2**31).cast("decimal(11,0)") + F.col("at").cast("decimal(10,0)")).cast(_PLACE)
     lines = (
         rows.select("row_id", "doc_id", F.posexplode_outer(F.split("text", "\n")).alias("at", "line"))
@@ -239,24 +239,25 @@ def _kept(text: Column, places: Column) -> Column:
     return F.when(places.isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(every, i)), "\n"))
 
 
-def dedup_lines(documents: DataFrame, least_chars: int = 30, edits=EDITS, least_exact: int | None = None) -> DataFrame:
+def dedup_lines(documents: DataFrame, least_chars: int = 30, edits=EDITS, least_exact: int | None = None, stored: bool = False) -> DataFrame:
     """``documents`` (doc_id, text, ...) without repeated lines; texts of which nothing is left go, other columns stay.
 
-    ``n_chars``, where there is such a column, is counted anew for changed texts.
+    ``n_chars``, where there is such a column, is counted anew for changed texts. ``stored`` as in :func:`repeated_lines`.
+    Nulls, empty and repeated rows stay as they are; an empty table gives an empty one.
     """
-    docs = numbered(documents, "line-documents", "__row")
-    _, drops = repeated_lines(docs, least_chars, edits, least_exact=least_exact, row_col="__row")
-    found = drops.select(F.col("row_id").alias("__row"), F.col("places").alias("__places"))
-    out = docs.join(found, "__row", "left")
-    out = out.withColumn("text", _kept(F.col("text"), F.col("__places"))).where(F.col("__places").isNull() | (F.trim("text") != ""))
+    row, places = free_name(documents, "__row"), free_name(documents, "__places")
+    docs = keyed(documents, "line-documents", row, stored)
+    _, drops = repeated_lines(docs, least_chars, edits, least_exact=least_exact, row_col=row)
+    out = docs.join(drops.select(F.col("row_id").alias(row), F.col("places").alias(places)), row, "left")
+    out = out.withColumn("text", _kept(F.col("text"), F.col(places))).where(F.col(places).isNull() | (F.trim("text") != ""))
     if "n_chars" in documents.columns:
         counted = F.char_length("text").cast(documents.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("__places").isNull(), F.col("n_chars")).otherwise(counted))
-    return out.drop("__row", "__places")
+        out = out.withColumn("n_chars", F.when(F.col(places).isNull(), F.col("n_chars")).otherwise(counted))
+    return out.drop(row, places)
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:
-    rows, drops = repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), least_exact=1)
+    rows, drops = repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), least_exact=1, stored=True)
     return rows.join(drops, "row_id", "left").select(
         "doc_id",
         F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),

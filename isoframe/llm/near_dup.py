@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hashed_words, mix, numbered, shingle_hashes, text_slices, written
+from .shared import free_name, hashed_words, keyed, mix, shingle_hashes, text_slices, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -265,18 +265,18 @@ def _links_of_buckets(bucket: DataFrame, rows: DataFrame, k: int, similarity: fl
     return _merged(classes, as_links(third)), links.union(as_links(third)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(documents: DataFrame, k: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, band_rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+def near_duplicates(documents: DataFrame, k: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, band_rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, stored: bool = False) -> DataFrame:
     """Classes of near duplicates: row_id, doc_id, class_id, class_row, n_links for every row.
 
     Two texts are linked when the weighted Jaccard similarity of their shingle multisets is at least
     ``similarity``; classes are the connected components. ``class_id`` is the doc_id of the class's first row (least
     doc_id, then row), ``class_row`` its row id, ``n_links`` the row's links that were verified on the way plus,
     for texts with the same multiset, those to the first of them. Texts of fewer than k words are one shingle; null,
-    empty and wordless texts are classes of their own; null ids come first. Repeated rows are copies of each other.
+    empty and wordless texts are classes of their own; null ids come first. Repeated rows are copies of each other. Rows are numbered by ``row_col``,
+    for a ``stored`` table just as ``spark.read`` gives it by file and place, else in a written copy.
     """
-    numbers = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
-    rows = documents.select(numbers.alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = written(rows, "near-rows") if row_col is None else rows
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")]
+    rows = keyed(documents.select(*columns), "near-rows", "row_id", stored) if row_col is None else documents.select(F.col(row_col).alias("row_id"), *columns)
     scanned = written(_scan(rows, k, bands, band_rows), "near-scan")
     order = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), "row_id")
     # One row per multiset; copies are counted where they lie before anything is shuffled.
@@ -302,12 +302,16 @@ def near_duplicates(documents: DataFrame, k: int = WORDS, similarity: float = SI
     return out.join(heads, "class").select("row_id", "doc_id", "class_id", "class_row", "n_links")
 
 
-def dedup_near(documents: DataFrame, k: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``documents`` with the first row of each class only, columns as they are."""
-    docs = numbered(documents, "near-documents", "__row")
-    keep = near_duplicates(docs, k, similarity, row_col="__row").where("row_id = class_row").select(F.col("row_id").alias("__row"))
-    return docs.join(keep, "__row", "left_semi").drop("__row")
+def dedup_near(documents: DataFrame, k: int = WORDS, similarity: float = SIMILARITY, stored: bool = False) -> DataFrame:
+    """``documents`` with the first row of each class only, columns as they are; ``stored`` as in :func:`near_duplicates`.
+
+    Null, empty and wordless texts all stay; of repeated rows one stays; an empty table gives an empty one.
+    """
+    row = free_name(documents, "__row")
+    docs = keyed(documents, "near-documents", row, stored)
+    keep = near_duplicates(docs, k, similarity, row_col=row).where("row_id = class_row").select(F.col("row_id").alias(row))
+    return docs.join(keep, row, "left_semi").drop(row)
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "n_links")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), stored=True).select("doc_id", "class_id", "n_links")

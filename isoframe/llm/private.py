@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hashed_words, text_slices, written
+from .shared import free_name, hashed_words, keyed, text_slices, written
 
 #: Fixed patterns and their order in results.
 KINDS = ("email", "ip", "card", "phone")
@@ -52,13 +54,39 @@ def accepted(kind: str, value: str) -> bool:
     return True
 
 
+#: What an email has before its sign, and what follows it; an ip from where a run of digits starts.
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """The leftmost non-overlapping emails: what stands before each sign starts as far left as it may, so no place is tried twice."""
+    bound, at = 0, text.find("@")
+    while at >= 0:
+        start = bound + len(text[bound:at].rstrip(_LOCAL))
+        domain = _DOMAIN.match(text, at + 1) if start < at else None
+        bound = domain.end() if domain else at + 1
+        if domain:
+            yield start, bound
+        at = text.find("@", bound)
+
+
+def _matches(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the leftmost non-overlapping matches of a kind's pattern, in time linear in the text."""
+    if kind == "email":
+        yield from _emails(text)
+    else:
+        yield from (m.span() for m in (_IP if kind == "ip" else PATTERNS[kind]).finditer(text))
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the pattern matches in code points, by kind and start."""
     out = []
     for kind in KINDS:
         if kind == "email" and "@" not in text or kind == "phone" and "+" not in text or kind == "ip" and text.count(".") < 3:
             continue
-        out += [(kind, m.start(), m.end()) for m in PATTERNS[kind].finditer(text) if accepted(kind, m[0])]
+        out += [(kind, s, e) for s, e in _matches(kind, text) if accepted(kind, text[s:e])]
     return out
 
 
@@ -72,6 +100,8 @@ def nearby_terms(text: str, spans: list[tuple[str, int, int]], reach: int, least
     """(entity, term, start, end, context) for the terms among the ``reach`` words on either side of each span."""
     # Words of a window of characters that surely holds enough words where they are of common length, doubled until it does.
     covered = sorted((s, e) for _, s, e in spans)
+    starts, reached = [s for s, _ in covered], [0, *accumulate((e for _, e in covered), max)]
+    inside = lambda w: reached[bisect_left(starts, w.end())] > w.start()
     for kind, start, end in spans:
         entity = _entity(text, (kind, start, end))
         for side in (-1, 1):
@@ -91,7 +121,7 @@ def nearby_terms(text: str, spans: list[tuple[str, int, int]], reach: int, least
             context = " ".join(w[0] for w in words)
             for w in words:
                 term = w[0].translate(_TO_LOWER)
-                if len(term) >= least_chars and not term.isdigit() and not any(s < w.end() and w.start() < e for s, e in covered):
+                if len(term) >= least_chars and not term.isdigit() and not inside(w):
                     yield entity, term, w.start(), w.end(), context
 
 
@@ -128,7 +158,9 @@ def _terms(text: str, spans: list[tuple[str, int, int]], least_chars: int) -> li
     return list(out)
 
 
-def scan(documents: DataFrame, reach: int, least_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(rows: DataFrame, reach: int, least_chars: int) -> DataFrame:
+    """Base spans, entities and terms of each of the rows (row_id, doc_id, text)."""
+
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             base, entities, terms = [], [], []
@@ -139,7 +171,7 @@ def scan(documents: DataFrame, reach: int, least_chars: int, id_col: str = "doc_
                 terms.append(_terms(text, spans, least_chars) if spans else [])
             yield pd.DataFrame({"row_id": pdf["row_id"], "doc_id": pdf["doc_id"], "base": base, "entities": entities, "terms": terms})
 
-    rows = documents.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.select("row_id", F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # The id crosses pandas as text, which keeps nulls and all digits.
     return written(rows.mapInPandas(find, _FOUND).withColumn("doc_id", F.col("doc_id").cast("long")), "private-spans")
 
@@ -215,6 +247,8 @@ def find_private(
     max_bits: float = 1.0,
     id_col: str = "doc_id",
     text_col: str = "text",
+    row_col: str | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Spans of personal data of every row: row_id, doc_id, spans as array of (kind, s, e), kinds numbered as in KINDS + term.
 
@@ -222,8 +256,12 @@ def find_private(
     entity in ``least_contexts`` different surroundings of ``reach`` words (copies of a text count once) and leaves at
     most ``max_bits`` bits about it. Every occurrence of a telling term in any row is a span, other than inside an
     entity. Null and empty texts have no spans; repeated rows each get a row; other columns are not read.
+    Rows are numbered by ``row_col``, for a ``stored`` table just as ``spark.read`` gives it by file and place, else in a
+    written copy. Texts of any length are read whole, in time linear in their length and in their spans.
     """
-    found = scan(documents, reach, least_chars, id_col, text_col)
+    columns = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")]
+    rows = keyed(documents.select(*columns), "private-rows", "row_id", stored) if row_col is None else documents.select(F.col(row_col).alias("row_id"), *columns)
+    found = scan(rows, reach, least_chars)
     each = found.select("row_id", F.explode("entities").alias("x")).select("row_id", "x.*")
     # An entity with fewer surroundings in all has no telling terms.
     often = each.groupBy("entity").agg(F.count_distinct("c").alias("k")).where(F.col("k") >= least_contexts).select("entity")
@@ -234,8 +272,8 @@ def find_private(
         .where(F.col("contexts") >= least_contexts)
         .groupBy("h").agg(F.max("both").alias("both"))
     )
-    telling = written(pairs.join(term_documents(documents, text_col), "h").where(F.col("both") >= F.col("n") * F.lit(2.0**-max_bits)).select("h"), "private-terms")
-    rows = documents.select(F.monotonically_increasing_id().alias("row_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    telling = written(pairs.join(term_documents(rows), "h").where(F.col("both") >= F.col("n") * F.lit(2.0**-max_bits)).select("h"), "private-terms")
+    rows = rows.select("row_id", F.coalesce("text", F.lit("")).alias("text"))
     if telling.count() <= BROADCAST_TERMS:
         extra = _marked(rows, np.sort(np.array([r["h"] for r in telling.collect()], np.int64)))
     else:
@@ -247,8 +285,11 @@ def find_private(
     return found.select("row_id", "doc_id", "base").join(extra, "row_id", "left").select("row_id", "doc_id", "base", F.array_sort(F.concat("base", outside)).alias("spans"))
 
 
-def redact(documents: DataFrame, spans: DataFrame, text_col: str = "text") -> DataFrame:
-    """``documents`` with entities generalised to [KIND] and telling terms removed; spans must come from the same table."""
+def redact(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id", stored: bool = False, **options) -> DataFrame:
+    """``documents`` with entities generalised to [KIND] and telling terms removed, other columns as they are.
+
+    The spans are those of :func:`find_private`, with its ``options``. Null texts stay null; repeated rows are all rewritten.
+    """
     labels = [f"[{k.upper()}]" for k in KINDS] + [""]
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -263,14 +304,16 @@ def redact(documents: DataFrame, spans: DataFrame, text_col: str = "text") -> Da
                 out.append("".join(parts) + text[at:] if text is not None else None)
             yield pd.DataFrame({"row_id": pdf["row_id"], "__clean": out})
 
-    docs = documents.withColumn("__row", F.monotonically_increasing_id())
-    joined = docs.select(F.col("__row").alias("row_id"), F.col(text_col).alias("text")).join(spans.select("row_id", "spans"), "row_id", "left")
-    clean = joined.mapInPandas(rewrite, "row_id long, __clean string")
-    return docs.join(clean.withColumnRenamed("row_id", "__row"), "__row").withColumn(text_col, F.col("__clean")).drop("__row", "__clean")
+    row, clean = free_name(documents, "__row"), free_name(documents, "__clean")
+    docs = keyed(documents, "redact-documents", row, stored)
+    spans = find_private(docs, id_col=id_col, text_col=text_col, row_col=row, **options).select("row_id", "spans")
+    joined = docs.select(F.col(row).alias("row_id"), F.col(text_col).alias("text")).join(spans, "row_id", "left")
+    rewritten = joined.mapInPandas(rewrite, "row_id long, __clean string").toDF(row, clean)
+    return docs.join(rewritten, row).withColumn(text_col, F.col(clean)).drop(row, clean)
 
 
 def op8_query(spark, sf_dir: str) -> DataFrame:
-    found = find_private(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = find_private(spark.read.parquet(f"{sf_dir}/documents.parquet"), stored=True)
     names = F.array(*[F.lit(k) for k in (*KINDS, "term")])
     line = lambda col: F.concat_ws(",", F.transform(col, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["s"].cast("string"), x["e"].cast("string"))))
     count = lambda i: F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long")

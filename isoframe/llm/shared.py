@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,37 @@ def numbered(df: DataFrame, name: str, column: str = "row_id") -> DataFrame:
     return written(df.withColumn(column, F.monotonically_increasing_id()), name)
 
 
+def stored_rows(df: DataFrame, name: str, column: str = "row_id") -> DataFrame:
+    """A table just as ``spark.read`` gives it, with row numbers that every scan gives again, however its files are split.
+
+    A number is a hash of the file plus the row's place in the file. Where ranges of two files overlap, or the source knows no
+    places (other formats, frames made from Python rows), the numbered rows are written once instead.
+    """
+    base = F.shiftrightunsigned(F.xxhash64("_metadata.file_path"), 2)
+    place = F.col("_metadata.row_index")
+    try:
+        files = df.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min(base).alias("start"), F.max(base + place).alias("end"))
+    except AnalysisException:
+        return numbered(df, name, column)
+    ranges = sorted((r["start"], r["end"]) for r in files.collect())  # a row per file, which the driver lists anyway
+    if any(after[0] <= before[1] for before, after in pairwise(ranges)):
+        return numbered(df, name, column)
+    return df.withColumn(column, base + place)
+
+
+def keyed(df: DataFrame, name: str, column: str, stored: bool) -> DataFrame:
+    """``df`` with stable row numbers: by file and place for a stored table as read, else from a written copy."""
+    return stored_rows(df, name, column) if stored else numbered(df, name, column)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Tables of one run in the shared folder; each can be emptied once nothing reads it any more."""
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix, powers, prefix_hash, text_slices, written
+from .shared import keyed, mix, powers, prefix_hash, text_slices, written
 
 LENGTH = 100
 GRAM = 48
@@ -299,18 +299,19 @@ def _resolve_hot(contexts: DataFrame, length: int) -> DataFrame:
     return windows.join(firsts, ["w1", "w2"]).where(place != F.col("first")).select("row_id", "at", F.lit(1).alias("n"))
 
 
-def repeated_bytes(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_bytes(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", stored: bool = False) -> DataFrame:
     """(row_id, doc_id, text, kept, n_bytes, n_removed, n_spans, spans) of every row.
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier: in a text of a smaller id, or earlier
     in the same text. Strings are judged on the input. ``kept`` is what remains, as binary; ``spans`` are the maximal
     removed (start, end). Texts are their UTF-8 bytes, null is empty; a null id counts as the smallest, and rows that
-    repeat an id are ordered by where they stand in the table. Other columns are not read.
+    repeat an id are ordered by their row numbers. Other columns are not read. ``stored`` is for a table just as
+    ``spark.read`` gives it: its rows are numbered by file and place, others are written once with their numbers.
     """
-    rows = documents.select(
-        F.monotonically_increasing_id().alias("row_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("key_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    columns = documents.select(F.col(id_col).alias("key_id"), F.col(text_col).alias("text"))
+    rows = keyed(columns, "suffix-rows", "row_id", stored).select(
+        "row_id", F.coalesce(F.col("key_id").cast("long"), F.lit(_LOWEST)).alias("key_id"), F.coalesce("text", F.lit("")).alias("text")
     )
-    rows = written(rows, "suffix-rows")
     scanned = _scan_buckets(_runs(rows, length, gram))
     marked = scanned.where("kind < 2").select("kind", "v", "doc_id", "row_id", "at", "n").unionByName(_across(scanned))
     looked = marked.where("kind = 1").select("v", "row_id", "at", "n").distinct()
@@ -349,5 +350,5 @@ def repeated_bytes(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:
-    found = repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"), stored=True)
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -17,12 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hashed_words, text_slices
+from .shared import free_name, hashed_words, keyed, text_slices
 
 #: Labelled rows to learn from: at most about so many, taken by hash of the id where there are more.
 LABELLED_ROWS = 100_000
-#: Tokens that carry a weight of their own: so many of the largest |z| at most.
-MOST_TOKENS = 50_000
 
 
 @dataclass
@@ -165,7 +163,7 @@ def learn(documents: DataFrame, labels: DataFrame, prior: float = 2_000.0, flat:
     odds = F.log(t / (F.lit(n_t + mass) - t)) - F.log(o / (F.lit(n_o + mass) - o))
     chosen = (
         counts.where("n_toxic + n_other > 0").select("h", "n_other", odds.alias("w"), (odds / F.sqrt(1 / t + 1 / o)).alias("z"))
-        .where(F.abs("z") >= least_z).orderBy(F.desc(F.abs("z")), "h").limit(MOST_TOKENS).collect()
+        .where(F.abs("z") >= least_z).collect()  # tokens of the labelled rows only
         if n_t and n_o else []
     )
     counts.unpersist()
@@ -183,20 +181,23 @@ def learn(documents: DataFrame, labels: DataFrame, prior: float = 2_000.0, flat:
         model.drift = drift = float(2 * (mass * w).sum())
     model.rate = _root_of_rate(np.concatenate([w - drift, [-drift]]), np.concatenate([mass, [max(0.0, 1 - mass.sum())]]))
 
-    labelled = texts.where("toxic IS NOT NULL").select("toxic", "text")
+    labelled = texts.where("toxic IS NOT NULL").select("doc_id", "toxic", "text")
     best = _per_text(labelled.where("toxic = 0"), model, {"s": "double", "n": "long"}, lambda s, m: {"s": max((x for _, _, x in segments(s)), default=0.0), "n": len(s)})
     fit = best.agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("n") * F.exp(-F.lit(model.rate) * F.col("s"))).alias("x")).first()
     model.size = max(1e-9, float(fit["c"]) / max(1e-9, float(fit["x"] or 0)))
-    rows = _per_text(labelled, model, {"best": "double", "total": "double", "share": "double", "n": "long"}, lambda s, m: dict(zip(("best", "total", "share", "n"), (*_evidence(s, m)[:3], len(s)), strict=True))).collect()  # bounded by labelled_rows
+    found = _per_text(labelled, model, {"best": "double", "total": "double", "share": "double", "n": "long"}, lambda s, m: dict(zip(("best", "total", "share", "n"), (*_evidence(s, m)[:3], len(s)), strict=True)))
+    # One row of each id, however many rows share it, so that labelled_rows bounds what is collected.
+    rows = found.groupBy("doc_id").agg(F.min(F.struct("toxic", "best", "total", "share", "n")).alias("x")).select("x.*").collect()
     x = np.array([_features(r["best"], r["total"], r["share"], r["n"]) for r in rows])
     model.curve = _logistic(x, np.array([r["toxic"] for r in rows], np.float64))
     return model
 
 
-def score_documents(documents: DataFrame, model: Model) -> DataFrame:
+def score_documents(documents: DataFrame, model: Model, row_col: str | None = None) -> DataFrame:
     """(row_id, doc_id, score, passages) of every row; passages are (first word, end word, surprise) of each significant segment.
 
-    Null and empty texts have no tokens and get the score of no evidence; repeated rows each get a row.
+    Null and empty texts have no tokens and get the score of no evidence; repeated rows each get a row. ``row_col``
+    names the column that tells rows apart, else one scan numbers them. Texts of any length are scored whole.
     """
 
     def row(s: np.ndarray, m: Model) -> dict:
@@ -204,7 +205,8 @@ def score_documents(documents: DataFrame, model: Model) -> DataFrame:
         z = float(np.dot(m.curve, _features(best, total, share, len(s))))
         return {"score": 1 / (1 + math.exp(-min(max(z, -30.0), 30.0))), "passages": [{"first": a, "end": b, "surprise": c} for a, b, c in kept]}
 
-    rows = documents.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
+    numbers = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    rows = documents.select(numbers.alias("row_id"), "doc_id", "text")
     return _per_text(rows, model, {"score": "double", "passages": "array<struct<first:long,end:long,surprise:double>>"}, row)
 
 
@@ -213,11 +215,17 @@ def training_labels(labels: DataFrame) -> DataFrame:
     return labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
 
 
-def reject(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``documents`` that score below ``threshold``, with their columns as they are."""
-    scored = score_documents(documents, learn(documents, training_labels(labels)))
-    keep = scored.where(F.col("score") < threshold).select(F.col("row_id").alias("__row"))
-    return documents.withColumn("__row", F.monotonically_increasing_id()).join(keep, "__row", "left_semi").drop("__row")
+def reject(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, stored: bool = False) -> DataFrame:
+    """The rows of ``documents`` that score below ``threshold``, with their columns as they are.
+
+    For a ``stored`` table just as ``spark.read`` gives it rows are numbered by file and place, else in a written copy.
+    Null and empty texts score as texts without evidence; an empty table gives an empty one.
+    """
+    row = free_name(documents, "__row")
+    docs = keyed(documents, "toxicity-documents", row, stored)
+    scored = score_documents(docs, learn(documents, training_labels(labels)), row)
+    keep = scored.where(F.col("score") < threshold).select(F.col("row_id").alias(row))
+    return docs.join(keep, row, "left_semi").drop(row)
 
 
 def op6_query(spark, sf_dir: str) -> DataFrame:

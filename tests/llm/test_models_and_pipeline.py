@@ -133,3 +133,45 @@ def test_stages_against_brute_force(spark, docs, tmp_path):
 def test_pipeline_runs(spark):
     packed = corpus_pipeline.run(spark, SF).collect()
     assert packed and all(r.bin_offset + r.n_tokens <= r.bin_length for r in packed if r.bin_id is not None)
+
+
+def test_stored_rows_do_not_depend_on_splits(spark, docs, tmp_path):
+    from isoframe.llm import shared
+
+    path = str(tmp_path / "docs")
+    docs([(i % 7, f"text {i}") for i in range(5000)]).repartition(3).write.option("parquet.block.size", 4096).parquet(path)
+    seen = []
+    for size in ("128m", "8k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = shared.stored_rows(spark.read.parquet(path), "t", "row_id_")
+            seen.append({r.row_id_: (r.doc_id, r.text) for r in rows.collect()})
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(seen[0]) == 5000 and seen[0] == seen[1]
+    made = shared.stored_rows(docs([(1, "a"), (2, "b")]), "t", "n")  # no file: written once
+    assert made.select("n").distinct().count() == 2 and made.inputFiles()
+    assert shared.stored_rows(spark.read.parquet(path).limit(0), "t", "n").count() == 0
+
+
+def test_stages_keep_columns_of_their_own_names(spark, docs, tmp_path):
+    from isoframe.llm import decontaminate, line_dedup, near_dup, private
+
+    rows = [(i, f"{w} stand here with words of their own") for i, w in enumerate(("seven white horses", "the old ships of Rhodes", "no more than two"))] + [(4, None), (5, ""), (None, "no id")]
+    table = docs(rows).withColumns({c: F.lit("mine") for c in ("__row", "__places", "__clean")})
+    item = spark.createDataFrame([("q", "an item that no document has at all in it")], "item_id string, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    for made in (line_dedup.dedup_lines(table), near_dup.dedup_near(table), decontaminate.clean(table, item), private.redact(table), toxicity.reject(table, labels, 2.0)):
+        assert sorted(made.columns) == sorted(table.columns)
+        got = made.collect()
+        assert len(got) == len(rows) and {r["__row"] for r in got} == {r["__clean"] for r in got} == {"mine"}
+
+
+def test_pipeline_of_nulls_and_of_nothing(spark, docs, tmp_path):
+    folder = tmp_path / "odd"
+    for name, rows in (("none", []), ("nulls", [(1, None), (None, None), (2, ""), (2, ""), (3, "one line of text\n" * 3)])):
+        sf = str(folder / name)
+        docs(rows).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+        spark.createDataFrame([], "item_id string, text string").write.parquet(f"{sf}/benchmark.parquet")
+        assert corpus_pipeline.run(spark, sf).count() >= 0

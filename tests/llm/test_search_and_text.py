@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -137,7 +138,7 @@ def test_telling_terms(spark, docs):
     terms = {(r.doc_id, rows[0][1][x.s : x.e]) for r in found.collect() for x in r.spans if x.kind == 4 and r.doc_id == 0}
     assert {t for _, t in terms} == {"variant", "zanzibarian", "writes"}
     assert found.count() == len(rows)
-    clean = {r.doc_id: r.text for r in private.redact(docs(rows), found).collect()}
+    clean = {r.doc_id: r.text for r in private.redact(docs(rows)).collect()}
     assert clean[0] == "é  0   to [EMAIL] about common matters" and clean[30] is None and clean[10] == rows[4][1]
     assert private.find_private(docs([])).count() == 0
 
@@ -183,3 +184,38 @@ def test_damaged_records_are_refused():
     plain = next(warc.gzip_members(io.BytesIO(data)))
     with pytest.raises(ValueError, match="digest"):
         warc.parse_record(plain.replace(b"payload\r\n\r\n", b"pAyload\r\n\r\n"))
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["<a " * 200_000, "<b>" * 100_000 + "x<div>y</div>" * 1000, "<a \"<b '" * 80_000, "<!" * 300_000, "<div>" * 5_000 + "deep" + "</div>" * 5_000, "<span>" * 50_000 + "<li></li>" * 20_000],
+)
+def test_broken_and_deep_pages_take_linear_time(source):
+    started = time.monotonic()
+    blocks, _ = html_text.read_page(source)
+    assert all(e.furniture() is False for e, _ in blocks)
+    assert time.monotonic() - started < 20
+
+
+def test_markup_with_quotes_and_brackets():
+    read = lambda s: [t for _, t in html_text.read_page(s)[0]]
+    assert read("<p title='a > b'>one</p><p title=\"<p>\">two</p>") == ["one", "two"]
+    assert read("<p>x <a href=\"u>y</p><p>z</p>") == ["x <a href=\"u>y", "z"]
+    assert read("<![CDATA[in]]><!-- out --><?x?>after") == ["inafter"]
+
+
+@pytest.mark.parametrize("text", ["1" * 1_000_000, "1." * 100_000, "a@" * 300_000, "a" * 1_000_000 + "@", "ab@cd.ef word " * 4000])
+def test_long_runs_take_linear_time(text):
+    started = time.monotonic()
+    spans = private.base_spans(text)
+    for _ in private.nearby_terms(text, spans, 8, 4):
+        pass
+    assert time.monotonic() - started < 20
+
+
+def test_base_spans_equal_the_plain_patterns():
+    pick = random.Random(3)
+    for _ in range(4000):
+        text = "".join(pick.choice("a1.@-+_ 2 ..@@99é") for _ in range(pick.randint(0, 60)))
+        plain = [(k, m.start(), m.end()) for k in private.KINDS for m in private.PATTERNS[k].finditer(text) if private.accepted(k, m[0])]
+        assert private.base_spans(text) == plain
