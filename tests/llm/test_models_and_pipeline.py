@@ -165,13 +165,3 @@ def test_stages_keep_columns_of_their_own_names(spark, docs, tmp_path):
         assert sorted(made.columns) == sorted(table.columns)
         got = made.collect()
         assert len(got) == len(rows) and {r["__row"] for r in got} == {r["__clean"] for r in got} == {"mine"}
-
-
-def test_pipeline_of_nulls_and_of_nothing(spark, docs, tmp_path):
-    folder = tmp_path / "odd"
-    for name, rows in (("none", []), ("nulls", [(1, None), (None, None), (2, ""), (2, ""), (3, "one line of text\n" * 3)])):
-        sf = str(folder / name)
-        docs(rows).write.parquet(f"{sf}/documents.parquet")
-        spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
-        spark.createDataFrame([], "item_id string, text string").write.parquet(f"{sf}/benchmark.parquet")
-        assert corpus_pipeline.run(spark, sf).count() >= 0
