@@ -687,7 +687,7 @@ def published_table(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     manage.publish(o.filter("o_orderkey % 2 = 0"), path)
     manage.publish(o, path, sort_by=["o_orderkey"])
-    return spark.read.parquet(path)
+    return manage.read_published(spark, path)
 
 
 @bind("record_stream", "SELECT o_orderkey, o_totalprice AS price FROM orders")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
@@ -125,31 +126,57 @@ def require_no_violations(violations: DataFrame, shown: int = 5) -> None:
         raise ValueError("invalid records: " + "; ".join(str(r.asDict()) for r in found))
 
 
+_POINTER = "number long, version string"
+
+
+def _versions(spark: SparkSession, path: str) -> DataFrame | None:
+    """(number, version) of all versions published at a path, None where there is none."""
+    try:
+        return spark.read.schema(_POINTER).parquet(f"{path.rstrip('/')}/pointer")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _latest(versions: DataFrame):
+    return versions.agg(F.max(F.struct("number", "version")).alias("v")).first()["v"]
+
+
 def publish(df: DataFrame, path: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> None:
-    """Write beside the target and swap it in only when the write has succeeded."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    tag = uuid.uuid4().hex
-    staging = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.staging-{tag}")
-    retired = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.retired-{tag}")
+    """Write a version of its own below ``path``, then name it in the pointer, one small file written last.
+
+    Read it by :func:`read_published`. No data are moved or removed, so a reader has one whole version, whatever
+    is published meanwhile; a write that fails is never named. Earlier versions stay until :func:`empty_versions`.
+    """
+    spark, root = df.sparkSession, path.rstrip("/")
+    version = f"version-{uuid.uuid4().hex}"
     ordered = df.sortWithinPartitions(*partition_by, *sort_by) if sort_by else df
-    try:
-        writer = ordered.write.mode("error")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(staging.toString())
-    except Exception:
-        fs.delete(staging, True)
-        raise
-    replacing = fs.exists(target)
-    if replacing and not fs.rename(target, retired):
-        raise OSError(f"cannot set aside {path}")
-    if not fs.rename(staging, target):
-        if replacing:
-            fs.rename(retired, target)
-        raise OSError(f"cannot move the new table to {path}")
-    if replacing:
-        fs.delete(retired, True)
+    writer = ordered.write.mode("error")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{root}/{version}")
+    before = _versions(spark, path)
+    number = 0 if before is None else _latest(before)["number"] + 1
+    spark.createDataFrame([(number, version)], _POINTER).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """The version of a published table that the pointer names last; of two named at once, the same one for all readers."""
+    versions = _versions(spark, path)
+    if versions is None:
+        raise ValueError(f"no table is published at {path}")
+    return spark.read.parquet(f"{path.rstrip('/')}/{_latest(versions)['version']}")
+
+
+def empty_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Empty all but the last ``keep`` versions; readers of those must be done."""
+    if keep < 1:
+        raise ValueError("at least one version must stay")
+    versions = _versions(spark, path)
+    if versions is None:
+        return
+    # one row per publishing, and only those that went out of use
+    for row in versions.orderBy(F.desc("number"), F.desc("version")).offset(keep).collect():
+        spark.range(0).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{row['version']}")
 
 
 def publish_library(df: DataFrame, path: str, library: str) -> None:

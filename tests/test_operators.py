@@ -102,13 +102,20 @@ def test_row_numbers_in_chunks(spark):
 def test_publish_and_checks(spark, tmp_path):
     path = str(tmp_path / "t")
     manage.publish(spark.range(3), path)
+    reader = manage.read_published(spark, path)
     manage.publish(spark.range(5), path)
-    assert spark.read.parquet(path).count() == 5
+    # a reader from before the second publishing keeps its whole version
+    assert reader.count() == 3 and manage.read_published(spark, path).count() == 5
     assert [p.name for p in tmp_path.iterdir()] == ["t"]
     bad = spark.range(3).select(F.raise_error(F.lit("broken")).alias("x"))
     with pytest.raises(Exception):
         manage.publish(bad, path)
-    assert spark.read.parquet(path).count() == 5 and [p.name for p in tmp_path.iterdir()] == ["t"]
+    assert manage.read_published(spark, path).count() == 5 and [p.name for p in tmp_path.iterdir()] == ["t"]
+    manage.publish(spark.range(6), path)
+    manage.empty_versions(spark, path, keep=1)
+    assert manage.read_published(spark, path).count() == 6
+    with pytest.raises(ValueError, match="no table"):
+        manage.read_published(spark, str(tmp_path / "none"))
     lib = str(tmp_path / "lib")
     manage.publish_library(spark.range(2), lib, "a")
     manage.publish_library(spark.range(3), lib, "b")

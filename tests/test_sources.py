@@ -217,6 +217,12 @@ def test_archive_manifest(spark, tmp_path):
     got = {r.rel_path: r for r in archives.archive_manifest(spark, str(tmp_path)).collect()}
     assert {k: (v.projectile, v.size_bytes) for k, v in got.items()} == {"sub/p_1.zip": ("p", 1), "x.ZIP": ("unknown", 3)}
     assert got["x.ZIP"].sha256 == hashlib.sha256(b"xyz").hexdigest()
+    # larger than a block, read by blocks: the same hash as of the whole value
+    big = bytes(range(256)) * ((archives.BLOCK_BYTES + 1000) // 256)
+    (tmp_path / "sub" / "a name.zip").write_bytes(big)
+    blocks = archives.archive_manifest(spark, str(tmp_path), whole_bytes=2)
+    assert sorted(blocks.collect()) == sorted(archives.archive_manifest(spark, str(tmp_path)).collect())
+    assert {r.rel_path: r.sha256 for r in blocks.collect()}["sub/a name.zip"] == hashlib.sha256(big).hexdigest()
 
 
 def test_json_records(spark, tmp_path):
