@@ -180,12 +180,12 @@ def repeated_lines(documents: DataFrame, least_chars: int = 30, edits=EDITS, id_
     entry = lambda indexed: lambda k: F.struct(k.alias("key"), F.lit(indexed).alias("indexed"))
     entries = F.concat(F.transform(index_array(F.col("line"), F.col("n"), classes), entry(True)), F.transform(probe_array(F.col("line"), F.col("n"), classes), entry(False)))
     # explode_outer, as plain explode would evaluate the array once more to see that it is not empty
-    keyed = written(lines.select("h1", F.explode_outer(entries).alias("x")).select("x.key", "x.indexed", "h1").where("key IS NOT NULL"), "line-keys")
+    by_key = written(lines.select("h1", F.explode_outer(entries).alias("x")).select("x.key", "x.indexed", "h1").where("key IS NOT NULL"), "line-keys")
     shared = F.col("h1")
-    met = written(keyed.groupBy("key").agg(F.min(shared).alias("lo"), F.max(shared).alias("hi"), F.bool_or("indexed").alias("any")).where("lo <> hi AND any").select("key"), "line-met")
+    met = written(by_key.groupBy("key").agg(F.min(shared).alias("lo"), F.max(shared).alias("hi"), F.bool_or("indexed").alias("any")).where("lo <> hi AND any").select("key"), "line-met")
     if met.count() <= BROADCAST_KEYS:
         met = F.broadcast(met)
-    sides = keyed.join(met, "key").distinct()
+    sides = by_key.join(met, "key").distinct()
     pairs = written(
         sides.where("indexed").select("key", F.col("h1").alias("a"))
         .join(sides.where("NOT indexed").select("key", F.col("h1").alias("b")), "key")
