@@ -112,9 +112,9 @@ def references(requests: DataFrame, reference_table: DataFrame) -> DataFrame:
     asked = with_optional(requests, keynumber="string", A="int").select(
         "request_id", F.col("keynumber").alias("__k"), F.col("A").alias("__a")
     )
-    # two equi-joins instead of one join on an OR
-    by_key = reference_table.join(asked.filter("__k is not null"), F.col("keynumber") == F.col("__k")).filter(
-        F.col("__a").isNull() | (F.col("A") == F.col("__a"))
-    )
-    by_mass = reference_table.join(asked.filter("__k is null and __a is not null"), F.col("A") == F.col("__a"))
-    return by_key.unionByName(by_mass).select("request_id", *reference_table.columns)
+    # an equi-join per kind of request: every value that is given is a join key, so no row meets requests it does not fit
+    same_key, same_mass = F.col("keynumber") == F.col("__k"), F.col("A") == F.col("__a")
+    by_both = reference_table.join(asked.filter("__k is not null and __a is not null"), same_key & same_mass)
+    by_key = reference_table.join(asked.filter("__k is not null and __a is null"), same_key)
+    by_mass = reference_table.join(asked.filter("__k is null and __a is not null"), same_mass)
+    return by_both.unionByName(by_key).unionByName(by_mass).select("request_id", *reference_table.columns)
