@@ -329,8 +329,11 @@ def card_feedings(cards: DataFrame) -> DataFrame:
     )
 
 
-def card_references(cards: DataFrame) -> DataFrame:
-    """References of the REFERENCES blocks; A is the number in the file name, the first row of a key wins."""
+def card_references(cards: DataFrame, per_file: bool = False) -> DataFrame:
+    """References of the REFERENCES blocks; A is the number in the file name, the first row of a key wins.
+
+    ``per_file`` is for several libraries at once, whose files of one mass each have keys of their own.
+    """
     mass = F.coalesce(F.regexp_extract(base_name(F.col("file")), r"\.(\d{3})$", 1).try_cast("int"), F.lit(0))
     rows = cards.filter((F.col("dsid") == "REFERENCES") & (F.col("class") == "reference")).select(
         "file",
@@ -340,4 +343,4 @@ def card_references(cards: DataFrame) -> DataFrame:
         none_if_blank(field(F.col("card"), 18, 22)).alias("type"),
         none_if_blank(field(F.col("card"), 22, 80)).alias("reference"),
     )
-    return keep_first(rows.filter("keynumber is not null"), ["A", "keynumber"], ["file", "line_no"])
+    return keep_first(rows.filter("keynumber is not null"), [*(["file"] if per_file else []), "A", "keynumber"], ["file", "line_no"])
