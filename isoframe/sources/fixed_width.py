@@ -71,6 +71,15 @@ def mass_table(lines: DataFrame, header_lines: int = MASS_HEADER_LINES) -> DataF
     )
 
 
+def with_file_values(lines: DataFrame, values: DataFrame) -> DataFrame:
+    """Lines of the files in ``values`` (one row per file) with its columns.
+
+    The values go to the parts first, as a join on the file alone would send all lines of a huge file to one task.
+    """
+    parts = lines.select("file", "part").distinct().join(values, "file")
+    return lines.join(parts, ["file", "part"])
+
+
 def _after_ruler(lines: DataFrame) -> DataFrame:
     """First data line of each file: behind the ruler, at the first line with a Z in column 8-11."""
     ruler = (
@@ -94,7 +103,7 @@ def _after_ruler(lines: DataFrame) -> DataFrame:
 def pair_table(lines: DataFrame, names: Sequence[str], find_ruler: bool = False, header_lines: int = PAIR_HEADER_LINES) -> DataFrame:
     """Six (value, uncertainty) pairs of 12 + 10 columns from column 12 on."""
     if find_ruler:
-        data = lines.join(_after_ruler(lines), "file").filter(F.col("line_no") >= F.col("__begin"))
+        data = with_file_values(lines, _after_ruler(lines)).filter(F.col("line_no") >= F.col("__begin"))
     else:
         data = lines.filter(F.col("line_no") >= header_lines)
     line = F.col("line")
@@ -188,7 +197,7 @@ def latex_longtable(lines: DataFrame) -> DataFrame:
     inside = (F.col("line_no") > F.col("__begin")) & (F.col("__end").isNull() | (F.col("line_no") < F.col("__end")))
     bare = strip(F.replace(F.regexp_replace("line", r"\\+\s*$", ""), F.lit("\\hline"), F.lit("")))
     rows = (
-        body.join(bounds, "file")
+        with_file_values(body, bounds)
         .filter(inside & ~text.contains("\\endhead"))
         .withColumn("__f", F.split(bare, "&"))
         .filter(F.size("__f") >= 8)
@@ -235,7 +244,7 @@ def constants_listing(lines: DataFrame) -> DataFrame:
     begin = rules.join(titles, ["file", "line_no"]).groupBy("file").agg(F.min("line_no").alias("__begin"))
     uncertainty, value = strip(field(line, 85, 110)), strip(field(line, 60, 85))
     return (
-        lines.join(begin, "file")
+        with_file_values(lines, begin)
         .filter(F.col("line_no") > F.col("__begin"))
         .select(
             "file",

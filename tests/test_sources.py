@@ -263,3 +263,19 @@ def test_import_table_set(spark, tmp_path):
     assert archives.import_table_set(spark, str(tmp_path / "src"), str(tmp_path / "dst"), good)["t"].count() == 3
     with pytest.raises(ValueError, match="expected"):
         archives.import_table_set(spark, str(tmp_path / "src"), str(tmp_path / "dst"), {"t": _parse_datatype_string("id long")})
+
+
+def test_file_values_reach_lines_by_part(spark):
+    """One huge file is no single task: lines are never shuffled by the file alone."""
+    rows = [("a", i // 2, i, f"line {i}") for i in range(10)] + [("b", 0, 0, "other"), ("c", 0, 0, "unbounded")]
+    lines = spark.createDataFrame(rows, "file string, part long, line_no long, line string")
+    values = spark.createDataFrame([("a", 3), ("b", 0)], "file string, begin int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = fixed_width.with_file_values(lines, values)
+        got = sorted((r.file, r.line_no, r.begin) for r in out.collect())
+        last = out._jdf.queryExecution().optimizedPlan().toString().splitlines()[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [("a", i, 3) for i in range(10)] + [("b", 0, 0)]
+    assert "Join Inner" in last and last.count("file#") == 2 and last.count("part#") == 2
