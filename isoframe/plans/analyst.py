@@ -169,7 +169,11 @@ def non_null_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def feedings_with_levels(feedings: DataFrame, levels: DataFrame) -> DataFrame:
     """Feedings with the level they reach, also those without one."""
+    # feedings without a level are dealt by their content, as equal keys they would meet in one task; pmod by 1 is 0, but no literal
+    # that the optimizer would take out of the key
+    none = F.pmod(F.xxhash64(*feedings.columns), F.lit(2000))
     reached = levels.select(
-        F.col("level_id").alias("daughter_level_id"), F.col("energy_keV").alias("level_keV"), "spin_parity"
+        F.col("level_id").alias("daughter_level_id"), F.pmod(F.xxhash64("level_id"), F.lit(1)).alias("__cell"), F.col("energy_keV").alias("level_keV"), "spin_parity"
     )
-    return feedings.join(reached, "daughter_level_id", "left")
+    dealt = feedings.withColumn("__cell", F.when(F.col("daughter_level_id").isNull(), none).otherwise(F.lit(0).cast("long")))
+    return dealt.join(reached, ["daughter_level_id", "__cell"], "left").drop("__cell")

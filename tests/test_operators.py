@@ -163,3 +163,24 @@ def test_top_of_a_large_key(spark, n, offset):
     rows = {k: sorted(((i * 7919) % 6007, i) for i in range(6000) if int(i % 100 == 0) == k)[::-1] for k in (0, 1)}
     want = {(k, v, i) for k, all_ in rows.items() for v, i in all_[offset : offset + n]}
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_feedings_without_level_are_spread(spark):
+    from isoframe.plans import analyst
+
+    feedings = spark.range(400).selectExpr("id AS feeding_id", "CASE WHEN id < 4 THEN id END AS daughter_level_id")
+    levels = spark.createDataFrame([(1, 10.0, "2+"), (2, 20.0, None), (None, 5.0, "0+")], "level_id long, energy_keV double, spin_parity string")
+    for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(key, "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = analyst.feedings_with_levels(feedings, levels)
+        parts = [len(x) for x in out.rdd.glom().collect()]
+        got = {r.feeding_id: (r.daughter_level_id, r.level_keV) for r in out.collect()}
+    finally:
+        for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert out.columns == ["daughter_level_id", "feeding_id", "level_keV", "spin_parity"]
+    assert len(got) == 400 and got[1] == (1, 10.0) and got[3] == (3, None) and got[9] == (None, None)
+    assert max(parts) < 200
