@@ -35,16 +35,19 @@ def strict_number(c: Column) -> Column:
     return F.when(text.rlike(f"^{NUMBER}$"), text.try_cast("double"))
 
 
+def _first(text: Column, pattern: str) -> Column:
+    """Group 1 of an anchored pattern, NULL without a match: read once, and no cast meets an empty text, which is slow to fail."""
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(0))
+
+
 def leading_integer(c: Column) -> Column:
     """Integer at the start of the trimmed text, else NULL."""
-    digits = F.regexp_extract(strip(c), r"^([+-]?\d+)", 1)
-    return F.when(digits != "", digits.try_cast("int"))
+    return _first(strip(c), r"^([+-]?\d+)").try_cast("int")
 
 
 def leading_number(c: Column) -> Column:
     """Longest number at the start of the trimmed text, else NULL."""
-    digits = F.regexp_extract(strip(c), f"^({NUMBER})", 1)
-    return F.when(digits != "", digits.try_cast("double"))
+    return _first(strip(c), f"^({NUMBER})").try_cast("double")
 
 
 def est_number(c: Column, star_anywhere: bool = True) -> Column:
