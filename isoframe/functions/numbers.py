@@ -15,7 +15,8 @@ UNCERTAINTY_MARKERS = ("", "?", "AP", "GT", "LT", "GE", "LE", "SY", "CA")
 
 
 def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(WHITESPACE))
+    # plain blanks go first: trimming by a set of characters copies each one, and fields are padded with them
+    return F.btrim(F.trim(c), F.lit(WHITESPACE))
 
 
 def field(line: Column, start: int, end: int | None = None) -> Column:

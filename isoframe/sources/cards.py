@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import WHITESPACE, digit_uncertainty, field, none_if_blank, prefix_number, strip
+from ..functions.dims import lookup
+from ..functions.numbers import digit_uncertainty, field, none_if_blank, prefix_number, strip
 from ..functions.text import base_name, continuation_value, dataset_class, keynumbers, nucid, title_half_life
 from ..functions.times import half_life_card
 from ..operators.manage import keep_first, surrogate_id
@@ -34,14 +35,14 @@ CLASS_BY_COLUMN_8 = {
 
 def record_class(card: Column) -> Column:
     seventh, eighth = F.substring(card, 7, 1), F.substring(card, 8, 1)
-    out = F.when(seventh.isin("c", "C", "#", "d", "D"), F.lit("comment"))
-    for mark, name in CLASS_BY_COLUMN_7.items():
-        if name != "comment":
-            out = out.when(seventh == mark, F.lit(name))
-    out = out.when(seventh != " ", F.lit("unknown"))
-    for mark, name in CLASS_BY_COLUMN_8.items():
-        out = out.when(eighth == mark, F.lit(name))
-    return out.otherwise(F.lit("unknown"))
+    by_eighth = F.when(seventh == " ", lookup(CLASS_BY_COLUMN_8, eighth))
+    return F.coalesce(lookup(CLASS_BY_COLUMN_7, seventh), by_eighth, F.lit("unknown"))
+
+
+def _header(line_no: Column, card: Column) -> Column:
+    """struct(line_no, dsid, nuclide, kind) of a card that starts a data set."""
+    title = strip(field(card, 9, 39))
+    return F.struct(line_no.alias("line_no"), title.alias("dsid"), nucid(field(card, 0, 5)).alias("nuclide"), dataset_class(title).alias("kind"))
 
 
 def annotate(lines: DataFrame) -> DataFrame:
@@ -51,62 +52,53 @@ def annotate(lines: DataFrame) -> DataFrame:
     data set if the part before it ends with a blank line. So each part is summed up for both readings, the few sums of
     a file are chained in order, and each part's rows are joined with what was carried to it. Nothing runs before the
     result is asked for; a caller that derives many tables may write the frame first (``session.settle``).
+
+    The shuffle carries the cards alone. What they say is read after it, so every branch of every table needs the same
+    columns of it and they all read one and the same shuffle, whatever else a table leaves out.
     """
     cell = Window.partitionBy("file", "part").orderBy("line_no")
     upto = cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     card = F.col("card")
     body = ~F.col("blank") & (F.substring(card, 6, 1) == " ")
-    # what a card says by itself is read once, before the shuffle that both branches below share
     rows = (
         lines.select("file", "part", "line_no", F.rpad(F.substring("line", 1, 80), 80, " ").alias("card"))
-        .withColumns({"blank": card.rlike(f"\\A[{WHITESPACE}]*\\z"), "class": record_class(card)})
-        .withColumn("__energy", F.when(body & (F.col("class") == "level"), prefix_number(field(card, 9, 19))))
+        .filter("file is not null and part is not null")  # here, as the join below would ask it of one branch only
         .repartition("file", "part")
+        .withColumns({"blank": strip(card) == "", "class": record_class(card)})
+        .withColumn("__energy", F.when(body & (F.col("class") == "level"), prefix_number(field(card, 9, 19))))
         .withColumn("__after_blank", F.lag("blank").over(cell))
     )
     # the first row of a part is kept apart: whether it starts a data set is not known yet
     first, rest = F.col("__after_blank").isNull(), F.col("__after_blank").isNotNull()
     starts = ~F.col("blank") & F.col("__after_blank")
-    may_start = ~F.col("blank") & F.coalesce("__after_blank", F.lit(True))
-    marked = rows.withColumns(
-        {
-            "__title": F.when(may_start, strip(field(card, 9, 39))),
-            "__nuclide": F.when(may_start, nucid(field(card, 0, 5))),
-        }
-    ).withColumn("__kind", F.when(may_start, dataset_class(F.col("__title"))))
     line_no = F.col("line_no")
-    header = F.struct(line_no.alias("line_no"), F.col("__title").alias("dsid"), F.col("__nuclide").alias("nuclide"), F.col("__kind").alias("kind"))
     level = F.when(F.col("__energy").isNotNull(), F.struct(line_no.alias("line_no"), F.col("__energy").alias("energy")))
     primary = F.when(body & F.col("class").isin("level", "gamma", "beta", "ec"), F.struct(line_no.alias("line_no"), F.col("class").alias("class")))
-    marked = marked.withColumns(
-        {
-            "__header": F.when(starts, header),
-            "__level": F.when(rest & ~starts, level),
-            "__primary": F.when(rest & ~starts, primary),
-            "__first": F.when(first & ~F.col("blank"), F.struct(header.alias("header"), level.alias("level"), primary.alias("primary"))),
-        }
-    )
-    carried = ("header", "level", "primary")
-    at = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no")))
+    carried = {"header": F.struct("line_no", "card"), "level": level, "primary": primary}
+    marked = rows.withColumns({f"__{c}": F.when(starts if c == "header" else rest & ~starts, value) for c, value in carried.items()})
+    at = lambda c, when: F.max_by(c, F.when(when & c.isNotNull(), line_no))
     chain = Window.partitionBy("file").orderBy("part")
     before = chain.rowsBetween(Window.unboundedPreceding, -1)
     sums = (
         marked.groupBy("file", "part")
         .agg(
             F.max_by("blank", "line_no").alias("ends_blank"),
-            at("__first").alias("first"),
-            *[at(f"__{c}").alias(f"end_{c}") for c in carried],
+            F.coalesce(F.bool_or(first & ~F.col("blank")), F.lit(False)).alias("may_start"),
+            *[at(value, first & ~F.col("blank")).alias(f"first_{c}") for c, value in carried.items()],
+            *[at(F.col(f"__{c}"), rest).alias(f"end_{c}") for c in carried],
         )
-        .withColumn("first_starts", F.col("first").isNotNull() & F.coalesce(F.lag("ends_blank").over(chain), F.lit(True)))
+        .withColumn("first_starts", F.col("may_start") & F.coalesce(F.lag("ends_blank").over(chain), F.lit(True)))
     )
-    read = lambda c: F.when(F.col("first_starts") == (c == "header"), F.col("first")[c])
+    read = lambda c: F.when(F.col("may_start") & (F.col("first_starts") == (c == "header")), F.col(f"first_{c}"))
     sums = sums.select(
         F.col("file").alias("__file"),
         F.col("part").alias("__part"),
         "first_starts",
         *[F.coalesce(read(c), F.last(F.coalesce(f"end_{c}", read(c)), ignorenulls=True).over(before)).alias(f"carry_{c}") for c in carried],
-    )
-    local = marked.select(
+    ).withColumn("carry_header", F.when(F.col("carry_header").isNotNull(), _header(F.col("carry_header.line_no"), F.col("carry_header.card"))))
+    # only the cards that start a data set are read as headers: those of the part here, those carried to it in its sum
+    own_header = marked.withColumn("__header", F.when(starts, _header(line_no, card)))
+    local = own_header.select(
         "file", "part", "line_no", "card", "blank", "__after_blank", "class",
         *[F.last(f"__{c}", ignorenulls=True).over(upto).alias(f"local_{c}") for c in carried],
     )
@@ -169,41 +161,44 @@ _QUESTIONABLE = lambda: (field(F.col("card"), 79, 80) == "?").cast("int")  # noq
 
 def card_datasets(cards: DataFrame) -> DataFrame:
     """Data sets with parent nuclide, parent half-life (P card, else title) and Q references."""
-    heads = _kept(cards).filter("starts")
-    notes = _records(cards, "parent", "qvalue")
-    life = F.when(F.col("class") == "parent", none_if_blank(field(F.col("card"), 39, 49)))
-    raw = F.when(F.col("class") == "qvalue", none_if_blank(field(F.col("card"), 55, 80)))
-    latest = notes.groupBy("dataset_id").agg(
-        F.max_by(life, F.when(life.isNotNull(), F.col("line_no"))).alias("__life"),
-        F.max_by(raw, F.when(raw.isNotNull(), F.col("line_no"))).alias("qref_raw"),
-    )
-    # each key once per data set before the list is built
-    keys = (
-        notes.filter("class = 'qvalue'")
-        .select("dataset_id", "line_no", F.posexplode(keynumbers(field(F.col("card"), 55, 80))).alias("__i", "__key"))
-        .groupBy("dataset_id", "__key")
-        .agg(F.min(F.struct("line_no", "__i")).alias("__at"))
-        .groupBy("dataset_id")
-        .agg(F.sort_array(F.collect_list(F.struct("__at", "__key"))).alias("__keys"))
-    )
+    # heads and notes in one pass over the cards; each key once per data set before the list is built
+    note = ~F.col("starts") & ~F.col("continuation") & F.col("class").isin("parent", "qvalue")
+    head = F.when(F.col("starts"), F.struct("Z", "A", "element", "dataset_type", "dsid", "parent"))
+    life = F.when(note & (F.col("class") == "parent"), none_if_blank(field(F.col("card"), 39, 49)))
+    quoted = note & (F.col("class") == "qvalue")
+    raw = F.when(quoted, none_if_blank(field(F.col("card"), 55, 80)))
+    at = lambda c: F.when(F.col(c).isNotNull(), F.col("line_no"))
+    found = F.when(quoted, F.transform(keynumbers(field(F.col("card"), 55, 80)), lambda k, i: F.struct(i.alias("i"), k.alias("key"))))
     return (
-        heads.join(latest, "dataset_id", "left")
-        .join(keys, "dataset_id", "left")
+        _kept(cards)
+        .filter(F.col("starts") | note)
+        .select("file", "block", "line_no", head.alias("__head"), life.alias("__life"), raw.alias("__raw"), F.explode_outer(found).alias("__k"))
+        .groupBy("file", "block", F.col("__k.key").alias("__key"))
+        .agg(
+            F.min(F.struct("line_no", F.col("__k.i").alias("i"))).alias("__at"),
+            *[F.max_by(F.struct("line_no", F.col(c).alias("v")), at(c)).alias(c) for c in ("__head", "__life", "__raw")],
+        )
+        .groupBy("file", "block")
+        .agg(
+            F.sort_array(F.collect_list(F.when(F.col("__key").isNotNull(), F.struct("__at", "__key")))).alias("__keys"),
+            *[F.max_by(F.col(f"{c}.v"), F.col(f"{c}.line_no")).alias(c) for c in ("__head", "__life", "__raw")],
+        )
+        .filter("__head is not null")
         .select(
             "file",
             "block",
-            "dataset_id",
-            "Z",
-            "A",
-            "element",
-            "dataset_type",
-            "dsid",
-            F.col("parent.Z").alias("parent_z"),
-            F.col("parent.A").alias("parent_a"),
-            F.col("parent.element").alias("parent_element"),
-            F.coalesce("__life", title_half_life(F.col("dsid"))).alias("parent_half_life"),
-            F.transform("__keys", lambda k: k["__key"]).alias("qref_keynumbers"),
-            "qref_raw",
+            surrogate_id("file", "block").alias("dataset_id"),
+            "__head.Z",
+            "__head.A",
+            "__head.element",
+            "__head.dataset_type",
+            "__head.dsid",
+            F.col("__head.parent.Z").alias("parent_z"),
+            F.col("__head.parent.A").alias("parent_a"),
+            F.col("__head.parent.element").alias("parent_element"),
+            F.coalesce("__life", title_half_life(F.col("__head.dsid"))).alias("parent_half_life"),
+            F.when(F.size("__keys") > 0, F.transform("__keys", lambda k: k["__key"])).alias("qref_keynumbers"),
+            F.col("__raw").alias("qref_raw"),
         )
     )
 
@@ -243,7 +238,7 @@ def _gammas(cards: DataFrame) -> DataFrame:
     mark, text = F.when(F.col("continuation"), F.substring("card", 6, 1)), field(F.col("card"), 9, 80)
     rows = rows.withColumns(
         {
-            "__own": F.when(record, F.struct("card", "dataset_id", "line_no", "level_line", "level_energy", "Z", "A", "element")),
+            "__own": F.when(record, F.struct("card", "block", "line_no", "level_line", "level_energy", "Z", "A", "element")),
             "__e2": F.when(mark == "B", continuation_value(text, "BE2W")),
             "__m1": F.when(mark == "B", continuation_value(text, "BM1W")),
             "__cc": F.when(mark == "S", continuation_value(text, "CC")),
@@ -256,7 +251,8 @@ def _gammas(cards: DataFrame) -> DataFrame:
         F.max_by("__m1", at("__m1")).alias("__m1"),
         F.min_by("__cc", at("__cc")).alias("__cc"),
     )
-    return found.filter("own.level_line is not null").select("file", "own.*", "__e2", "__m1", "__cc")
+    found = found.filter("own.level_line is not null").select("file", "own.*", "__e2", "__m1", "__cc")
+    return found.withColumn("dataset_id", surrogate_id("file", "block"))
 
 
 def card_gammas(cards: DataFrame) -> DataFrame:
