@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import none_if_blank, strip, za_decode
 from ..functions.text import nuclide_label
-from ..operators.curves import curve_meta
 from ..operators.manage import surrogate_id
 from .endf import META_COLUMNS, Curves
 
@@ -43,19 +42,31 @@ def read_records(spark: SparkSession, path: str, schema: str, multi_line: bool =
 
 
 def record_ids(records: DataFrame, name: str, *content: str) -> DataFrame:
-    """Add the id of each record. Equal records are counted, so each has an id of its own, the same in every build."""
+    """Add the id of each record. Equal records are counted, so each has an id of its own, the same in every build.
+
+    Twins are equal, so their order decides nothing; it names the whole content so that every table derived from the
+    result needs the same columns and all read one shuffle.
+    """
     digest = records.withColumn("__content", surrogate_id(*[F.col(c) for c in content]))
-    twin = F.row_number().over(Window.partitionBy("__content").orderBy(F.lit(0)))
+    twin = F.row_number().over(Window.partitionBy("__content").orderBy(*content))
     return digest.withColumn("__twin", twin).withColumn(name, surrogate_id("__content", "__twin")).drop("__content", "__twin")
 
 
+def _points_meta(points: Column) -> dict[str, Column]:
+    """The columns of ``curves.curve_meta`` for a nested curve; NULL without points."""
+    placed = F.transform(F.filter(points, lambda p: p["point_index"].isNotNull()), lambda p: F.struct(p["point_index"].alias("i"), p["e_eV"].alias("e")))
+    n = F.size(points)
+    return {"e_min_eV": F.array_min(placed)["e"], "e_max_eV": F.array_max(placed)["e"], "n_points": F.when(n > 0, n.cast("long"))}
+
+
 def xs_tables(records: DataFrame) -> Curves:
     """meta, points, interp of nested curve records."""
     ids = record_ids(records, "xs_id", "Z", "A", "state", "projectile", "mt", "reaction", "points", "interp")
     points = ids.select("xs_id", F.inline("points"))
     interp = ids.select("xs_id", F.inline("interp"))
-    head = ids.select("xs_id", "Z", "A", F.coalesce("state", F.lit(0)).alias("state"), "projectile", "mt", "reaction")
-    meta = head.join(curve_meta(points), "xs_id", "left").select(*META_COLUMNS)
+    # a record holds its curve whole, so what curve_meta finds by an aggregation and a join is read off it
+    found = _points_meta(F.col("points"))
+    meta = ids.select("xs_id", "Z", "A", F.coalesce("state", F.lit(0)).alias("state"), "projectile", "mt", "reaction", *[c.alias(n) for n, c in found.items()]).select(*META_COLUMNS)
     none = meta.limit(0).select(F.lit("").alias("file"), F.lit(0).cast("long").alias("section"), "mt", F.lit("").alias("reason"))
     return Curves(meta, points, interp, none)
 
