@@ -37,11 +37,15 @@ def nearest_match(
     depend on how many targets lie close together. Of targets with the same value the smallest
     id is taken, of two equally near values the lower one.
     """
+    # a null key matches nothing; asked here, as the last join would ask it of one branch of the scan only, which then shared no shuffle
+    keyed = F.lit(True)
+    for k in keys:
+        keyed = keyed & F.col(k).isNotNull()
     merged = (
-        df.filter(F.col(value).isNotNull())
+        df.filter(F.col(value).isNotNull() & keyed)
         .select(*keys, F.col(value).alias("__v"), F.lit(None).cast(targets.schema[target_id].dataType).alias("__id"), F.lit(1).alias("__wanted"))
         .unionByName(
-            targets.filter(F.col(target_value).isNotNull()).select(
+            targets.filter(F.col(target_value).isNotNull() & keyed).select(
                 *keys, F.col(target_value).alias("__v"), F.col(target_id).alias("__id"), F.lit(0).alias("__wanted")
             )
         )
@@ -60,7 +64,8 @@ def nearest_match(
     ).filter("__wanted = 1")
     left_gap = F.coalesce(F.col("__v") - F.col("__left.v"), F.lit(float("inf")))
     right_gap = F.coalesce(F.col("__right.v") - F.col("__v"), F.lit(float("inf")))
-    best = F.when(left_gap <= right_gap, F.col("__left")).otherwise(F.col("__right"))
+    # a value that is a target's own is its own match; both branches of the scan need the id for that, and share a shuffle
+    best = F.when(F.col("__id").isNotNull(), here).when(left_gap <= right_gap, F.col("__left")).otherwise(F.col("__right"))
     matches = scanned.select(
         *[F.col(k).alias(f"__k_{k}") for k in keys],
         "__v",
