@@ -3,9 +3,9 @@
 Lines are dealt into classes by length, and the edits allowed for a pair grow with the class of its shorter
 line. Lines within k edits of one another share, of the shorter line's first k + 1 segments of the
 class's size, one that i edits precede and at most k - i follow, i being the segment's number, so it stands at
-one of a few places of the longer line. Segments are indexed under (class, length to within k, number, text),
-longer lines probe with the substrings that can match, and what meets is verified by edit distance in a
-band of 2 * k + 1 diagonals, one bit each.
+one of a few places of the longer line, counted from the nearer end. Segments are indexed under (class, number, text),
+longer lines probe with the substrings that can match, and what meets and agrees in length to within k is verified by
+edit distance in a band of 2 * k + 1 diagonals, one bit each.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ _LOWEST = -(2**63)
 BROADCAST_LINES = 200_000
 #: The same for keys that several lines share, of 8 bytes each.
 BROADCAST_KEYS = 500_000
+#: Lines of up to so many characters beyond their common beginning are compared by Spark's own distance.
+SHORT_LINE = 2000
+_ENTRIES = "array<struct<key:bigint,indexed:boolean,k:int>>"
 #: Edits by the length of the shorter line: (least characters, edits), ascending.
 EDITS = ((30, 1), (60, 2), (120, 4), (240, 8))
 
@@ -49,52 +52,54 @@ def allowed_edits(n: Column, classes: list[tuple[int, int | None, int]]) -> Colu
     return out
 
 
-def _keys(line: Column, n: Column, at: int, size: int, k: int, places: list[tuple[int, int, int]]) -> Column:
-    """Hashes of (class, length bucket, segment's number, segment) at the given (number, start, further bucket)."""
-    bucket = F.floor(n / (k + 1)).cast("int")
-    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), F.lit(b).alias("b")) for i, p, b in places])
-    return F.transform(wanted, lambda x: F.xxhash64(F.lit(at), bucket + x["b"], x["i"], F.substr(line, x["p"] + 1, F.lit(size))))
+def entry_array(line: Column, n: Column, classes: list[tuple[int, int | None, int]]) -> Column:
+    """(key, indexed, edits k) under which a line of n characters is found by others, and by which it finds lines of its length or shorter.
 
-
-def index_array(line: Column, n: Column, classes: list[tuple[int, int | None, int]]) -> Column:
-    """Keys under which a line of n characters is found by lines of its length or longer."""
-    parts = []
-    for start, end, k in classes:
-        size = start // (k + 1)
-        inside = n >= start if end is None else (n >= start) & (n < end)
-        parts.append(F.when(inside, _keys(line, n, start, size, k, [(i, i * size, b) for i in range(k + 1) for b in (0, 1)])).otherwise(_none()))
-    return F.concat(*parts)
+    Segments before the middle are counted from the line's start and those behind it from its end, so that i edits on the
+    near side shift a segment by at most i. Of a segment that can shift by two and more only what follows its first space
+    counts, or follows its first two fifths (16 characters at most), if no space stands in them; most shifts then give the same key.
+    """
+    return F.concat(*[_class_entries(line, n, *c) for c in classes])
 
 
-def probe_array(line: Column, n: Column, classes: list[tuple[int, int | None, int]]) -> Column:
-    """Keys of the substrings by which a line finds the lines of its length or, by the edits of their class, shorter.
+def _class_entries(line: Column, n: Column, start: int, end: int | None, k: int) -> Column:
+    size = start // (k + 1)
+    room = min(size * 2 // 5, 16)
+    near = n >= start if end is None else (n >= start) & (n < end + k)
+    inside = F.lit(True) if end is None else n < end
+    narrow, wide = [], []
+    for i in range(k + 1):
+        reach = min(i, k - i) if size else 0
+        first = F.lit(i * size - reach + 1) if 2 * i <= k else n - ((k - i + 1) * size + reach - 1)
+        around = F.concat(F.substr(line, first, F.lit(size + 2 * reach)), F.lit(" "))
+        shifts = F.array(*[F.lit(s) for s in [reach, *(s for s in range(2 * reach + 1) if s != reach)]])  # its own place first
+        (wide if reach > 1 else narrow).append(F.struct(F.lit(i).alias("i"), around.alias("w"), shifts.alias("shifts")))
 
-    Segment i can be shifted by at most the i edits before it and, as the line is not the shorter one, to the
-    left by no more than the k - i edits behind it.
-    """
-    parts = []
-    for start, end, k in classes:
-        size = start // (k + 1)
-        near = n >= start if end is None else (n >= start) & (n < end + k)
-        places = [(i, i * size + s, 0) for i in range(k + 1) for s in range(max(-i, i - k), i + 1) if i * size + s >= 0]
-        parts.append(F.when(near, _keys(line, n, start, size, k, places)).otherwise(_none()))
-    return F.concat(*parts)
+    def entries(place, length):
+        def of(g):
+            key = lambda p: F.xxhash64(F.lit(start), g["i"], F.substr(g["w"], p + 1, F.lit(length)))
+            made = lambda p, at: F.struct(key(p).alias("key"), ((at == 0) & inside).alias("indexed"), F.lit(k).alias("k"))
+            return F.transform(F.array_distinct(F.transform(g["shifts"], lambda o: place(g["w"], o))), made)
 
+        return of
 
-def _none() -> Column:
-    return F.array().cast("array<bigint>")
+    found = F.transform(F.array(*narrow), entries(lambda w, o: o, size))
+    if wide:
+        space = lambda w, o: F.least(F.call_function("locate", F.lit(" "), w, o + 1), o + (room + 1))
+        found = F.concat(found, F.transform(F.array(*wide), entries(space, size - room - 1)))
+    return F.when(near, F.flatten(found)).otherwise(F.array().cast(_ENTRIES))
 
 
 def index_keys(line: Column, n: Column, edits: int) -> list[Column]:
-    """The keys of :func:`index_array` for one number of edits and lines of any length, as columns."""
-    found = index_array(line, n, _classes(1, edits))
-    return [F.get(found, F.lit(i)) for i in range(2 * (edits + 1))]
+    """The keys of :func:`entry_array` under which a line is found, for one number of edits and lines of any length, as columns."""
+    found = F.filter(entry_array(line, n, _classes(1, edits)), lambda x: x["indexed"])
+    return [F.get(found, F.lit(i))["key"] for i in range(edits + 1)]
 
 
 def probe_keys(line: Column, n: Column, edits: int) -> list[Column]:
-    """The keys of :func:`probe_array` likewise; a line near the start of its class probes the classes below too."""
-    found = probe_array(line, n, _classes(1, edits))
-    return [F.get(found, F.lit(i)) for i in range(4 * (edits + 1) ** 2)]
+    """All its keys likewise; a line near the start of its class probes the classes below too."""
+    found = entry_array(line, n, _classes(1, edits))
+    return [F.get(found, F.lit(i))["key"] for i in range(4 * (edits + 1) ** 2)]
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -149,6 +154,15 @@ def within_edits(a: Column, b: Column, edits: int, n: Column | None = None, m: C
     return (F.abs(n - m) <= edits) & F.when(F.least(n, m) <= edits, F.levenshtein(a, b) <= edits).otherwise(last["d"] <= edits)
 
 
+def short_within(a: Column, b: Column, edits: int) -> Column:
+    """The same for lines of up to about SHORT_LINE characters: Spark's distance with a bound walks each line once per character of the other.
+
+    Of lines within k edits, beginnings of equal length are within 2 * k, which settles most others early.
+    """
+    head = lambda x: F.substr(x, F.lit(1), F.lit(16 * edits))
+    return (F.levenshtein(head(a), head(b), 2 * edits) >= 0) & (F.levenshtein(a, b, edits) >= 0)
+
+
 def _bit(word: Column, at: Column) -> Column:
     """Bit ``at`` of a word; shiftrightunsigned takes only fixed widths as a function, so divide by the power."""
     return F.floor(word / F.pow(F.lit(2.0), at)).cast("long").bitwiseAND(F.lit(1).cast("long")).cast("int")
@@ -177,18 +191,18 @@ def repeated_lines(documents: DataFrame, least_chars: int = 30, edits=EDITS, id_
 
     # Keys per line; only distinct ones meet, so that a very common line does not multiply pairs.
     classes = _classes(least_chars, edits)
-    entry = lambda indexed: lambda k: F.struct(k.alias("key"), F.lit(indexed).alias("indexed"))
-    entries = F.concat(F.transform(index_array(F.col("line"), F.col("n"), classes), entry(True)), F.transform(probe_array(F.col("line"), F.col("n"), classes), entry(False)))
+    # Keys are made once to find those that lines share and once more for these only, which is cheaper than to keep them all.
     # explode_outer, as plain explode would evaluate the array once more to see that it is not empty
-    by_key = written(lines.select("h1", F.explode_outer(entries).alias("x")).select("x.key", "x.indexed", "h1").where("key IS NOT NULL"), "line-keys")
+    by_key = lines.select("h1", "n", F.explode_outer(entry_array(F.col("line"), F.col("n"), classes)).alias("x")).select("x.*", "h1", "n").where("key IS NOT NULL")
     shared = F.col("h1")
     met = written(by_key.groupBy("key").agg(F.min(shared).alias("lo"), F.max(shared).alias("hi"), F.bool_or("indexed").alias("any")).where("lo <> hi AND any").select("key"), "line-met")
     if met.count() <= BROADCAST_KEYS:
         met = F.broadcast(met)
-    sides = by_key.join(met, "key").distinct()
+    bucket = F.floor(F.col("n") / (F.col("k") + 1)).alias("bucket")  # lines that differ by no more than k are in one or in neighbours
+    sides = written(by_key.join(met, "key").select("key", "indexed", bucket, "h1").distinct(), "line-sides")
     pairs = written(
-        sides.where("indexed").select("key", F.col("h1").alias("a"))
-        .join(sides.where("NOT indexed").select("key", F.col("h1").alias("b")), "key")
+        sides.where("indexed").select("key", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"), F.col("h1").alias("a"))
+        .join(sides.select("key", "bucket", F.col("h1").alias("b")), ["key", "bucket"])
         .where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
         "line-pairs",
     )
@@ -205,7 +219,8 @@ def repeated_lines(documents: DataFrame, least_chars: int = 30, edits=EDITS, id_
     )
     within = F.lit(False)
     for k in sorted({k for _, _, k in classes}):
-        within = F.when(F.col("most") == k, within_edits(F.col("xr"), F.col("yr"), k, F.col("nx"), F.col("ny"), F.col("xs"), F.col("ys"))).otherwise(within)
+        short = (F.col("nx") <= SHORT_LINE) & (F.col("ny") <= SHORT_LINE)
+        within = F.when((F.col("most") == k) & short, short_within(F.col("xr"), F.col("yr"), k)).when(F.col("most") == k, within_edits(F.col("xr"), F.col("yr"), k, F.col("nx"), F.col("ny"), F.col("xs"), F.col("ys"))).otherwise(within)
     near = (
         pairs.join(texts.select(F.col("h1").alias("a"), F.struct("place", "h1", "h2", "line").alias("x")), "a")
         .join(texts.select(F.col("h1").alias("b"), F.struct("place", "h1", "h2", "line").alias("y")), "b")
@@ -213,7 +228,8 @@ def repeated_lines(documents: DataFrame, least_chars: int = 30, edits=EDITS, id_
         .where(F.abs(F.char_length("x.line") - F.char_length("y.line")) <= F.col("most"))
         .withColumn("cut", common_prefix(F.col("x.line"), F.col("y.line")) + 1)
         .withColumns({"xr": F.substr("x.line", F.col("cut"), F.char_length("x.line")), "yr": F.substr("y.line", F.col("cut"), F.char_length("y.line"))})
-        .withColumns({"nx": F.char_length("xr"), "ny": F.char_length("yr"), "xs": F.split("xr", ""), "ys": F.split("yr", "")})
+        .withColumns({"nx": F.char_length("xr"), "ny": F.char_length("yr")})
+        .withColumns({c: F.when(F.greatest("nx", "ny") > SHORT_LINE, F.split(r, "")) for c, r in (("xs", "xr"), ("ys", "yr"))})
         .select(
             F.greatest("x", "y").alias("later"), F.least("x.place", "y.place").alias("before"),
             within.alias("within"),

@@ -51,6 +51,24 @@ def test_banded_distance_and_probes(spark, most):
             assert r.met, (r.a, r.b)
 
 
+def test_lines_have_few_keys_and_meet_all_the_same(spark):
+    rnd = random.Random(6)
+    text = lambda n: "".join(rnd.choice("abcdefgh") if rnd.random() < 0.85 else " " for _ in range(n))
+    base = [text(n) for n in (30, 60, 125, 240, 250, 479, 500, 700, 1000) for _ in range(12)] + ["x" * 300, "nospace" * 60]
+    most = lambda n: max(k for least, k in line_dedup.EDITS if n >= least)
+    pairs = [sorted((a, changed(rnd, a, rnd.randrange(most(len(a)) + 1))), key=len) for a in base for _ in range(4)]
+    pairs = [(a, b) for a, b in pairs if len(a) >= 30 and edits(a, b) <= most(len(a))]
+    classes = line_dedup._classes(30, line_dedup.EDITS)
+    keys = lambda c: line_dedup.entry_array(F.col(c), F.char_length(c), classes)
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", keys("a").alias("x"), keys("b").alias("y")).collect()
+    assert all({x.key for x in r.x if x.indexed} & {y.key for y in r.y} for r in rows)
+    spaced = [len(r.x) for r in rows if len(r.a) >= 260 and " " in r.a]
+    assert sum(spaced) / len(spaced) < 30  # 79 for a line when every shift was a key
+    odd = [("ab cd" * 40, "ab cd" * 40 + "xyz"), ("é" * 100 + "u" * 40, "é" * 99 + "u" * 40), ("a" * 130, "b" * 130), (" " * 130, " " * 128)]
+    near = [r.near for r in spark.createDataFrame(odd, "a string, b string").select(line_dedup.short_within(F.col("a"), F.col("b"), 2).alias("near")).collect()]
+    assert near == [edits(a, b) <= 2 for a, b in odd]
+
+
 def brute_lines(rows, least, most):
     lines = [(d, i, x) for d, t in sorted(rows) for i, x in enumerate(t.split("\n")) if len(x) >= least]
     drop = collections.defaultdict(set)
