@@ -30,9 +30,9 @@ GAPS = b" \t"
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 
 #: Hashes that a task holds before it sorts and sends them.
-HELD = 2_500_000
+HELD = 1_000_000
 #: Hashes that one range of the hash is meant to get, and bytes of text that give so many.
-RANGE_BYTES = 12_000_000
+RANGE_BYTES = 4_000_000
 #: Bits of the filter per candidate, and at most (32 MB); beyond that more phrases pass it and are counted in vain.
 FILTER_BITS_PER_CANDIDATE = 16
 MOST_FILTER_BITS = 1 << 28
@@ -46,7 +46,7 @@ SHARD_BITS = 2
 SHORT_BITS = 32 - SHARD_BITS
 MOST_COUNT = (1 << 16) - 1
 #: Counted phrases that a task holds before it adds them up and sends them.
-HELD_ROWS = 300_000
+HELD_ROWS = 100_000
 
 _IS_BREAK = np.zeros(256, bool)
 _IS_BREAK[list(BREAKS)] = True
@@ -151,7 +151,7 @@ def _frequent(local_support: int):
     """All packed arrays of a range to the short hashes that are frequent in some shard."""
 
     def run(table: pa.Table) -> pa.Table:
-        sizes = [len(x) // 4 for x in table.column("keys").to_pylist()]
+        sizes = [len(x.as_buffer() or b"") // 4 for x in table.column("keys")]
         both = np.empty(sum(sizes), np.uint64)  # hash and shard above, count below
         at = 0
         for n, keys, counts in zip(sizes, table.column("keys"), table.column("counts")):
@@ -160,11 +160,17 @@ def _frequent(local_support: int):
             both[at : at + n] |= np.frombuffer(counts.as_buffer(), np.uint16)
             at += n
         both.sort()
-        keys = both >> np.uint64(16)
-        new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        total = np.add.reduceat((both & np.uint64(MOST_COUNT)).astype(np.int64), new)
+        counts = both & np.uint64(MOST_COUNT)
+        both >>= np.uint64(16)
+        edge = np.ones(len(both), bool)
+        np.not_equal(both[1:], both[:-1], out=edge[1:])
+        new = np.flatnonzero(edge)
+        del edge
+        total = np.add.reduceat(counts, new)
+        del counts
+        keys = both[new[total >= local_support]]
         part = table.column("part")[0].as_py()
-        found = np.unique(keys[new][total >= local_support] >> np.uint64(SHARD_BITS)) | np.uint64(part << SHORT_BITS)
+        found = np.unique(keys >> np.uint64(SHARD_BITS)) | np.uint64(part << SHORT_BITS)
         return pa.table({"part": pa.array([part], pa.int64()), "n": pa.array([len(found)], pa.int64()), "hashes": pa.array([found.tobytes()], pa.binary())})
 
     return run

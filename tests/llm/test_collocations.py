@@ -1,10 +1,13 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from isoframe.llm.collocations import collocations, phrase_counts
+from isoframe.llm.collocations import RANGE_BYTES, SHARD_BITS, SHORT_BITS, _frequent, collocations, phrase_counts
 
 UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
@@ -84,3 +87,21 @@ def test_long_text_in_several_runs(table):
 
 def test_empty_table(table):
     assert collocations(table([])).collect() == []
+
+
+def test_a_range_is_counted_in_little_memory():
+    rng = np.random.default_rng(3)
+    keys = [np.sort(rng.integers(0, 1 << 20, 200_000, dtype=np.uint32)) for _ in range(5)]
+    counts = [rng.integers(1, 3, len(k)).astype(np.uint16) for k in keys]
+    table = pa.table({"part": [7] * 5, "keys": [k.tobytes() for k in keys], "counts": [c.tobytes() for c in counts]})
+    tracemalloc.start()
+    got = _frequent(4)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    total = np.zeros(1 << 20, np.int64)
+    for k, c in zip(keys, counts, strict=True):
+        np.add.at(total, k, c)
+    want = np.unique(np.flatnonzero(total >= 4).astype(np.uint64) >> np.uint64(SHARD_BITS)) | np.uint64(7 << SHORT_BITS)
+    assert np.array_equal(np.frombuffer(got["hashes"][0].as_buffer(), np.uint64), want) and got["n"][0].as_py() == len(want)
+    assert peak < 28 * 1_000_000  # bytes for a million hashes
+    assert RANGE_BYTES <= 4_000_000
