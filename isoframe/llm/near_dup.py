@@ -104,11 +104,13 @@ def _scan(rows: DataFrame, k: int, bands: int, band_rows: int) -> DataFrame:
 
 
 def compare_bags(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int, np.ndarray]:
-    """Shared and joint size of two multisets (sorted shingles, counts), and the shingles of which b has more copies than a."""
+    """Shared and joint size of two multisets (sorted shingles, counts), and a hash of each copy of a shingle that b has beyond a."""
     at = np.minimum(np.searchsorted(a[0], b[0]), max(len(a[0]) - 1, 0))
     held = np.where(a[0][at] == b[0], a[1][at], 0) if len(a[0]) else np.zeros(len(b[0]), np.int64)
     both = int(np.minimum(held, b[1]).sum())
-    return both, int(a[1].sum() + b[1].sum()) - both, b[0][b[1] > held]
+    more = b[1] - np.minimum(held, b[1])
+    copy = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
+    return both, int(a[1].sum() + b[1].sum()) - both, mix(np.repeat(b[0], more) + copy.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def _bag_of(text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +125,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, k: int, extra: bool = False) ->
     """(lead, member, shared, total[, extra]) of pairs (lead, member) of row ids, over their whole multisets.
 
     Pairs are dealt by leader and, where a leader has many, by a salt of the member; each leader's text
-    goes to each of its salts once and each member's text once per leader. ``extra`` lists the shingles that the member
+    goes to each of its salts once and each member's text once per leader. ``extra`` lists the copies of shingles that the member
     has beyond the leader.
     """
     fans = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("long").alias("salts"))
@@ -197,8 +199,9 @@ def _links_of_buckets(bucket: DataFrame, rows: DataFrame, k: int, similarity: fl
        compared with it. What members have beyond the pivot is kept.
     3. The same once more with the member nearest to what most members of the pivot's groups have.
     4. With o the overlap with that pivot, two members share at most min(o, o') plus what they share beyond
-       the pivot. So further pairs need either a common shingle beyond the pivot or an o of both that is large
-       enough by itself; only such pairs of different classes are compared.
+       the pivot. So further pairs need either enough in common beyond the pivot or an o of both that is large
+       enough by itself; only such pairs of different classes are compared. What they have in common is counted before any text
+       is fetched, and shingles that just the same members have count as one with a weight.
     """
     of = F.lit(similarity / (1 + similarity) - 1e-9)
     near = F.col("shared") >= F.col("total") * F.lit(similarity)
@@ -249,16 +252,27 @@ def _links_of_buckets(bucket: DataFrame, rows: DataFrame, k: int, similarity: fl
     links = links.union(as_links(nearer))
     classes = _merged(classes, as_links(nearer))
     about = _about(nearer, asked, classes)
-    side = lambda df, x: df.select(*[c for c in df.columns if c in ("lead", "s")], *[F.col(c).alias(f"{x}_{c}") for c in ("member", "n", "class", "shared")])
+    side = lambda df, x: df.select(*[c for c in df.columns if c in ("lead", "s")], *[F.col(c).alias(f"{x}_{c}") for c in df.columns if c not in ("lead", "s", "extra")])
+    least = of * (F.col("x_n") + F.col("y_n"))
     beyond = about.select("lead", "member", "n", "class", "shared", "outside", F.explode("extra").alias("s"))
-    common = beyond.groupBy("lead", "s").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 <> c1").select("lead", "s")
-    beyond = beyond.join(common, ["lead", "s"])
-    by_shingle = side(beyond.where("outside"), "y").join(side(beyond, "x"), ["lead", "s"]).drop("s")
+    holders = beyond.groupBy("lead", "s").agg(
+        F.min("class").alias("c0"), F.max("class").alias("c1"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("member")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(7), "member")).alias("h2")
+    )
+    alike = holders.where("c0 <> c1").groupBy("lead", "c", "h1", "h2").agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("w")).select("lead", "s", "w")
+    beyond = written(beyond.join(alike, ["lead", "s"]), "near-beyond")
+    beyond = beyond.join(beyond.groupBy("lead", "member").agg(F.sum("w").alias("most")), ["lead", "member"])  # what a member can share beyond the pivot at most
+    once = ~F.col("x_outside") | (F.col("x_member") < F.col("y_member"))
+    other = (F.col("x_class") != F.col("y_class")) & fits(F.col("x_n"), F.col("y_n")) & once
+    by_shingle = (
+        side(beyond.where("outside"), "y").join(side(beyond, "x").drop("x_w"), ["lead", "s"])
+        .where(other & (F.least("x_shared", "y_shared") + F.least("x_most", "y_most") >= least))
+        .groupBy("lead", "x_member", "y_member").agg(F.sum("y_w").alias("both"), *[F.first(c).alias(c) for c in ("x_n", "y_n", "x_shared", "y_shared")])
+        .where(F.least("x_shared", "y_shared") + F.col("both") >= least)
+    )
     large = about.where(F.col("shared") >= F.col("n") * F.lit(similarity - 1e-9))
-    least = of * (F.col("x_n") + F.col("y_n"))
-    by_overlap = side(large.where("outside"), "y").join(side(large, "x"), "lead").where((F.col("x_shared") >= least) & (F.col("y_shared") >= least))
+    by_overlap = side(large.where("outside"), "y").join(side(large, "x"), "lead").where((F.col("x_shared") >= least) & (F.col("y_shared") >= least) & other)
     rest = (
-        by_shingle.unionByName(by_overlap).where("x_class <> y_class").where(fits("x_n", "y_n"))
+        by_shingle.select("x_member", "y_member").unionByName(by_overlap.select("x_member", "y_member"))
         .select(F.least("x_member", "y_member").alias("lead"), F.greatest("x_member", "y_member").alias("member")).distinct()
     )
     third = written(_verified(written(rest, "near-rest"), rows, k), "near-third")

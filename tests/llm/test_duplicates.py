@@ -164,6 +164,32 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert {frozenset(c) for c in classes.values()} == brute_classes(rows)
 
 
+def test_near_duplicates_count_before_they_fetch(spark, docs, monkeypatch):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    body, passage = [word() for _ in range(120)], [word() for _ in range(12)]
+    rows = []
+    for d in range(60):  # copies with edits of their own, half of them with one passage the others lack
+        mine = list(body)
+        for _ in range(4 if d % 2 else 3):
+            mine[rnd.randrange(120)] = word()
+        rows.append((d, " ".join(mine[:60] + (passage if d % 2 else []) + mine[60:])))
+    sizes = {}
+
+    def counted(df, name):
+        out = shared.written(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dup, "written", counted)
+    got = near_dup.near_duplicates(docs(rows)).collect()
+    classes = collections.defaultdict(set)
+    for r in got:
+        classes[r.class_id].add(r.doc_id)
+    assert {frozenset(c) for c in classes.values()} == brute_classes(rows)
+    assert sizes["near-rest"] < 60
+
+
 def test_near_duplicates_of_odd_tables(spark, docs):
     text = "the very same words in this very text here"
     rows = [(None, text), (5, text), (5, text), (4, "x " * 60_000)]
