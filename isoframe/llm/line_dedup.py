@@ -24,6 +24,8 @@ BROADCAST_LINES = 200_000
 BROADCAST_KEYS = 500_000
 #: Lines of up to so many characters beyond their common beginning are compared by Spark's own distance.
 SHORT_LINE = 2000
+#: Frequent characters: an edit changes their counts by two in sum at most, so pairs whose counts lie further apart are not compared. Any others are right, too.
+COUNTED = " etaoinsrhld"
 _ENTRIES = "array<struct<key:bigint,indexed:boolean,k:int>>"
 #: Edits by the length of the shorter line: (least characters, edits), ascending.
 EDITS = ((30, 1), (60, 2), (120, 4), (240, 8))
@@ -163,6 +165,17 @@ def short_within(a: Column, b: Column, edits: int) -> Column:
     return (F.levenshtein(head(a), head(b), 2 * edits) >= 0) & (F.levenshtein(a, b, edits) >= 0)
 
 
+def counts(line: Column) -> Column:
+    """How often each character of COUNTED stands in a line."""
+    return F.array(*[F.char_length(line) - F.char_length(F.replace(line, F.lit(c), F.lit(""))) for c in COUNTED])
+
+
+def counts_allow(x: Column, y: Column, edits: Column) -> Column:
+    """Whether lines with these counts can lie within so many edits."""
+    apart = [F.abs(F.get(x, F.lit(i)) - F.get(y, F.lit(i))) for i in range(len(COUNTED))]
+    return sum(apart, F.lit(0)) <= 2 * edits
+
+
 def _bit(word: Column, at: Column) -> Column:
     """Bit ``at`` of a word; shiftrightunsigned takes only fixed widths as a function, so divide by the power."""
     return F.floor(word / F.pow(F.lit(2.0), at)).cast("long").bitwiseAND(F.lit(1).cast("long")).cast("int")
@@ -216,16 +229,17 @@ def repeated_lines(documents: DataFrame, least_chars: int = 30, edits=EDITS, id_
         rows.join(per_row, "row_id")
         .select(F.split("text", "\n").alias("all"), F.explode_outer("wanted").alias("x"))
         .select(F.col("x.h1").alias("h1"), F.col("x.h2").alias("h2"), F.col("x.place").alias("place"), F.get("all", F.col("x.at")).alias("line"))
+        .withColumn("counts", counts(F.col("line")))
     )
     within = F.lit(False)
     for k in sorted({k for _, _, k in classes}):
         short = (F.col("nx") <= SHORT_LINE) & (F.col("ny") <= SHORT_LINE)
         within = F.when((F.col("most") == k) & short, short_within(F.col("xr"), F.col("yr"), k)).when(F.col("most") == k, within_edits(F.col("xr"), F.col("yr"), k, F.col("nx"), F.col("ny"), F.col("xs"), F.col("ys"))).otherwise(within)
     near = (
-        pairs.join(texts.select(F.col("h1").alias("a"), F.struct("place", "h1", "h2", "line").alias("x")), "a")
-        .join(texts.select(F.col("h1").alias("b"), F.struct("place", "h1", "h2", "line").alias("y")), "b")
+        pairs.join(texts.select(F.col("h1").alias("a"), F.struct("place", "h1", "h2", "line", "counts").alias("x")), "a")
+        .join(texts.select(F.col("h1").alias("b"), F.struct("place", "h1", "h2", "line", "counts").alias("y")), "b")
         .withColumn("most", allowed_edits(F.least(F.char_length("x.line"), F.char_length("y.line")), classes))
-        .where(F.abs(F.char_length("x.line") - F.char_length("y.line")) <= F.col("most"))
+        .where((F.abs(F.char_length("x.line") - F.char_length("y.line")) <= F.col("most")) & counts_allow(F.col("x.counts"), F.col("y.counts"), F.col("most")))
         .withColumn("cut", common_prefix(F.col("x.line"), F.col("y.line")) + 1)
         .withColumns({"xr": F.substr("x.line", F.col("cut"), F.char_length("x.line")), "yr": F.substr("y.line", F.col("cut"), F.char_length("y.line"))})
         .withColumns({"nx": F.char_length("xr"), "ny": F.char_length("yr")})

@@ -69,6 +69,18 @@ def test_lines_have_few_keys_and_meet_all_the_same(spark):
     assert near == [edits(a, b) <= 2 for a, b in odd]
 
 
+def test_counts_leave_out_no_near_line(spark):
+    rnd = random.Random(9)
+    pairs = []
+    for n in (30, 70, 150, 300):
+        a = "".join(rnd.choice("etaoinsrhld xé") for _ in range(n))
+        pairs += [(a, changed(rnd, a, k)) for k in (1, 2, 4, 8)] + [(a, "".join(rnd.choice("etaoinsrhld xé") for _ in range(n)))]
+    of = lambda c: line_dedup.counts(F.col(c))
+    rows = spark.createDataFrame([(a, b, k) for a, b in pairs for k in (1, 2, 4, 8)], "a string, b string, k int").select("a", "b", "k", line_dedup.counts_allow(of("a"), of("b"), F.col("k")).alias("may")).collect()
+    assert all(r.may for r in rows if edits(r.a, r.b) <= r.k)
+    assert sum(not r.may for r in rows) > 20
+
+
 def brute_lines(rows, least, most):
     lines = [(d, i, x) for d, t in sorted(rows) for i, x in enumerate(t.split("\n")) if len(x) >= least]
     drop = collections.defaultdict(set)
