@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from .shared import free_name, hashed_words, keyed, text_slices
 
+#: Bytes of text worked at once in a task: arrays of eight bytes and more are made for each of them.
+SLICE_BYTES = 1 << 18
 #: Labelled rows to learn from: at most about so many, taken by hash of the id where there are more.
 LABELLED_ROWS = 100_000
 
@@ -83,7 +85,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
-            for a, b, data, offsets in text_slices(batch.column(0)):
+            for a, b, data, offsets in text_slices(batch.column(0), SLICE_BYTES):
                 words, first, _, _ = hashed_words(data, offsets)
                 side = np.repeat(label[a:b], np.diff(first))
                 h, inverse = np.unique(words, return_inverse=True)
@@ -131,7 +133,7 @@ def _per_text(texts: DataFrame, model: Model, columns: dict[str, str], row) -> D
         m = shared.value
         for batch in batches:
             out = []
-            for _, _, data, offsets in text_slices(batch.column(batch.schema.get_field_index("text"))):
+            for _, _, data, offsets in text_slices(batch.column(batch.schema.get_field_index("text")), SLICE_BYTES):
                 words, first, _, _ = hashed_words(data, offsets)
                 s = _token_scores(words, m)
                 out += [row(s[first[i] : first[i + 1]], m) for i in range(len(first) - 1)]

@@ -1,8 +1,11 @@
 import random
+import tracemalloc
 import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +168,28 @@ def test_stages_keep_columns_of_their_own_names(spark, docs, tmp_path):
         assert sorted(made.columns) == sorted(table.columns)
         got = made.collect()
         assert len(got) == len(rows) and {r["__row"] for r in got} == {r["__clean"] for r in got} == {"mine"}
+
+
+def test_token_counts_hold_little_at_once(spark):
+    class Asked(Exception):
+        pass
+
+    class Texts:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, function, _):
+            raise Asked(function)
+
+    with pytest.raises(Asked) as asked:
+        toxicity.token_counts(Texts())
+    text = " ".join(f"word{i % 5000}" for i in range(2500))
+    batch = pa.RecordBatch.from_pydict({"text": [text] * 200, "toxic": [i % 2 for i in range(200)]})
+    tracemalloc.start()
+    try:
+        counted = sum(pc.sum(b.column(1)).as_py() for b in asked.value.args[0](iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert counted == 200 * 2500
+    assert peak < 40 << 20  # of 4 MB of text; numpy's arrays are traced
