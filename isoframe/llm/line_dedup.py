@@ -4,28 +4,37 @@ Lines are dealt into classes by length, and the edits allowed for a pair grow wi
 line. Lines within k edits of one another share, of the shorter line's first k + 1 segments of the
 class's size, one that i edits precede and at most k - i follow, i being the segment's number, so it stands at
 one of a few places of the longer line, counted from the nearer end. Segments are indexed under (class, number, text),
-longer lines probe with the substrings that can match, and what meets and agrees in length to within k is verified by
-edit distance in a band of 2 * k + 1 diagonals, one bit each.
+longer lines probe with the substrings that can match. Lines that meet under a key, and that lengths and counts of characters allow to be
+near, are put into cells, a few for each line; pairs exist only while a cell is joined with itself, where a line's search ends with the first
+near one. They are verified by edit distance in a band of 2 * k + 1 diagonals, one bit each, or by Spark's own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dims import let
 from .shared import free_name, keyed, written
 
 #: Place of a line in the table: documents by id, lines by number; one number that aggregates and compares fast.
 _PLACE = "decimal(38,0)"
 _LOWEST = -(2**63)
-#: Up to so many places of lines to compare (about 50 bytes each) are broadcast to the texts; more are joined by shuffle.
-BROADCAST_LINES = 200_000
-#: The same for keys that several lines share, of 8 bytes each.
-BROADCAST_KEYS = 500_000
+#: Up to so many places of lines to compare (a row number and a line number each) are broadcast to the texts; more are joined by shuffle.
+BROADCAST_LINES = 1_000_000
+#: A line that makes up more than one in so many of all gives its keys once only; there can't be more such lines than this.
+COMMON = 2000
+#: Up to so many lines of a cell are compared by one task; of larger cells each line meets all others in one of several tasks, of MOST_PARTS at most.
+CELL_LINES = 1000
+MOST_PARTS = 64
 #: Lines of up to so many characters beyond their common beginning are compared by Spark's own distance.
 SHORT_LINE = 2000
-#: Frequent characters: an edit changes their counts by two in sum at most, so pairs whose counts lie further apart are not compared. Any others are right, too.
+#: Frequent characters: an edit changes their counts by two in sum at most, so pairs whose counts lie further apart are not compared. Any others of one byte are right, too.
 COUNTED = " etaoinsrhld"
+#: The same for the two halves of lines.
+LETTERS = " etaoinsrhldubwgfycm,."
 _ENTRIES = "array<struct<key:bigint,indexed:boolean,k:int>>"
 #: Edits by the length of the shorter line: (least characters, edits), ascending.
 EDITS = ((30, 1), (60, 2), (120, 4), (240, 8))
@@ -167,7 +176,12 @@ def short_within(a: Column, b: Column, edits: int) -> Column:
 
 def counts(line: Column) -> Column:
     """How often each character of COUNTED stands in a line."""
-    return F.array(*[F.char_length(line) - F.char_length(F.replace(line, F.lit(c), F.lit(""))) for c in COUNTED])
+    return _counts(line, COUNTED)
+
+
+def _counts(text: Column, letters: str) -> Column:
+    # each of them is one byte
+    return F.array(*[F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in letters])
 
 
 def counts_allow(x: Column, y: Column, edits: Column) -> Column:
@@ -176,6 +190,61 @@ def counts_allow(x: Column, y: Column, edits: Column) -> Column:
     return sum(apart, F.lit(0)) <= 2 * edits
 
 
+def marks(line: Column) -> Column:
+    """A line's counts in one number, four bits of each."""
+    of = counts(line)
+    return functools.reduce(lambda out, i: F.shiftleft(out, 4).bitwiseOR(F.get(of, F.lit(i)).bitwiseAND(F.lit(15)).cast("long")), range(len(COUNTED)), F.lit(0).cast("long"))
+
+
+def marks_allow(x: Column, y: Column, edits: Column) -> Column:
+    """Whether lines with these marks can lie within so many edits; the bits left out only make lines look closer."""
+
+    def apart(at: int) -> Column:
+        d = (F.shiftrightunsigned(x, at) - F.shiftrightunsigned(y, at)).bitwiseAND(F.lit(15))
+        return F.least(d, F.lit(16) - d)
+
+    return sum((apart(4 * i) for i in range(len(COUNTED))), F.lit(0)) <= 2 * edits
+
+
+def ends(line: Column, p: Column) -> Column:
+    """How often each character of LETTERS stands in the first and in the last p characters of a line."""
+    parts = (F.substr(line, F.lit(1), p), F.substr(line, F.char_length(line) - p + 1, p))
+    return F.concat(*[_counts(part, LETTERS) for part in parts])
+
+
+def ends_allow(x: Column, y: Column, edits: Column) -> Column:
+    """Whether lines with these ends can lie within so many edits, if neither has fewer than 2 * p characters.
+
+    An edit in the beginning changes its counts by two in sum at most, also where it shifts a character over the border; likewise at the end.
+    """
+    return sum((F.abs(F.get(x, F.lit(i)) - F.get(y, F.lit(i))) for i in range(2 * len(LETTERS))), F.lit(0)) <= 2 * edits
+
+
+def near_lines(a: Column, b: Column, most: Column, edits: list[int]) -> Column:
+    """Whether two lines lie within ``most`` edits, one of the numbers given. What both begin with is cut off first."""
+
+    def rest(cut):
+        return F.struct(F.substr(a, cut, F.char_length(a)).alias("x"), F.substr(b, cut, F.char_length(b)).alias("y"))
+
+    def verdict(r):
+        n, m = F.char_length(r["x"]), F.char_length(r["y"])
+        out = F.lit(False)
+        for k in edits:
+            out = F.when(most == k, F.when(F.greatest(n, m) <= SHORT_LINE, short_within(r["x"], r["y"], k)).otherwise(long(r, n, m, k))).otherwise(out)
+        return out
+
+    def long(r, n, m, k):
+        letters = F.struct(F.split(r["x"], "").alias("x"), F.split(r["y"], "").alias("y"))
+        return let(letters, lambda s: within_edits(r["x"], r["y"], k, n, m, s["x"], s["y"]))
+
+    return let(let(common_prefix(a, b) + 1, rest), verdict)
+
+
+def _buckets(n: Column, most: int, width: int) -> Column:
+    """Buckets of all lengths that lie within ``most`` of n."""
+    return F.array_distinct(F.array(F.floor(F.greatest(n - most, F.lit(0)) / width), F.floor((n + most) / width)))
+
+
 def _bit(word: Column, at: Column) -> Column:
     """Bit ``at`` of a word; shiftrightunsigned takes only fixed widths as a function, so divide by the power."""
     return F.floor(word / F.pow(F.lit(2.0), at)).cast("long").bitwiseAND(F.lit(1).cast("long")).cast("int")
@@ -201,57 +270,65 @@ def repeated_lines(documents: DataFrame, least_chars: int = 30, edits=EDITS, id_
         .select("row_id", "at", place.alias("place"), "line", F.char_length("line").alias("n"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
     )
     firsts = lines.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.min_by("row_id", "place").alias("row_id"), F.min_by("at", "place").alias("at"), F.count(F.lit(1)).alias("n"))
+    firsts = written(firsts, "line-firsts")
 
-    # Keys per line; only distinct ones meet, so that a very common line does not multiply pairs.
+    # Keys per line; a very common line gives its own once, so that no key is read by one task alone. A negative length marks keys that only ask.
     classes = _classes(least_chars, edits)
-    # Keys are made once to find those that lines share and once more for these only, which is cheaper than to keep them all.
+    every = sorted({k for _, _, k in classes})
+    limit = (firsts.agg(F.sum("n")).first()[0] or 0) // COMMON + 1
+    common = firsts.where(F.col("n") > limit).select("h1", "h2", F.col("place").alias("first"))
+    once = lines.join(F.broadcast(common), ["h1", "h2"], "left").where(F.col("first").isNull() | (F.col("place") == F.col("first")))
     # explode_outer, as plain explode would evaluate the array once more to see that it is not empty
-    by_key = lines.select("h1", "n", F.explode_outer(entry_array(F.col("line"), F.col("n"), classes)).alias("x")).select("x.*", "h1", "n").where("key IS NOT NULL")
-    shared = F.col("h1")
-    met = written(by_key.groupBy("key").agg(F.min(shared).alias("lo"), F.max(shared).alias("hi"), F.bool_or("indexed").alias("any")).where("lo <> hi AND any").select("key"), "line-met")
-    if met.count() <= BROADCAST_KEYS:
-        met = F.broadcast(met)
-    bucket = F.floor(F.col("n") / (F.col("k") + 1)).alias("bucket")  # lines that differ by no more than k are in one or in neighbours
-    sides = written(by_key.join(met, "key").select("key", "indexed", bucket, "h1").distinct(), "line-sides")
-    pairs = written(
-        sides.where("indexed").select("key", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"), F.col("h1").alias("a"))
-        .join(sides.select("key", "bucket", F.col("h1").alias("b")), ["key", "bucket"])
-        .where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
-        "line-pairs",
+    by_key = (
+        once.select("h1", "line", "n", marks(F.col("line")).alias("marks"))  # before the rows multiply
+        .select("h1", "marks", "n", F.explode_outer(entry_array(F.col("line"), F.col("n"), classes)).alias("x"))
+        .select("x.key", "h1", F.when(F.col("x.indexed"), F.col("n")).otherwise(-F.col("n")).alias("n"), "marks")
+        .where("key IS NOT NULL AND marks IS NOT NULL AND n IS NOT NULL").repartition("key")
+    )
+    # Which keys different lines share, read from the shuffle that the lines of these keys come from; the hash makes both read the same columns.
+    met = by_key.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("n").alias("any"), F.max(F.hash("marks")).alias("whole")).where("lo <> hi AND any > 0 AND whole IS NOT NULL").select("key")
+    sides = written(by_key.join(met.hint("shuffle_hash"), "key").distinct(), "line-sides")
+    # A line stays under a key if it has a partner there that lengths and counts allow; most chance meetings end here. Pairs are never kept: groups
+    # of near copies have as many as the square of their lines. Lines that stay under a key meet in the cell named by the least of them.
+    width = 2 * every[-1] + 1
+    asks = sides.select("key", "h1", "n", "marks", F.floor(F.abs("n") / width).alias("bucket")).alias("x")
+    offers = sides.select("key", "h1", "n", "marks", F.explode(_buckets(F.abs("n"), every[-1], width)).alias("bucket")).alias("y")
+    shorter = F.least(F.abs("x.n"), F.abs("y.n"))
+    meet = (F.col("x.h1") != F.col("y.h1")) & (F.greatest("x.n", "y.n") > 0) & (F.abs(F.abs("x.n") - F.abs("y.n")) <= allowed_edits(shorter, classes)) & marks_allow(F.col("x.marks"), F.col("y.marks"), allowed_edits(shorter, classes))
+    stay = asks.join(offers, (F.col("x.key") == F.col("y.key")) & (F.col("x.bucket") == F.col("y.bucket")) & meet, "left_semi")
+    cells = written(
+        stay.groupBy("key", "h1").agg(F.max("n").alias("n")).withColumn("cell", F.min("h1").over(Window.partitionBy("key"))).select("h1", "cell").distinct(), "line-cells"
     )
     # Texts of the lines in question come from the rows where they stand first.
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    wanted = written(firsts.join(asked, "h1").select("row_id", "at", "h1", "h2", "place"), "line-places")
-    per_row = wanted.groupBy("row_id").agg(F.collect_list(F.struct("at", "h1", "h2", "place")).alias("wanted"))  # no more than the row has lines
+    of_line = cells.groupBy("h1").agg(F.collect_list("cell").alias("cells"))  # no more than the line has keys
+    wanted = written(firsts.join(of_line, "h1").select("row_id", "at"), "line-places")
+    per_row = wanted.groupBy("row_id").agg(F.collect_list("at").alias("wanted"))  # no more than the row has lines
     if wanted.count() <= BROADCAST_LINES:
         per_row = F.broadcast(per_row)
     texts = (
         rows.join(per_row, "row_id")
-        .select(F.split("text", "\n").alias("all"), F.explode_outer("wanted").alias("x"))
-        .select(F.col("x.h1").alias("h1"), F.col("x.h2").alias("h2"), F.col("x.place").alias("place"), F.get("all", F.col("x.at")).alias("line"))
-        .withColumn("counts", counts(F.col("line")))
+        .select("doc_id", F.split("text", "\n").alias("all"), F.explode_outer("wanted").alias("at"))
+        .select(place.alias("place"), F.get("all", F.col("at")).alias("line"))
+        .select("place", "line", F.char_length("line").alias("n"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
     )
-    within = F.lit(False)
-    for k in sorted({k for _, _, k in classes}):
-        short = (F.col("nx") <= SHORT_LINE) & (F.col("ny") <= SHORT_LINE)
-        within = F.when((F.col("most") == k) & short, short_within(F.col("xr"), F.col("yr"), k)).when(F.col("most") == k, within_edits(F.col("xr"), F.col("yr"), k, F.col("nx"), F.col("ny"), F.col("xs"), F.col("ys"))).otherwise(within)
-    near = (
-        pairs.join(texts.select(F.col("h1").alias("a"), F.struct("place", "h1", "h2", "line", "counts").alias("x")), "a")
-        .join(texts.select(F.col("h1").alias("b"), F.struct("place", "h1", "h2", "line", "counts").alias("y")), "b")
-        .withColumn("most", allowed_edits(F.least(F.char_length("x.line"), F.char_length("y.line")), classes))
-        .where((F.abs(F.char_length("x.line") - F.char_length("y.line")) <= F.col("most")) & counts_allow(F.col("x.counts"), F.col("y.counts"), F.col("most")))
-        .withColumn("cut", common_prefix(F.col("x.line"), F.col("y.line")) + 1)
-        .withColumns({"xr": F.substr("x.line", F.col("cut"), F.char_length("x.line")), "yr": F.substr("y.line", F.col("cut"), F.char_length("y.line"))})
-        .withColumns({"nx": F.char_length("xr"), "ny": F.char_length("yr")})
-        .withColumns({c: F.when(F.greatest("nx", "ny") > SHORT_LINE, F.split(r, "")) for c, r in (("xs", "xr"), ("ys", "yr"))})
-        .select(
-            F.greatest("x", "y").alias("later"), F.least("x.place", "y.place").alias("before"),
-            within.alias("within"),
-        )
-        # The verdict goes through the aggregate: as a filter it would be pushed below the columns it is built from.
-        .groupBy(F.col("later.h1").alias("h1"), F.col("later.h2").alias("h2"))
-        .agg(F.max(F.col("within") & (F.col("before") < F.col("later.place"))).alias("near")).where("near")
+    parts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL_LINES).select("cell", F.least(F.ceil(F.col("n") / CELL_LINES), F.lit(MOST_PARTS)).cast("long").alias("parts"))
+    placed = (
+        texts.join(of_line, "h1").select("*", F.explode("cells").alias("cell")).join(F.broadcast(parts), "cell", "left")  # one in CELL_LINES of the cells' lines at most
+        .withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    )
+    # Lines of like length meet in a bucket, whose least length says how far their halves reach.
+    half = lambda: ends(F.col("line"), F.greatest(F.floor((F.col("bucket") * width - every[-1]) / 2), F.lit(0)).cast("int")).alias("ends")
+    line = [F.col(c) for c in ("cell", "bucket", "part", "place", "n", "line", "cells", "h1")]
+    later = placed.select("*", F.floor(F.col("n") / width).alias("bucket"), F.pmod("h1", "parts").alias("part")).select(*line, "h2", half()).alias("x")
+    earlier = placed.select("*", F.explode(_buckets(F.col("n"), every[-1], width)).alias("bucket")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select(*line, half()).alias("y")
+    most = allowed_edits(F.least("x.n", "y.n"), classes)
+    # A pair that meets in several cells is compared in the least of them, and a line only until one near it is found.
+    within = (
+        (F.col("y.place") < F.col("x.place")) & (F.abs(F.col("x.n") - F.col("y.n")) <= most) & ends_allow(F.col("x.ends"), F.col("y.ends"), most)
+        & (F.array_min(F.array_intersect("x.cells", "y.cells")) == F.col("x.cell")) & near_lines(F.col("x.line"), F.col("y.line"), most, every)
     )
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("cell", "bucket", "part")]
+    near = later.join(earlier, functools.reduce(Column.__and__, [*same, within]), "left_semi").select("h1", "h2").distinct().withColumn("near", F.lit(True))
     again = firsts.where("n > 1").select("h1", "h2", "place").join(near, ["h1", "h2"], "full_outer").select("h1", "h2", F.col("place").alias("first"), "near")
     drops = (
         lines.select("row_id", "at", "place", "h1", "h2").join(again, ["h1", "h2"])

@@ -132,6 +132,43 @@ def test_line_edits_grow_with_length(spark, docs):
     assert got == {d: t for d, t in want.items() if t.strip()}
 
 
+def test_near_copies_are_compared_but_not_kept_as_pairs(spark, docs, monkeypatch):
+    rnd = random.Random(11)
+    base = "".join(rnd.choice("abcdefgh é") for _ in range(59)) + "."
+    lines = [base, *[changed(rnd, base, rnd.randrange(8)) for _ in range(99)]]
+    kept, real = {}, line_dedup.written
+
+    def written(df, name):
+        out = real(df, name)
+        kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", written)
+    monkeypatch.setattr(line_dedup, "CELL_LINES", 20, raising=False)
+    rows = [(d, line) for d, line in enumerate(lines)]
+    want = brute_lines(rows, 10, 4)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(rows), 10, 4).collect()}
+    assert got == {d: t for d, t in want.items() if t}
+    # 100 lines give up to 4,950 pairs; a line has 17 keys at most, whatever the number of its near copies
+    assert max(kept.values()) <= 17 * len(lines), kept
+
+
+def test_bounds_from_counts_hold(spark):
+    rnd = random.Random(12)
+    pairs = []
+    for n in (30, 64, 131, 250):
+        a = "".join(rnd.choice("abceiostré. ") for _ in range(n))
+        pairs += [(a, changed(rnd, a, k), k) for k in (1, 2, 4, 8) for _ in range(5)]
+    half = F.floor(F.least(F.char_length("a"), F.char_length("b")) / 2).cast("int")
+    got = spark.createDataFrame(pairs, "a string, b string, k int").select(
+        line_dedup.marks_allow(line_dedup.marks(F.col("a")), line_dedup.marks(F.col("b")), F.col("k")),
+        line_dedup.ends_allow(line_dedup.ends(F.col("a"), half), line_dedup.ends(F.col("b"), half), F.col("k")),
+    )
+    assert all(r[0] and r[1] for r in got.collect())
+    other = spark.createDataFrame([("a" * 9, "e" * 9)], "a string, b string").select(line_dedup.marks_allow(line_dedup.marks(F.col("a")), line_dedup.marks(F.col("b")), F.lit(2)))
+    assert not other.first()[0]
+
+
 def shingles(t):
     w = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
     return collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else None
