@@ -109,7 +109,8 @@ def ordered_scan(
         .select(*[F.col(c).alias(f"__s_{c}") for c in cell], *carried)
     )
     rows = cells.withColumns({f"__local_{n}": e for n, e in local.items()})
-    match = [rows[c].eqNullSafe(summary[f"__s_{c}"]) for c in cell]
+    # plain equality, where no key can be null, keeps the rows where the first shuffle has put them
+    match = [rows[c].eqNullSafe(summary[f"__s_{c}"]) if df.schema[c].nullable else rows[c] == summary[f"__s_{c}"] for c in cell]
     condition = match[0]
     for m in match[1:]:
         condition = condition & m
